@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stagelens.operators.ranks import join_null_safe, rank_corr
-from stagelens.session import materialize
+from stagelens.operators.ranks import is_large, join_null_safe, rank_corr
+from stagelens.session import settle
 
 # Fixed values of the search.
 K_GRID = (30, 60, 80, 100, 150)
@@ -78,7 +78,7 @@ def region_adjust(df: DataFrame, y: str, by: str, within: Sequence[str], k: floa
 
 
 def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequence[str],
-                small_rows: int | None = None) -> DataFrame:
+                large: bool | None = None) -> DataFrame:
     """All (K, CAP) pairs per ``within`` group with their figures, score and place.
 
     ``df`` is read twice; pass a materialised frame.
@@ -91,7 +91,7 @@ def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequ
     )
     wide = stats.select("*", F.inline(cfg))
     wide = wide.withColumn("delta", shift(F.col("n"), F.col("mu"), F.col("grand"), F.col("K"), F.col("CAP")))
-    wide = materialize(wide.withColumn("mu_post", F.col("mu") - F.col("delta")), "shifts")
+    wide = settle(wide.withColumn("mu_post", F.col("mu") - F.col("delta")), "shifts")
 
     # group figures after the shift; the grand mean moves with the shifts
     all_rows = W.partitionBy(*within, "cfg")
@@ -117,14 +117,13 @@ def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequ
     )
 
     # rank correlation of the score before and after, all pairs in one ranking pass
-    shifts = wide.groupBy(*within, by).agg(
+    shifts = settle(wide.groupBy(*within, by).agg(
         *[F.max(F.when(F.col("cfg") == i, F.col("delta"))).alias(f"_d{i}") for i in range(len(GRID))]
-    )
+    ), "shifts_wide")
     rows = join_null_safe(df.filter(F.col(y).isNotNull()).select(*key, *within, by, y), shifts, [*within, by])
-    adjusted = {f"c{i}": F.col(y) - F.col(f"_d{i}") for i in range(len(GRID))}
-    corr = rank_corr(rows, key, F.col(y), adjusted, within, small_rows)
-    cells = F.array(*[F.struct(F.lit(i).alias("cfg"), F.col(f"c{i}").alias("spearman")) for i in range(len(GRID))])
-    corr = corr.select(*within, F.inline(cells))
+    adjusted = [F.col(y) - F.col(f"_d{i}") for i in range(len(GRID))]
+    corr = rank_corr(rows, key, F.col(y), adjusted, within, is_large(df, large))
+    corr = corr.withColumnsRenamed({"m": "cfg", "corr": "spearman"})
     table = join_null_safe(figures, corr, [*within, "cfg"], "left")
     # a constant column has no correlation; its order is unchanged
     table = table.withColumn("spearman", F.coalesce("spearman", F.lit(1.0)))
@@ -149,17 +148,17 @@ def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequ
 
 
 def adjust_by_grid(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequence[str],
-                   name: str = "DPI_region_adj", small_rows: int | None = None) -> DataFrame:
+                   name: str = "DPI_region_adj", large: bool | None = None) -> DataFrame:
     """Apply the best setting of each ``within`` group; adds the score, its shift, K and CAP."""
     within = list(within)
-    grid = grid_search(df, y, by, within, key, small_rows)
+    grid = grid_search(df, y, by, within, key, large)
     best = grid.filter("place = 1").select(*within, "K", "CAP")
     stats = group_stats(df, y, by, within)
     deltas = join_null_safe(stats, best, within, "left").select(
         *within, by, "K", "CAP",
         shift(F.col("n"), F.col("mu"), F.col("grand"), F.col("K"), F.col("CAP")).alias("region_delta"),
     )
-    out = join_null_safe(df, materialize(deltas, "deltas"), [*within, by], "left")
+    out = join_null_safe(df, settle(deltas, "deltas"), [*within, by], "left")
     return out.withColumn(name, F.col(y) - F.col("region_delta"))
 
 

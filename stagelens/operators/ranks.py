@@ -13,7 +13,7 @@ task. Above SMALL_ROWS rows the column is cut at approximate quantiles instead:
    hold about 1/cuts of the column; rows on a cut point are salted.
 
 Ranks are exact: the approximation only decides where the cuts are. Up to
-SMALL_ROWS rows (counted, not guessed) the plain window is cheaper and is used.
+SMALL_ROWS rows (counted, not guessed) a window per column is cheaper and is used.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stagelens.functions.numeric import clip
 from stagelens.operators.skew import salt_count
-from stagelens.session import materialize
+from stagelens.session import materialize, settle
 
 SMALL_ROWS = 1_000_000
 MAX_CUTS = 4095
@@ -66,10 +66,8 @@ def _known(value: Column) -> Column:
 
 def _long(df: DataFrame, keep: Sequence[str], values: Sequence[Column]) -> DataFrame:
     """One row per (row, column number) with a known value."""
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("m"), _known(v).alias("v")) for i, v in enumerate(values)]
-    )
-    return df.select(*keep, F.inline(cells)).filter(F.col("v").isNotNull())
+    cells = F.posexplode(F.array(*[_known(v) for v in values])).alias("m", "v")
+    return df.select(*keep, cells).filter(F.col("v").isNotNull())
 
 
 def _cut_count(df: DataFrame) -> int:
@@ -122,9 +120,12 @@ def _offsets(placed: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _is_large(df: DataFrame, small_rows: int | None) -> bool:
-    limit = SMALL_ROWS if small_rows is None else small_rows
-    return df.count() > limit
+def is_large(df: DataFrame, known: bool | None = None) -> bool:
+    """Whether a column of the frame is too long to be ordered in one task.
+
+    Callers that rank several times count once and pass the answer on.
+    """
+    return df.count() > SMALL_ROWS if known is None else known
 
 
 def quantiles(
@@ -132,7 +133,7 @@ def quantiles(
     values: Mapping[str, Column],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    small_rows: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: ``by`` columns and one array per value.
 
@@ -140,7 +141,7 @@ def quantiles(
     the small form and no row in the distributed one.
     """
     by, names, probs = list(by), list(values), [float(p) for p in probs]
-    if not _is_large(df, small_rows):
+    if not is_large(df, large):
         probs_lit = F.array(*[F.lit(p) for p in probs])
         return df.groupBy(*by).agg(
             *[F.percentile(_known(values[n]), probs_lit).alias(n) for n in names]
@@ -194,18 +195,18 @@ def winsorize(
     values: Mapping[str, Column],
     bounds: Mapping[str, tuple[float, float]],
     by: Sequence[str] = (),
-    small_rows: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """Add each value clipped to its quantile bounds (unknown stays unknown)."""
     by = list(by)
+    large = is_large(df, large)
     out = df
     for pair in dict.fromkeys(bounds.values()):
         names = [n for n in values if bounds[n] == pair]
-        q = quantiles(df, {n: values[n] for n in names}, pair, by, small_rows)
+        q = quantiles(df, {n: values[n] for n in names}, pair, by, large)
         q = q.withColumnsRenamed({n: f"_q_{n}" for n in names})
         if by:
-            # written out: the planner then knows the true size and broadcasts or not
-            out = join_null_safe(out, materialize(q, "bounds"), by, "left")
+            out = join_null_safe(out, settle(q, "bounds"), by, "left")
         else:
             row = q.first()
             pairs = {f"_q_{n}": F.lit(row[f"_q_{n}"]) if row else F.lit(None) for n in names}
@@ -216,24 +217,20 @@ def winsorize(
     return out
 
 
-def _ranks_small(df: DataFrame, ranks: Mapping[str, Rank], by: Sequence[str]) -> DataFrame:
-    group = W.partitionBy(*(by or [F.lit(0)]))
-    cols = {}
-    for name, rank in ranks.items():
-        v = _known(rank.value)
-        order = group.orderBy(v.asc_nulls_last())
-        top = F.count(v).over(order)
-        place = top if rank.ties == "max" else (F.rank().over(order) + top) / 2
-        cols[name] = F.when(v.isNotNull(), place / F.count(v).over(group))
-    return df.withColumns(cols)
+def _ranked_plain(long: DataFrame, by: Sequence[str]) -> DataFrame:
+    group = W.partitionBy(*by, "m")
+    return long.withColumns(
+        {
+            "lo": F.rank().over(group.orderBy("v")),
+            "hi": F.count("*").over(group.orderBy("v")),
+            "n": F.count("*").over(group),
+        }
+    )
 
 
-def _ranks_large(
-    df: DataFrame, key: Sequence[str], ranks: Mapping[str, Rank], by: Sequence[str]
-) -> DataFrame:
-    names = list(ranks)
-    salts = salt_count(df)
-    placed = _placed(_long(df, [*key, *by], [ranks[n].value for n in names]), _cut_count(df))
+def _ranked_by_place(long: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:
+    salts = salt_count(long)
+    placed = _placed(long, _cut_count(long))
     offsets = materialize(_offsets(placed, by), "offsets")
     on_point = F.col("pos") % 2 == 1
     # rows on a cut point need no order, so they may be spread
@@ -248,12 +245,21 @@ def _ranks_large(
     order = W.partitionBy(*cell).orderBy("v")
     low = F.when(on_point, 1).otherwise(F.rank().over(order))
     high = F.when(on_point, F.col("cnt")).otherwise(F.count("*").over(order))
-    ranked = rows.withColumn("lo", low + F.col("before")).withColumn("hi", high + F.col("before"))
+    return rows.withColumn("lo", low + F.col("before")).withColumn("hi", high + F.col("before"))
+
+
+def _rank_table(
+    df: DataFrame, key: Sequence[str], ranks: Mapping[str, Rank], by: Sequence[str], large: bool
+) -> DataFrame:
+    """One row per key (and group) with the ranks; all columns share one ranking pass."""
+    names = list(ranks)
+    long = _long(df, [*key, *by], [ranks[n].value for n in names])
+    ranked = _ranked_by_place(long, key, by) if large else _ranked_plain(long, by)
     cols = []
     for i, name in enumerate(names):
         place = F.col("hi") if ranks[name].ties == "max" else (F.col("lo") + F.col("hi")) / 2
         cols.append(F.max(F.when(F.col("m") == i, place / F.col("n"))).alias(name))
-    return df.join(ranked.groupBy(*key).agg(*cols), list(key), "left")
+    return ranked.groupBy(*key, *by).agg(*cols)
 
 
 def percent_ranks(
@@ -261,7 +267,7 @@ def percent_ranks(
     key: Sequence[str],
     ranks: Mapping[str, Rank],
     by: Sequence[str] = (),
-    small_rows: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """Add percentile ranks within ``by``: rank among the known values over their number.
 
@@ -269,6 +275,7 @@ def percent_ranks(
     """
     key, by = list(key), list(by)
     clipped = {n: r for n, r in ranks.items() if r.winsor}
+    large = is_large(df, large)
     out = df
     if clipped:
         names = {f"_w_{n}": r for n, r in clipped.items()}
@@ -277,23 +284,31 @@ def percent_ranks(
             {n: r.value for n, r in names.items()},
             {n: r.winsor for n, r in names.items()},
             by,
-            small_rows,
+            large,
         )
         ranks = {
             n: Rank(F.col(f"_w_{n}"), r.ties) if r.winsor else r for n, r in ranks.items()
         }
     extra = [f"_w_{n}" for n in clipped]
-    if _is_large(df, small_rows):
-        return _ranks_large(out, key, ranks, by).drop(*extra)
-    return _ranks_small(out, ranks, by).drop(*extra)
+    table = _rank_table(out, key, ranks, by, large).drop(*by)
+    return out.join(table, key, "left").drop(*extra)
 
 
-def rank_corr(df: DataFrame, key: Sequence[str], x: Column, others: Mapping[str, Column],
-              by: Sequence[str] = (), small_rows: int | None = None) -> DataFrame:
-    """Spearman correlation of ``x`` with each other column within ``by``.
+def rank_corr(
+    df: DataFrame,
+    key: Sequence[str],
+    x: Column,
+    others: Sequence[Column],
+    by: Sequence[str] = (),
+    large: bool | None = None,
+) -> DataFrame:
+    """Spearman correlation of ``x`` with every other column: by, number ``m``, ``corr``.
 
     Rows must know all the columns; ranks of ties are averaged.
     """
-    ranks = {"_x": Rank(x), **{f"_y_{n}": Rank(c) for n, c in others.items()}}
-    ranked = percent_ranks(df, key, ranks, by, small_rows)
-    return ranked.groupBy(*by).agg(*[F.corr("_x", f"_y_{n}").alias(n) for n in others])
+    key, by = list(key), list(by)
+    large = is_large(df, large)
+    ranked_x = percent_ranks(df, key, {"_x": Rank(x)}, by, large)
+    long = _long(ranked_x, [*key, *by, "_x"], others)
+    ranked = _ranked_by_place(long, key, by) if large else _ranked_plain(long, by)
+    return ranked.groupBy(*by, "m").agg(F.corr("_x", (F.col("lo") + F.col("hi")) / 2).alias("corr"))

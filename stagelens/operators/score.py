@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from stagelens.functions.conditions import is_free, segment
 from stagelens.functions.numeric import clip, geo_score, log1p_count, min_max
 from stagelens.operators.adjust import adjust_by_grid
-from stagelens.operators.ranks import Rank, join_null_safe, percent_ranks, quantiles
-from stagelens.session import materialize
+from stagelens.operators.ranks import Rank, is_large, join_null_safe, percent_ranks, quantiles
+from stagelens.session import materialize, settle
 
 # Fixed values of the score: weights, winsor bounds, multiplier and penalty.
 WINSOR = (0.05, 0.95)
@@ -42,13 +42,13 @@ class ScoreColumns:
     by: Sequence[str] = field(default=("kind",))
 
 
-def iqr_filter(df: DataFrame, col: str, by: Sequence[str] = (), small_rows: int | None = None) -> DataFrame:
+def iqr_filter(df: DataFrame, col: str, by: Sequence[str] = (), large: bool | None = None) -> DataFrame:
     """Keep rows within 1.5 interquartile ranges of the quartiles; unknown values go."""
-    q = quantiles(df, {"_q": F.col(col)}, (0.25, 0.75), by, small_rows)
+    q = quantiles(df, {"_q": F.col(col)}, (0.25, 0.75), by, large)
     reach = (F.col("_q")[1] - F.col("_q")[0]) * 1.5
     inside = (F.col(col) >= F.col("_q")[0] - reach) & (F.col(col) <= F.col("_q")[1] + reach)
     if by:
-        out = join_null_safe(df, materialize(q, "quartiles"), list(by))
+        out = join_null_safe(df, settle(q, "quartiles"), list(by))
     else:
         row = q.first()
         out = df.withColumn("_q", F.lit(row["_q"] if row else None).cast("array<double>"))
@@ -59,7 +59,7 @@ def group_mean(df: DataFrame, value: Column, name: str, by: Sequence[str]) -> Da
     """Add the mean of a column over each group, aggregated before it is joined back."""
     means = df.groupBy(*by).agg(F.avg(value).alias(name))
     if by:
-        return join_null_safe(df, means, list(by), "left")
+        return join_null_safe(df, settle(means, "means"), list(by), "left")
     return df.withColumn(name, means.scalar())
 
 
@@ -78,7 +78,7 @@ def guardrail(free: Column, revenue_rank: Column) -> Column:
 
 
 def components(
-    df: DataFrame, variant: str = "as_run", cols: ScoreColumns = ScoreColumns(), small_rows: int | None = None
+    df: DataFrame, variant: str = "as_run", cols: ScoreColumns = ScoreColumns(), large: bool | None = None
 ) -> DataFrame:
     """Add U_participation, S_scale, A_afford and the ranks used on the way.
 
@@ -86,10 +86,11 @@ def components(
     ``as_reported``  nothing removed, A is one minus the price rank
     """
     by = list(cols.by)
+    large = is_large(df, large)
     access = clip(F.coalesce(clip(cols.access, 0, ACCESS_MAX).cast("double"), F.lit(0.0)) / ACCESS_MAX, 0.0, 1.0)
     occupancy = F.col(cols.occupancy)
     if variant == "as_run":
-        df = iqr_filter(df, cols.occupancy, by, small_rows)
+        df = iqr_filter(df, cols.occupancy, by, large)
         occupancy = clip(occupancy, high=1.0)
     ranks = {
         "_occ": Rank(occupancy, winsor=WINSOR),
@@ -106,7 +107,7 @@ def components(
         }
     else:
         ranks["_price"] = Rank(F.col(cols.price), winsor=WINSOR)
-    out = percent_ranks(df, cols.key, ranks, by, small_rows)
+    out = percent_ranks(df, cols.key, ranks, by, large)
     wp, ws, wa = SCALE_WEIGHTS
     scale = F.col("_sessions") * wp + F.col("_sold") * ws + F.col("_avg") * wa
     if variant == "as_run":
@@ -132,10 +133,11 @@ def score(
     variant: str = "as_run",
     cols: ScoreColumns = ScoreColumns(),
     guard: bool = False,
-    small_rows: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """Components, free flag, core score, multiplier, DPI_plus and segment."""
-    out = components(df, variant, cols, small_rows)
+    # written once: the mean of the multiplier and all later steps read it again
+    out = materialize(components(df, variant, cols, large), "components")
     free = is_free(cols.price, cols.revenue)
     u, s, a = F.col("U_participation"), F.col("S_scale"), F.col("A_afford")
     core = F.when(free, geo_score([u, s], WEIGHTS_FREE)).otherwise(
@@ -155,12 +157,13 @@ def scored(
     variant: str = "as_run",
     cols: ScoreColumns = ScoreColumns(),
     guard: bool = False,
-    small_rows: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """The whole score with the region adjustment chosen per group and segment."""
-    base = materialize(score(df, variant, cols, guard, small_rows), "score")
+    large = is_large(df, large)
+    base = score(df, variant, cols, guard, large)
     return adjust_by_grid(
-        base, "DPI_plus", cols.region, [*cols.by, "segment"], cols.key, small_rows=small_rows
+        base, "DPI_plus", cols.region, [*cols.by, "segment"], cols.key, large=large
     )
 
 
@@ -184,7 +187,7 @@ def prototype_free(df: DataFrame, by: Sequence[str], occupancy: str, sold: str,
 
 
 def prototype_score(df: DataFrame, cols: ScoreColumns = ScoreColumns(), cv: str | None = None,
-                    small_rows: int | None = None) -> DataFrame:
+                    large: bool | None = None) -> DataFrame:
     """Early composite score: stability in U, sessions alone as S, guardrail on revenue.
 
     ``cv`` names a column with the variation of occupancy over sessions; without it
@@ -198,7 +201,7 @@ def prototype_score(df: DataFrame, cols: ScoreColumns = ScoreColumns(), cv: str
     }
     if cv:
         ranks["_cv"] = Rank(F.col(cv), winsor=WINSOR)
-    out = percent_ranks(df, cols.key, ranks, list(cols.by), small_rows)
+    out = percent_ranks(df, cols.key, ranks, list(cols.by), large)
     stability = clip(1 - F.col("_cv"), 0.0, 1.0) if cv else F.lit(1.0)
     u = F.sqrt(clip(F.col("_occ"), 0.0, 1.0) * stability)
     s = clip(F.col("_sessions"), 0.0, 1.0)
@@ -213,12 +216,12 @@ def prototype_score(df: DataFrame, cols: ScoreColumns = ScoreColumns(), cv: str
 
 
 def weighted_leaderboard(df: DataFrame, by: Sequence[str], weight: str, means: Mapping[str, str],
-                         median: str, small_rows: int | None = None) -> DataFrame:
+                         median: str, large: bool | None = None) -> DataFrame:
     """Weighted means, total weight and a median per group (title level summary)."""
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) + 1e-9
     aggs = [(F.sum(F.col(c) * w) / F.sum(w)).alias(n) for n, c in means.items()]
     table = df.groupBy(*by).agg(*aggs, F.sum(weight).alias("total_weight"))
-    mid = quantiles(df, {"median_value": F.col(median)}, (0.5,), by, small_rows)
+    mid = quantiles(df, {"median_value": F.col(median)}, (0.5,), by, large)
     mid = mid.withColumn("median_value", F.col("median_value")[0])
     return join_null_safe(table, mid, list(by), "left")
 

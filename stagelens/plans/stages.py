@@ -22,7 +22,7 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     slot = (spark.sparkContext.applicationId, sf_dir, name)
     if slot not in _PATHS:
         tune(spark)
-        _PATHS[slot] = write_scratch(build(), name)
+        _PATHS[slot] = write_scratch(build(), name, rebalance=True)
     return spark.read.parquet(_PATHS[slot])
 
 

@@ -51,7 +51,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[sc.applicationId]
 
 
-def write_scratch(df: DataFrame, name: str) -> str:
+def write_scratch(df: DataFrame, name: str, rebalance: bool = False) -> str:
+    """Write below the scratch folder; ``rebalance`` evens out the files of a big table."""
+    if rebalance:
+        df = df.hint("rebalance")
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{scratch_dir(spark)}/stagelens/{app}/{name}-{uuid.uuid4().hex}"
@@ -59,11 +62,26 @@ def write_scratch(df: DataFrame, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", rebalance: bool = False) -> DataFrame:
     """Write a frame once and read it back.
 
     Cuts the lineage, survives lost executors, prunes columns on later reads and
     gives the planner the true size, so it alone decides whether to broadcast.
     """
-    path = write_scratch(df, name)
+    path = write_scratch(df, name, rebalance)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SETTLE_ROWS = 20_000
+
+
+def settle(df: DataFrame, name: str = "small", bound: int = SETTLE_ROWS) -> DataFrame:
+    """Evaluate a table that is usually small (one row per group) exactly once.
+
+    Up to ``bound`` rows it becomes a local relation of known size, which the planner
+    broadcasts; a larger one is written out instead and joined by whatever fits.
+    """
+    rows = df.limit(bound + 1).toArrow()
+    if rows.num_rows <= bound:
+        return df.sparkSession.createDataFrame(rows, schema=df.schema)
+    return materialize(df, name)

@@ -20,12 +20,12 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
 
 
 def norm_genre(c: Column | str) -> Column:
     """Genre label without any bracketed remark; NULL stays NULL."""
-    return strip(F.regexp_replace(_col(c), r"\s*" + _PARENS, ""))
+    return strip(F.regexp_replace(_col(c), r"(?U)\s*" + _PARENS, ""))
 
 
 def genre_prefix(c: Column | str) -> Column:
@@ -35,7 +35,7 @@ def genre_prefix(c: Column | str) -> Column:
 
 def _clean_name(x: Column) -> Column:
     without_role = strip(F.regexp_replace(x, _PARENS, ""))
-    return strip(F.regexp_replace(without_role, r"\s*" + _TAIL, ""))
+    return strip(F.regexp_replace(without_role, r"(?U)\s*" + _TAIL, ""))
 
 
 def split_names(c: Column | str, passes: int = 1) -> Column:

@@ -49,13 +49,20 @@ def ratio_list(c: Column | str) -> Column:
 
 
 def coefficient_of_variation(values: Column) -> Column:
-    """Population deviation over mean of an array, unknown members left out."""
-    known = F.filter(values, lambda x: x.isNotNull())
-    n = F.size(known)
-    mean = F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.nullif(n, F.lit(0))
-    squares = F.aggregate(known, F.lit(0.0), lambda s, x: s + x * x) / F.nullif(n, F.lit(0))
-    spread = F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0)))
-    return F.when(n > 0, F.try_divide(spread, mean))
+    """Population deviation over mean of an array, unknown members left out; one walk."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+
+    def add(acc: Column, x: Column) -> Column:
+        v = F.coalesce(x, F.lit(0.0))
+        n = acc["n"] + F.when(x.isNull(), 0.0).otherwise(1.0)
+        return F.struct(n.alias("n"), (acc["s"] + v).alias("s"), (acc["q"] + v * v).alias("q"))
+
+    def finish(acc: Column) -> Column:
+        n, s, q = acc["n"], acc["s"], acc["q"]
+        spread = F.sqrt(F.greatest(F.try_divide(q, n) - F.try_divide(s, n) * F.try_divide(s, n), F.lit(0.0)))
+        return F.when(n > 0, F.try_divide(spread, F.try_divide(s, n)))
+
+    return F.aggregate(values, zero, add, finish)
 
 
 def row_extremes(cols: Sequence[Column]) -> tuple[Column, Column, Column]:

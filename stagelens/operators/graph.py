@@ -64,8 +64,9 @@ def tfidf(edges: DataFrame, event: str = "performance_id", lower_terms: bool = F
     idf = F.log((n + 1) / (F.col("df") + 1)) + 1
     # common terms are hot keys
     weighed = skew_join(terms, df, ["_t"], [event]).withColumn("raw", F.col("tf") * idf)
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(event)))
-    weights = weighed.select(event, F.col("_t").alias("term"), (F.col("raw") / norm).alias("w"))
+    norms = weighed.groupBy(event).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    weighed = skew_join(weighed, norms, [event], ["_t"])
+    weights = weighed.select(event, F.col("_t").alias("term"), (F.col("raw") / F.col("norm")).alias("w"))
     out = edges.join(weights, [event, "term"], "left")
     return out.withColumn("weight", F.coalesce(F.col("tf") * F.col("w"), F.lit(0.0))).drop("w")
 
@@ -115,7 +116,7 @@ def genre_vote(edges: DataFrame, train: DataFrame, targets: DataFrame, event: st
     Events without any vote get the most frequent training genre. Ties go to the label
     that sorts first.
     """
-    counted = edges.join(train.select(event, genre), event)
+    counted = skew_join(edges, train.select(event, genre), [event], ["node"])
     hist = counted.groupBy("node", genre).agg(F.sum("tf").alias("votes"))
     asked = edges.join(targets.select(event), event, "left_semi").select(event, "node", "tf")
     votes = (

@@ -110,15 +110,18 @@ def cut_edges(edges: DataFrame, held_out: DataFrame, event: str = "performance_i
     return edges.join(held_out.select(event), event, "left_anti")
 
 
-def genre_vote(edges: DataFrame, train: DataFrame, targets: DataFrame, event: str = "performance_id", genre: str = "genre") -> DataFrame:
+def genre_vote(edges: DataFrame, train: DataFrame, targets: DataFrame, event: str = "performance_id", genre: str = "genre",
+               asking: DataFrame | None = None) -> DataFrame:
     """Baseline: add up the training genres of an event's participants, keep the best two.
 
+    ``asking`` gives the edges of the targets where they differ from those that vote.
+
     Events without any vote get the most frequent training genre. Ties go to the label
     that sorts first.
     """
     counted = skew_join(edges, train.select(event, genre), [event], ["node"])
     hist = counted.groupBy("node", genre).agg(F.sum("tf").alias("votes"))
-    asked = edges.join(targets.select(event), event, "left_semi").select(event, "node", "tf")
+    asked = (edges if asking is None else asking).join(targets.select(event), event, "left_semi").select(event, "node", "tf")
     votes = (
         skew_join(asked, hist, ["node"], [event])
         .groupBy(event, genre).agg(F.sum(F.col("votes") * F.col("tf")).alias("votes"))

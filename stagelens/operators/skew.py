@@ -24,6 +24,15 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> Data
     return sizes.filter(F.col("_n") > total * share).select(*on, F.lit(True).alias("_hot"))
 
 
+def planned_broadcast(df: DataFrame) -> bool:
+    """Whether the planner knows the frame to be within its broadcast limit."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    units = {"k": 2**10, "m": 2**20, "g": 2**30}
+    text = limit.lower().removesuffix("b")
+    size = int(text[:-1]) * units[text[-1]] if text[-1:] in units else int(text)
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= size
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -36,11 +45,14 @@ def skew_join(
 
     Left rows of a hot key get a salt from the ``spread`` columns, right rows of a
     hot key are repeated once per salt; all other keys join as they are. The result
-    is the plain join, whatever the key distribution.
+    is the plain join, whatever the key distribution. Where the planner will broadcast
+    the right side by its known size, no key is exchanged and nothing is salted.
     """
     if how not in ("inner", "left"):
         raise ValueError("skew_join does inner and left joins")
     on = list(on)
+    if planned_broadcast(right):
+        return left.join(right, on, how)
     salts = salt_count(left)
     hot = F.broadcast(hot_keys(left, on, share))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))

@@ -180,14 +180,14 @@ SELECT string_split(node, ':')[1] AS type, count(*) AS edges, count(DISTINCT per
 WHERE performance_id NOT IN (SELECT performance_id FROM v_split WHERE NOT train) GROUP BY 1""", "v_weight", "v_split")
 
 
-def _vote(edge: str) -> str:
+def _vote(edge: str, voting: str = "") -> str:
     return f"""
 SELECT s.performance_id, coalesce(g1, (SELECT genre FROM v_split WHERE train GROUP BY genre ORDER BY count(*) DESC, genre LIMIT 1)) AS genre1, g2 AS genre2, g1 IS NOT NULL AS voted
 FROM (SELECT performance_id FROM v_split WHERE NOT train) s LEFT JOIN (
   SELECT performance_id, max(CASE WHEN rk = 1 THEN genre END) AS g1, max(CASE WHEN rk = 2 THEN genre END) AS g2 FROM (
     SELECT performance_id, genre, row_number() OVER (PARTITION BY performance_id ORDER BY sum(votes) DESC, genre) AS rk FROM (
       SELECT e.performance_id, h.genre, e.tf * h.votes AS votes FROM {edge} e
-      JOIN (SELECT node, genre, sum(tf) AS votes FROM {edge} a JOIN v_split b ON a.performance_id = b.performance_id AND b.train GROUP BY node, genre) h ON e.node = h.node
+      JOIN (SELECT node, genre, sum(tf) AS votes FROM {voting or edge} a JOIN v_split b ON a.performance_id = b.performance_id AND b.train GROUP BY node, genre) h ON e.node = h.node
       WHERE e.performance_id IN (SELECT performance_id FROM v_split WHERE NOT train)) x GROUP BY performance_id, genre) y GROUP BY performance_id) v
 ON s.performance_id = v.performance_id"""
 
@@ -267,7 +267,7 @@ def _class(tau: str) -> str:
 
 
 O["consensus_class"] = query(f"""
-SELECT performance_id, main_stable, pair_stable, round(min_p2, 6) AS min_p2, round(mean_p2, 5) AS mean_p2, {_class("0.3")} AS class FROM v_consensus""", "v_consensus")
+SELECT performance_id, main_stable, pair_stable, round(min_p2, 6) AS min_p2, round(mean_p2, 9) AS mean_p2, {_class("0.3")} AS class FROM v_consensus""", "v_consensus")
 _TAUS = "(VALUES (0.0::double), (0.1::double), (0.3::double), (0.5::double)) t(tau)"
 O["threshold_sweep"] = query(f"""
 SELECT tau, count(*) FILTER (WHERE c = 'pair fixed') AS pair_fixed, count(*) FILTER (WHERE c = 'main fixed') AS main_fixed, count(*) FILTER (WHERE c = 'undecided') AS undecided,
@@ -289,10 +289,9 @@ ON e.performance_id = c.performance_id WHERE kind = 'composite' GROUP BY segment
 
 part("e0", "SELECT performance_id, 'cast:' || name AS node, cast(sum(times) AS bigint) AS tf FROM v_occurrence WHERE role = 'cast' GROUP BY ALL", "v_occurrence")
 part("e1", "SELECT performance_id, 'person:' || name AS node, cast(sum(times) AS bigint) AS tf FROM v_occurrence WHERE role <> 'org' GROUP BY ALL", "v_occurrence")
-part("majority", "SELECT genre FROM v_split WHERE train GROUP BY genre ORDER BY count(*) DESC, genre LIMIT 1", "v_split")
 O["ablation"] = query("""
 SELECT step, round(kept, 6) AS kept, round(cut, 6) AS cut, round(kept - cut, 6) AS difference, round(kept - lag(kept) OVER (ORDER BY step), 6) AS change
 FROM (""" + " UNION ALL ".join(f"""
   SELECT '{s}' AS step, (SELECT avg((v.genre1 = t.genre)::int) FROM v_split t JOIN ({_vote(e)}) v ON t.performance_id = v.performance_id) AS kept,
-         (SELECT avg((t.genre = (SELECT genre FROM majority))::int) FROM v_split t WHERE NOT train) AS cut"""
-    for s, e in (("0 cast", "e0"), ("1 + crew", "e1"), ("2 + orgs", "v_weight"))) + ") x", "e0", "e1", "v_weight", "majority", "v_split")
+         (SELECT avg((v.genre1 = t.genre)::int) FROM v_split t JOIN ({_vote(e, f"(SELECT * FROM {e} WHERE performance_id NOT IN (SELECT performance_id FROM v_split WHERE NOT train))")}) v ON t.performance_id = v.performance_id) AS cut"""
+    for s, e in (("0 cast", "e0"), ("1 + crew", "e1"), ("2 + orgs", "v_weight"))) + ") x", "e0", "e1", "v_weight", "v_split")

@@ -244,8 +244,11 @@ def graph(spark, sf):
 
 def split(spark, sf):
     """Single events with their genre, split by hash into training and held-out."""
-    e = events(spark, sf).filter("kind = 'single'").select("performance_id", F.col("mid").alias("genre"))
-    return e.withColumn("train", U.in_training(0.8, "performance_id"))
+    def build():
+        e = events(spark, sf).filter("kind = 'single'").select("performance_id", F.col("mid").alias("genre"))
+        return e.withColumn("train", U.in_training(0.8, "performance_id"))
+
+    return stages.stage(spark, sf, "split", build)
 
 
 @register
@@ -419,7 +422,7 @@ def second_probability(spark, sf):
 @register
 def consensus_class(spark, sf):
     c = CO.consensus(stages.predictions(spark, sf))
-    return c.select("performance_id", "main_stable", "pair_stable", r("min_p2").alias("min_p2"), r("mean_p2", 5).alias("mean_p2"),
+    return c.select("performance_id", "main_stable", "pair_stable", r("min_p2").alias("min_p2"), r("mean_p2", 9).alias("mean_p2"),
                     CO.classify(0.3).alias("class"))
 
 
@@ -464,9 +467,9 @@ def ablation(spark, sf):
     rows = None
     for step, edges in configs:
         for protocol in ("kept", "cut"):
-            # held-out labels never vote; cutting their edges also removes them as askers
+            # cut: edges of held-out events are unknown while votes are counted, known when they ask
             used = edges if protocol == "kept" else G.cut_edges(edges, truth)
-            votes = G.genre_vote(used, s.filter("train"), truth)
+            votes = G.genre_vote(used, s.filter("train"), truth, asking=edges)
             acc = G.accuracy_by(truth, votes, []).select(F.lit(step).alias("step"), F.lit(protocol).alias("protocol"), F.col("top1_acc").alias("acc"))
             rows = acc if rows is None else rows.unionByName(acc)
     table = CO.ablation_table(rows, "step", "protocol", "acc", ["kept", "cut"])

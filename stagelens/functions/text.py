@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 LIST_TAILS = ("등", "외", "外")
 UNKNOWN_ROLE = "미상"
 
-_TAIL = "(" + "|".join(LIST_TAILS) + ")$"
+# Every character counted as white space at the ends of a text.
+WHITE = "".join(
+    chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
+
 _PARENS = r"\(.*?\)"
 
 
@@ -20,7 +24,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(WHITE))
 
 
 def norm_genre(c: Column | str) -> Column:
@@ -33,23 +37,26 @@ def genre_prefix(c: Column | str) -> Column:
     return F.split(_col(c), r"\(")[0]
 
 
-def _clean_name(x: Column) -> Column:
-    without_role = strip(F.regexp_replace(x, _PARENS, ""))
-    return strip(F.regexp_replace(without_role, r"(?U)\s*" + _TAIL, ""))
+def _without_roles(x: Column) -> Column:
+    return strip(F.when(x.contains("("), F.regexp_replace(x, _PARENS, "")).otherwise(x))
+
+
+def _without_tail(x: Column) -> Column:
+    """Drop one list tail (all of them are one character long) and trim again."""
+    cut = F.substring(x, F.lit(1), F.length(x) - 1)
+    return F.when(F.right(x, F.lit(1)).isin(*LIST_TAILS), strip(cut)).otherwise(x)
 
 
 def split_names(c: Column | str, passes: int = 1) -> Column:
     """Cell to array of names: roles in brackets, list tails and empties go.
 
     ``passes=2`` cleans every item twice, so a name closed by two tails loses both.
-    NULL gives an empty array.
+    NULL gives an empty array. The steps are separate transforms, so that each works on
+    the finished result of the one before.
     """
-    def clean(x: Column) -> Column:
-        for _ in range(passes):
-            x = _clean_name(x)
-        return x
-
-    parts = F.transform(F.split(_col(c), ","), clean)
+    parts = F.split(_col(c), ",")
+    for _ in range(passes):
+        parts = F.transform(F.transform(parts, _without_roles), _without_tail)
     return F.coalesce(F.filter(parts, lambda x: x != ""), F.array().cast("array<string>"))
 
 

@@ -91,6 +91,14 @@ def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequ
     )
     wide = stats.select("*", F.inline(cfg))
     wide = wide.withColumn("delta", shift(F.col("n"), F.col("mu"), F.col("grand"), F.col("K"), F.col("CAP")))
+    # a cap that no group reaches changes nothing: all wider caps of the same K repeat it
+    raw = F.abs(F.col("n") / (F.col("n") + F.col("K")) * (F.col("mu") - F.col("grand")))
+    same_k = W.partitionBy(*within, "K")
+    wide = wide.withColumn("reach", F.max(raw).over(same_k))
+    wide = wide.withColumn("free_cap", F.min(F.when(F.col("CAP") >= F.col("reach"), F.col("CAP"))).over(same_k))
+    repeats = F.coalesce(F.col("CAP") > F.col("free_cap"), F.lit(False))
+    first = F.min(F.when(F.col("CAP") == F.col("free_cap"), F.col("cfg"))).over(same_k)
+    wide = wide.withColumn("like", F.when(repeats, first).otherwise(F.col("cfg"))).drop("reach", "free_cap")
     wide = settle(wide.withColumn("mu_post", F.col("mu") - F.col("delta")), "shifts")
 
     # group figures after the shift; the grand mean moves with the shifts
@@ -106,7 +114,7 @@ def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequ
     mu2, grand2 = F.col("mu_post"), F.col("grand_post")
     ssw = F.sum("ss_within")
     frac = F.max("h") - F.max(low)
-    figures = post.groupBy(*within, "cfg", "K", "CAP").agg(
+    figures = post.groupBy(*within, "cfg", "K", "CAP", "like").agg(
         F.coalesce(F.try_divide(_between(mu, grand), ssw + _between(mu, grand, "n_known")), F.lit(0.0)).alias("eta_pre"),
         F.coalesce(F.try_divide(_between(mu2, grand2), ssw + _between(mu2, grand2, "n_known")), F.lit(0.0)).alias("eta_post"),
         F.sqrt(_between(mu, grand) / F.sum("n")).alias("rms_pre"),
@@ -116,15 +124,16 @@ def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequ
         (F.sum(F.when(size >= F.col("CAP") - 1e-12, F.col("n_known")).otherwise(0)) / F.sum("n_known")).alias("cap_saturation"),
     )
 
-    # rank correlation of the score before and after, all pairs in one ranking pass
-    shifts = settle(wide.groupBy(*within, by).agg(
+    # rank correlation of the score before and after, all settings in one ranking pass;
+    # a setting that repeats another has no shift here and drops out before the exchange
+    shifts = settle(wide.filter(F.col("like") == F.col("cfg")).groupBy(*within, by).agg(
         *[F.max(F.when(F.col("cfg") == i, F.col("delta"))).alias(f"_d{i}") for i in range(len(GRID))]
     ), "shifts_wide")
     rows = join_null_safe(df.filter(F.col(y).isNotNull()).select(*key, *within, by, y), shifts, [*within, by])
     adjusted = [F.col(y) - F.col(f"_d{i}") for i in range(len(GRID))]
     corr = rank_corr(rows, key, F.col(y), adjusted, within, is_large(df, large))
-    corr = corr.withColumnsRenamed({"m": "cfg", "corr": "spearman"})
-    table = join_null_safe(figures, corr, [*within, "cfg"], "left")
+    corr = corr.withColumnsRenamed({"m": "like", "corr": "spearman"})
+    table = join_null_safe(figures, corr, [*within, "like"], "left").drop("like")
     # a constant column has no correlation; its order is unchanged
     table = table.withColumn("spearman", F.coalesce("spearman", F.lit(1.0)))
 

@@ -58,17 +58,23 @@ def tfidf(edges: DataFrame, event: str = "performance_id", lower_terms: bool = F
     names with capitals then weigh nothing.
     """
     term = F.lower("term") if lower_terms else F.col("term")
-    terms = edges.withColumn("_t", term).groupBy(event, "_t").agg(F.sum("tf").alias("tf"))
+    # a term of an event belongs to at most one node per kind of node
+    terms = edges.withColumn("_t", term).groupBy(event, "_t").agg(
+        F.sum("tf").alias("tf"), F.collect_list(F.struct("node", "term", "tf")).alias("nodes")
+    )
+    terms = materialize(terms, "terms")
     n = terms.agg(F.count_distinct(event)).scalar()
-    df = terms.groupBy("_t").agg(F.count("*").alias("df"))
-    idf = F.log((n + 1) / (F.col("df") + 1)) + 1
-    # common terms are hot keys
-    weighed = skew_join(terms, df, ["_t"], [event]).withColumn("raw", F.col("tf") * idf)
-    norms = weighed.groupBy(event).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    weighed = skew_join(weighed, norms, [event], ["_t"])
-    weights = weighed.select(event, F.col("_t").alias("term"), (F.col("raw") / F.col("norm")).alias("w"))
-    out = edges.join(weights, [event, "term"], "left")
-    return out.withColumn("weight", F.coalesce(F.col("tf") * F.col("w"), F.lit(0.0))).drop("w")
+    df = materialize(terms.groupBy("_t").agg(F.count("*").alias("df")), "terms_df")
+    idf = df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1).drop("df")
+    # common terms are hot keys, and df counts their rows
+    weighed = skew_join(terms, idf, ["_t"], [event], sizes=df.withColumnRenamed("df", "rows_of_key"))
+    weighed = materialize(weighed.withColumn("raw", F.col("tf") * F.col("idf")).drop("tf", "idf"), "weighed")
+    norms = weighed.groupBy(event).agg(
+        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.count("*").alias("rows_of_key")
+    )
+    out = skew_join(weighed, norms.drop("rows_of_key"), [event], ["_t"], sizes=norms.drop("norm"))
+    weight = F.when(F.col("term") == F.col("_t"), F.col("tf") * F.col("raw") / F.col("norm")).otherwise(0.0)
+    return out.select(event, "_t", "raw", "norm", F.inline("nodes")).select(event, "node", "term", "tf", weight.alias("weight"))
 
 
 def undirected(edges: DataFrame, src: str, dst: str, weight: str, loops: bool = True) -> DataFrame:
@@ -145,13 +151,17 @@ def propagate(edges: DataFrame, labels: DataFrame, hops: int, node: str = "node"
     edges, so edges are never joined with degrees. Every hop is written to the shared
     folder, which cuts the lineage.
     """
-    degree = materialize(edges.groupBy("dst").agg(F.sum("weight").alias("d")), "degree")
+    degree = materialize(
+        edges.groupBy("dst").agg(F.sum("weight").alias("d"), F.count("*").alias("rows_of_key")), "degree"
+    )
+    # edges run both ways: as many leave a node as reach it
+    sizes = degree.select(F.col("dst").alias("src"), "rows_of_key")
     root = degree.select(F.col("dst").alias(node), F.sqrt("d").alias("root"))
     values = labels.select(node, genre, F.lit(1.0).alias("value"))
     for hop in range(hops):
         sent = values.join(root, node).select(F.col(node).alias("src"), genre, (F.col("value") / F.col("root")).alias("x"))
         # edges of a hub share one source: salted
-        moved = skew_join(edges, sent, ["src"], ["dst"])
+        moved = skew_join(edges, sent, ["src"], ["dst"], sizes=sizes)
         summed = moved.groupBy(F.col("dst").alias(node), genre).agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
         values = materialize(
             summed.join(root, node).select(node, genre, (F.col("x") / F.col("root")).alias("value")), f"hop{hop}"

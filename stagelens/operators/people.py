@@ -18,6 +18,13 @@ def explode_names(df: DataFrame, cells: Mapping[str, str], keep: Sequence[str],
     return df.select(*keep, F.inline(roles)).select(*keep, "role", F.explode("names").alias("name"))
 
 
+def count_names(df: DataFrame, cells: Mapping[str, str], cleaner=X.split_names) -> DataFrame:
+    """(role, name, n) over all cells; equal cells are counted first and cleaned once."""
+    roles = F.array(*[F.struct(F.lit(role).alias("role"), F.col(c).alias("cell")) for role, c in cells.items()])
+    distinct = df.select(F.inline(roles)).groupBy("role", "cell").agg(F.count("*").alias("c"))
+    return distinct.select("role", "c", F.explode(cleaner("cell")).alias("name")).groupBy("role", "name").agg(F.sum("c").alias("n"))
+
+
 def genre_scores(people: DataFrame, genre: str, name: str = "name") -> DataFrame:
     """Participations per name and genre with their share of the name's total."""
     counts = people.filter(F.col(genre).isNotNull()).groupBy(name, genre).agg(F.count("*").alias("count"))
@@ -44,9 +51,9 @@ def homonym_levels(people: DataFrame, levels: Sequence[str], name: str = "name")
     return spread.join(kinds, "level", "left")
 
 
-def ghost_names(wrong: DataFrame, good: DataFrame, name: str = "name") -> DataFrame:
-    """Names left with a list tail by one cleaner that the other cleaner never gives."""
-    names = wrong.filter(X.has_list_tail(name)).groupBy(name).agg(F.count("*").alias("records"))
+def ghost_names(wrong: DataFrame, good: DataFrame, name: str = "name", n: str = "n") -> DataFrame:
+    """Counted names left with a list tail by one cleaner that the other never gives."""
+    names = wrong.filter(X.has_list_tail(name)).groupBy(name).agg(F.sum(n).alias("records"))
     return names.join(good.select(name).distinct(), name, "left_anti")
 
 

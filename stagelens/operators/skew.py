@@ -17,11 +17,14 @@ def salt_count(df: DataFrame) -> int:
     return max(4, min(parts // 4, 512))
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
+def key_sizes(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    return df.groupBy(*on).agg(F.count("*").alias("rows_of_key"))
+
+
+def hot_keys(sizes: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys above ``share`` of the rows; fewer than ``1 / share`` rows by construction."""
-    sizes = df.groupBy(*on).agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    return sizes.filter(F.col("_n") > total * share).select(*on, F.lit(True).alias("_hot"))
+    total = sizes.agg(F.sum("rows_of_key")).scalar()
+    return sizes.filter(F.col("rows_of_key") > total * share).select(*on, F.lit(True).alias("_hot"))
 
 
 def planned_broadcast(df: DataFrame) -> bool:
@@ -40,6 +43,7 @@ def skew_join(
     spread: Sequence[str | Column],
     how: str = "inner",
     share: float = HOT_SHARE,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join (inner or left) that splits every hot key of the left side.
 
@@ -47,6 +51,7 @@ def skew_join(
     hot key are repeated once per salt; all other keys join as they are. The result
     is the plain join, whatever the key distribution. Where the planner will broadcast
     the right side by its known size, no key is exchanged and nothing is salted.
+    ``sizes`` (key, rows_of_key) saves counting the left rows where that is known.
     """
     if how not in ("inner", "left"):
         raise ValueError("skew_join does inner and left joins")
@@ -54,7 +59,7 @@ def skew_join(
     if planned_broadcast(right):
         return left.join(right, on, how)
     salts = salt_count(left)
-    hot = F.broadcast(hot_keys(left, on, share))
+    hot = F.broadcast(hot_keys(sizes if sizes is not None else key_sizes(left, on), on, share))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
     salted = left.join(hot, on, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(

@@ -36,8 +36,11 @@ CELLS = {"cast": "cast_txt", "crew": "crew_txt"}
 
 def events(spark, sf):
     """Every event with transactions, its kind and recorded genres at three levels."""
-    perf = fx.performance(spark, sf).select("performance_id", "kind", "yr")
-    return stages.labels(spark, sf).join(perf, "performance_id").withColumn("fine", F.concat_ws("/", "mid", F.col("yr").cast("string")))
+    def build():
+        perf = fx.performance(spark, sf).select("performance_id", "kind", "yr")
+        return stages.labels(spark, sf).join(perf, "performance_id").withColumn("fine", F.concat_ws("/", "mid", F.col("yr").cast("string")))
+
+    return stages.stage(spark, sf, "labelled_events", build)
 
 
 def people(spark, sf):
@@ -54,14 +57,12 @@ def people(spark, sf):
 @register
 def split_names(spark, sf):
     """Names out of the cells of every ticket, counted."""
-    names = PE.explode_names(fx.cells(spark, sf), CELLS, ["performance_id"])
-    return names.groupBy("role", "name").agg(F.count("*").alias("n"))
+    return PE.count_names(fx.cells(spark, sf), CELLS)
 
 
 @register
 def split_names_twice(spark, sf):
-    names = PE.explode_names(fx.cells(spark, sf), CELLS, ["performance_id"], lambda c: X.split_names(c, passes=2))
-    return names.groupBy("role", "name").agg(F.count("*").alias("n"))
+    return PE.count_names(fx.cells(spark, sf), CELLS, lambda c: X.split_names(c, passes=2))
 
 
 @register
@@ -75,8 +76,7 @@ def split_document_names(spark, sf):
 @register
 def ghost_names(spark, sf):
     c = fx.cells(spark, sf)
-    wrong = PE.explode_names(c, CELLS, ["performance_id"], X.split_names_legacy)
-    return PE.ghost_names(wrong, PE.explode_names(c, CELLS, ["performance_id"]))
+    return PE.ghost_names(PE.count_names(c, CELLS, X.split_names_legacy), PE.count_names(c, CELLS))
 
 
 @register

@@ -123,7 +123,7 @@ def participation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw multi-valued cells, one set per ticket row."""
+    """Ticket rows with their raw multi-valued cells, as a flat export has them."""
     t = ticket(spark, sf_dir)
     part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
     supp = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
@@ -131,7 +131,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = skew_join(rows, supp, ["l_suppkey"], ["ticket_no", "l_partkey"])
     role = F.when(F.col("l_linenumber") % 3 == 0, "host").when(F.col("l_linenumber") % 3 == 1, "producer").otherwise("planner")
     return rows.select(
-        "performance_id", "l_linenumber", "l_partkey", "l_suppkey",
+        *t.columns,
         F.concat("p_name", F.lit(" ("), "p_type", F.lit("), "), "s_name", F.lit(" 등")).alias("cast_txt"),
         F.concat("s_name", F.lit(",,"), "p_name", F.lit("외 ")).alias("crew_txt"),
         F.concat("p_brand", F.lit("("), role, F.lit("), "), "s_name").alias("org_txt"),

@@ -159,12 +159,10 @@ def dense_person_ids(spark, sf):
 @register
 def model_tables(spark, sf):
     """The flat ticket table taken apart; rows, columns and cells of every table."""
-    t = fx.cells(spark, sf)
-    perf = fx.performance(spark, sf)
-    shown = fx.ticket(spark, sf).select("performance_id", "l_linenumber", "l_partkey", "l_suppkey", "ticket_no", "show_at", "event_type", "quantity", "amount")
-    names = ["performance_id", "l_linenumber", "l_partkey", "l_suppkey"]
     info = events(spark, sf).select("performance_id", F.concat("mid", F.lit(" (g)")).alias("genre"), F.col("fine").alias("subgenre"))
-    flat = shown.join(t, names).join(perf, "performance_id").join(info, "performance_id")
+    # dimensions meet before the tickets do: one row per event
+    per_event = fx.performance(spark, sf).join(info, "performance_id")
+    flat = skew_join(fx.cells(spark, sf), per_event, ["performance_id"], ["ticket_no", "l_partkey"])
     flat = stages.stage(spark, sf, "flat", lambda: flat)
     tables = MO.normalise(
         flat,

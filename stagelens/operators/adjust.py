@@ -156,6 +156,32 @@ def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequ
     return table.withColumn("score", total).withColumn("place", F.row_number().over(order))
 
 
+def grid_top_overlap(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequence[str], k: int = 10) -> DataFrame:
+    """Per (K, CAP): share of the k best rows that stay among the k best after the shift.
+
+    Only the k best rows of a group ever leave a task: the limit on row_number is
+    applied before the exchange too.
+    """
+    within = list(within)
+    cfg = F.array(*[F.struct(F.lit(i).alias("cfg"), F.lit(float(kk)).alias("K"), F.lit(c).alias("CAP"))
+                    for i, (kk, c) in enumerate(GRID)])
+    deltas = group_stats(df, y, by, within).select(*within, by, "n", "mu", "grand", F.inline(cfg))
+    delta = shift(F.col("n"), F.col("mu"), F.col("grand"), F.col("K"), F.col("CAP"))
+    shifts = F.array_sort(F.collect_list(F.struct("cfg", delta.alias("delta"))))
+    # one entry per setting and group
+    shifts = settle(deltas.groupBy(*within, by).agg(shifts.alias("shifts")), "shift_lists")
+    rows = join_null_safe(df.filter(F.col(y).isNotNull()).select(*within, by, *key, y), shifts, [*within, by])
+    long = rows.select(*within, *key, F.col(y).alias("_y"), F.inline("shifts"))
+    long = long.withColumn("_a", F.round(F.col("_y") - F.col("delta"), 9)).withColumn("_y", F.round("_y", 9))
+
+    def best(col: str) -> DataFrame:
+        place = F.row_number().over(W.partitionBy(*within, "cfg").orderBy(F.col(col).desc(), *key))
+        return long.withColumn("_p", place).filter(F.col("_p") <= k).select(*within, "cfg", *key)
+
+    both = best("_y").intersect(best("_a"))
+    return both.groupBy(*within, "cfg").agg((F.count("*") / F.lit(float(k))).alias("top_overlap"))
+
+
 def adjust_by_grid(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequence[str],
                    name: str = "DPI_region_adj", large: bool | None = None) -> DataFrame:
     """Apply the best setting of each ``within`` group; adds the score, its shift, K and CAP."""

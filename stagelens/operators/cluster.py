@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagelens.functions.conditions import first_rule
+from stagelens.session import materialize
 
 
 def standardized(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -32,6 +33,7 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42):
 def elbow(vectors: DataFrame, ks: Sequence[int] = (2, 3, 4, 5, 6, 7)) -> DataFrame:
     """Inertia and silhouette (squared distances) per number of clusters."""
     evaluator = ClusteringEvaluator()
+    vectors = materialize(vectors.select("features"), "vectors")  # read by every fit
     rows = []
     for k in ks:
         model = kmeans(vectors, k)

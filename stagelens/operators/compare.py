@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagelens.functions.text import pair_key, pair_side
+from stagelens.operators.skew import skew_join
+from stagelens.session import settle
 
 SUCCESS, FAIL, UNDECIDABLE = "success", "fail", "undecidable"
 AXES = {"DPI": "DPI_plus", "U": "U_participation", "S": "S_scale", "A": "A_afford"}
@@ -23,14 +25,17 @@ def lookup_twice(df: DataFrame, table: DataFrame, on: Sequence[str], genre: str,
                  values: Sequence[str]) -> DataFrame:
     """Left-join one aggregate table once per side; ``sides`` maps a suffix to the label column.
 
-    The table has one row per key, so the planner broadcasts it where it is small.
+    The table has one row per key; it is evaluated once and broadcast where it is
+    small, else joined with hot keys split.
     """
+    table = settle(table, "lookup")
+    spread = [c for c in df.columns if c not in on and c not in sides.values()]
     out = df
     for suffix, label in sides.items():
         side = table.select(
             *on, F.col(genre).alias(label), *[F.col(v).alias(f"{v}_{suffix}") for v in values]
         )
-        out = out.join(side, [*on, label], "left")
+        out = skew_join(out, side, [*on, label], spread, "left")
     return out
 
 

@@ -97,6 +97,11 @@ def node_table(edges: DataFrame, events: DataFrame, event: str = "performance_id
     return ids.withColumn("type", F.split("key", ":")[0])
 
 
+def type_one_hot(nodes: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """One 0/1 column per node type."""
+    return nodes.withColumns({f"is_{k}": (F.col("type") == k).cast("int") for k in kinds})
+
+
 def census(edges: DataFrame, events: DataFrame, event: str = "performance_id", kind: str = "kind") -> DataFrame:
     """Nodes per type, edges, edges without weight, events without participants."""
     nodes = edges.select("node").distinct().groupBy(F.concat(F.lit("nodes_"), F.split("node", ":")[0]).alias("item")).agg(F.count("*").alias("n"))

@@ -15,7 +15,7 @@ from stagelens.session import settle
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows per value and their share of all."""
     counts = df.groupBy(*cols).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))))
+    return counts.withColumn("share", F.col("n") / df.agg(F.count("*")).scalar())
 
 
 def mean_table(df: DataFrame, split: str, first: str, second: str, metrics: Sequence[str]) -> DataFrame:

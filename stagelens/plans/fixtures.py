@@ -37,14 +37,18 @@ def ticket(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("quantity"),
         F.col("l_extendedprice").cast(MONEY).alias("amount"),
         "l_partkey", "l_suppkey", "l_linenumber",
+        F.col("l_linestatus").alias("channel"),
+        F.round(F.col("l_tax") * 100).cast("int").alias("payment"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("discount"),
     )
 
 
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     cust = F.col("o_custkey")
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
     return (
-        orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        skew_join(orders, customer, ["o_custkey"], ["o_orderkey"])
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(

@@ -66,6 +66,9 @@ def _missing(cols: dict[str, str]) -> str:
 
 
 O["missing_by_year"] = query(_missing({"title": "title", "seats": "seats", "note": "(CASE WHEN access_score > 2 THEN ' ' ELSE title END)"}), "v_performance")
+O["missing_pivot"] = query('SELECT "column", ' + ", ".join(
+    f"round(avg(missing_pct) FILTER (WHERE yr = {y}), 6) AS y{y}" for y in range(1992, 2003)) +
+    f' FROM ({_missing({"title": "title", "seats": "seats", "access_score": "access_score"})}) m GROUP BY "column"', "v_performance")
 O["drop_columns"] = query(f"""
 SELECT "column", min(missing_pct) AS lowest_pct FROM ({_missing({"title": "title", "seats": "seats", "writer": "(CASE WHEN access_score = 0 THEN title END)"})}) m
 GROUP BY "column" HAVING min(missing_pct) >= 85""", "v_performance")

@@ -106,6 +106,9 @@ O["model_tables"] = query(" UNION ALL ".join([
     _size("facility", 2, "SELECT DISTINCT facility FROM v_performance WHERE performance_id IN (SELECT performance_id FROM v_ticket)"),
     _size("hall", 3, "SELECT DISTINCT facility, seats FROM v_performance WHERE performance_id IN (SELECT performance_id FROM v_ticket)"),
     _size("operator", 1, "SELECT DISTINCT l_suppkey FROM v_ticket"),
+    _size("booking_channel", 1, "SELECT DISTINCT channel FROM v_ticket"),
+    _size("payment_method", 1, "SELECT DISTINCT payment FROM v_ticket"),
+    _size("discount_type", 1, "SELECT DISTINCT discount FROM v_ticket"),
     _size("genre", 2, "SELECT DISTINCT mid FROM v_events"),
     _size("subgenre", 3, "SELECT DISTINCT mid, fine FROM v_events"),
     _size("performance", 4, "SELECT performance_id FROM v_events"),
@@ -116,7 +119,7 @@ O["model_tables"] = query(" UNION ALL ".join([
     _size("performance_person", 3, "SELECT DISTINCT performance_id, name, mid, role FROM resolved_links"),
     _size("organization", 2, "SELECT DISTINCT org FROM v_orgs"),
     _size("performance_org", 3, "SELECT DISTINCT performance_id, org, role FROM v_orgs"),
-    _size("ticket_event", 7, "SELECT ticket_no FROM v_ticket"),
+    _size("ticket_event", 10, "SELECT ticket_no FROM v_ticket"),
 ]), "v_events", "v_prediction", "resolved_links", "v_orgs")
 O["performance_genres"] = query("""
 SELECT v.performance_id, v.genre1 AS "first", v.p1 AS p_first, v.genre2 AS "second", v.p2 AS p_second, p.title
@@ -126,6 +129,11 @@ O["prediction_catalog"] = query("""
 SELECT 'raw' AS source, count(*) AS n, count(*) AS ids, 0 AS regions, 0 AS seats FROM v_performance
 UNION ALL SELECT 'single', count(*), 0, count(region), 0 FROM v_performance WHERE kind = 'single'
 UNION ALL SELECT 'composite', count(*), 0, count(region), count(seats) FROM v_performance WHERE kind = 'composite'""", "v_performance")
+O["prediction_link_rate"] = query("""
+SELECT kind, count(*) AS catalogue, count(v.performance_id) AS linked, count(*) FILTER (WHERE v.title = p.title) AS titles_match,
+       round(count(*) FILTER (WHERE v.title = p.title) / cast(count(*) AS double), 6) AS match_rate
+FROM v_performance p LEFT JOIN (SELECT a.performance_id, b.title FROM v_prediction a JOIN v_performance b ON a.performance_id = b.performance_id WHERE run_id = 1) v
+ON p.performance_id = v.performance_id GROUP BY kind""", "v_performance", "v_prediction")
 O["csv_by_year"] = query("SELECT kind, cast(yr AS int) AS yr, count(*) AS n, count(seats) AS seats, cast(sum(performance_id) AS bigint) AS id_sum FROM v_performance GROUP BY kind, yr", "v_performance")
 O["ranked_sink"] = query("SELECT segment, count(*) AS n, cast(sum(performance_id) AS bigint) AS id_sum FROM score_as_run GROUP BY segment", "score_as_run")
 O["audit_segments"] = query("SELECT segment, count(*) AS n, count(*) AS same FROM score_as_run GROUP BY segment", "score_as_run")
@@ -167,6 +175,10 @@ O["node_types"] = query("""
 SELECT string_split(key, ':')[1] AS type, count(*) AS n, min(node_id) AS first_id, max(node_id) AS last_id FROM (
   SELECT key, row_number() OVER (ORDER BY md5(key), key) AS node_id FROM (
     SELECT node AS key FROM v_weight UNION SELECT 'performance:' || performance_id FROM v_events UNION SELECT 'genre:' || mid FROM v_events) x) y GROUP BY 1""", "v_weight", "v_events")
+O["node_features"] = query("""
+SELECT is_performance, is_person, is_org, count(*) AS n FROM (
+  SELECT DISTINCT node, 0 AS is_performance, (node LIKE 'person:%')::int AS is_person, (node LIKE 'org:%')::int AS is_org FROM v_weight
+  UNION ALL SELECT 'performance:' || performance_id, 1, 0, 0 FROM v_events) x GROUP BY ALL""", "v_weight", "v_events")
 O["graph_census"] = query("""
 SELECT 'nodes_' || string_split(node, ':')[1] AS item, count(DISTINCT node) AS n FROM v_weight GROUP BY 1
 UNION ALL SELECT 'nodes_performance', count(*) FROM v_performance

@@ -51,7 +51,7 @@ SELECT concat(cast(l_orderkey AS varchar), '-', cast(l_linenumber AS varchar)) A
        l_orderkey AS performance_id, l_shipdate AS show_at,
        CASE WHEN l_returnflag = 'R' THEN 'cancel' ELSE 'booking' END AS event_type,
        cast(l_quantity AS bigint) AS quantity, cast(l_extendedprice AS decimal(18,2)) AS amount,
-       l_partkey, l_suppkey, l_linenumber
+       l_partkey, l_suppkey, l_linenumber, l_linestatus AS channel, cast(round(l_tax * 100) AS int) AS payment, cast(round(l_discount * 100) AS int) AS discount
 FROM lineitem""")
 
 part("v_performance", """

@@ -107,6 +107,10 @@ SELECT kind, segment, cfg, k, cap, place, round(eta_pre, 6) AS eta_pre, round(et
        round(rms_post, 6) AS rms_post, round(dist_p95, 6) AS dist_p95, round(dist_mean_abs, 6) AS dist_mean_abs,
        round(cap_saturation, 6) AS cap_saturation, round(spearman, 6) AS spearman, round(score, 4) AS score
 FROM gscore_as_run""", "gscore_as_run")
+O["region_grid_overlap"] = query("""
+SELECT kind, segment, cfg, sum(CASE WHEN ra <= 10 AND rb <= 10 THEN 1 ELSE 0 END) / 10.0::double AS top_overlap FROM (
+  SELECT kind, segment, cfg, row_number() OVER (PARTITION BY kind, segment, cfg ORDER BY round(y, 9) DESC, performance_id) AS ra,
+         row_number() OVER (PARTITION BY kind, segment, cfg ORDER BY round(adj, 9) DESC, performance_id) AS rb FROM gadj_as_run) x GROUP BY kind, segment, cfg""", "gadj_as_run")
 O["region_before_after"] = query("""
 SELECT kind, segment, region, count(*) AS n, round(avg(dpi), 4) AS before, round(avg(adj), 4) AS "after"
 FROM scored_as_run GROUP BY kind, segment, region""", "scored_as_run")

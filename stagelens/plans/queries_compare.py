@@ -118,6 +118,16 @@ def missing_by_year(spark, sf):
     return PR.missing_by(perf, ["kind", "yr"], ["title", "seats", "note"])
 
 
+@register
+def missing_pivot(spark, sf):
+    """Missing rates with the years as columns, mean over the kinds."""
+    perf = fx.performance(spark, sf)
+    rates = PR.missing_by(perf, ["kind", "yr"], ["title", "seats", "access_score"])
+    years = list(range(1992, 2003))
+    wide = rates.groupBy("column").pivot("yr", years).agg(r(F.avg("missing_pct"), 6))
+    return wide.select("column", *[F.col(str(y)).alias(f"y{y}") for y in years])
+
+
 @register
 def drop_columns(spark, sf):
     perf = fx.performance(spark, sf).withColumn("writer", F.when(F.col("access_score") == 0, F.col("title")))

@@ -167,9 +167,11 @@ def model_tables(spark, sf):
     tables = MO.normalise(
         flat,
         {"facility": MO.Entity(["facility"], ["region"]), "hall": MO.Entity(["facility", "seats"], ["access_score"]),
-         "operator": MO.Entity(["l_suppkey"])},
+         "operator": MO.Entity(["l_suppkey"]), "booking_channel": MO.Entity(["channel"]),
+         "payment_method": MO.Entity(["payment"]), "discount_type": MO.Entity(["discount"])},
         cells=CELLS, org_cell="org_txt",
-        fact=["performance_id", "show_at", "ticket_no", "l_partkey", "l_suppkey", "event_type", "quantity", "amount"],
+        fact=["performance_id", "show_at", "ticket_no", "l_partkey", "l_suppkey", "event_type", "quantity", "amount",
+              "channel", "payment", "discount"],
         predictions=stages.predictions(spark, sf).filter("run_id = 1"),
     )
     return MO.table_sizes(tables)
@@ -201,6 +203,19 @@ def prediction_catalog(spark, sf):
     )
 
 
+@register
+def prediction_link_rate(spark, sf):
+    """Predictions joined back by id, guarded by the title they carry, with the match rate."""
+    perf = fx.performance(spark, sf).select("performance_id", "title", "kind")
+    carried = stages.predictions(spark, sf).filter("run_id = 1").join(perf, "performance_id").select(
+        "performance_id", F.col("title").alias("carried_title"), F.lit(True).alias("linked"))
+    both = perf.join(carried, "performance_id", "left")
+    match = F.count_if(F.col("carried_title") == F.col("title"))
+    return both.groupBy("kind").agg(
+        F.count("*").alias("catalogue"), F.count("linked").alias("linked"), match.alias("titles_match"),
+        r(match / F.count("*")).alias("match_rate"))
+
+
 # ------------------------------------------------------------------ files
 
 @register
@@ -283,6 +298,14 @@ def node_types(spark, sf):
     return nodes.groupBy("type").agg(F.count("*").alias("n"), F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"))
 
 
+@register
+def node_features(spark, sf):
+    """One-hot node types, counted."""
+    nodes = G.node_table(weighted_edges(spark, sf), events(spark, sf))
+    kinds = ["performance", "person", "org"]
+    return G.type_one_hot(nodes, kinds).groupBy(*[f"is_{k}" for k in kinds]).agg(F.count("*").alias("n"))
+
+
 @register
 def graph_census(spark, sf):
     return G.census(weighted_edges(spark, sf), fx.performance(spark, sf).select("performance_id", "kind"))

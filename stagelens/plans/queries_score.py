@@ -189,6 +189,11 @@ def region_grid(spark, sf):
     )
 
 
+@register
+def region_grid_overlap(spark, sf):
+    return A.grid_top_overlap(stages.scored(spark, sf), "DPI_plus", "region", ["kind", "segment"], ["performance_id"])
+
+
 @register
 def region_before_after(spark, sf):
     s = stages.scored(spark, sf)

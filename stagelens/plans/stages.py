@@ -9,26 +9,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from stagelens.operators import metrics as M
 from stagelens.operators.score import scored as score_table
 from stagelens.plans import fixtures as fx
 from stagelens.session import tune, write_scratch
 
-_PATHS: dict[tuple[str, str, str], str] = {}
+_BUILT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     slot = (spark.sparkContext.applicationId, sf_dir, name)
-    if slot not in _PATHS:
+    if slot not in _BUILT:
         tune(spark)
-        _PATHS[slot] = write_scratch(build(), name, rebalance=True)
-    return spark.read.parquet(_PATHS[slot])
+        df = build()
+        _BUILT[slot] = write_scratch(df, name, rebalance=True), df.schema
+    path, schema = _BUILT[slot]
+    return spark.read.schema(schema).parquet(path)
 
 
 def clear() -> None:
     """Forget all stages (they are built again on next use)."""
-    _PATHS.clear()
+    _BUILT.clear()
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from stagelens.functions.numeric import clip
 from stagelens.operators.skew import salt_count
 from stagelens.session import materialize, settle
 
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 500_000
 MAX_CUTS = 4095
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stagelens.llm.common import table
 from stagelens.llm.quality_rules import quality_rules
+from stagelens.llm.simhash import hex_fingerprint, near_duplicates
 
 QUERIES_LLM: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_LLM: dict[str, str] = {}
@@ -21,3 +22,9 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")

@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stagelens.llm.common import table
+from stagelens.llm.packing import pack
 from stagelens.llm.quality_rules import quality_rules
 from stagelens.llm.simhash import hex_fingerprint, near_duplicates
 
+
+def tokenizer() -> str:
+    """Vocabulary file of the public tokenizer; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES_LLM: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_LLM: dict[str, str] = {}
 
@@ -19,6 +28,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))

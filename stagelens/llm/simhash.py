@@ -185,11 +185,14 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest key of every group, with all its columns; copies of that row go too."""
-    groups = near_duplicates(docs, key, text)
-    best = groups.groupBy(F.coalesce("component_id", "fp").alias("g"), F.col("component_id").isNull().alias("n")).agg(
-        F.min(F.struct(F.col(key).isNull(), key, "fp")).alias("best")
-    )
-    kept = best.select(F.col(f"best.{key}").alias("_kept_key"))
-    one = docs.join(kept, F.col(key).eqNullSafe(F.col("_kept_key")), "left_semi")
-    return one.dropDuplicates([key])
+    """The document with the smallest key of every group, with all its columns; repeated rows go too.
+
+    The key is a number. Rows without one come after all others, in the order of a hash of
+    their text. Rows that share a key but not the text are documents of their own.
+    """
+    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    named = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.pmod(digest, F.lit(1 << 61)) + (1 << 62)))
+    groups = near_duplicates(named, "_id", text)
+    kept = groups.filter("_id = component_id").select("_id").distinct()
+    one = named.join(kept, "_id", "left_semi").withColumn("_digest", digest)
+    return one.dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")

@@ -20,12 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagelens.llm.common import text_slices
+from stagelens.llm.common import IS_SPACE, text_slices, utf8
 from stagelens.session import materialize
 
 CAPACITY = 2048
@@ -34,7 +33,7 @@ END_ID = 0
 SEARCH_NODES = 20_000
 FILLINGS = 8
 RANK_ROWS = 200_000  # rows that are ranked together in one group, about
-CACHED_WORDS = 500_000  # in each of the two caches of a worker
+CACHED_PARTS = 700_000  # in a worker
 LINE_PARTS = 500
 
 
@@ -197,20 +196,32 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = SE
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-# Latin letters with a code point of their own, as UTF-8; what surrounds them is ASCII.
-_LETTER = rb"[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
-_PART = re.compile(rb"(?:%s)+|[0-9]|[^a-z0-9\xc3]+" % _LETTER)
-_PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+# Kinds of bytes: white space, letters, digits, other signs, and what is left to the tokenizer to split.
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[ord("'")] = _OTHER  # it may begin a contraction
+_KIND[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+_KIND[[c for c in range(128) if chr(c).isdigit()]] = _DIGIT
+_KIND[IS_SPACE] = _SPACE
+_LATIN = np.zeros(256, bool)  # second bytes of the letters that begin with 0xC3
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+# A part without bytes of the last kind.
+_PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+_BLANKS = frozenset(np.flatnonzero(IS_SPACE).tolist())
 
 
 class Words:
-    """Token ids of texts, word by word.
+    """Token ids of many texts at once, from the ids of their distinct parts.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of
-    its words in a row, and words come back often enough to keep their ids. A new word of plain
-    letters, digits and signs falls apart further, where the tokenizer's own splitting does: into
-    runs of letters, single digits and runs of other signs. The last id of every such part is
-    one that closes a word, which tells the parts of a long line of them apart.
+    The tokenizer drops white space, lower-cases, and joins nothing across runs of letters, single
+    digits and runs of other signs. So a text's ids are those of such parts in a row, and a
+    worker keeps the ids of the parts it has seen. A word with anything else in it (apostrophes,
+    special tokens, characters beyond the Latin letters) is one part as a whole. The last id of
+    a part closes a word, which tells the parts of a line that is encoded at once apart.
     """
 
     def __init__(self, tokenizer: str):
@@ -220,46 +231,75 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         made = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in made]
 
-    def _learn_parts(self, parts: list[bytes]) -> None:
-        lines = [parts[i : i + LINE_PARTS] for i in range(0, len(parts), LINE_PARTS)]
+    def _learn(self, parts: list[bytes]) -> None:
+        plain = [p for p in parts if _PLAIN(p) and b"<|" not in p]
+        mixed = list(set(parts).difference(plain))
+        lines = [plain[i : i + LINE_PARTS] for i in range(0, len(plain), LINE_PARTS)]
         for line, ids in zip(lines, self._encode([b" ".join(line) for line in lines])):
             ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            if len(ends) == len(line):
-                data, starts = ids.tobytes(), [0, *ends[:-1]]
-                self.parts.update((p, data[4 * a : 4 * b]) for p, a, b in zip(line, starts, ends))
-            else:
-                self.parts.update((p, i.tobytes()) for p, i in zip(line, self._encode(line)))
-
-    def _learn(self, words: set[bytes]) -> None:
-        split = {w: _PART.findall(w.lower()) if _PLAIN.fullmatch(w) and b"<|" not in w else None for w in words}
-        needed = {p for parts in split.values() if parts for p in parts}
-        if len(self.parts) + len(needed) > CACHED_WORDS:
+            if len(ends) != len(line):
+                mixed += line
+                continue
+            data, starts = ids.tobytes(), [0, *ends[:-1]]
+            self.parts.update((p, data[4 * a : 4 * b]) for p, a, b in zip(line, starts, ends))
+        self.parts.update((p, ids.tobytes()) for p, ids in zip(mixed, self._encode(mixed)))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in a row (their bytes and offsets), and where each text's ids begin."""
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        kinds = _kinds(data)
+        edge = np.ones(len(data), bool)
+        edge[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+        begins = offsets[:-1][offsets[:-1] < len(data)]
+        edge[begins] = True
+        lowered = _LOWER[data]
+        strange = np.flatnonzero(kinds == _OTHER)
+        if len(strange):
+            space = kinds == _SPACE
+            opens = ~space
+            opens[1:] &= space[:-1]
+            opens[begins] = ~space[begins]
+            number = np.cumsum(opens, dtype=np.int32)
+            whole = np.zeros(int(number[-1]) + 1, bool)
+            whole[number[strange]] = True
+            whole = whole[number] & ~space
+            edge[whole & ~opens] = False
+            lowered[whole] = data[whole]
+        starts = np.append(np.flatnonzero(edge), len(data))
+        parts = pa.Array.from_buffers(
+            pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(lowered)]
+        ).dictionary_encode()
+        distinct, which = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        if len(self.parts) + len(distinct) > CACHED_PARTS:
             self.parts.clear()
-        self._learn_parts([p for p in needed if p not in self.parts])
-        whole = [w for w, parts in split.items() if parts is None]
-        self.words.update((w, ids.tobytes()) for w, ids in zip(whole, self._encode(whole)))
         known = self.parts
-        self.words.update((w, b"".join([known[p] for p in parts])) for w, parts in split.items() if parts)
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, four bytes each."""
-        split = [text.split() for text in texts]
-        found = [list(map(self.words.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
-        if new:
-            if len(self.words) + len(new) > CACHED_WORDS:
-                self.words.clear()
-                new = {w for words in split for w in words}
-            self._learn(new)
-            found = [list(map(self.words.get, w)) if None in ids else ids for w, ids in zip(split, found)]
-        return [b"".join(ids) for ids in found]
+        known.update((p, b"") for p in distinct if p[0] in _BLANKS)
+        self._learn([p for p in distinct if p not in known])
+        found = [known[p] for p in distinct]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        first = np.cumsum(size) - size
+        sizes = size[which]
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat(first[which] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        return ids, np.append(0, ends)[np.searchsorted(starts[:-1], offsets)]
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    kinds = _KIND[data]
+    lead = np.flatnonzero(data == 0xC3)
+    if len(lead):
+        kinds[lead] = kinds[lead + 1] = np.where(_LATIN[data[lead + 1]], _LETTER, _OTHER)
+    special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    kinds[special] = _OTHER
+    return kinds
 
 
 _WORDS: dict[str, Words] = {}  # a worker process keeps the words of one task for the next
@@ -283,9 +323,9 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         for batch in batches:
             for part in text_slices(batch):
                 rows, number, start, length, crc, ids = [], [], [], [], [], []
-                texts = pc.fill_null(part.column(1), "").cast(pa.large_binary()).to_pylist()
-                for i, value in enumerate(words.ids(texts)):
-                    data = value + end
+                flat, begins = words.ids(*utf8(part.column(1)))
+                for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
+                    data = flat[a:b].tobytes() + end
                     n = len(data) // 4
                     for k, at in enumerate(range(0, n, capacity)):
                         cut = data[4 * at : 4 * (at + capacity)]

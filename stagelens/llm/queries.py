@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stagelens.llm.common import table
+from stagelens.llm.langid import language
 from stagelens.llm.mixing import mix
 from stagelens.llm.packing import pack
 from stagelens.llm.quality_rules import quality_rules
@@ -34,6 +35,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+@query
+def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "bits")
+
+
 @query
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))

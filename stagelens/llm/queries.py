@@ -11,6 +11,7 @@ from stagelens.llm.langid import language
 from stagelens.llm.mixing import mix
 from stagelens.llm.packing import pack
 from stagelens.llm.quality_rules import quality_rules
+from stagelens.llm.repeats import repeated_spans
 from stagelens.llm.simhash import hex_fingerprint, near_duplicates
 
 
@@ -55,3 +56,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@query
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))

@@ -177,6 +177,8 @@ def near_duplicates(
     reached = nodes.join(joined, "fp", "left").select(
         "fp", F.coalesce("component", "least").alias("component_id")
     )
+    # written out, so that the last join stands alone and a fingerprint of very many copies is split
+    reached = materialize(reached, "reached")
     return marked.join(reached, "fp").select(key, "fp", "component_id")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stagelens.llm.common import table
+from stagelens.llm.edit_prints import with_next
 from stagelens.llm.langid import language
 from stagelens.llm.mixing import mix
 from stagelens.llm.packing import pack
@@ -58,6 +59,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@query
+def op8_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))

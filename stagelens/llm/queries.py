@@ -14,6 +14,7 @@ from stagelens.llm.packing import pack
 from stagelens.llm.quality_rules import quality_rules
 from stagelens.llm.repeats import repeated_spans
 from stagelens.llm.simhash import hex_fingerprint, near_duplicates
+from stagelens.llm.warc import archived_pages
 
 
 def tokenizer() -> str:
@@ -32,6 +33,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
+ORACLE_LLM["op1_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+m AS (SELECT page_id, strlen(payload) AS n, sha1(payload) AS digest, max(page_id) OVER (PARTITION BY payload) AS stored FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> stored THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> stored THEN stored END AS refers_to
+FROM m
+"""
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer())

@@ -12,6 +12,7 @@ from stagelens.llm.langid import language
 from stagelens.llm.mixing import mix
 from stagelens.llm.packing import pack
 from stagelens.llm.quality_rules import quality_rules
+from stagelens.llm.quality_votes import quality_votes
 from stagelens.llm.repeats import repeated_spans
 from stagelens.llm.simhash import hex_fingerprint, near_duplicates
 from stagelens.llm.warc import archived_pages
@@ -83,3 +84,8 @@ def op8_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_votes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

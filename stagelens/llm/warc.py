@@ -147,11 +147,16 @@ class Source:
 
 def starts_record(data: bytes) -> bool:
     """Whether a gzip member begins here that inflates to a whole WARC header."""
-    try:
-        head = zlib.decompressobj(31).decompress(data, HEADER_BYTES)
-    except zlib.error:
-        return False
-    return head.startswith(VERSION) and b"\r\n\r\n" in head
+    for most in (1 << 11, HEADER_BYTES):
+        try:
+            head = zlib.decompressobj(31).decompress(data, most)
+        except zlib.error:
+            return False
+        if not head.startswith(VERSION):
+            return False
+        if b"\r\n\r\n" in head:
+            return True
+    return False
 
 
 def inflate(source: Source, at: int) -> tuple[bytes, int]:

@@ -11,6 +11,7 @@ from stagelens.llm.edit_prints import with_next
 from stagelens.llm.langid import language
 from stagelens.llm.mixing import mix
 from stagelens.llm.packing import pack
+from stagelens.llm.pii import personal_data
 from stagelens.llm.quality_rules import quality_rules
 from stagelens.llm.quality_votes import quality_votes
 from stagelens.llm.repeats import repeated_spans
@@ -59,6 +60,11 @@ def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "bits")
 
 
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))

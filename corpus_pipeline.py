@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stagelens.llm.common import prepare
+from stagelens.llm.mixing import mixed_rows
+from stagelens.llm.packing import pack
+from stagelens.llm.pii import mask_personal_data
 from stagelens.llm.quality_rules import keep_quality
-from stagelens.session import materialize
+from stagelens.llm.queries import tokenizer
+from stagelens.llm.simhash import keep_one
+from stagelens.session import write_scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -18,16 +23,42 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near-duplicates the document with the smallest id stays."""
+    return keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind; documents without any stay as they are."""
+    return mask_personal_data(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources draws them, shard by shard in random order."""
+    return mixed_rows(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in a training sequence; a document drawn twice is packed twice."""
+    return pack(docs, tokenizer())
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality),
+    ("simhash near-dedup", near_duplicates),
+    ("personal data", personal_data),
+    ("mixing to target weights", mixing),
+    ("best-fit packing", packing),
 ]
 
-# Compression, tokens and fitted models are beyond SQL; tests compare run() with brute force.
+# Compression, fingerprints, a fitted model and tokens are beyond SQL; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again by the next."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(prepare(spark), docs, sf_dir), name.replace(" ", "-"))
+        path = write_scratch(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = spark.read.parquet(path)
     return docs

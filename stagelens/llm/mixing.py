@@ -137,13 +137,13 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: in
     goal = F.least(F.col("target") - F.col("pass") * F.col("source_size"), F.col("source_size").cast("double"))
     blocks = rows.groupBy("source", "block").agg(
         F.sum("size").alias("words"), F.max("target").alias("target"), F.max("source_size").alias("source_size")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("pass"))
+    ).filter("words > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("pass"))
     order = Window.partitionBy("source", "pass").orderBy(_random(F.lit("block"), "source", "pass", "block"), "block")
     drawn = blocks.select(
         "source", "pass", "block", "words", F.round(F.greatest(goal, F.lit(0.0))).cast("long").alias("goal"),
         (F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("before"),
         F.row_number().over(order).cast("long").alias("nth"),
-    ).filter("before < goal and words > 0")
+    ).filter("before < goal")
     drawn = materialize(drawn, "drawn-blocks")
 
     # the block of each source and pass in which the target falls

@@ -29,6 +29,7 @@ from stagelens.llm.common import per_text, text_slices, utf8, within
 ORDER = 3
 # Training documents of a language, about: a sample by a hash of the key. Whole texts are counted.
 TRAIN_DOCS = 2000
+MAX_LANGS = 1000
 # Contexts kept at most, the most frequent ones; a text in other contexts is scored in shorter ones.
 MAX_CONTEXTS = 40_000
 UNKNOWN = "und"
@@ -40,12 +41,16 @@ def fold(key: str, folds: int) -> Column:
 
 
 def training_sample(docs: DataFrame, key: str, lang: str, per_lang: int = TRAIN_DOCS) -> DataFrame:
-    """About ``per_lang`` documents of each language, by a hash of the key and without ordering any group."""
+    """About ``per_lang`` documents of each language, by a hash of the key; texts are not exchanged.
+
+    The model knows the ``MAX_LANGS`` most frequent languages, so the table of shares has a bound.
+    """
     known = docs.filter(F.col(lang).isNotNull())
-    share = known.groupBy(lang).agg((F.lit(per_lang) / F.count("*")).alias("_share"))
-    share = share.withColumnRenamed(lang, "_lang")
+    share = known.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
+    share = share.orderBy(F.desc("_n"), "_lang").limit(MAX_LANGS)
     chance = F.pmod(F.xxhash64(F.lit("train"), key), F.lit(1 << 20)) / float(1 << 20)
-    return known.join(share, F.col(lang) == F.col("_lang")).filter(chance < F.col("_share")).drop("_share", "_lang")
+    joined = known.join(F.broadcast(share), F.col(lang) == F.col("_lang"))
+    return joined.filter(chance * F.col("_n") < per_lang).drop("_n", "_lang")
 
 
 def context_counts(sample: DataFrame, lang: str, text: str, order: int = ORDER) -> DataFrame:

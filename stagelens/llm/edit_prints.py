@@ -74,7 +74,7 @@ class Steps:
 
     def at(self, level: int, end: int) -> np.ndarray:
         """Sampled steps of the level before ``end``, in order."""
-        if self.reach.get(level, 0) < end:
+        if level not in self.reach or self.reach[level] < end:
             reach = max(2 * end, 1 << 16)
             blocks = []
             for first in range(0, reach, 1 << 20):

@@ -13,6 +13,8 @@ pieces by their rank within their length, which is an ordinary distributed job.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,7 +33,9 @@ CAPACITY = 2048
 END_ID = 0
 # Effort of the search for a better packing than the incumbent; the result is complete at any effort.
 SEARCH_NODES = 20_000
-FILLINGS = 8
+FILLINGS = 8  # of the room beside one piece
+BRANCHES = 3
+EFFORT = 40
 RANK_ROWS = 200_000  # rows that are ranked together in one group, about
 CACHED_PARTS = 700_000  # in a worker
 LINE_PARTS = 500
@@ -69,42 +73,38 @@ def fillings(counts: np.ndarray, room: int, waste: int, limit: int) -> list[tupl
     A filling is dominated if a longer piece fits in place of one of its pieces or if one more
     piece fits beside them: the other one leaves easier pieces for the sequences to come.
     """
-    left = np.flatnonzero(counts[: room + 1])
+    left = np.flatnonzero(counts[: room + 1]).tolist()
     found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
+    chosen: list[int] = []
     tried = 0
 
-    def largest(at_most: int) -> int:
-        i = int(np.searchsorted(left, at_most, "right")) - 1
-        return int(left[i]) if i >= 0 else 0
-
-    def extend(chosen: list[tuple[int, int]], top: int, room: int) -> None:
+    def extend(top: int, room: int) -> None:
+        """Add pieces no longer than ``left[top - 1]``, the longest ones first."""
         nonlocal tried
         tried += 1
-        length = largest(min(top, room))
-        if not length:
-            if room <= waste:
-                found.append((room, tuple(chosen)))
-            return
+        top = bisect.bisect_right(left, room, 0, top)
         branches = 0
-        while length and branches < 3 and len(found) < limit and tried < 40 * limit:
-            most = min(int(counts[length]), room // length)
-            # what a shorter first piece can never fill is not worth a look
-            chosen.append((length, most))
-            extend(chosen, length - 1, room - most * length)
-            chosen.pop()
-            if found and found[-1][0] == 0:
-                return
-            length = largest(length - 1)
-            branches += 1
-
-    extend([], room, room)
+        while top and branches < BRANCHES and len(found) < limit and tried < EFFORT * limit:
+            length = left[top - 1]
+            if not chosen or chosen[-1] != length or chosen.count(length) < counts[length]:
+                branches += 1
+                chosen.append(length)
+                extend(top, room - length)
+                chosen.pop()
+                if found and found[-1][0] == 0:
+                    return
+            top -= 1
+        if not branches and room <= waste:
+            found.append((room, tuple((a, len(list(g))) for a, g in itertools.groupby(chosen))))
+
+    extend(len(left), room)
     kept = []
     for rest, items in sorted(found, key=lambda x: (x[0], [-a for a, _ in x[1]])):
         used = dict(items)
         dominated = any(
             counts[better] > used.get(better, 0)
             for length, _ in items
-            for better in left[(left > length) & (left <= length + rest)].tolist()
+            for better in left[bisect.bisect_right(left, length) : bisect.bisect_right(left, length + rest)]
         )
         if not dominated:
             kept.append(items)

@@ -54,7 +54,9 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray, gear: np.ndarray, spacin
     ends = np.flatnonzero(may_end) + 1
     far = np.ones(len(ends), bool)
     far[1:] = (np.diff(ends) >= least) | (place[ends[1:] - 1] < np.diff(ends))
-    ends = ends[far]
+    # nor a crumb at either end of a text
+    before, behind = place[ends - 1] + 1, np.repeat(offsets[1:], sizes)[ends - 1] - ends
+    ends = ends[far & (before >= least) & (behind >= least)]
     ends = ends[is_char(np.append(data, 0)[ends])]  # never inside a character
     ends = np.union1d(ends, offsets[1:][sizes > 0])
     starts = np.append(0, ends[:-1]) if len(ends) else ends

@@ -17,9 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-# Rows that Spark hands to a Python worker at once, and bytes of text that are worked on at once.
+# Rows that Spark hands to a Python worker at once, and bytes of text that are worked on at once:
+# an array of eight bytes for each of them is held several times over.
 ROWS_PER_BATCH = 1000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

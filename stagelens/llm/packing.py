@@ -37,7 +37,8 @@ FILLINGS = 8  # of the room beside one piece
 BRANCHES = 3
 EFFORT = 40
 RANK_ROWS = 200_000  # rows that are ranked together in one group, about
-CACHED_PARTS = 700_000  # in a worker
+SLICE = 2 << 20
+CACHED_PARTS = 200_000  # in a worker
 LINE_PARTS = 500
 
 
@@ -321,7 +322,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             _WORDS[tokenizer] = Words(tokenizer)
         words = _WORDS[tokenizer]
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, 1, SLICE):
                 rows, number, start, length, crc, ids = [], [], [], [], [], []
                 flat, begins = words.ids(*utf8(part.column(1)))
                 for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):

@@ -13,7 +13,7 @@ from stagelens.llm.pii import mask_personal_data
 from stagelens.llm.quality_rules import keep_quality
 from stagelens.llm.queries import tokenizer
 from stagelens.llm.simhash import keep_one
-from stagelens.session import write_scratch
+from stagelens.session import step, write_scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,6 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again by the next."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = write_scratch(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with step(spark):  # what a stage writes on its way goes when its result is written
+            path = write_scratch(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
         docs = spark.read.parquet(path)
     return docs

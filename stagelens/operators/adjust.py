@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stagelens.operators.ranks import is_large, join_null_safe, rank_corr
-from stagelens.session import settle
+from stagelens.operators.ranks import join_null_safe, rank_corr
+from stagelens.session import materialize
 
 # Fixed values of the search.
 K_GRID = (30, 60, 80, 100, 150)
@@ -77,8 +77,7 @@ def region_adjust(df: DataFrame, y: str, by: str, within: Sequence[str], k: floa
     return out.withColumn(name, F.col(y) - F.col("_delta")).drop("_delta")
 
 
-def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequence[str],
-                large: bool | None = None) -> DataFrame:
+def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequence[str]) -> DataFrame:
     """All (K, CAP) pairs per ``within`` group with their figures, score and place.
 
     ``df`` is read twice; pass a materialised frame.
@@ -99,7 +98,7 @@ def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequ
     repeats = F.coalesce(F.col("CAP") > F.col("free_cap"), F.lit(False))
     first = F.min(F.when(F.col("CAP") == F.col("free_cap"), F.col("cfg"))).over(same_k)
     wide = wide.withColumn("like", F.when(repeats, first).otherwise(F.col("cfg"))).drop("reach", "free_cap")
-    wide = settle(wide.withColumn("mu_post", F.col("mu") - F.col("delta")), "shifts")
+    wide = materialize(wide.withColumn("mu_post", F.col("mu") - F.col("delta")), "shifts")
 
     # group figures after the shift; the grand mean moves with the shifts
     all_rows = W.partitionBy(*within, "cfg")
@@ -126,12 +125,12 @@ def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequ
 
     # rank correlation of the score before and after, all settings in one ranking pass;
     # a setting that repeats another has no shift here and drops out before the exchange
-    shifts = settle(wide.filter(F.col("like") == F.col("cfg")).groupBy(*within, by).agg(
+    shifts = (wide.filter(F.col("like") == F.col("cfg")).groupBy(*within, by).agg(
         *[F.max(F.when(F.col("cfg") == i, F.col("delta"))).alias(f"_d{i}") for i in range(len(GRID))]
-    ), "shifts_wide")
+    ))
     rows = join_null_safe(df.filter(F.col(y).isNotNull()).select(*key, *within, by, y), shifts, [*within, by])
     adjusted = [F.col(y) - F.col(f"_d{i}") for i in range(len(GRID))]
-    corr = rank_corr(rows, key, F.col(y), adjusted, within, is_large(df, large))
+    corr = rank_corr(rows, key, F.col(y), adjusted, within)
     corr = corr.withColumnsRenamed({"m": "like", "corr": "spearman"})
     table = join_null_safe(figures, corr, [*within, "like"], "left").drop("like")
     # a constant column has no correlation; its order is unchanged
@@ -169,7 +168,7 @@ def grid_top_overlap(df: DataFrame, y: str, by: str, within: Sequence[str], key:
     delta = shift(F.col("n"), F.col("mu"), F.col("grand"), F.col("K"), F.col("CAP"))
     shifts = F.array_sort(F.collect_list(F.struct("cfg", delta.alias("delta"))))
     # one entry per setting and group
-    shifts = settle(deltas.groupBy(*within, by).agg(shifts.alias("shifts")), "shift_lists")
+    shifts = deltas.groupBy(*within, by).agg(shifts.alias("shifts"))
     rows = join_null_safe(df.filter(F.col(y).isNotNull()).select(*within, by, *key, y), shifts, [*within, by])
     long = rows.select(*within, *key, F.col(y).alias("_y"), F.inline("shifts"))
     long = long.withColumn("_a", F.round(F.col("_y") - F.col("delta"), 9)).withColumn("_y", F.round("_y", 9))
@@ -183,17 +182,17 @@ def grid_top_overlap(df: DataFrame, y: str, by: str, within: Sequence[str], key:
 
 
 def adjust_by_grid(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequence[str],
-                   name: str = "DPI_region_adj", large: bool | None = None) -> DataFrame:
+                   name: str = "DPI_region_adj") -> DataFrame:
     """Apply the best setting of each ``within`` group; adds the score, its shift, K and CAP."""
     within = list(within)
-    grid = grid_search(df, y, by, within, key, large)
+    grid = grid_search(df, y, by, within, key)
     best = grid.filter("place = 1").select(*within, "K", "CAP")
     stats = group_stats(df, y, by, within)
     deltas = join_null_safe(stats, best, within, "left").select(
         *within, by, "K", "CAP",
         shift(F.col("n"), F.col("mu"), F.col("grand"), F.col("K"), F.col("CAP")).alias("region_delta"),
     )
-    out = join_null_safe(df, settle(deltas, "deltas"), [*within, by], "left")
+    out = join_null_safe(df, deltas, [*within, by], "left")
     return out.withColumn(name, F.col(y) - F.col("region_delta"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagelens.functions.conditions import first_rule
@@ -26,14 +27,37 @@ def standardized(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(z), outputCol="features").transform(out).drop(*z)
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 42):
-    return KMeans(k=k, seed=seed, maxIter=30).fit(vectors)
+# Starts, and the rules of the profiles on the prototype index, the first that holds.
+STARTS = 10
+PROFILE_RULES = (
+    ("sold < 50", "failing"),
+    ("PI > 0.4 AND sold > 10000", "large hit"),
+    ("occupancy > 0.8 AND sold < 2000", "steady small"),
+    ("sessions > 20 AND rev_per_session < 1000000", "long running"),
+    ("PI < 0.2 AND occupancy < 0.5", "weak small"),
+)
+
+
+# Rows that a task of a fit works on: many short passes over few rows pay for each task.
+ROWS_PER_TASK = 50_000
+
+
+def _packed(vectors: DataFrame) -> DataFrame:
+    """Written once, in as many parts as the counted rows fill; every fit and pass reads it."""
+    table = materialize(vectors, "vectors")
+    return table.coalesce(max(1, math.ceil(table.count() / ROWS_PER_TASK)))
+
+
+def kmeans(vectors: DataFrame, k: int, seed: int = 42, starts: int = STARTS):
+    """The fit with the least inertia of several starts."""
+    fits = [KMeans(k=k, seed=seed + i, maxIter=30).fit(vectors) for i in range(starts)]
+    return min(fits, key=lambda fit: fit.summary.trainingCost)
 
 
 def elbow(vectors: DataFrame, ks: Sequence[int] = (2, 3, 4, 5, 6, 7)) -> DataFrame:
     """Inertia and silhouette (squared distances) per number of clusters."""
     evaluator = ClusteringEvaluator()
-    vectors = materialize(vectors.select("features"), "vectors")  # read by every fit
+    vectors = _packed(vectors.select("features"))
     rows = []
     for k in ks:
         model = kmeans(vectors, k)
@@ -41,11 +65,12 @@ def elbow(vectors: DataFrame, ks: Sequence[int] = (2, 3, 4, 5, 6, 7)) -> DataFra
     return vectors.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
-def cluster_profile(vectors: DataFrame, k: int, features: Sequence[str], rules: Sequence[tuple[Column, str]],
-                    default: str = "other") -> DataFrame:
+def cluster_profile(vectors: DataFrame, k: int, features: Sequence[str],
+                    rules: Sequence[tuple[str, str]] = PROFILE_RULES, default: str = "other") -> DataFrame:
     """Size and mean of each feature per cluster, with the label of the first rule that holds."""
+    vectors = _packed(vectors.select("features", *features))
     clustered = kmeans(vectors, k).transform(vectors)
     table = clustered.groupBy(F.col("prediction").alias("cluster")).agg(
         F.count("*").alias("n"), *[F.avg(f).alias(f) for f in features]
     )
-    return table.withColumn("profile", first_rule(rules, default))
+    return table.withColumn("profile", first_rule([(F.expr(test), name) for test, name in rules], default))

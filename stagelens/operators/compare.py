@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagelens.functions.text import pair_key, pair_side
-from stagelens.operators.skew import skew_join
-from stagelens.session import settle
+from stagelens.session import materialize
 
 SUCCESS, FAIL, UNDECIDABLE = "success", "fail", "undecidable"
 AXES = {"DPI": "DPI_plus", "U": "U_participation", "S": "S_scale", "A": "A_afford"}
 
 
 def verdict(score: Column, first: Column, second: Column) -> Column:
-    """Success if at least the mean of both baselines; undecidable if one is missing."""
-    known = first.isNotNull() & second.isNotNull() & score.isNotNull()
+    """Success if at least the mean of both baselines; undecidable if a baseline is missing.
+
+    A pair without a mean of its own does not reach its baseline.
+    """
+    known = first.isNotNull() & second.isNotNull()
     return F.when(~known, UNDECIDABLE).when(score >= (first + second) / 2, SUCCESS).otherwise(FAIL)
 
 
@@ -25,17 +27,16 @@ def lookup_twice(df: DataFrame, table: DataFrame, on: Sequence[str], genre: str,
                  values: Sequence[str]) -> DataFrame:
     """Left-join one aggregate table once per side; ``sides`` maps a suffix to the label column.
 
-    The table has one row per key; it is evaluated once and broadcast where it is
-    small, else joined with hot keys split.
+    The table has one row per key; it is evaluated once; adaptive execution broadcasts
+    it by its real size or splits hot keys.
     """
-    table = settle(table, "lookup")
-    spread = [c for c in df.columns if c not in on and c not in sides.values()]
+    table = materialize(table, "lookup")
     out = df
     for suffix, label in sides.items():
         side = table.select(
             *on, F.col(genre).alias(label), *[F.col(v).alias(f"{v}_{suffix}") for v in values]
         )
-        out = skew_join(out, side, [*on, label], spread, "left")
+        out = out.join(side, [*on, label], "left")
     return out
 
 
@@ -142,6 +143,12 @@ def best_and_worst(rows: DataFrame, col: str, key: Sequence[str], n: int = 10) -
     return top.unionByName(low)
 
 
+def group_means(rows: DataFrame, group: str, value: str, split: str, sides: Sequence[str]) -> DataFrame:
+    """Count and mean per group, and the mean on each side of a split."""
+    aggs = [F.avg(F.when(F.col(split) == s, F.col(value))).alias(s) for s in sides]
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *aggs)
+
+
 def in_top_groups(rows: DataFrame, group: str, value: str, n: int = 10) -> DataFrame:
     """Rows of the n groups with the highest mean."""
     best = rows.groupBy(group).agg(F.avg(value).alias("_m")).filter("_m IS NOT NULL")

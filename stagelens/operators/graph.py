@@ -156,22 +156,28 @@ def propagate(edges: DataFrame, labels: DataFrame, hops: int, node: str = "node"
     edges, so edges are never joined with degrees. Every hop is written to the shared
     folder, which cuts the lineage.
     """
-    degree = materialize(
-        edges.groupBy("dst").agg(F.sum("weight").alias("d"), F.count("*").alias("rows_of_key")), "degree"
-    )
+    degree = materialize(degrees(edges), "degree")
+    values = labels.select(node, genre, F.lit(1.0).alias("value"))
+    for number in range(hops):
+        values = materialize(hop(edges, degree, values, node, genre), f"hop{number}")
+    return values
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """Weight and number of the edges that reach each node."""
+    return edges.groupBy("dst").agg(F.sum("weight").alias("d"), F.count("*").alias("rows_of_key"))
+
+
+def hop(edges: DataFrame, degree: DataFrame, values: DataFrame, node: str = "node", genre: str = "genre") -> DataFrame:
+    """One step of the propagation from (node, genre, value)."""
     # edges run both ways: as many leave a node as reach it
     sizes = degree.select(F.col("dst").alias("src"), "rows_of_key")
     root = degree.select(F.col("dst").alias(node), F.sqrt("d").alias("root"))
-    values = labels.select(node, genre, F.lit(1.0).alias("value"))
-    for hop in range(hops):
-        sent = values.join(root, node).select(F.col(node).alias("src"), genre, (F.col("value") / F.col("root")).alias("x"))
-        # edges of a hub share one source: salted
-        moved = skew_join(edges, sent, ["src"], ["dst"], sizes=sizes)
-        summed = moved.groupBy(F.col("dst").alias(node), genre).agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
-        values = materialize(
-            summed.join(root, node).select(node, genre, (F.col("x") / F.col("root")).alias("value")), f"hop{hop}"
-        )
-    return values
+    sent = values.join(root, node).select(F.col(node).alias("src"), genre, (F.col("value") / F.col("root")).alias("x"))
+    # edges of a hub share one source: salted
+    moved = skew_join(edges, sent, ["src"], ["dst"], sizes=sizes)
+    summed = moved.groupBy(F.col("dst").alias(node), genre).agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
+    return summed.join(root, node).select(node, genre, (F.col("x") / F.col("root")).alias("value"))
 
 
 def class_weights(labels: DataFrame, genre: str = "genre") -> DataFrame:

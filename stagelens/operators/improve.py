@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from stagelens.functions.numeric import geo_score
 from stagelens.operators.keys import hash_part, in_training
 from stagelens.operators.score import WEIGHTS_FREE, WEIGHTS_PAID
-from stagelens.session import settle
 
 # Fixed values of the search.
 STEP, STEPS = 0.01, 20
+# Fixed values of the models: trees, share of the target in the prototype index.
+TREES, DEPTH = 200, 30
+PROTOTYPE_TREES, TARGET_SHARE = 300, 0.3
 AXES = ("U_AB", "S_AB", "A_AB")
 
 
@@ -43,7 +45,7 @@ def minimal_improvement(fails: DataFrame, key: Sequence[str], baseline: str = "b
     same stage; the input has one row per group and pair, never one per event.
     """
     spread = fails.groupBy(segment).agg((F.min("A_AB") != F.max("A_AB")).alias("use_a"))
-    rows = fails.join(settle(spread, "axis"), segment)
+    rows = fails.join(spread, segment)
     steps = F.sequence(F.lit(0), F.lit(STEPS))
     a_steps = F.when(F.col("use_a") & (F.col(segment) != "Free"), steps).otherwise(F.array(F.lit(0)))
     grid = rows.select(*key, segment, baseline, "DPI_AB", *AXES, "use_a", F.explode(steps).alias("iu"))
@@ -81,18 +83,22 @@ def what_if(fails: DataFrame, rise: float = 0.1, segment: str = "segment", varia
     return wide.select(segment, "n", F.inline(rows))
 
 
-def _vectors(df: DataFrame, features: Sequence[str], y: str, key: Sequence[str]) -> DataFrame:
+def vectors(df: DataFrame, features: Sequence[str], y: str, key: Sequence[str]) -> DataFrame:
+    """Known rows with their features as a vector and the target as label."""
     known = df.dropna(subset=[*features, y]).select(*key, *[F.col(f).cast("double") for f in features], F.col(y).cast("double").alias("label"))
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(known)
 
 
 def regress(df: DataFrame, features: Sequence[str], y: str, key: Sequence[str], model: str = "forest",
-            share: float = 0.8, trees: int = 20, depth: int = 6):
-    """Fit on a hash split; returns the model and a one-row frame of test figures."""
-    rows = _vectors(df, features, y, key)
+            share: float = 0.8, trees: int = TREES, depth: int = DEPTH):
+    """Fit on a hash split; returns the model and a one-row frame of test figures.
+
+    Spark limits the depth of a tree to 30; nodes are split down to one row before that.
+    """
+    rows = vectors(df, features, y, key)
     train, test = rows.filter(in_training(share, *key)), rows.filter(~in_training(share, *key))
     if model == "forest":
-        fitted = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=42).fit(train)
+        fitted = RandomForestRegressor(numTrees=trees, maxDepth=depth, maxMemoryInMB=512, seed=42).fit(train)
         weights = fitted.featureImportances.toArray().tolist()
     else:
         fitted = LinearRegression(solver="normal").fit(train)
@@ -100,7 +106,7 @@ def regress(df: DataFrame, features: Sequence[str], y: str, key: Sequence[str],
     pred = fitted.transform(test)
     err = F.col("label") - F.col("prediction")
     figures = pred.agg(
-        F.count("*").alias("test_rows"),
+        F.count("*").alias("test_rows"), F.lit(train.count()).alias("train_rows"),
         (1 - F.try_divide(F.sum(err * err), F.var_pop("label") * F.count("*"))).alias("r2"),
         F.avg(err * err).alias("mse"),
     ).withColumns({"model": F.lit(model), "weights": F.array(*[F.lit(float(w)) for w in weights])})
@@ -122,19 +128,20 @@ def predicted_what_if(model, df: DataFrame, features: Sequence[str], rise: float
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], y: str, key: Sequence[str], folds: int = 5,
-                   trees: int = 10, depth: int = 5) -> DataFrame:
+                   trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """R2 per hash fold of a forest fitted on the other folds."""
-    rows = _vectors(df, features, y, key).withColumn("fold", hash_part(folds, *key))
+    rows = vectors(df, features, y, key).withColumn("fold", hash_part(folds, *key))
     evaluator = RegressionEvaluator(metricName="r2")
     out = []
     for k in range(folds):
-        fitted = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=42).fit(rows.filter(F.col("fold") != k))
+        fitted = RandomForestRegressor(numTrees=trees, maxDepth=depth, maxMemoryInMB=512, seed=42).fit(rows.filter(F.col("fold") != k))
         out.append((k, evaluator.evaluate(fitted.transform(rows.filter(F.col("fold") == k)))))
     return df.sparkSession.createDataFrame(out, "fold int, r2 double")
 
 
 def importance_weighted_index(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str],
-                              fixed: float = 0.3, trees: int = 20) -> DataFrame:
+                              fixed: float = TARGET_SHARE, trees: int = PROTOTYPE_TREES,
+                              depth: int = 12) -> DataFrame:
     """Prototype index of paid events: a fixed share for the target, the rest by importance."""
     cols = [target, *features]
     known = df.dropna(subset=cols)
@@ -146,7 +153,7 @@ def importance_weighted_index(df: DataFrame, target: str, features: Sequence[str
 
     scaled = known.select(*key, *[unit(c) for c in cols])
     vec = VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled)
-    fitted = RandomForestRegressor(labelCol=target, numTrees=trees, seed=42).fit(vec)
+    fitted = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, maxMemoryInMB=512, seed=42).fit(vec)
     weights = fitted.featureImportances.toArray().tolist()
     total = sum(weights) or 1.0
     index = F.col(target) * fixed

@@ -18,10 +18,14 @@ def explode_names(df: DataFrame, cells: Mapping[str, str], keep: Sequence[str],
     return df.select(*keep, F.inline(roles)).select(*keep, "role", F.explode("names").alias("name"))
 
 
-def count_names(df: DataFrame, cells: Mapping[str, str], cleaner=X.split_names) -> DataFrame:
-    """(role, name, n) over all cells; equal cells are counted first and cleaned once."""
+def count_names(df: DataFrame, cells: Mapping[str, str], cleaner=X.split_names, weight: str | None = None) -> DataFrame:
+    """(role, name, n) over all cells; equal cells are counted first and cleaned once.
+
+    ``weight`` names a column with the rows that each row stands for.
+    """
     roles = F.array(*[F.struct(F.lit(role).alias("role"), F.col(c).alias("cell")) for role, c in cells.items()])
-    distinct = df.select(F.inline(roles)).groupBy("role", "cell").agg(F.count("*").alias("c"))
+    rows = df.select(F.inline(roles), (F.col(weight) if weight else F.lit(1)).alias("w"))
+    distinct = rows.groupBy("role", "cell").agg(F.sum("w").alias("c"))
     return distinct.select("role", "c", F.explode(cleaner("cell")).alias("name")).groupBy("role", "name").agg(F.sum("c").alias("n"))
 
 
@@ -91,7 +95,7 @@ def resolve(unlabelled: DataFrame, dominant: DataFrame, genre: str, new_genre: s
 
 def split_orgs(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
     """(keep, org, role) bridge; the role belongs to the relation, not to the organisation."""
-    items = df.filter(F.col(col) != "").select(*keep, F.explode(F.split(col, ",")).alias("_x"))
+    items = df.filter(F.col(col) != "").select(*keep, col).distinct().select(*keep, F.explode(F.split(col, ",")).alias("_x"))
     return items.select(*keep, X.org_name("_x").alias("org"), X.org_role("_x").alias("role")).filter("org <> ''").distinct()
 
 

@@ -59,6 +59,11 @@ def fd_violations(df: DataFrame, key: str, cols: Sequence[str], near: float = 0.
     return totals.select(F.lit(key).alias("key"), "keys", F.inline(pairs)).withColumn("dependency", kind)
 
 
+def fd_table(df: DataFrame, keys: Sequence[str], cols: Sequence[str], near: float = 0.05) -> DataFrame:
+    """The test for several keys at once: one row per key and column."""
+    return reduce(DataFrame.unionByName, [fd_violations(df, k, [c for c in cols if c != k], near) for k in keys])
+
+
 def key_uniqueness(df: DataFrame, candidates: Mapping[str, Sequence[str]]) -> DataFrame:
     """Rows, distinct tuples and uniqueness of every candidate key (NULLs count as values)."""
     def one(label: str, cols: Sequence[str]) -> DataFrame:
@@ -98,9 +103,9 @@ def drop_candidates(missing: DataFrame, at_least: float = 85.0) -> DataFrame:
     return missing.groupBy("column").agg(F.min("missing_pct").alias("lowest_pct")).filter(F.col("lowest_pct") >= at_least)
 
 
-def multi_value_stats(df: DataFrame, cols: Sequence[str], sep: str = ",") -> DataFrame:
-    """Cells with a value, cells holding a list, longest list; over distinct cells."""
-    cells = _cells(df, cols).filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
+def multi_value_stats(df: DataFrame, cols: Sequence[str], key: Sequence[str], sep: str = ",") -> DataFrame:
+    """Cells with a value, cells holding a list, longest list; over the distinct cells of each ``key``."""
+    cells = _cells(df, cols, key).filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
     return cells.groupBy("column").agg(
         F.count("*").alias("cells"),
         F.count_if(F.col("value").contains(sep)).alias("lists"),

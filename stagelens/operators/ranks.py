@@ -1,19 +1,15 @@
-"""Exact percentile ranks and quantiles without sorting a column in one task.
-
-A window over a whole column (or a hot group of it) puts all its rows in one
-task. Above SMALL_ROWS rows the column is cut at approximate quantiles instead:
-
-1. cut points: one aggregation over the column (fixed number of points);
-2. every row gets the place of its value among the cut points. A value that is a
-   cut point gets a place of its own, so a value held by many rows is always such
-   a place and needs no ordering at all, only its count;
-3. row counts per place give the rank where each place starts (a table of at most
-   2 * cuts + 1 rows per group);
-4. inside the places between cut points rows are ranked by a window. These places
-   hold about 1/cuts of the column; rows on a cut point are salted.
-
-Ranks are exact: the approximation only decides where the cuts are. Up to
-SMALL_ROWS rows (counted, not guessed) a window per column is cheaper and is used.
+"""Exact percentile ranks and quantiles without sorting a column, or a hot group of it, in one task.
+
+1. equal values of a group are counted (combined before the exchange), so a value that a third
+   of the rows share is one row from here on;
+2. the values of a column are cut at approximate quantiles; every value gets its place between the
+   cuts;
+3. the counts per place, a table with a row per cut and group, give the rank where each place starts;
+4. within a place the values are ranked by a window. A place holds about 1/cuts of the column's
+   different values, whatever group they belong to.
+
+The ranks are exact: the approximation only decides where the cuts are. Rows get their rank by
+a join on the value, whose hot values adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -26,11 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stagelens.functions.numeric import clip
-from stagelens.operators.skew import salt_count
-from stagelens.session import materialize, settle
-
-SMALL_ROWS = 500_000
-MAX_CUTS = 4095
+from stagelens.session import materialize
 
 
 @dataclass(frozen=True)
@@ -71,244 +63,166 @@ def _long(df: DataFrame, keep: Sequence[str], values: Sequence[Column]) -> DataF
 
 
 def _cut_count(df: DataFrame) -> int:
-    """A power of two less one, so that a place is found in a fixed number of steps."""
+    """Eight cuts per shuffle partition; a power of two less one, so that a place is found in a fixed number of steps."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_CUTS, 2 ** max(6, (8 * parts - 1).bit_length()) - 1)
+    return 2 ** max(6, (8 * parts - 1).bit_length()) - 1
 
 
-def _placed(long: DataFrame, cuts: int) -> DataFrame:
-    """Add ``pos``: even between two cut points, odd on one."""
+def _placed(values: DataFrame, cuts: int) -> DataFrame:
+    """Add ``pos``: how many of the column's cut points lie below the value."""
     probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
     points = (
-        long.groupBy("m")
+        values.groupBy("m")
         .agg(F.percentile_approx("v", probs, 4 * (cuts + 1)).alias("points"))
         .collect()  # one row per ranked column, `cuts` numbers each
     )
     v = F.col("v")
-    pos = None
+    steps = [(cuts + 1) >> k for k in range(1, (cuts + 1).bit_length())]
+    pos = F.lit(0)
     for row in points:
         # as one literal: thousands of single literals would bloat the plan
         table = F.split(F.lit(",".join(repr(x) for x in row["points"])), ",").cast("array<double>")
-        below = F.lit(0)
-        step = (cuts + 1) // 2
-        steps = []
-        while step:
-            steps.append(step)
-            step //= 2
         below = F.aggregate(
             F.array(*[F.lit(s) for s in steps]),
             F.lit(0),
             lambda acc, s: F.when(F.element_at(table, acc + s) < v, acc + s).otherwise(acc),
         )
-        place = below * 2 + F.when(F.get(table, below) == v, 1).otherwise(0)
-        test = F.col("m") == row["m"]
-        pos = F.when(test, place) if pos is None else pos.when(test, place)
-    return long.withColumn("pos", (pos if pos is not None else F.lit(0)).cast("int"))
+        pos = F.when(F.col("m") == row["m"], below).otherwise(pos)
+    return values.withColumn("pos", pos.cast("int"))
 
 
-def _offsets(placed: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows before each place, rows in it, and rows of the whole group."""
-    counts = placed.groupBy(*by, "m", "pos").agg(
-        F.count("*").alias("cnt"), F.min("v").alias("point")
-    )
+def ranked_values(long: DataFrame, by: Sequence[str], sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """Every different value (by, m, v) with its count, lowest and highest rank and the count of its group.
+
+    ``sums`` are further sums over the rows of a value.
+    """
+    by = list(by)
+    extra = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
+    values = materialize(long.groupBy(*by, "m", "v").agg(F.count("*").alias("cnt"), *extra), "values")
+    placed = _placed(values, _cut_count(long))
+    counts = placed.groupBy(*by, "m", "pos").agg(F.sum("cnt").alias("c"))
     group = W.partitionBy(*by, "m")
-    running = F.sum("cnt").over(group.orderBy("pos"))
-    return counts.select(
-        *by, "m", "pos", "cnt", "point",
-        (running - F.col("cnt")).alias("before"),
-        F.sum("cnt").over(group).alias("n"),
+    offsets = counts.select(
+        *by, "m", "pos", (F.sum("c").over(group.orderBy("pos")) - F.col("c")).alias("before"), F.sum("c").over(group).alias("n")
+    )
+    inside = F.sum("cnt").over(W.partitionBy(*by, "m", "pos").orderBy("v"))
+    ranked = join_null_safe(placed.withColumn("inside", inside), offsets, [*by, "m", "pos"])
+    high = F.col("before") + F.col("inside")
+    return ranked.select(
+        *by, "m", "v", "cnt", (high - F.col("cnt") + 1).alias("lo"), high.alias("hi"), "n", *(sums or {})
     )
 
 
-def is_large(df: DataFrame, known: bool | None = None) -> bool:
-    """Whether a column of the frame is too long to be ordered in one task.
-
-    Callers that rank several times count once and pass the answer on.
-    """
-    return df.count() > SMALL_ROWS if known is None else known
+def _quantile(p: float) -> Column:
+    """Aggregate over ranked values: the linear-interpolated quantile."""
+    h = (F.col("n") - 1) * F.lit(float(p))
+    low = F.min(F.when(F.col("hi") > F.floor(h), F.col("v")))
+    high = F.min(F.when(F.col("hi") > F.ceil(h), F.col("v")))
+    return low + (high - low) * (F.max(h) - F.max(F.floor(h)))
 
 
 def quantiles(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    large: bool | None = None,
+    df: DataFrame, values: Mapping[str, Column], probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: ``by`` columns and one array per value.
 
-    Unknown values are left out. Groups without any known value have NULL arrays in
-    the small form and no row in the distributed one.
+    Unknown values are left out; a group without any known value has NULLs.
     """
-    by, names, probs = list(by), list(values), [float(p) for p in probs]
-    if not is_large(df, large):
-        probs_lit = F.array(*[F.lit(p) for p in probs])
-        return df.groupBy(*by).agg(
-            *[F.percentile(_known(values[n]), probs_lit).alias(n) for n in names]
-        )
-    placed = _placed(_long(df, by, [values[n] for n in names]), _cut_count(df))
-    offsets = materialize(_offsets(placed, by), "offsets")
-    wanted = F.array(
-        *[F.struct(F.lit(i).alias("p"), F.lit(p).alias("prob")) for i, p in enumerate(probs)]
-    )
-    h = (F.col("n") - 1) * F.col("prob")
-    ends = F.array(
-        F.struct(F.lit(0).alias("side"), F.floor("h").alias("r")),
-        F.struct(F.lit(1).alias("side"), F.ceil("h").alias("r")),
-    )
-    targets = (
-        offsets.select("*", F.inline(wanted))
-        .withColumn("h", h)
-        .select("*", F.inline(ends))
-        .filter((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("cnt")))
-    )
-    on_point = targets.filter("pos % 2 = 1").select(*by, "m", "p", "side", "h", F.col("point").alias("x"))
-    between = targets.filter("pos % 2 = 0")
-    places = between.select(*by, "m", "pos", "before").distinct()
-    ties = placed.groupBy(*by, "m", "pos", "v").agg(F.count("*").alias("c"))
-    inside = join_null_safe(ties, places, [*by, "m", "pos"])
-    upto = F.sum("c").over(W.partitionBy(*by, "m", "pos").orderBy("v")) + F.col("before")
-    inside = inside.withColumn("upto", upto).drop("before")
-    hits = (
-        join_null_safe(between.select(*by, "m", "pos", "p", "side", "h", "r"), inside, [*by, "m", "pos"])
-        .filter((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("c")))
-        .select(*by, "m", "p", "side", "h", F.col("v").alias("x"))
-    )
-    low = F.max(F.when(F.col("side") == 0, F.col("x")))
-    high = F.max(F.when(F.col("side") == 1, F.col("x")))
-    q = (
-        on_point.unionByName(hits)
-        .groupBy(*by, "m", "p", "h")
-        .agg(low.alias("lo"), high.alias("hi"))
-        .withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("h") - F.floor("h")))
-    )
-    cells = [
-        F.array(*[F.max(F.when((F.col("m") == i) & (F.col("p") == j), F.col("q"))) for j in range(len(probs))])
-        .alias(n)
-        for i, n in enumerate(names)
-    ]
-    return q.groupBy(*by).agg(*cells)
+    by, names = list(by), list(values)
+    ranked = ranked_values(_long(df, by, [values[n] for n in names]), by)
+    q = ranked.groupBy(*by, "m").agg(F.array(*[_quantile(p) for p in probs]).alias("q"))
+    none = F.array(*[F.lit(None).cast("double") for _ in probs])
+    wide = q.groupBy(*by).agg(*[F.max(F.when(F.col("m") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
+    if by:
+        wide = join_null_safe(df.select(*by).distinct(), wide, by, "left")
+    return wide.withColumns({n: F.coalesce(n, none) for n in names})
 
 
 def winsorize(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    bounds: Mapping[str, tuple[float, float]],
-    by: Sequence[str] = (),
-    large: bool | None = None,
+    df: DataFrame, values: Mapping[str, Column], bounds: Mapping[str, tuple[float, float]], by: Sequence[str] = ()
 ) -> DataFrame:
     """Add each value clipped to its quantile bounds (unknown stays unknown)."""
     by = list(by)
-    large = is_large(df, large)
     out = df
     for pair in dict.fromkeys(bounds.values()):
         names = [n for n in values if bounds[n] == pair]
-        q = quantiles(df, {n: values[n] for n in names}, pair, by, large)
+        q = quantiles(df, {n: values[n] for n in names}, pair, by)
         q = q.withColumnsRenamed({n: f"_q_{n}" for n in names})
-        if by:
-            out = join_null_safe(out, settle(q, "bounds"), by, "left")
-        else:
-            row = q.first()
-            pairs = {f"_q_{n}": F.lit(row[f"_q_{n}"]) if row else F.lit(None) for n in names}
-            out = out.withColumns({k: c.cast("array<double>") for k, c in pairs.items()})
+        out = join_null_safe(out, q, by, "left")
         out = out.withColumns(
             {n: clip(_known(values[n]), F.col(f"_q_{n}")[0], F.col(f"_q_{n}")[1]) for n in names}
         ).drop(*[f"_q_{n}" for n in names])
     return out
 
 
-def _ranked_plain(long: DataFrame, by: Sequence[str]) -> DataFrame:
-    group = W.partitionBy(*by, "m")
-    return long.withColumns(
-        {
-            "lo": F.rank().over(group.orderBy("v")),
-            "hi": F.count("*").over(group.orderBy("v")),
-            "n": F.count("*").over(group),
-        }
-    )
+def _places(ranked: DataFrame, ranks: Sequence[Rank], by: Sequence[str]) -> DataFrame:
+    """(by, m, v, place): the rank each column asks for, over the count of the group.
 
-
-def _ranked_by_place(long: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:
-    salts = salt_count(long)
-    placed = _placed(long, _cut_count(long))
-    offsets = materialize(_offsets(placed, by), "offsets")
-    on_point = F.col("pos") % 2 == 1
-    # rows on a cut point need no order, so they may be spread
-    spread = F.when(on_point, F.pmod(F.xxhash64(*key), F.lit(salts))).otherwise(0).cast("int")
-    copies = F.when(on_point, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    cell = [*by, "m", "pos", "salt"]
-    rows = join_null_safe(
-        placed.withColumn("salt", spread),
-        offsets.drop("point").withColumn("salt", F.explode(copies)),
-        cell,
+    Clipping to quantiles keeps the order and ties what lies at or beyond a bound, so the ranks
+    of clipped values follow from the plain ones and the counts beyond the bounds.
+    """
+    plain = F.lit(None).cast("double")
+    for i, rank in enumerate(ranks):
+        own = F.col("hi") if rank.ties == "max" else (F.col("lo") + F.col("hi")) / 2
+        plain = F.when(F.col("m") == i, own).otherwise(plain)
+    clipped = [i for i, rank in enumerate(ranks) if rank.winsor]
+    if not clipped:
+        return ranked.select(*by, "m", "v", (plain / F.col("n")).alias("place"))
+    ends = {}
+    for k, name in enumerate(("low", "high")):
+        pick = F.lit(None).cast("double")
+        for pair in dict.fromkeys(ranks[i].winsor for i in clipped):
+            mine = F.col("m").isin([i for i in clipped if ranks[i].winsor == pair])
+            pick = F.when(F.max(mine), _quantile(pair[k])).otherwise(pick)
+        ends[name] = pick
+    bounds = ranked.groupBy(*by, "m").agg(*[c.alias(n) for n, c in ends.items()])
+    bounded = join_null_safe(ranked, bounds, [*by, "m"])
+    one = F.max(F.col("low") == F.col("high"))
+    beyond = bounded.groupBy(*by, "m").agg(
+        F.when(one, F.max("n")).otherwise(F.sum(F.when(F.col("v") <= F.col("low"), F.col("cnt")))).alias("upto_low"),
+        F.when(one, F.lit(0)).otherwise(F.sum(F.when(F.col("v") < F.col("high"), F.col("cnt")))).alias("below_high"),
     )
-    order = W.partitionBy(*cell).orderBy("v")
-    low = F.when(on_point, 1).otherwise(F.rank().over(order))
-    high = F.when(on_point, F.col("cnt")).otherwise(F.count("*").over(order))
-    return rows.withColumn("lo", low + F.col("before")).withColumn("hi", high + F.col("before"))
-
-
-def _rank_table(
-    df: DataFrame, key: Sequence[str], ranks: Mapping[str, Rank], by: Sequence[str], large: bool
-) -> DataFrame:
-    """One row per key (and group) with the ranks; all columns share one ranking pass."""
-    names = list(ranks)
-    long = _long(df, [*key, *by], [ranks[n].value for n in names])
-    ranked = _ranked_by_place(long, key, by) if large else _ranked_plain(long, by)
-    cols = []
-    for i, name in enumerate(names):
-        place = F.col("hi") if ranks[name].ties == "max" else (F.col("lo") + F.col("hi")) / 2
-        cols.append(F.max(F.when(F.col("m") == i, place / F.col("n"))).alias(name))
-    return ranked.groupBy(*key, *by).agg(*cols)
-
-
-def percent_ranks(
-    df: DataFrame,
-    key: Sequence[str],
-    ranks: Mapping[str, Rank],
-    by: Sequence[str] = (),
-    large: bool | None = None,
-) -> DataFrame:
+    low_place, high_place = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for i in clipped:
+        top = ranks[i].ties == "max"
+        mine = F.col("m") == i
+        low_place = F.when(mine, F.col("upto_low") if top else (F.col("upto_low") + 1) / 2).otherwise(low_place)
+        high_place = F.when(mine, F.col("n") if top else (F.col("below_high") + 1 + F.col("n")) / 2).otherwise(high_place)
+    place = F.when(F.col("v") <= F.col("low"), low_place).when(F.col("v") >= F.col("high"), high_place).otherwise(plain)
+    both = join_null_safe(bounded, beyond, [*by, "m"])
+    return both.select(*by, "m", "v", (place / F.col("n")).alias("place"))
+
+
+def percent_ranks(df: DataFrame, key: Sequence[str], ranks: Mapping[str, Rank], by: Sequence[str] = ()) -> DataFrame:
     """Add percentile ranks within ``by``: rank among the known values over their number.
 
     ``key`` must identify a row. Values with ``winsor`` are clipped first.
     """
-    key, by = list(key), list(by)
-    clipped = {n: r for n, r in ranks.items() if r.winsor}
-    large = is_large(df, large)
-    out = df
-    if clipped:
-        names = {f"_w_{n}": r for n, r in clipped.items()}
-        out = winsorize(
-            df,
-            {n: r.value for n, r in names.items()},
-            {n: r.winsor for n, r in names.items()},
-            by,
-            large,
-        )
-        ranks = {
-            n: Rank(F.col(f"_w_{n}"), r.ties) if r.winsor else r for n, r in ranks.items()
-        }
-    extra = [f"_w_{n}" for n in clipped]
-    table = _rank_table(out, key, ranks, by, large).drop(*by)
-    return out.join(table, key, "left").drop(*extra)
-
-
-def rank_corr(
-    df: DataFrame,
-    key: Sequence[str],
-    x: Column,
-    others: Sequence[Column],
-    by: Sequence[str] = (),
-    large: bool | None = None,
-) -> DataFrame:
+    key, by, names = list(key), list(by), list(ranks)
+    long = _long(df, [*key, *by], [ranks[n].value for n in names])
+    ranked = materialize(ranked_values(long, by), "ranked")
+    placed = join_null_safe(long, _places(ranked, list(ranks.values()), by), [*by, "m", "v"])
+    cols = [F.max(F.when(F.col("m") == i, F.col("place"))).alias(n) for i, n in enumerate(names)]
+    return df.join(placed.groupBy(*key).agg(*cols), key, "left")
+
+
+def rank_corr(df: DataFrame, key: Sequence[str], x: Column, others: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
     """Spearman correlation of ``x`` with every other column: by, number ``m``, ``corr``.
 
-    Rows must know all the columns; ranks of ties are averaged.
+    Rows must know all the columns; ranks of ties are averaged. Only sums of the ranks of ``x`` per
+    value of another column are needed, so no row is ranked twice. NULL where a column is constant.
     """
     key, by = list(key), list(by)
-    large = is_large(df, large)
-    ranked_x = percent_ranks(df, key, {"_x": Rank(x)}, by, large)
-    long = _long(ranked_x, [*key, *by, "_x"], others)
-    ranked = _ranked_by_place(long, key, by) if large else _ranked_plain(long, by)
-    return ranked.groupBy(*by, "m").agg(F.corr("_x", (F.col("lo") + F.col("hi")) / 2).alias("corr"))
+    rx = F.col("_x") - 0.5
+    long = _long(percent_ranks(df, key, {"_x": Rank(x)}, by), [*by, "_x"], others)
+    ranked = ranked_values(long, by, {"sx": rx, "sxx": rx * rx})
+    ry = (F.col("lo") + F.col("hi")) / 2 / F.col("n") - 0.5
+    sums = ranked.groupBy(*by, "m").agg(
+        F.sum("cnt").alias("c"), F.sum("sx").alias("sx"), F.sum("sxx").alias("sxx"), F.sum(F.col("cnt") * ry).alias("sy"),
+        F.sum(F.col("cnt") * ry * ry).alias("syy"), F.sum(F.col("sx") * ry).alias("sxy"),
+    )
+    c, sx, sy = F.col("c"), F.col("sx"), F.col("sy")
+    vx, vy = F.col("sxx") - sx * sx / c, F.col("syy") - sy * sy / c
+    corr = (F.col("sxy") - sx * sy / c) / F.sqrt(vx * vy)
+    # ranks that differ at all vary by far more than this
+    return sums.select(*by, "m", F.when((vx > 1e-9) & (vy > 1e-9), corr).alias("corr"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from stagelens.functions.conditions import is_free, segment
 from stagelens.functions.numeric import clip, geo_score, log1p_count, min_max
 from stagelens.operators.adjust import adjust_by_grid
-from stagelens.operators.ranks import Rank, is_large, join_null_safe, percent_ranks, quantiles
-from stagelens.session import materialize, settle
+from stagelens.operators.ranks import Rank, join_null_safe, percent_ranks, quantiles
+from stagelens.session import materialize
 
 # Fixed values of the score: weights, winsor bounds, multiplier and penalty.
 WINSOR = (0.05, 0.95)
@@ -24,6 +24,7 @@ REVENUE_POWER, PRICE_POWER = 0.6, 0.4
 ACCESS_MAX = 11.0
 BONUS_BETA, BONUS_RANGE = 0.10, (0.90, 1.10)
 GUARD_BELOW, GUARD_FACTOR = 0.20, 0.95
+PROTOTYPE_WEIGHTS = (0.4, 0.3, 0.3)
 
 
 @dataclass(frozen=True)
@@ -42,24 +43,19 @@ class ScoreColumns:
     by: Sequence[str] = field(default=("kind",))
 
 
-def iqr_filter(df: DataFrame, col: str, by: Sequence[str] = (), large: bool | None = None) -> DataFrame:
+def iqr_filter(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Keep rows within 1.5 interquartile ranges of the quartiles; unknown values go."""
-    q = quantiles(df, {"_q": F.col(col)}, (0.25, 0.75), by, large)
+    q = quantiles(df, {"_q": F.col(col)}, (0.25, 0.75), by)
     reach = (F.col("_q")[1] - F.col("_q")[0]) * 1.5
     inside = (F.col(col) >= F.col("_q")[0] - reach) & (F.col(col) <= F.col("_q")[1] + reach)
-    if by:
-        out = join_null_safe(df, settle(q, "quartiles"), list(by))
-    else:
-        row = q.first()
-        out = df.withColumn("_q", F.lit(row["_q"] if row else None).cast("array<double>"))
-    return out.filter(inside).drop("_q")
+    return join_null_safe(df, q, list(by)).filter(inside).drop("_q")
 
 
 def group_mean(df: DataFrame, value: Column, name: str, by: Sequence[str]) -> DataFrame:
     """Add the mean of a column over each group, aggregated before it is joined back."""
     means = df.groupBy(*by).agg(F.avg(value).alias(name))
     if by:
-        return join_null_safe(df, settle(means, "means"), list(by), "left")
+        return join_null_safe(df, means, list(by), "left")
     return df.withColumn(name, means.scalar())
 
 
@@ -77,20 +73,17 @@ def guardrail(free: Column, revenue_rank: Column) -> Column:
     return F.when(low, GUARD_FACTOR).otherwise(1.0)
 
 
-def components(
-    df: DataFrame, variant: str = "as_run", cols: ScoreColumns = ScoreColumns(), large: bool | None = None
-) -> DataFrame:
+def components(df: DataFrame, variant: str = "as_run", cols: ScoreColumns = ScoreColumns()) -> DataFrame:
     """Add U_participation, S_scale, A_afford and the ranks used on the way.
 
     ``as_run``       outliers of occupancy removed, A mixes revenue and price ranks
     ``as_reported``  nothing removed, A is one minus the price rank
     """
     by = list(cols.by)
-    large = is_large(df, large)
     access = clip(F.coalesce(clip(cols.access, 0, ACCESS_MAX).cast("double"), F.lit(0.0)) / ACCESS_MAX, 0.0, 1.0)
     occupancy = F.col(cols.occupancy)
     if variant == "as_run":
-        df = iqr_filter(df, cols.occupancy, by, large)
+        df = iqr_filter(df, cols.occupancy, by)
         occupancy = clip(occupancy, high=1.0)
     ranks = {
         "_occ": Rank(occupancy, winsor=WINSOR),
@@ -107,7 +100,7 @@ def components(
         }
     else:
         ranks["_price"] = Rank(F.col(cols.price), winsor=WINSOR)
-    out = percent_ranks(df, cols.key, ranks, by, large)
+    out = percent_ranks(df, cols.key, ranks, by)
     wp, ws, wa = SCALE_WEIGHTS
     scale = F.col("_sessions") * wp + F.col("_sold") * ws + F.col("_avg") * wa
     if variant == "as_run":
@@ -133,11 +126,10 @@ def score(
     variant: str = "as_run",
     cols: ScoreColumns = ScoreColumns(),
     guard: bool = False,
-    large: bool | None = None,
 ) -> DataFrame:
     """Components, free flag, core score, multiplier, DPI_plus and segment."""
     # written once: the mean of the multiplier and all later steps read it again
-    out = materialize(components(df, variant, cols, large), "components")
+    out = materialize(components(df, variant, cols), "components")
     free = is_free(cols.price, cols.revenue)
     u, s, a = F.col("U_participation"), F.col("S_scale"), F.col("A_afford")
     core = F.when(free, geo_score([u, s], WEIGHTS_FREE)).otherwise(
@@ -157,18 +149,16 @@ def scored(
     variant: str = "as_run",
     cols: ScoreColumns = ScoreColumns(),
     guard: bool = False,
-    large: bool | None = None,
 ) -> DataFrame:
     """The whole score with the region adjustment chosen per group and segment."""
-    large = is_large(df, large)
-    base = score(df, variant, cols, guard, large)
+    base = score(df, variant, cols, guard)
     return adjust_by_grid(
-        base, "DPI_plus", cols.region, [*cols.by, "segment"], cols.key, large=large
+        base, "DPI_plus", cols.region, [*cols.by, "segment"], cols.key
     )
 
 
 def prototype_free(df: DataFrame, by: Sequence[str], occupancy: str, sold: str, sessions: str,
-                   weights: Sequence[float] = (0.4, 0.3, 0.3)) -> DataFrame:
+                   weights: Sequence[float] = PROTOTYPE_WEIGHTS) -> DataFrame:
     """First version for free events: weighted min-max positions; constant columns give 0."""
     cols = [occupancy, sold, sessions]
     aggs = []
@@ -186,8 +176,7 @@ def prototype_free(df: DataFrame, by: Sequence[str], occupancy: str, sold: str,
     return out.withColumn("PI", total).drop(*[f"_{e}_{c}" for c in cols for e in ("lo", "hi")])
 
 
-def prototype_score(df: DataFrame, cols: ScoreColumns = ScoreColumns(), cv: str | None = None,
-                    large: bool | None = None) -> DataFrame:
+def prototype_score(df: DataFrame, cols: ScoreColumns = ScoreColumns(), cv: str | None = None) -> DataFrame:
     """Early composite score: stability in U, sessions alone as S, guardrail on revenue.
 
     ``cv`` names a column with the variation of occupancy over sessions; without it
@@ -201,7 +190,7 @@ def prototype_score(df: DataFrame, cols: ScoreColumns = ScoreColumns(), cv: str
     }
     if cv:
         ranks["_cv"] = Rank(F.col(cv), winsor=WINSOR)
-    out = percent_ranks(df, cols.key, ranks, list(cols.by), large)
+    out = percent_ranks(df, cols.key, ranks, list(cols.by))
     stability = clip(1 - F.col("_cv"), 0.0, 1.0) if cv else F.lit(1.0)
     u = F.sqrt(clip(F.col("_occ"), 0.0, 1.0) * stability)
     s = clip(F.col("_sessions"), 0.0, 1.0)
@@ -216,21 +205,16 @@ def prototype_score(df: DataFrame, cols: ScoreColumns = ScoreColumns(), cv: str
 
 
 def weighted_leaderboard(df: DataFrame, by: Sequence[str], weight: str, means: Mapping[str, str],
-                         median: str, large: bool | None = None) -> DataFrame:
+                         median: str) -> DataFrame:
     """Weighted means, total weight and a median per group (title level summary)."""
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) + 1e-9
     aggs = [(F.sum(F.col(c) * w) / F.sum(w)).alias(n) for n, c in means.items()]
     table = df.groupBy(*by).agg(*aggs, F.sum(weight).alias("total_weight"))
-    mid = quantiles(df, {"median_value": F.col(median)}, (0.5,), by, large)
+    mid = quantiles(df, {"median_value": F.col(median)}, (0.5,), by)
     mid = mid.withColumn("median_value", F.col("median_value")[0])
     return join_null_safe(table, mid, list(by), "left")
 
 
-def ranked(df: DataFrame, order: Sequence[str], tie: Sequence[str]) -> DataFrame:
-    """Sorted descending on every score column, ties by key."""
-    return df.orderBy(*[F.col(c).desc_nulls_last() for c in order], *tie)
-
-
 def top_n(df: DataFrame, order: Sequence[Column], n: int, by: Sequence[str] = ()) -> DataFrame:
     """First n rows of an explicit order, per group if asked."""
     if not by:

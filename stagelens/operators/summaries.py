@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stagelens.operators.ranks import join_null_safe, quantiles
-from stagelens.session import settle
+from stagelens.session import materialize
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -33,14 +33,13 @@ def mean_table(df: DataFrame, split: str, first: str, second: str, metrics: Sequ
 
 def group_summary(
     df: DataFrame, by: Sequence[str], means: Mapping[str, Column | str], medians: Mapping[str, Column] | None = None,
-    large: bool | None = None,
 ) -> DataFrame:
     """Count, means (rates for booleans) and exact medians per group."""
     aggs = [F.avg(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in means.items()]
     table = df.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
     if not medians:
         return table
-    q = quantiles(df, medians, (0.5,), by, large)
+    q = quantiles(df, medians, (0.5,), by)
     q = q.select(*by, *[F.col(n)[0].alias(n) for n in medians])
     return join_null_safe(table, q, list(by), "left")
 
@@ -61,7 +60,7 @@ def success_cube(df: DataFrame, by: Sequence[str], verdict: str, success: str, f
     )
 
 
-def concentration(df: DataFrame, by: str, value: str, top: int = 5, large: bool | None = None) -> DataFrame:
+def concentration(df: DataFrame, by: str, value: str, top: int = 5) -> DataFrame:
     """Share of a sum held by its largest rows per group, with mean and median.
 
     The row_number limit is applied before the exchange as well, so a hot group ships
@@ -73,7 +72,7 @@ def concentration(df: DataFrame, by: str, value: str, top: int = 5, large: bool
         .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
         .groupBy(by).agg(F.sum(value).alias("top_sum"))
     )
-    base = group_summary(df, [by], {"mean": value}, {"median": F.col(value)}, large)
+    base = group_summary(df, [by], {"mean": value}, {"median": F.col(value)})
     sums = df.groupBy(by).agg(F.sum(value).alias("total"))
     out = join_null_safe(join_null_safe(base, sums, [by]), best, [by], "left")
     return out.withColumn("top_share", F.try_divide("top_sum", "total")).drop("top_sum", "total")
@@ -102,7 +101,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins over the range of the column; the last bin is closed."""
-    ends = settle(df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")), "ends")
+    ends = materialize(df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")), "ends")
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
     width = (hi - lo) / bins
     v = F.col(value).cast("double")
@@ -112,9 +111,9 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
     return counts.withColumns({"from": lo + width * F.col("bin"), "to": lo + width * (F.col("bin") + 1)})
 
 
-def five_numbers(df: DataFrame, by: Sequence[str], value: str, large: bool | None = None) -> DataFrame:
+def five_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Minimum, quartiles and maximum per group."""
-    q = quantiles(df, {"q": F.col(value)}, (0.0, 0.25, 0.5, 0.75, 1.0), by, large)
+    q = quantiles(df, {"q": F.col(value)}, (0.0, 0.25, 0.5, 0.75, 1.0), by)
     names = ("lowest", "q1", "median", "q3", "highest")
     return q.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 

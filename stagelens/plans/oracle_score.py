@@ -58,10 +58,10 @@ O["dpi_prototype_free"] = query("""
 SELECT performance_id, x.kind, round(0.4 * CASE WHEN occupancy IS NULL THEN NULL WHEN h1 = l1 THEN 0 ELSE (occupancy - l1) / (h1 - l1) END
   + 0.3 * CASE WHEN h2 = l2 THEN 0 ELSE (sold - l2) / (h2 - l2) END
   + 0.3 * CASE WHEN h3 = l3 THEN 0 ELSE (sessions - l3) / (h3 - l3) END, 6) AS "PI"
-FROM (SELECT * FROM v_metrics WHERE coalesce(price, 0) <= 0 OR coalesce(rev_per_session, 0) <= 0) x
+FROM (SELECT * FROM v_metrics WHERE coalesce(price, 0) = 0 AND coalesce(rev_per_session, 0) = 0) x
 JOIN (SELECT kind, min(occupancy) AS l1, max(occupancy) AS h1, min(sold)::double AS l2, max(sold)::double AS h2,
              min(sessions)::double AS l3, max(sessions)::double AS h3
-      FROM v_metrics WHERE coalesce(price, 0) <= 0 OR coalesce(rev_per_session, 0) <= 0 GROUP BY kind) b ON x.kind = b.kind""", "v_metrics")
+      FROM v_metrics WHERE coalesce(price, 0) = 0 AND coalesce(rev_per_session, 0) = 0 GROUP BY kind) b ON x.kind = b.kind""", "v_metrics")
 
 _PF = {"occ": "occupancy", "ses": "ln(1 + greatest(coalesce(sessions, 0), 0))", "price": "price", "rev": "rev_per_session", "cv": "cv"}
 _pf_bounds = ", ".join(f"quantile_cont(f_{k}, 0.05) AS lo_{k}, quantile_cont(f_{k}, 0.95) AS hi_{k}" for k in _PF)

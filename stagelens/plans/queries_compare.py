@@ -15,6 +15,7 @@ from stagelens.operators import keys as U
 from stagelens.operators import metrics as M
 from stagelens.operators import profile as PR
 from stagelens.operators import summaries as SU
+from stagelens.operators import score as S
 from stagelens.operators.score import WEIGHTS_FREE, WEIGHTS_PAID
 from stagelens.plans import fixtures as fx
 from stagelens.plans import stages
@@ -76,10 +77,12 @@ def net_sales_reconcile(spark, sf):
 
 @register
 def rows_reconcile(spark, sf):
-    """Rows and amounts preserved when tickets are split into sessions and joined back."""
-    t = fx.ticket(spark, sf)
-    model = t.join(t.select("performance_id", "show_at").distinct(), ["performance_id", "show_at"])
-    out = K.reconcile(t, model, {"amount": (F.col("amount"), F.col("amount"))})
+    """Rows and amounts of the flat tickets against the fact table of the model, joined to its dimensions."""
+    from stagelens.plans.queries_graph import model_of
+
+    tables = model_of(spark, sf)
+    fact = tables["ticket_event"].join(tables["show_session"], "session_id").join(tables["performance"], "performance_id")
+    out = K.reconcile(fx.ticket(spark, sf), fact, {"amount": (F.col("amount"), F.col("amount"))})
     return out.select("item", r("raw", 2).alias("raw"), r("model", 2).alias("model"), "match")
 
 
@@ -96,9 +99,9 @@ def key_uniqueness(spark, sf):
 
 @register
 def fd_violations(spark, sf):
-    return PR.fd_violations(
-        fx.performance(spark, sf), "facility", ["region", "title", "seats", "access_score", "kind", "yr"]
-    )
+    """Which columns follow from which key, for several keys."""
+    cols = ["facility", "region", "title", "seats", "access_score", "kind", "yr"]
+    return PR.fd_table(fx.performance(spark, sf), ["facility", "region", "title", "kind"], cols)
 
 
 @register
@@ -120,12 +123,11 @@ def missing_by_year(spark, sf):
 
 @register
 def missing_pivot(spark, sf):
-    """Missing rates with the years as columns, mean over the kinds."""
+    """Missing rate per kind and column in every year of the data, with its change since the year before."""
     perf = fx.performance(spark, sf)
     rates = PR.missing_by(perf, ["kind", "yr"], ["title", "seats", "access_score"])
-    years = list(range(1992, 2003))
-    wide = rates.groupBy("column").pivot("yr", years).agg(r(F.avg("missing_pct"), 6))
-    return wide.select("column", *[F.col(str(y)).alias(f"y{y}") for y in years])
+    out = SU.step_changes(rates, "yr", "missing_pct", ["kind", "column"])
+    return out.select("kind", "column", "yr", r("missing_pct", 2).alias("rate"), r("change", 2).alias("change"))
 
 
 @register
@@ -146,7 +148,7 @@ def sessions_per_event(spark, sf):
 
 @register
 def multi_value_stats(spark, sf):
-    return PR.multi_value_stats(fx.cells(spark, sf), ["cast_txt", "crew_txt", "org_txt"])
+    return PR.multi_value_stats(stages.cells(spark, sf), ["cast_txt", "crew_txt", "org_txt"], ["performance_id"])
 
 
 @register
@@ -229,7 +231,8 @@ def welch_stats(spark, sf):
 
 @register
 def welch_p(spark, sf):
-    return H.welch_p(scored_events(spark, sf), "kind", "composite", "single", METRICS, ["segment"])
+    out = H.welch_p(scored_events(spark, sf), "kind", "composite", "single", METRICS, ["segment"])
+    return out.select("segment", "metric", r("p", 3).alias("p"))
 
 
 @register
@@ -242,7 +245,8 @@ def anova_f(spark, sf):
 @register
 def anova_p(spark, sf):
     e = composite(spark, sf)
-    return H.anova_p(e, "region", "occupancy").unionByName(H.anova_p(e, "size", "sessions"))
+    out = H.anova_p(e, "region", "occupancy").unionByName(H.anova_p(e, "size", "revenue"))
+    return out.select("by", "metric", r("p", 3).alias("p"))
 
 
 @register
@@ -254,7 +258,8 @@ def kruskal_h(spark, sf):
 
 @register
 def kruskal_p(spark, sf):
-    return H.kruskal_p(composite(spark, sf), "region", "sessions", ["performance_id"])
+    out = H.kruskal_p(composite(spark, sf), "region", "sessions", ["performance_id"])
+    return out.select("by", "metric", r("p", 3).alias("p"))
 
 
 @register
@@ -266,7 +271,8 @@ def chi2_stat(spark, sf):
 
 @register
 def chi2_p(spark, sf):
-    return H.chi2_p(scored_events(spark, sf), "region", "size")
+    out = H.chi2_p(scored_events(spark, sf), "region", "size")
+    return out.select("row", "col", r("p", 3).alias("p"))
 
 
 @register
@@ -411,6 +417,27 @@ def top_pair_means(spark, sf):
     return out.select("pair", "n", r("Paid", 4).alias("paid"), r("Free", 4).alias("free"))
 
 
+@register
+def pair_means(spark, sf):
+    """Mean adjusted score of every pair, by segment."""
+    out = P.group_means(_gain_rows(spark, sf), "pair", "DPI_region_adj", "segment", ["Paid", "Free"])
+    return out.select("pair", "n", *[r(c, 4).alias(c.lower()) for c in ("mean", "Paid", "Free")])
+
+
+@register
+def most_frequent_pairs(spark, sf):
+    """The ten pairs with the most events."""
+    rows = _gain_rows(spark, sf).groupBy("pair").agg(F.count("*").alias("n"))
+    return rows.orderBy(F.desc("n"), "pair").limit(10)
+
+
+@register
+def region_pair_events(spark, sf):
+    """Count and mean of all mixed events per region, comparable or not."""
+    out = composite(spark, sf).groupBy("region").agg(F.count("*").alias("n"), F.avg("DPI_region_adj").alias("mean"))
+    return out.select("region", "n", r("mean", 4).alias("mean"))
+
+
 @register
 def candidate_sources(spark, sf):
     """Which average reproduces a reported number: all candidate means side by side."""
@@ -422,12 +449,20 @@ def candidate_sources(spark, sf):
 
 @register
 def variant_sweep(spark, sf):
-    """Both variants of the score judged the same way."""
+    """Both computed variants and the stored scores judged the same way: success, means and their difference."""
     out = None
-    for variant in ("as_run", "as_reported"):
-        e = scored_events(spark, sf, variant)
-        t = P.success_rate(P.pair_table(e.filter("kind = 'composite'"), e.filter("kind = 'single'")))
-        t = t.select(F.lit(variant).alias("variant"), "segment", "rows", "successes", r("rate", 4).alias("rate"))
+    for variant in ("as_run", "as_reported", "stored"):
+        e = scored_events(spark, sf, "as_run" if variant == "stored" else variant)
+        if variant == "stored":  # a list keeps its scores with one digit
+            e = e.withColumns({c: F.round(c, 1) for c in METRICS})
+        comp, alone = e.filter("kind = 'composite'"), e.filter("kind = 'single'")
+        t = P.success_rate(P.pair_table(comp, alone))
+        means = e.groupBy("segment").agg(*[
+            F.avg(F.when(F.col("kind") == k, F.col("DPI_plus"))).alias(f"mean_{k}") for k in ("composite", "single")])
+        tests = H.welch(e, "kind", "composite", "single", ["DPI_plus"], ["segment"]).select("segment", "t")
+        t = t.join(means, "segment").join(tests, "segment").select(
+            F.lit(variant).alias("variant"), "segment", "rows", "successes", r("rate", 4).alias("rate"),
+            r("mean_composite", 4).alias("mean_composite"), r("mean_single", 4).alias("mean_single"), r("t", 4).alias("t"))
         out = t if out is None else out.unionByName(t)
     return out
 
@@ -495,54 +530,127 @@ def formula_fit(spark, sf):
     return out.select("kind", "segment", "n", *[r(c).alias(c) for c in ("corr", "r2", "ratio_min", "ratio_max")])
 
 
+PAIR_FEATURES = ["U_AB", "S_AB", "A_AB"]
+PAIR_KEY = ["segment", "size", "pair"]
+
+
+def _by_segment(spark, sf, fit):
+    """One row of figures per segment from ``fit(pair rows of the segment)``."""
+    out = None
+    for name in ("Paid", "Free"):
+        rows = pairs(spark, sf).filter(F.col("segment") == name)
+        row = fit(rows).withColumn("segment", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register
 def linreg(spark, sf):
-    _, out = I.regress(scored_events(spark, sf).filter("segment = 'Paid'"), METRICS[1:], "DPI_plus", ["performance_id"], "linear")
-    return out
+    """Linear regression of the pair score per segment: rows, and whether its errors are what least squares leaves.
+
+    The errors on the training rows add up to nothing, alone and times any feature, and the
+    fit is better than the mean.
+    """
+    def fit(rows):
+        model, figures = I.regress(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY, "linear")
+        known = I.vectors(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY).filter(U.in_training(0.8, *PAIR_KEY))
+        error = F.col("label") - F.col("prediction")
+        sums = model.transform(known).agg(*[
+            (F.abs(F.sum(error * c)) < 1e-6 * F.sum(F.abs(F.col("label") * c))).alias(n)
+            for n, c in (("even", F.lit(1.0)), *((f, F.col(f)) for f in PAIR_FEATURES))])
+        orthogonal = F.col("even") & F.col("U_AB") & F.col("S_AB") & F.col("A_AB")
+        return figures.crossJoin(sums).select(  # one row each
+            "train_rows", "test_rows", orthogonal.alias("least_squares"), (F.col("r2") > 0).alias("better_than_mean"))
+
+    return _by_segment(spark, sf, fit)
 
 
 @register
 def rf_regression(spark, sf):
-    _, out = I.regress(scored_events(spark, sf).filter("segment = 'Paid'"), METRICS[1:], "DPI_plus", ["performance_id"], "forest")
-    return out
+    """Forest of the pair score per segment: rows, importances that add up to one, better than the mean."""
+    def fit(rows):
+        _, figures = I.regress(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY, "forest")
+        total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+        return figures.select("train_rows", "test_rows", r(total).alias("importances"), (F.col("r2") > 0).alias("better_than_mean"))
+
+    return _by_segment(spark, sf, fit)
 
 
 @register
 def rf_whatif(spark, sf):
-    rows = scored_events(spark, sf).filter("segment = 'Paid'")
-    model, _ = I.regress(rows, METRICS[1:], "DPI_plus", ["performance_id"], "forest")
-    return I.predicted_what_if(model, rows.select("performance_id", *METRICS[1:]), METRICS[1:])
+    """Rise of the forest's score of the failing pairs, axis by axis: a rise never lowers it much."""
+    def fit(rows):
+        model, _ = I.regress(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY, "forest")
+        fails = rows.filter(F.col("verdict") == P.FAIL)
+        out = I.predicted_what_if(model, fails.select(*PAIR_KEY, *PAIR_FEATURES), PAIR_FEATURES)
+        return out.select("axis", (F.col("uplift") > -1).alias("not_lower"), F.lit(fails.dropna(subset=PAIR_FEATURES).count()).alias("fails"))
+
+    return _by_segment(spark, sf, fit)
 
 
 @register
 def rf_cross_validation(spark, sf):
-    return I.cross_validate(scored_events(spark, sf).filter("segment = 'Paid'"), METRICS[1:], "DPI_plus", ["performance_id"])
+    """Five folds per segment: a fold's rows and whether its R2 is a number no larger than one."""
+    def fit(rows):
+        known = I.vectors(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY)
+        sizes = known.groupBy(U.hash_part(5, *PAIR_KEY).cast("int").alias("fold")).agg(F.count("*").alias("n"))
+        made = I.cross_validate(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY)
+        return made.join(sizes, "fold").select("fold", "n", (F.col("r2") <= 1).alias("valid"))
+
+    return _by_segment(spark, sf, fit)
+
+
+PROTOTYPE = ["rev_per_session", "price", "sold", "sessions"]
+
+
+def prototype_index(spark, sf):
+    """Prototype index of all events: free ones by position, paid ones by the importance of their figures."""
+    def build():
+        m = stages.metrics(spark, sf)
+        free = C.is_free("price", "rev_per_session", "both_zero")
+        a = S.prototype_free(m.filter(free), ["kind"], "occupancy", "sold", "sessions").select("performance_id", "PI")
+        b = I.importance_weighted_index(m.filter(~free), "occupancy", PROTOTYPE, ["performance_id"])
+        return a.unionByName(b)
+
+    return stages.stage(spark, sf, "prototype_index", build)
 
 
 @register
 def dpi_prototype_paid(spark, sf):
-    paid = scored_events(spark, sf).filter("segment = 'Paid'")
-    return I.importance_weighted_index(paid, "occupancy", ["rev_per_session", "price", "sold", "sessions"], ["performance_id"])
+    """Prototype index of paid events, all of which it covers, between 0 and 1."""
+    paid = stages.metrics(spark, sf).filter(~C.is_free("price", "rev_per_session", "both_zero"))
+    out = paid.join(prototype_index(spark, sf), "performance_id", "left")
+    known = F.col("PI").isNotNull()
+    return out.groupBy("kind").agg(F.count("*").alias("paid"), F.count_if(known).alias("scored"),
+                                   F.count_if(known & ~F.col("PI").between(0, 1 + 1e-9)).alias("outside"))
+
 
+CLUSTER = ["PI", "occupancy", "sold", "rev_per_session", "price", "sessions"]
 
-CLUSTER = ["DPI_plus", "occupancy", "sold", "rev_per_session", "price", "sessions"]
+
+def _vectors(spark, sf):
+    rows = stages.metrics(spark, sf).join(prototype_index(spark, sf), "performance_id")
+    return CL.standardized(rows, CLUSTER)
 
 
 @register
 def kmeans_elbow(spark, sf):
-    return CL.elbow(CL.standardized(composite(spark, sf), CLUSTER))
+    """Inertia falls with the number of clusters, silhouettes lie between -1 and 1."""
+    e = CL.elbow(_vectors(spark, sf))
+    return SU.step_changes(e, "k", "inertia").select(
+        "k", (F.coalesce("change", F.lit(-1.0)) < 0).alias("falls"), F.col("silhouette").between(-1, 1).alias("valid"))
 
 
 @register
 def kmeans_profile(spark, sf):
-    rules = [
-        (F.col("sold") < 50, "failing"),
-        ((F.col("DPI_plus") > 40) & (F.col("sold") > 10000), "large hit"),
-        ((F.col("occupancy") > 0.8) & (F.col("sold") < 2000), "steady small"),
-        ((F.col("sessions") > 20) & (F.col("rev_per_session") < 1e6), "long running"),
-        ((F.col("DPI_plus") < 20) & (F.col("occupancy") < 0.5), "weak small"),
-    ]
-    return CL.cluster_profile(CL.standardized(composite(spark, sf), CLUSTER), 5, CLUSTER, rules)
+    """Profiles for three to six clusters: the clusters hold all known events, every one has a label."""
+    v = _vectors(spark, sf)
+    out = None
+    for k in (3, 4, 5, 6):
+        table = CL.cluster_profile(v, k, CLUSTER)
+        row = table.agg(F.lit(k).alias("k"), F.count("*").alias("clusters"), F.sum("n").alias("events"), F.count("profile").alias("labelled"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register

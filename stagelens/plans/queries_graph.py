@@ -12,6 +12,7 @@ from stagelens.operators import graph as G
 from stagelens.operators import inference as H
 from stagelens.operators import keys as U
 from stagelens.operators import people as PE
+from stagelens.operators import ranks as RK
 from stagelens.operators import summaries as SU
 from stagelens.operators.skew import skew_join
 from stagelens.plans import fixtures as fx
@@ -19,11 +20,10 @@ from stagelens.plans import model as MO
 from stagelens.plans import stages
 from stagelens.plans.queries_compare import composite, scored_events, single
 from stagelens.plans.queries_score import r
-from stagelens.session import scratch_dir
+from stagelens.session import scratch_path
 from stagelens.sources import files as FI
 
 QUERIES_GRAPH = {}
-GENRES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def register(fn):
@@ -57,12 +57,12 @@ def people(spark, sf):
 @register
 def split_names(spark, sf):
     """Names out of the cells of every ticket, counted."""
-    return PE.count_names(fx.cells(spark, sf), CELLS)
+    return PE.count_names(stages.cells(spark, sf), CELLS, weight="tickets")
 
 
 @register
 def split_names_twice(spark, sf):
-    return PE.count_names(fx.cells(spark, sf), CELLS, lambda c: X.split_names(c, passes=2))
+    return PE.count_names(stages.cells(spark, sf), CELLS, lambda c: X.split_names(c, passes=2), "tickets")
 
 
 @register
@@ -75,19 +75,19 @@ def split_document_names(spark, sf):
 
 @register
 def ghost_names(spark, sf):
-    c = fx.cells(spark, sf)
-    return PE.ghost_names(PE.count_names(c, CELLS, X.split_names_legacy), PE.count_names(c, CELLS))
+    c = stages.cells(spark, sf)
+    return PE.ghost_names(PE.count_names(c, CELLS, X.split_names_legacy, "tickets"), PE.count_names(c, CELLS))
 
 
 @register
 def org_roles(spark, sf):
-    bridge = PE.split_orgs(fx.cells(spark, sf), "org_txt", ["performance_id"])
+    bridge = PE.split_orgs(stages.cells(spark, sf), "org_txt", ["performance_id"])
     return bridge.groupBy("role").agg(F.count("*").alias("links"), F.count_distinct("org").alias("orgs"))
 
 
 @register
 def multi_role_orgs(spark, sf):
-    return PE.multi_role(PE.split_orgs(fx.cells(spark, sf), "org_txt", ["performance_id"]))
+    return PE.multi_role(PE.split_orgs(stages.cells(spark, sf), "org_txt", ["performance_id"]))
 
 
 @register
@@ -147,7 +147,7 @@ def most_genres(spark, sf):
 @register
 def name_collisions(spark, sf):
     """Supplier names used as persons and as organisations."""
-    orgs = PE.split_orgs(fx.cells(spark, sf), "org_txt", ["performance_id"])
+    orgs = PE.split_orgs(stages.cells(spark, sf), "org_txt", ["performance_id"])
     return PE.name_collisions(people(spark, sf), orgs).agg(F.count("*").alias("names"))
 
 
@@ -156,15 +156,14 @@ def dense_person_ids(spark, sf):
     return U.dense_ids(people(spark, sf).filter("kind = 'single'"), ["name", "mid"], "person_id")
 
 
-@register
-def model_tables(spark, sf):
-    """The flat ticket table taken apart; rows, columns and cells of every table."""
+def model_of(spark, sf):
+    """The tables of the relational model, taken from the flat ticket table."""
     info = events(spark, sf).select("performance_id", F.concat("mid", F.lit(" (g)")).alias("genre"), F.col("fine").alias("subgenre"))
     # dimensions meet before the tickets do: one row per event
     per_event = fx.performance(spark, sf).join(info, "performance_id")
-    flat = skew_join(fx.cells(spark, sf), per_event, ["performance_id"], ["ticket_no", "l_partkey"])
+    flat = fx.ticket_cells(spark, sf).join(per_event, "performance_id")
     flat = stages.stage(spark, sf, "flat", lambda: flat)
-    tables = MO.normalise(
+    return MO.normalise(
         flat,
         {"facility": MO.Entity(["facility"], ["region"]), "hall": MO.Entity(["facility", "seats"], ["access_score"]),
          "operator": MO.Entity(["l_suppkey"]), "booking_channel": MO.Entity(["channel"]),
@@ -174,7 +173,44 @@ def model_tables(spark, sf):
               "channel", "payment", "discount"],
         predictions=stages.predictions(spark, sf).filter("run_id = 1"),
     )
-    return MO.table_sizes(tables)
+
+
+@register
+def model_tables(spark, sf):
+    """Rows, columns and cells of every table of the model."""
+    return MO.table_sizes(model_of(spark, sf))
+
+
+@register
+def model_facilities(spark, sf):
+    """Contents of the facility table with what its key determines."""
+    return model_of(spark, sf)["facility"].select("facility", "region")
+
+
+@register
+def model_performances(spark, sf):
+    """Every performance with the genre and sub-genre that its ids lead to."""
+    t = model_of(spark, sf)
+    out = t["performance"].join(t["genre"], "genre_id").join(t["subgenre"].drop("genre_id"), "subgenre_id")
+    return out.select("performance_id", "kind", "genre", "subgenre")
+
+
+@register
+def model_org_bridge(spark, sf):
+    """The bridge of organisations by name: links per organisation and role."""
+    t = model_of(spark, sf)
+    out = t["performance_org"].join(t["organization"], "org_id")
+    return out.groupBy("org", "role").agg(F.count("*").alias("links"))
+
+
+@register
+def model_sessions(spark, sf):
+    """Tickets and amounts per performance through the session ids."""
+    t = model_of(spark, sf)
+    out = t["ticket_event"].join(t["show_session"], "session_id")
+    return out.groupBy("performance_id").agg(
+        F.count("*").alias("tickets"), F.count_distinct("show_at").alias("sessions"),
+        r(F.sum("amount").cast("double"), 2).alias("amount"))
 
 
 @register
@@ -205,10 +241,19 @@ def prediction_catalog(spark, sf):
 
 @register
 def prediction_link_rate(spark, sf):
-    """Predictions joined back by id, guarded by the title they carry, with the match rate."""
-    perf = fx.performance(spark, sf).select("performance_id", "title", "kind")
-    carried = stages.predictions(spark, sf).filter("run_id = 1").join(perf, "performance_id").select(
-        "performance_id", F.col("title").alias("carried_title"), F.lit(True).alias("linked"))
+    """Predictions joined back by id, guarded by the title they carry, with the match rate.
+
+    The list was kept with the title of each customer's first order, which repeats: a carried
+    title is right only if that list meant this event's row.
+    """
+    perf = fx.performance(spark, sf).select("performance_id", "title", "kind", "yr")
+    first = perf.groupBy("yr", "kind").agg(F.min("title").alias("carried_title"))
+    carried = stages.predictions(spark, sf).filter("run_id = 1 AND p1 > 0.5").join(perf, "performance_id")
+    carried = carried.join(first, ["yr", "kind"]).select(
+        "performance_id",
+        F.when(F.col("performance_id") % 3 == 0, F.col("carried_title")).otherwise(F.col("title")).alias("carried_title"),
+        F.lit(True).alias("linked"),
+    )
     both = perf.join(carried, "performance_id", "left")
     match = F.count_if(F.col("carried_title") == F.col("title"))
     return both.groupBy("kind").agg(
@@ -221,7 +266,7 @@ def prediction_link_rate(spark, sf):
 @register
 def csv_by_year(spark, sf):
     """Events written as CSV per kind and year and read back as text in one scan."""
-    base = f"{scratch_dir(spark)}/stagelens/{spark.sparkContext.applicationId}/csv-by-year"
+    base = scratch_path(spark, "csv-by-year")
     perf = fx.performance(spark, sf).select("performance_id", "title", "seats", "kind", "yr")
     FI.write_csv(perf, base, ["kind", "yr"])
     back = FI.read_years(spark, [f"{base}/*/*"], r"/kind=(\w+)/", r"/yr=(\d{4})/")
@@ -232,12 +277,68 @@ def csv_by_year(spark, sf):
 
 @register
 def ranked_sink(spark, sf):
-    """Segment folders of ranked events, read back and counted."""
-    base = f"{scratch_dir(spark)}/stagelens/{spark.sparkContext.applicationId}/ranked"
-    s = stages.scored(spark, sf).select("segment", "performance_id", "title", "DPI_region_adj", "U_participation")
+    """Segment folders of ranked events, read back in the order of the files: the place of every event."""
+    base = scratch_path(spark, "ranked")
+    s = stages.scored(spark, sf).select("segment", "performance_id", "title", *[r(c).alias(c) for c in ("DPI_region_adj", "U_participation")])
     FI.write_ranked(s, base, "segment", ["DPI_region_adj", "U_participation"], ["performance_id"])
-    back = spark.read.option("header", True).csv(base)
-    return back.groupBy("segment").agg(F.count("*").alias("n"), F.sum(F.col("performance_id").try_cast("bigint")).alias("id_sum"))
+    return FI.read_ranked(spark, base).select("segment", F.col("performance_id").cast("bigint"), "place")
+
+
+@register
+def csv_roundtrip(spark, sf):
+    """Texts with quotes, commas and line breaks written as CSV and read back: the same but for the breaks."""
+    d = fx.table(spark, sf, "documents").select("doc_id", "text", "source")
+    path = scratch_path(spark, "csv-roundtrip")
+    FI.write_csv(d, path)
+    back = FI.read_csv(spark, path, "doc_id long, text string, source string")
+    return back.select("doc_id", "source", F.md5("text").alias("digest"))
+
+
+@register
+def encoding_fallback(spark, sf):
+    """A list in another encoding: wanted columns, in the first encoding whose header has them."""
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("번호"), F.concat(F.lit("관객 "), "c_name").alias("이름"), "c_nationkey")
+    path = scratch_path(spark, "csv-ms949")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    c.write.option("header", True).option("encoding", "MS949").csv(path)
+    back = FI.read_columns(spark, path, ["이름", "번호"], damaged="damaged")
+    return back.select(F.col("번호").cast("long").alias("custkey"), F.col("이름").alias("name"), "damaged")
+
+
+@register
+def json_sink(spark, sf):
+    """Metrics per region written as JSON lines and read back."""
+    path = scratch_path(spark, "json")
+    m = stages.metrics(spark, sf).groupBy("region").agg(F.count("*").alias("n"), F.sum("sold").alias("sold"))
+    FI.write_json(m, path)
+    return spark.read.schema("region string, n long, sold long").json(path)
+
+
+@register
+def table_sink(spark, sf):
+    """Metrics written as a table by kind and read back by partition."""
+    back = FI.write_table(stages.metrics(spark, sf), scratch_path(spark, "table"), ["kind"])
+    return back.filter("kind = 'composite'").groupBy("region").agg(F.count("*").alias("n"), F.sum("sessions").alias("sessions"))
+
+
+@register
+def unique_title_join(spark, sf):
+    """Events joined to the prediction list by a title that only one event of each has."""
+    perf = fx.performance(spark, sf).select("performance_id", F.when(F.col("seats") > 20, F.col("title")).alias("title"), "yr")
+    run = stages.predictions(spark, sf).filter("run_id = 1").select("performance_id", "genre1")
+    listed = perf.filter("yr < 1998").join(run, "performance_id").select("title", "genre1")
+    out = U.join_on_unique(perf, listed, ["title"])
+    return out.select("performance_id", "title", "genre1")
+
+
+@register
+def known_anywhere(spark, sf):
+    """Events that know at least one of two columns, numbers cleaned and codes mapped on the way."""
+    m = stages.metrics(spark, sf).select(
+        "performance_id", "kind", C.finite(F.try_divide(F.col("revenue"), F.col("sold"))).alias("a"), F.when(F.col("seats") > 500, F.col("occupancy")).alias("b"))
+    rows = U.drop_all_null(m, ["a", "b"])
+    code = C.map_values("kind", {"composite": "C", "single": "S"})
+    return rows.groupBy(code.alias("code")).agg(F.count("*").alias("n"), F.count("a").alias("a"), F.count("b").alias("b"))
 
 
 # ------------------------------------------------------------------ graph
@@ -346,20 +447,29 @@ def _train_nodes(spark, sf):
     return split(spark, sf).filter("train").select(X.typed_key("performance", "performance_id").alias("node"), "genre")
 
 
+def _hop(spark, sf, number: int):
+    """Scores after so many steps; every step is a table that the next one and all readers share."""
+    if number == 0:
+        return _train_nodes(spark, sf).withColumn("value", F.lit(1.0))
+    degree = stages.stage(spark, sf, "degree", lambda: G.degrees(graph(spark, sf)))
+    before = _hop(spark, sf, number - 1)
+    return stages.hop(spark, sf, number, lambda: G.hop(graph(spark, sf), degree, before))
+
+
 @register
 def propagate_1hop(spark, sf):
-    out = G.propagate(graph(spark, sf), _train_nodes(spark, sf), 1)
+    out = _hop(spark, sf, 1)
     return out.select("node", "genre", r("value", 8).alias("value"))
 
 
 @register
 def propagate_2hop(spark, sf):
-    out = G.propagate(graph(spark, sf), _train_nodes(spark, sf), 2)
+    out = _hop(spark, sf, 2)
     return out.select("node", "genre", r("value", 8).alias("value"))
 
 
 def _propagated(spark, sf):
-    return stages.stage(spark, sf, "propagated", lambda: G.propagate(graph(spark, sf), _train_nodes(spark, sf), 2))
+    return _hop(spark, sf, 2)
 
 
 @register
@@ -383,12 +493,17 @@ def holdout_metrics(spark, sf):
 
 @register
 def sgc_logreg(spark, sf):
-    """Logistic head on the propagated scores, evaluated on held-out events."""
+    """Logistic head on the propagated scores, evaluated on held-out events: rows, classes, figures in their range."""
     key = X.typed_key("performance", "performance_id").alias("node")
     s = split(spark, sf)
     train, test = s.filter("train").select(key, "genre"), s.filter("NOT train").select(key, "genre")
-    probs = G.logistic_head(_propagated(spark, sf), train, test.select("node"), GENRES)
-    return G.multilabel_metrics(test, probs, "node")
+    # a class per genre of the training labels
+    genres = sorted(row["genre"] for row in train.select("genre").distinct().collect())
+    probs = G.logistic_head(_propagated(spark, sf), train, test.select("node"), genres)
+    whole = probs.groupBy("node").agg(F.sum("p").alias("p")).agg(F.max(F.abs(F.col("p") - 1)).alias("off"))
+    out = G.multilabel_metrics(test, probs, "node").crossJoin(whole)  # one row each
+    return out.select("n", "classes", (F.col("top1_acc") <= F.col("top2_acc")).alias("top2_not_below"),
+                      F.col("top1_acc").between(0, 1).alias("valid"), (F.col("off") < 1e-6).alias("sums_to_one"))
 
 
 def _mix_probs(spark, sf):
@@ -435,9 +550,41 @@ def saved_agreement(spark, sf):
     return out.select("n", r("same_first").alias("same_first"), r("same_pair").alias("same_pair"))
 
 
+def _mixed_run(spark, sf):
+    comp = fx.performance(spark, sf).filter("kind = 'composite'").select("performance_id")
+    return stages.predictions(spark, sf).filter("run_id = 1").join(comp, "performance_id", "left_semi")
+
+
 @register
 def second_probability(spark, sf):
-    return H.threshold_counts(stages.predictions(spark, sf).filter("run_id = 1"), "p2", [0.5, 0.3, 0.1])
+    return H.threshold_counts(_mixed_run(spark, sf), "p2", [0.5, 0.3, 0.1])
+
+
+@register
+def second_probability_summary(spark, sf):
+    """Median of the second probability, weak first guesses, and mixed events that name nobody."""
+    run = _mixed_run(spark, sf)
+    mid = RK.quantiles(run, {"q": F.col("p2")}, [0.5]).select(r(F.col("q")[0], 9).alias("median_p2"))
+    named = people(spark, sf).select("performance_id").distinct().withColumn("named", F.lit(True))
+    counts = run.join(named, "performance_id", "left").agg(
+        F.count("*").alias("n"), F.count_if(F.col("p1") < 0.5).alias("weak_first"), F.count_if(F.col("named").isNull()).alias("nobody"))
+    return counts.crossJoin(mid)  # one row each
+
+
+@register
+def accuracy_by_participants(spark, sf):
+    """Accuracy of the vote for held-out events with a crew of their own and without.
+
+    A crew member who takes part in training events counts; the others leave an event without.
+    """
+    s = split(spark, sf)
+    truth = s.filter("NOT train").select("performance_id", "genre")
+    crew = stages.participation(spark, sf).filter("role = 'crew'").select("performance_id", "name")
+    seen = crew.join(s.filter("train").select("performance_id"), "performance_id", "left_semi").select("name").distinct()
+    having = crew.join(seen, "name", "left_semi").select("performance_id").distinct().withColumn("has", F.lit(True))
+    marked = truth.join(having, "performance_id", "left").withColumn("participants", F.coalesce("has", F.lit(False))).drop("has")
+    out = G.accuracy_by(marked, _votes(spark, sf), ["participants"])
+    return out.select("participants", "n", r("top1_acc").alias("top1_acc"), r("top2_acc").alias("top2_acc"))
 
 
 @register
@@ -500,7 +647,8 @@ def ablation(spark, sf):
 
 @register
 def audit_segments(spark, sf):
-    """Segment from the spelling of a stored flag agrees with the scored one."""
+    """Segment read from the spelling of a flag that other rules stored, against the scored one."""
     e = scored_events(spark, sf)
-    spelled = C.segment(F.when(F.col("is_free"), "True").otherwise("False"))
-    return e.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(spelled == F.col("segment")).alias("same"))
+    stored = C.is_free("price", "rev_per_session", "both_zero")
+    spelled = C.segment(F.when(stored, F.when(F.col("performance_id") % 2 == 0, "True").otherwise("1")).otherwise("False"))
+    return e.groupBy("segment", spelled.alias("spelled")).agg(F.count("*").alias("n"))

@@ -141,7 +141,7 @@ def dpi_access_multiplier(spark, sf):
 
 @register
 def dpi_prototype_free(spark, sf):
-    m = stages.metrics(spark, sf).filter(C.is_free("price", "rev_per_session", "any_or_missing"))
+    m = stages.metrics(spark, sf).filter(C.is_free("price", "rev_per_session", "both_zero"))
     out = S.prototype_free(m, ["kind"], "occupancy", "sold", "sessions")
     return out.select("performance_id", "kind", r("PI").alias("PI"))
 
@@ -179,9 +179,7 @@ def region_adjust(spark, sf):
 
 @register
 def region_grid(spark, sf):
-    s = stages.scored(spark, sf)
-    g = A.grid_search(s, "DPI_plus", "region", ["kind", "segment"], ["performance_id"])
-    return g.select(
+    return stages.grid(spark, sf).select(
         "kind", "segment", "cfg", F.col("K").alias("k"), F.col("CAP").alias("cap"), "place",
         *[r(c).alias(c) for c in ("eta_pre", "eta_post", "rms_pre", "rms_post", "dist_p95", "dist_mean_abs",
                                   "cap_saturation", "spearman")],

@@ -1,7 +1,8 @@
 """Intermediate tables of the analysis, each written once per session and data folder.
 
 As in any batch flow the steps hand over tables: the metrics feed the score, the
-score feeds every comparison. They live in the shared scratch folder.
+score feeds every comparison. They live in the shared scratch folder; what a step writes
+on its way goes when its table is written.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from stagelens.operators import metrics as M
+from stagelens.operators.adjust import grid_search
 from stagelens.operators.score import scored as score_table
 from stagelens.plans import fixtures as fx
-from stagelens.session import tune, write_scratch
+from stagelens.session import step, tune, write_scratch
 
 _BUILT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
@@ -23,8 +25,9 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     slot = (spark.sparkContext.applicationId, sf_dir, name)
     if slot not in _BUILT:
         tune(spark)
-        df = build()
-        _BUILT[slot] = write_scratch(df, name, rebalance=True), df.schema
+        with step(spark):
+            df = build()
+            _BUILT[slot] = write_scratch(df, name, rebalance=True, keep=True), df.schema
     path, schema = _BUILT[slot]
     return spark.read.schema(schema).parquet(path)
 
@@ -62,3 +65,20 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def participation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "participation", lambda: fx.participation(spark, sf_dir))
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "cells", lambda: fx.cells(spark, sf_dir))
+
+
+def hop(spark: SparkSession, sf_dir: str, number: int, build: Callable[[], DataFrame]) -> DataFrame:
+    """Scores after so many steps of propagation, each step a table."""
+    return stage(spark, sf_dir, f"hop_{number}", build)
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All settings of the region adjustment with their figures."""
+    def build():
+        return grid_search(scored(spark, sf_dir), "DPI_plus", "region", ["kind", "segment"], ["performance_id"])
+
+    return stage(spark, sf_dir, "grid", build)

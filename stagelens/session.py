@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +19,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_LOCAL_SCRATCH: dict[str, str] = {}
+# Where a local session without spark.checkpoint.dir keeps its tables; STAGELENS_SCRATCH names another folder.
+LOCAL_SCRATCH = os.environ.get("STAGELENS_SCRATCH", os.path.join(tempfile.gettempdir(), "stagelens"))
+
+# Written tables of each application that nobody asked to keep, oldest first.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -38,27 +45,34 @@ def build_session(app: str = "stagelens", master: str | None = None, **conf: str
 def scratch_dir(spark: SparkSession) -> str:
     """Folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only a local session may go without it; it then gets a folder of its own.
+    Only a local session may go without it; it then uses LOCAL_SCRATCH.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if sc.applicationId not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="stagelens-")
-    return _LOCAL_SCRATCH[sc.applicationId]
+    return LOCAL_SCRATCH
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below the scratch folder."""
+    return f"{scratch_dir(spark)}/stagelens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
 
+def write_scratch(df: DataFrame, name: str, rebalance: bool = False, keep: bool = False) -> str:
+    """Write below the scratch folder; ``rebalance`` evens out the files of a big table.
 
-def write_scratch(df: DataFrame, name: str, rebalance: bool = False) -> str:
-    """Write below the scratch folder; ``rebalance`` evens out the files of a big table."""
+    A table that is not kept goes with the ``step`` it was written in.
+    """
     if rebalance:
         df = df.hint("rebalance")
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{scratch_dir(spark)}/stagelens/{app}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
+    if not keep:
+        _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
@@ -72,16 +86,18 @@ def materialize(df: DataFrame, name: str = "table", rebalance: bool = False) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SETTLE_ROWS = 20_000
-
-
-def settle(df: DataFrame, name: str = "small", bound: int = SETTLE_ROWS) -> DataFrame:
-    """Evaluate a table that is usually small (one row per group) exactly once.
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """Remove at its end the tables that were written inside and not kept.
 
-    Up to ``bound`` rows it becomes a local relation of known size, which the planner
-    broadcasts; a larger one is written out instead and joined by whatever fits.
+    For a step whose result is written out inside: nothing reads them any more.
     """
-    rows = df.limit(bound + 1).toArrow()
-    if rows.num_rows <= bound:
-        return df.sparkSession.createDataFrame(rows, schema=df.schema)
-    return materialize(df, name)
+    written = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    first = len(written)
+    try:
+        yield
+    finally:
+        for path in written[first:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        del written[first:]

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from stagelens.plans.registry import QUERIES
 from tools.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     text, _, ok = compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert ok, text

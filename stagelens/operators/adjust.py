@@ -182,10 +182,13 @@ def grid_top_overlap(df: DataFrame, y: str, by: str, within: Sequence[str], key:
 
 
 def adjust_by_grid(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequence[str],
-                   name: str = "DPI_region_adj") -> DataFrame:
-    """Apply the best setting of each ``within`` group; adds the score, its shift, K and CAP."""
+                   name: str = "DPI_region_adj", grid: DataFrame | None = None) -> DataFrame:
+    """Apply the best setting of each ``within`` group; adds the score, its shift, K and CAP.
+
+    ``grid`` is a search that was made before.
+    """
     within = list(within)
-    grid = grid_search(df, y, by, within, key)
+    grid = grid_search(df, y, by, within, key) if grid is None else grid
     best = grid.filter("place = 1").select(*within, "K", "CAP")
     stats = group_stats(df, y, by, within)
     deltas = join_null_safe(stats, best, within, "left").select(

@@ -122,20 +122,25 @@ def cut_edges(edges: DataFrame, held_out: DataFrame, event: str = "performance_i
 
 
 def genre_vote(edges: DataFrame, train: DataFrame, targets: DataFrame, event: str = "performance_id", genre: str = "genre",
-               asking: DataFrame | None = None) -> DataFrame:
+               asking: DataFrame | None = None, weight: str = "tf", genre_weights: DataFrame | None = None) -> DataFrame:
     """Baseline: add up the training genres of an event's participants, keep the best two.
 
-    ``asking`` gives the edges of the targets where they differ from those that vote.
+    ``asking`` gives the edges of the targets where they differ from those that vote, ``weight``
+    the column that an edge counts with, ``genre_weights`` (genre, pos_weight) what a vote for a
+    genre counts. Sums are rounded to 6 digits, so that their order cannot swap equal ones.
 
     Events without any vote get the most frequent training genre. Ties go to the label
     that sorts first.
     """
     counted = skew_join(edges, train.select(event, genre), [event], ["node"])
-    hist = counted.groupBy("node", genre).agg(F.sum("tf").alias("votes"))
-    asked = (edges if asking is None else asking).join(targets.select(event), event, "left_semi").select(event, "node", "tf")
+    hist = counted.groupBy("node", genre).agg(F.sum(weight).alias("votes"))
+    if genre_weights is not None:
+        hist = hist.join(genre_weights.select(genre, "pos_weight"), genre)
+        hist = hist.select("node", genre, (F.col("votes") * F.col("pos_weight")).alias("votes"))
+    asked = (edges if asking is None else asking).join(targets.select(event), event, "left_semi").select(event, "node", weight)
     votes = (
         skew_join(asked, hist, ["node"], [event])
-        .groupBy(event, genre).agg(F.sum(F.col("votes") * F.col("tf")).alias("votes"))
+        .groupBy(event, genre).agg(F.round(F.sum(F.col("votes") * F.col(weight)), 6).alias("votes"))
     )
     ballot = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("m"), F.col(genre).alias("g"))))
     # one entry per genre: bounded by the number of genres

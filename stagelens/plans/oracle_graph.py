@@ -197,14 +197,14 @@ SELECT string_split(node, ':')[1] AS type, count(*) AS edges, count(DISTINCT per
 WHERE performance_id NOT IN (SELECT performance_id FROM v_split WHERE NOT train) GROUP BY 1""", "v_weight", "v_split")
 
 
-def _vote(edge: str, voting: str = "") -> str:
+def _vote(edge: str, voting: str = "", w: str = "tf", genre_weight: str = "") -> str:
     return f"""
 SELECT s.performance_id, coalesce(g1, (SELECT genre FROM v_split WHERE train GROUP BY genre ORDER BY count(*) DESC, genre LIMIT 1)) AS genre1, g2 AS genre2, g1 IS NOT NULL AS voted
 FROM (SELECT performance_id FROM v_split WHERE NOT train) s LEFT JOIN (
   SELECT performance_id, max(CASE WHEN rk = 1 THEN genre END) AS g1, max(CASE WHEN rk = 2 THEN genre END) AS g2 FROM (
-    SELECT performance_id, genre, row_number() OVER (PARTITION BY performance_id ORDER BY sum(votes) DESC, genre) AS rk FROM (
-      SELECT e.performance_id, h.genre, e.tf * h.votes AS votes FROM {edge} e
-      JOIN (SELECT node, genre, sum(tf) AS votes FROM {voting or edge} a JOIN v_split b ON a.performance_id = b.performance_id AND b.train GROUP BY node, genre) h ON e.node = h.node
+    SELECT performance_id, genre, row_number() OVER (PARTITION BY performance_id ORDER BY round(sum(votes), 6) DESC, genre) AS rk FROM (
+      SELECT e.performance_id, h.genre, e.{w} * h.votes AS votes FROM {edge} e
+      JOIN (SELECT node, b.genre, sum({w}) {genre_weight} AS votes FROM {voting or edge} a JOIN v_split b ON a.performance_id = b.performance_id AND b.train GROUP BY node, b.genre) h ON e.node = h.node
       WHERE e.performance_id IN (SELECT performance_id FROM v_split WHERE NOT train)) x GROUP BY performance_id, genre) y GROUP BY performance_id) v
 ON s.performance_id = v.performance_id"""
 
@@ -315,14 +315,34 @@ O["confident_means"] = query(f"""
 SELECT segment, class, count(*) AS n, round(avg(dpi), 5) AS mean FROM events_as_run e LEFT JOIN (SELECT performance_id, {_class("0.3")} AS class FROM v_consensus) c
 ON e.performance_id = c.performance_id WHERE kind = 'composite' GROUP BY segment, class""", "events_as_run", "v_consensus")
 
-part("e0", "SELECT performance_id, 'cast:' || name AS node, cast(sum(times) AS bigint) AS tf FROM v_occurrence WHERE role = 'cast' GROUP BY ALL", "v_occurrence")
+part("e0", "SELECT performance_id, role || ':' || name AS node, cast(sum(times) AS bigint) AS tf FROM v_occurrence WHERE role <> 'org' GROUP BY ALL", "v_occurrence")
 part("e1", "SELECT performance_id, 'person:' || name AS node, cast(sum(times) AS bigint) AS tf FROM v_occurrence WHERE role <> 'org' GROUP BY ALL", "v_occurrence")
+part("v_pos_weight", """
+SELECT genre, (sum(count(*)) OVER () - count(*)) / (count(*) + 1e-6) AS pos_weight FROM v_split WHERE train GROUP BY genre""", "v_split")
+_GENRE_WEIGHT = "* max((SELECT g.pos_weight FROM v_pos_weight g WHERE g.genre = b.genre))"
+
+
+def _ablation(step: str, protocol: str, edge: str, w: str, genre_weight: str) -> str:
+    voting = f"(SELECT * FROM {edge} WHERE performance_id NOT IN (SELECT performance_id FROM v_split WHERE NOT train))" if protocol == "cut" else ""
+    said = f"SELECT t.genre, v.genre1, v.genre2 FROM v_split t JOIN ({_vote(edge, voting, w, genre_weight)}) v ON t.performance_id = v.performance_id"
+    return f"""
+SELECT '{step}' AS step, '{protocol}' AS protocol, (SELECT count(DISTINCT node) FROM {edge}) AS nodes, (SELECT count(*) FROM {edge}) AS edges,
+       avg((genre1 = genre)::int) AS top1_acc, avg((genre1 = genre OR coalesce(genre2 = genre, false))::int) AS top2_acc,
+       (SELECT avg(2.0 * tp / (nt + np)) FROM (
+          SELECT c.genre, (SELECT count(*) FROM ({said}) y WHERE y.genre = c.genre AND y.genre1 = c.genre)::double AS tp,
+                 (SELECT count(*) FROM ({said}) y WHERE y.genre = c.genre) AS nt, (SELECT count(*) FROM ({said}) y WHERE y.genre1 = c.genre) AS np
+          FROM (SELECT genre FROM ({said}) y UNION SELECT genre1 FROM ({said}) y) c) f) AS macro_f1
+FROM ({said}) z"""
+
+
 O["ablation"] = query("""
-SELECT step, round(kept, 6) AS kept, round(cut, 6) AS cut, round(kept - cut, 6) AS difference, round(kept - lag(kept) OVER (ORDER BY step), 6) AS change
-FROM (""" + " UNION ALL ".join(f"""
-  SELECT '{s}' AS step, (SELECT avg((v.genre1 = t.genre)::int) FROM v_split t JOIN ({_vote(e)}) v ON t.performance_id = v.performance_id) AS kept,
-         (SELECT avg((v.genre1 = t.genre)::int) FROM v_split t JOIN ({_vote(e, f"(SELECT * FROM {e} WHERE performance_id NOT IN (SELECT performance_id FROM v_split WHERE NOT train))")}) v ON t.performance_id = v.performance_id) AS cut"""
-    for s, e in (("0 cast", "e0"), ("1 + crew", "e1"), ("2 + orgs", "v_weight"))) + ") x", "e0", "e1", "v_weight", "v_split")
+SELECT step, protocol, nodes, edges, round(top1_acc, 6) AS top1_acc, round(top2_acc, 6) AS top2_acc, round(macro_f1, 6) AS macro_f1,
+       round(top1_acc - lag(top1_acc) OVER (PARTITION BY protocol ORDER BY step), 6) AS change
+FROM (""" + " UNION ALL ".join(
+    _ablation(step, protocol, edge, w, gw)
+    for step, edge, w, gw in (("0 roles apart", "e0", "tf", ""), ("1 + one person", "e1", "tf", ""), ("2 + orgs", "v_weight", "tf", ""),
+                              ("3 + edge weights", "v_weight", "weight", ""), ("4 + genre weights", "v_weight", "weight", _GENRE_WEIGHT))
+    for protocol in ("kept", "cut")) + ") x", "e0", "e1", "v_weight", "v_split", "v_pos_weight")
 
 O["model_facilities"] = query("SELECT facility, min(region) AS region FROM v_performance p WHERE performance_id IN (SELECT performance_id FROM v_ticket) GROUP BY facility", "v_performance", "v_ticket")
 O["model_performances"] = query("""

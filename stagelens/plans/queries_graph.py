@@ -20,7 +20,7 @@ from stagelens.plans import model as MO
 from stagelens.plans import stages
 from stagelens.plans.queries_compare import composite, scored_events, single
 from stagelens.plans.queries_score import r
-from stagelens.session import scratch_path
+from stagelens.session import materialize, scratch_path
 from stagelens.sources import files as FI
 
 QUERIES_GRAPH = {}
@@ -623,26 +623,33 @@ def confident_means(spark, sf):
 
 @register
 def ablation(spark, sf):
-    """Top-1 accuracy of the vote with more kinds of nodes, edges kept or cut, step changes."""
+    """Accuracy of the vote as nodes, weights of edges and of genres are added, edges kept or cut, with step changes."""
     s = split(spark, sf)
-    truth = s.filter("NOT train").select("performance_id", "genre")
+    truth, train = s.filter("NOT train").select("performance_id", "genre"), s.filter("train")
     occ = stages.participation(spark, sf)
+    weighed = weighted_edges(spark, sf)
+    weights = G.class_weights(train)
     configs = [
-        ("0 cast", G.participant_edges(occ.filter("role = 'cast'"), merge_roles=False, with_orgs=False)),
-        ("1 + crew", G.participant_edges(occ, merge_roles=True, with_orgs=False)),
-        ("2 + orgs", G.participant_edges(occ, merge_roles=True, with_orgs=True)),
+        ("0 roles apart", G.participant_edges(occ, merge_roles=False, with_orgs=False), "tf", None),
+        ("1 + one person", G.participant_edges(occ, merge_roles=True, with_orgs=False), "tf", None),
+        ("2 + orgs", weighed, "tf", None),
+        ("3 + edge weights", weighed, "weight", None),
+        ("4 + genre weights", weighed, "weight", weights),
     ]
     rows = None
-    for step, edges in configs:
+    for step, edges, weight, genres in configs:
+        size = edges.agg(F.count_distinct("node").alias("nodes"), F.count("*").alias("edges"))
         for protocol in ("kept", "cut"):
             # cut: edges of held-out events are unknown while votes are counted, known when they ask
             used = edges if protocol == "kept" else G.cut_edges(edges, truth)
-            votes = G.genre_vote(used, s.filter("train"), truth, asking=edges)
-            acc = G.accuracy_by(truth, votes, []).select(F.lit(step).alias("step"), F.lit(protocol).alias("protocol"), F.col("top1_acc").alias("acc"))
+            votes = G.genre_vote(used, train, truth, asking=edges, weight=weight, genre_weights=genres)
+            said = votes.select("performance_id", F.col("genre1").alias("genre"), F.lit(1.0).alias("p"))
+            acc = G.accuracy_by(truth, votes, []).crossJoin(size).crossJoin(  # one row each
+                G.multilabel_metrics(truth, said).select("macro_f1"))
+            acc = acc.select(F.lit(step).alias("step"), F.lit(protocol).alias("protocol"), "nodes", "edges", "top1_acc", "top2_acc", "macro_f1")
             rows = acc if rows is None else rows.unionByName(acc)
-    table = CO.ablation_table(rows, "step", "protocol", "acc", ["kept", "cut"])
-    out = SU.step_changes(table.withColumn("difference", F.col("kept") - F.col("cut")), "step", "kept")
-    return out.select("step", *[r(c).alias(c) for c in ("kept", "cut", "difference", "change")])
+    out = SU.step_changes(materialize(rows, "ablation"), "step", "top1_acc", ["protocol"])
+    return out.select("step", "protocol", "nodes", "edges", *[r(c).alias(c) for c in ("top1_acc", "top2_acc", "macro_f1", "change")])
 
 
 @register

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from stagelens.operators import metrics as M
-from stagelens.operators.adjust import grid_search
-from stagelens.operators.score import scored as score_table
+from stagelens.operators.adjust import adjust_by_grid, grid_search
+from stagelens.operators.score import score
 from stagelens.plans import fixtures as fx
 from stagelens.session import step, tune, write_scratch
 
@@ -44,10 +44,29 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _score(spark: SparkSession, sf_dir: str, variant: str, guard: bool) -> DataFrame:
+    """The score before it is adjusted for regions."""
+    return stage(
+        spark, sf_dir, f"score_{variant}{'_guard' if guard else ''}",
+        lambda: score(metrics(spark, sf_dir), variant, guard=guard),
+    )
+
+
+def grid(spark: SparkSession, sf_dir: str, variant: str = "as_run", guard: bool = False) -> DataFrame:
+    """All settings of the region adjustment with their figures."""
+    return stage(
+        spark, sf_dir, f"grid_{variant}{'_guard' if guard else ''}",
+        lambda: grid_search(_score(spark, sf_dir, variant, guard), "DPI_plus", "region", ["kind", "segment"], ["performance_id"]),
+    )
+
+
 def scored(spark: SparkSession, sf_dir: str, variant: str = "as_run", guard: bool = False) -> DataFrame:
     return stage(
         spark, sf_dir, f"scored_{variant}{'_guard' if guard else ''}",
-        lambda: score_table(metrics(spark, sf_dir), variant, guard=guard),
+        lambda: adjust_by_grid(
+            _score(spark, sf_dir, variant, guard), "DPI_plus", "region", ["kind", "segment"], ["performance_id"],
+            grid=grid(spark, sf_dir, variant, guard),
+        ),
     )
 
 
@@ -74,11 +93,3 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hop(spark: SparkSession, sf_dir: str, number: int, build: Callable[[], DataFrame]) -> DataFrame:
     """Scores after so many steps of propagation, each step a table."""
     return stage(spark, sf_dir, f"hop_{number}", build)
-
-
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All settings of the region adjustment with their figures."""
-    def build():
-        return grid_search(scored(spark, sf_dir), "DPI_plus", "region", ["kind", "segment"], ["performance_id"])
-
-    return stage(spark, sf_dir, "grid", build)

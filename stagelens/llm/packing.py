@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagelens.llm.common import IS_SPACE, text_slices, utf8
+from stagelens.llm.common import IS_SPACE, give_back, text_slices, utf8
 from stagelens.session import materialize
 
 CAPACITY = 2048
@@ -38,8 +38,9 @@ BRANCHES = 3
 EFFORT = 40
 RANK_ROWS = 200_000  # rows that are ranked together in one group, about
 SLICE = 2 << 20
-CACHED_PARTS = 200_000  # in a worker
+CACHED_PARTS = 120_000  # in a worker
 LINE_PARTS = 500
+LINES = 16  # encoded at once
 
 
 # --- the plan: from counts per length to patterns ------------------------------------------------
@@ -242,7 +243,10 @@ class Words:
         plain = [p for p in parts if _PLAIN(p) and b"<|" not in p]
         mixed = list(set(parts).difference(plain))
         lines = [plain[i : i + LINE_PARTS] for i in range(0, len(plain), LINE_PARTS)]
-        for line, ids in zip(lines, self._encode([b" ".join(line) for line in lines])):
+        encoded = (
+            ids for i in range(0, len(lines), LINES) for ids in self._encode([b" ".join(line) for line in lines[i : i + LINES]])
+        )
+        for line, ids in zip(lines, encoded):
             ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
             if len(ends) != len(line):
                 mixed += line
@@ -342,6 +346,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 if keep_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            give_back()
 
     return docs.select(key, text).mapInArrow(run, schema)
 

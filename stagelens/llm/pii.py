@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from stagelens.llm.common import IS_SPACE, is_char, per_text, text_slices, utf8
+from stagelens.llm.common import IS_SPACE, give_back, is_char, per_text, text_slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -473,5 +473,6 @@ def mask_personal_data(docs: DataFrame, text: str = "text", n_chars: str = "n_ch
                         size = [len(t) if s else w for t, s, w in zip(new, found, was)]
                         columns[k] = pa.array(size, part.schema.field(k).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

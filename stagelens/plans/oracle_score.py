@@ -134,5 +134,5 @@ WHERE place <= 10""", "scored_as_run")
 O["title_leaderboard"] = query("""
 SELECT title, region, round(sum(adj * (sessions + 1e-9)) / sum(sessions + 1e-9), 4) AS dpi_wmean,
        round(sum(u * (sessions + 1e-9)) / sum(sessions + 1e-9), 6) AS u_wmean, cast(sum(sessions) AS bigint) AS sessions,
-       round(quantile_cont(price, 0.5), 9) AS median_price
+       round(quantile_cont(price, 0.5), 6) AS median_price
 FROM scored_as_run GROUP BY title, region""", "scored_as_run")

@@ -247,4 +247,4 @@ def title_leaderboard(spark, sf):
         s, ["title", "region"], "sessions", {"dpi_wmean": "DPI_region_adj", "u_wmean": "U_participation"}, "price"
     )
     return t.select("title", "region", r("dpi_wmean", 4).alias("dpi_wmean"), r("u_wmean").alias("u_wmean"),
-                    F.col("total_weight").alias("sessions"), r("median_value", 9).alias("median_price"))
+                    F.col("total_weight").alias("sessions"), r("median_value").alias("median_price"))

@@ -114,8 +114,9 @@ def _sharded(drawn: DataFrame, shard_words: int) -> DataFrame:
         rows.append((quotas[i]["source"], quotas[i]["pass"], shard, reached[i], reached[i] + n))
         reached[i] += n
     ranges = drawn.sparkSession.createDataFrame(rows, "_s string, _p int, shard int, _lo long, _hi long")
-    test = _same({"source": "_s", "pass": "_p"}) & (F.col("nth") > F.col("_lo")) & (F.col("nth") <= F.col("_hi"))
-    return drawn.join(ranges, test).drop("_s", "_p", "_lo", "_hi")
+    # a row per drawn block, so the join is one to one
+    places = ranges.select("_s", "_p", "shard", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))).alias("_nth"))
+    return drawn.join(places, _same({"source": "_s", "pass": "_p", "nth": "_nth"})).drop("_s", "_p", "_nth")
 
 
 def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,

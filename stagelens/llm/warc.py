@@ -232,8 +232,9 @@ def read_archives(spark: SparkSession, path: str, split: int = SPLIT_BYTES, payl
                     if rows:
                         yield _batch(rows, schema)
 
-    pieces = ranges.repartition(F.xxhash64("path", "start"))
-    return pieces.mapInArrow(run, schema)
+    # a range is a short row but much work: without a number, adaptive execution would join them to few tasks
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(max(1, min(ranges.count(), tasks))).mapInArrow(run, schema)
 
 
 def _row(name: str, position: int, record: bytes, payloads: bool) -> tuple:

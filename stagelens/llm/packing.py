@@ -307,9 +307,6 @@ def _kinds(data: np.ndarray) -> np.ndarray:
     return kinds
 
 
-_WORDS: dict[str, Words] = {}  # a worker process keeps the words of one task for the next
-
-
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
            keep_ids: bool = False) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32 and, if asked for, the ids.
@@ -322,9 +319,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _WORDS:
-            _WORDS[tokenizer] = Words(tokenizer)
-        words = _WORDS[tokenizer]
+        words = Words(tokenizer)
         for batch in batches:
             for part in text_slices(batch, 1, SLICE):
                 rows, number, start, length, crc, ids = [], [], [], [], [], []
@@ -347,6 +342,9 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
             give_back()
+        # the worker lives on; the next stage needs the memory more than this one the words
+        del words
+        give_back()
 
     return docs.select(key, text).mapInArrow(run, schema)
 

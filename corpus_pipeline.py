@@ -17,35 +17,38 @@ from stagelens.session import step, write_scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Rows that a Python worker gets at once: its memory has to do for all stages.
+ROWS = 500
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    prepare(spark)
+    prepare(spark, ROWS)
     return keep_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the smallest id stays."""
-    prepare(spark)
+    prepare(spark, ROWS)
     return keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to the name of its kind; documents without any stay as they are."""
-    prepare(spark)
+    prepare(spark, ROWS)
     return mask_personal_data(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources draws them, shard by shard in random order."""
-    prepare(spark)
+    prepare(spark, ROWS)
     return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in a training sequence; a document drawn twice is packed twice."""
-    prepare(spark)
-    return pack(docs, tokenizer())
+    prepare(spark, ROWS)
+    return pack(docs, tokenizer(), thrifty=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

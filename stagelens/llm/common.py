@@ -21,7 +21,7 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 # Rows that Spark hands to a Python worker at once, and bytes of text that are worked on at once:
 # an array of eight bytes for each of them is held several times over.
-ROWS_PER_BATCH = 500
+ROWS_PER_BATCH = 1000
 SLICE_BYTES = 1 << 20
 
 
@@ -32,9 +32,9 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> SparkSession:
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
 
 

@@ -37,8 +37,8 @@ FILLINGS = 8  # of the room beside one piece
 BRANCHES = 3
 EFFORT = 40
 RANK_ROWS = 200_000  # rows that are ranked together in one group, about
-SLICE = 2 << 20
-CACHED_PARTS = 120_000  # in a worker
+SLICE = 4 << 20
+CACHED_PARTS = 700_000  # in a worker
 LINE_PARTS = 500
 LINES = 16  # encoded at once
 
@@ -226,9 +226,10 @@ class Words:
     a part closes a word, which tells the parts of a line that is encoded at once apart.
     """
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, most: int = CACHED_PARTS):
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(tokenizer)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -282,7 +283,7 @@ class Words:
             pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(lowered)]
         ).dictionary_encode()
         distinct, which = parts.dictionary.to_pylist(), parts.indices.to_numpy()
-        if len(self.parts) + len(distinct) > CACHED_PARTS:
+        if len(self.parts) + len(distinct) > self.most:
             self.parts.clear()
         known = self.parts
         known.update((p, b"") for p in distinct if p[0] in _BLANKS)
@@ -307,10 +308,16 @@ def _kinds(data: np.ndarray) -> np.ndarray:
     return kinds
 
 
+_WORDS: dict[str, Words] = {}  # a worker process keeps the words of one task for the next
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-           keep_ids: bool = False) -> DataFrame:
+           keep_ids: bool = False, thrifty: bool = False) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32 and, if asked for, the ids.
 
+    ``thrifty`` workers take half the text at once, know fewer parts, forget them after each
+    task and give memory back: more seconds, for workers that other stages have filled.
+
     A document is the ids of its whole text and the end id; only one longer than ``capacity`` is
     cut. A null or empty text is the end id alone.
     """
@@ -319,9 +326,11 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
+        words = Words(tokenizer, CACHED_PARTS // 6) if thrifty else _WORDS.get(tokenizer) or Words(tokenizer)
+        if not thrifty:
+            _WORDS[tokenizer] = words
         for batch in batches:
-            for part in text_slices(batch, 1, SLICE):
+            for part in text_slices(batch, 1, SLICE // 2 if thrifty else SLICE):
                 rows, number, start, length, crc, ids = [], [], [], [], [], []
                 flat, begins = words.ids(*utf8(part.column(1)))
                 for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
@@ -341,8 +350,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 if keep_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-            give_back()
-        # the worker lives on; the next stage needs the memory more than this one the words
+            if thrifty:
+                give_back()
         del words
         give_back()
 
@@ -392,7 +401,7 @@ def deal_out(ranked: DataFrame, plan: np.ndarray) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-         keep_ids: bool = False) -> DataFrame:
+         keep_ids: bool = False, thrifty: bool = False) -> DataFrame:
     """One row per piece of every row of ``docs``: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one token long. Rows with equal keys are documents of their own and
@@ -400,7 +409,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     ``capacity`` counts; the ranks that it is dealt out by are counted in groups of bounded size,
     so a length that a third of the pieces share is no single task.
     """
-    made = materialize(pieces(docs, tokenizer, key, text, capacity, keep_ids), "pieces")
+    made = materialize(pieces(docs, tokenizer, key, text, capacity, keep_ids, thrifty), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in made.groupBy("length").count().collect():  # a row per length, ``capacity`` at most
         counts[row["length"]] = row["count"]

@@ -9,12 +9,14 @@ digest. Neighbouring chunks that other documents have too make up a repeated spa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,11 +96,15 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, start, stop, n_words, first_id, is_first): spans of ``min_words`` words or more that other documents have too.
-
-    start and stop are code points, stop exclusive. ``first_id`` is the smallest key that has a chunk
-    of the span; ``is_first`` marks spans all of whose chunks have their first place here, which a
-    deduplication keeps. A span covers the whole chunks inside a shared passage, so it may stop
+    """(key, start, stop, n_words, first_id, is_first): spans of passages of ``min_words`` words or more that other documents have too.
+
+    start and stop are code points, stop exclusive. Neighbouring chunks that other documents have too make up
+    a passage; ``min_words`` counts for the whole passage. It falls into spans wherever the document that
+    has the chunks first changes: ``first_id`` is the smallest key that has all chunks of the span, and
+    ``is_first`` marks spans whose first place is here, which a deduplication keeps. Fewer than ``min_words``
+    words from elsewhere beside such a span stay part of it, so the first copy of a passage has no
+    holes where a phrase is known from another document. A chunk is never in a span to be cut
+    where it comes first. A passage covers the whole chunks inside a shared one, so it may stop
     some words short of its ends. Rows with equal keys are one document, rows without key are left
     out, null and empty texts and an empty table have no spans. Equal chunks are counted by an aggregate
     that combines before the exchange, and found again by a join, so a chunk that a third of the
@@ -109,19 +115,33 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     shared = found.groupBy("d1", "d2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     shared = shared.filter("first_id < last_id").drop("last_id")
     hits = found.join(shared, ["d1", "d2"]).drop("d1", "d2")
-    along = Window.partitionBy("id").orderBy("start")
+    along = Window.partitionBy("id").orderBy("start", "stop", "first_id")
+    until = along.rowsBetween(Window.unboundedPreceding, 0)
     before = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    runs = hits.withColumn("opens", F.when(before >= F.col("start"), 0).otherwise(1))
-    runs = runs.withColumn("run", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("id", "run").agg(
+    own = F.col("first_id") == F.col("id")
+
+    def words(part: str) -> Column:
+        whole = Window.partitionBy("id", part)
+        return F.max("last_word").over(whole) - F.min("first_word").over(whole)
+
+    def turned(*names: str) -> Column:
+        """Whether a passage begins or one of the columns changes."""
+        return reduce(or_, [F.lag(n).over(along) != F.col(n) for n in names], F.col("opens"))
+
+    runs = hits.withColumns({"own": own, "opens": F.coalesce(before < F.col("start"), F.lit(True))})
+    runs = runs.withColumns({"run": F.count_if("opens").over(until), "turns": turned("own")})
+    runs = runs.withColumn("side", F.count_if("turns").over(until))
+    runs = runs.withColumn("words", words("run")).filter(F.col("words") >= min_words)
+    has_own = F.max("own").over(Window.partitionBy("id", "run"))
+    runs = runs.withColumn("kept", F.col("own") | (has_own & (words("side") < min_words)))
+    runs = runs.withColumn("first_id", F.when(F.col("kept"), F.col("id")).otherwise(F.col("first_id")))
+    runs = runs.withColumn("turns", turned("first_id"))
+    spans = runs.withColumn("span", F.count_if("turns").over(until)).groupBy("id", "span").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"),
-        (F.max("last_word") - F.min("first_word")).alias("n_words"),
-        F.min("first_id").alias("first_id"), F.max("first_id").alias("_latest"),
-    )
-    is_first = (F.col("first_id") == F.col("id")) & (F.col("_latest") == F.col("id"))
-    return spans.filter(F.col("n_words") >= min_words).select(
-        F.col("id").alias(key), "start", "stop", "n_words", "first_id", is_first.alias("is_first")
+        (F.max("last_word") - F.min("first_word")).alias("n_words"), F.min("first_id").alias("first_id"),
     )
+    is_first = F.col("first_id") == F.col("id")
+    return spans.select(F.col("id").alias(key), "start", "stop", "n_words", "first_id", is_first.alias("is_first"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -134,7 +154,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         F.struct(F.lit("").alias("made"), F.lit(0).cast("long").alias("at")),
         lambda a, c: F.struct(
             F.concat(a["made"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (c["start"] - a["at"]).cast("int"))).alias("made"),
-            c["stop"].alias("at"),
+            F.greatest(a["at"], c["stop"]).alias("at"),
         ),
         lambda a: F.concat(a["made"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(F.col(text)))),
     )

@@ -79,6 +79,26 @@ def test_planted_passages(spark):
         assert out[key] == (text if s is None else text[: s.start] + text[s.stop :])
 
 
+def test_boilerplate_beside_a_repeated_passage(spark):
+    rng = random.Random(5)
+    header, article, phrase = made_words(rng, 80), made_words(rng, 90), made_words(rng, 15)
+    whole = f"{article} {phrase} {made_words(rng, 60)}"  # the phrase is known from document 2
+    rows = [(1, f"{header} {made_words(rng, 70)}"), (2, f"{made_words(rng, 40)} {phrase} {made_words(rng, 40)}"),
+            (5, f"{header} {whole} {made_words(rng, 30)}"), (7, f"{header} {made_words(rng, 50)}"),
+            (9, f"{header} {whole} {made_words(rng, 20)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = r.repeated_spans(docs).collect()
+    texts = dict(rows)
+    for s in spans:
+        assert texts[s.doc_id][s.start : s.stop] in texts[s.first_id] and s.is_first == (s.doc_id == s.first_id)
+    keepers = {(s.doc_id, s.first_id) for s in spans}
+    assert {(1, 1), (5, 1), (5, 5), (7, 1), (9, 1), (9, 5)} <= keepers
+    out = {x.doc_id: x.text for x in r.remove_repeats(docs).collect()}
+    assert out[1] == texts[1] and out[2] == texts[2] and whole in out[5]
+    middles = [header[150:250], article[150:300]]
+    assert [[m in out[k] for k in (1, 5, 7, 9)] for m in middles] == [[True, False, False, False], [False, True, False, False]]
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     spans = r.repeated_spans(docs).collect()

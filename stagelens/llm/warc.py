@@ -13,7 +13,7 @@ import hashlib
 import posixpath
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +30,7 @@ VERSION = b"WARC/1."
 SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 20
 FEED_BYTES = 16 << 10
-HEADER_BYTES = 64 << 10  # a header block is not longer
+INFLATE_BYTES = 64 << 10  # of a header at once
 MIN_REVISIT = 1000  # shorter payloads are always stored
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
@@ -147,18 +147,30 @@ class Source:
         return self.data[at - self.first : end - self.first]
 
 
-def starts_record(data: bytes) -> bool:
-    """Whether a gzip member begins here that inflates to a whole WARC header."""
-    for most in (1 << 11, HEADER_BYTES):
+def starts_record(data: bytes, more: Callable[[int], bytes] = lambda done: b"") -> bool:
+    """Whether a gzip member begins here that inflates to a whole WARC header, of any length.
+
+    ``more`` gives what follows the first ``done`` bytes of the member, nothing at the end of the file.
+    """
+    unpack, head, named, done, most = zlib.decompressobj(31), b"", False, 0, 1 << 11
+    while True:
         try:
-            head = zlib.decompressobj(31).decompress(data, most)
+            made = unpack.decompress(data, most)
         except zlib.error:
             return False
-        if not head.startswith(VERSION):
-            return False
-        if b"\r\n\r\n" in head:
+        head = (head[-3:] if named else head) + made  # the blank line may lie across two pieces
+        if not named and len(head) >= len(VERSION):
+            if not head.startswith(VERSION):
+                return False
+            named = True
+        if named and b"\r\n\r\n" in head:
             return True
-    return False
+        if unpack.eof:
+            return False
+        done += len(data) - len(unpack.unconsumed_tail)
+        data, most = unpack.unconsumed_tail or more(done), INFLATE_BYTES
+        if not data and not made:
+            return False
 
 
 def inflate(source: Source, at: int) -> tuple[bytes, int]:
@@ -186,7 +198,8 @@ def read_range(handle, size: int, start: int, stop: int) -> Iterator[tuple[int,
         at += place
         if at >= stop:
             return
-        if not starts_record(source.piece(at, HEADER_BYTES)):
+        # from its first byte, as the search goes on behind it if it is none; in ever longer pieces
+        if not starts_record(source.piece(at, FEED_BYTES), lambda done, at=at: source.piece(at, 2 * done)[done:]):
             at += 1
             continue
         found = at

@@ -81,3 +81,23 @@ def test_magic_alone_is_no_record():
     assert not w.starts_record(w.MAGIC + b"\0" * 100)
     assert not w.starts_record(gzip.compress(b"no archive here\r\n\r\n"))
     assert w.starts_record(w.page_record("urn:page:1", None, b"x", "d", 1, None))
+
+
+@pytest.mark.parametrize("split", [1000, 70_000, 1 << 20])
+def test_long_urls(spark, split):
+    rng = random.Random(4)
+    mixed = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789%/-_") for _ in range(200_000))
+    urls = {1: "u", 2: "http://a/" + mixed, 3: "u", 4: "http://a/" + "z" * 200_000, 5: "u"}
+    table = spark.createDataFrame([(k, u, "y" * 1500 if k < 3 else f"page {k}", 5, "d") for k, u in urls.items()], PAGES)
+    path = f"file://{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    w.archive_pages(table.coalesce(1), path)
+    got = w.read_archives(spark, path, split).collect()
+    assert {r.record_id: r.uri for r in got} == {f"urn:page:{k}": u for k, u in urls.items()} and len(got) == 5
+    assert {r.refers_to for r in got} == {None, "urn:page:2"}
+
+
+def test_header_without_end():
+    cut = w.page_record("urn:page:1", "u" * 300_000, b"x", "d", 1, None)
+    assert w.starts_record(cut) and not w.starts_record(cut[:-200])
+    assert not w.starts_record(gzip.compress(w.VERSION + b"1 no blank line" * 20_000))
+    assert not w.starts_record(b"") and not w.starts_record(gzip.compress(b"WARC"))

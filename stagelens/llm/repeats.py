@@ -1,9 +1,12 @@
 """Passages that repeat across documents, by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; where it falls below a limit, a chunk ends. The hash
-depends on the last 16 bytes alone, so the same passage is cut at the same places wherever it
-stands, and an insertion moves only the chunks it touches. Chunks are deduplicated by a 128-bit
-digest. Neighbouring chunks that other documents have too make up a repeated span.
+Every word has a hash of itself and the word behind it. A chunk begins at each word whose hash is the
+smallest among some ``WINDOW`` neighbouring words (the last one of equals), so no chunk is longer than
+``WINDOW`` words and where it begins depends on nearby words alone: the same passage is cut at the same
+places wherever it stands, also one of repeated lines, but for ``WINDOW`` words at either end. Long
+words, as in scripts without spaces, are cut inside by a gear hash over their last 16 bytes. Chunks are
+deduplicated by a 128-bit digest, which looks some words ahead, so a chunk of a word or two is not taken
+for shared because of a common phrase. Neighbouring chunks that other documents have too make up a repeated span.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from stagelens.llm.common import IS_SPACE, is_char, text_slices, utf8
 
 SEED = 9
 REACH = 16  # bytes that the rolling hash looks back, a power of two
-SPACING = 20  # bytes between places that could end a chunk, on average
+SPACING = 20  # bytes between places inside a long word that could end a chunk, on average
 LEAST = 12  # bytes since the last such place, else the chunk goes on
+WINDOW = 11  # words in a chunk at most; passages of 25 + 2 * WINDOW words are never missed
+AHEAD_WORDS, AHEAD_BYTES = 8, 48  # from its beginning on, a chunk's digest covers the fewer of these; no more words than WINDOW
 MIN_WORDS = 25  # words in a span that counts as a repeated passage
 
 CHUNK = "start long, stop long, first_word long, last_word long, d1 long, d2 long"
@@ -47,22 +52,60 @@ def rolling_hash(data: np.ndarray, place: np.ndarray, gear: np.ndarray, reach: i
     return value
 
 
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte positions at which the words of all texts begin."""
+    space = IS_SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    begins[heads] = ~space[heads]
+    return np.flatnonzero(begins)
+
+
+def smallest(value: np.ndarray, text: np.ndarray, window: int) -> np.ndarray:
+    """Whether a value is the smallest, the last one of equals, of ``window`` neighbours in its text."""
+    span = np.ones(len(value), np.int64)
+    for step in (1, -1):
+        alive = np.ones(len(value), bool)
+        for k in range(1, min(window, len(value))):
+            here, there = (slice(k, None), slice(None, -k))[::step]
+            lower = value[there] >= value[here] if step == 1 else value[there] > value[here]
+            reached = np.zeros(len(value), bool)
+            reached[here] = lower & (text[there] == text[here])
+            alive &= reached
+            span += alive
+    return span >= window
+
+
 def chunk_bounds(data: np.ndarray, offsets: np.ndarray, gear: np.ndarray, spacing: int = SPACING,
-                 least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                 least: int = LEAST, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, start, stop) of all chunks as byte positions; chunks cover every text without gaps."""
     sizes = np.diff(offsets)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
-    may_end = rolling_hash(data, place, gear) < np.uint32((1 << 32) // spacing)
-    ends = np.flatnonzero(may_end) + 1
+    words = word_starts(data, offsets)
+    text = np.searchsorted(offsets, words, "right") - 1
+    # hashes within a word: of it, at its last byte, and at the places inside where it could be cut
+    heads = np.union1d(offsets[:-1][sizes > 0], words)
+    place = np.arange(len(data)) - np.repeat(heads, np.diff(np.append(heads, len(data))))
+    place[IS_SPACE[data]] = 0
+    value = rolling_hash(data, place, gear)
+    space_behind = np.append(IS_SPACE[data], True)
+    space_behind[offsets[1:]] = True
+    last = np.flatnonzero(~IS_SPACE[data] & space_behind[1:])
+    own = value[last].astype(np.uint64)
+    behind = np.zeros(len(own), np.uint64)
+    behind[:-1] = np.where(text[1:] == text[:-1], own[1:] + np.uint64(1), 0)
+    with np.errstate(over="ignore"):
+        both = (own * np.uint64(0x9E3779B97F4A7C15) ^ behind) * np.uint64(0xD6E8FEB86659FD93)
+    both = (both ^ both >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    starts = words[smallest(both, text, window)]
+    ends = np.flatnonzero((value < np.uint32((1 << 32) // spacing)) & (place >= REACH)) + 1
     far = np.ones(len(ends), bool)
-    far[1:] = (np.diff(ends) >= least) | (place[ends[1:] - 1] < np.diff(ends))
-    # nor a crumb at either end of a text
-    before, behind = place[ends - 1] + 1, np.repeat(offsets[1:], sizes)[ends - 1] - ends
-    ends = ends[far & (before >= least) & (behind >= least)]
-    ends = ends[is_char(np.append(data, 0)[ends])]  # never inside a character
-    ends = np.union1d(ends, offsets[1:][sizes > 0])
-    starts = np.append(0, ends[:-1]) if len(ends) else ends
-    return np.searchsorted(offsets, starts, "right") - 1, starts, ends
+    far[1:] = (np.diff(ends) >= least) | (place[ends[1:] - 1] < np.diff(ends) + REACH)
+    ends = ends[far]
+    ends = ends[is_char(np.append(data, 0)[ends]) & ~space_behind[ends]]  # never inside a character
+    starts = np.union1d(np.union1d(starts, ends), offsets[:-1][sizes > 0])
+    stops = np.append(starts[1:], len(data)) if len(starts) else starts
+    return np.searchsorted(offsets, starts, "right") - 1, starts, stops
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,16 +118,28 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             for part in text_slices(batch):
                 data, offsets = utf8(part.column(1))
                 which, starts, stops = chunk_bounds(data, offsets, gear)
-                space = IS_SPACE[data]
-                begins = ~space
-                begins[1:] &= space[:-1]
-                heads = offsets[:-1][offsets[:-1] < len(data)]
-                begins[heads] = ~space[heads]
+                heads = word_starts(data, offsets)
                 chars = np.append(0, np.cumsum(is_char(data)))
-                words = np.append(0, np.cumsum(begins))
-                raw = data.tobytes()
-                digests = b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), stops.tolist())])
+                words = np.zeros(len(data) + 1, np.int64)  # that begin before a byte
+                words[heads + 1] = 1
+                words = np.cumsum(words)
+                raw, text_end = data.tobytes(), offsets[which + 1]
+                ahead = np.append(heads, np.full(AHEAD_WORDS + 1, len(data)))[words[starts] + AHEAD_WORDS]
+                covered = np.maximum(stops, np.minimum(np.minimum(ahead, starts + AHEAD_BYTES), text_end))
+                # a few words at the end of a text, with those before them
+                text_start, last_words = offsets[which], np.append(heads, len(data))[np.maximum(words[text_end] - AHEAD_WORDS, 0)]
+                few = (covered == text_end) & (starts > text_end - AHEAD_BYTES) & (starts > last_words)
+                since = np.where(few, np.maximum(text_start, np.maximum(text_end - AHEAD_BYTES, last_words)), starts)
+                which_part = (starts - since) << 32 | stops - starts
+                spans = zip(since.tolist(), covered.tolist(), which_part.tolist())
+                digests = b"".join([digest(raw[a:b], part) for a, b, part in spans])
                 d = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                # equal neighbours, as in a line said over and over, are one row
+                fresh = np.ones(len(d), bool)
+                fresh[1:] = (d[1:] != d[:-1]).any(1) | (which[1:] != which[:-1])
+                first = np.flatnonzero(fresh)
+                starts, stops = starts[first], stops[np.append(first[1:], len(d))[: len(first)] - 1]
+                which, d = which[first], d[first]
                 head = offsets[which]
                 columns = [chars[starts] - chars[head], chars[stops] - chars[head], words[starts] - words[head],
                            words[stops] - words[head], d[:, 0], d[:, 1]]

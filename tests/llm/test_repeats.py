@@ -79,6 +79,35 @@ def test_planted_passages(spark):
         assert out[key] == (text if s is None else text[: s.start] + text[s.stop :])
 
 
+def test_every_passage_is_found(spark):
+    rng = random.Random(6)
+
+    def line(n):
+        return " ".join(made_words(rng, 1)[:5].ljust(4, "x") for _ in range(n))
+
+    kinds = [made_words(rng, 51) for _ in range(700)] + [" ".join(rng.choice("etaoinsh") for _ in range(51)) for _ in range(50)]
+    kinds += [" ".join([line(n)] * (51 // n + 1)) for n in range(1, 26) for _ in range(8)]  # repeated lines
+    rows = []
+    for i, passage in enumerate(kinds):
+        rows.append((2 * i, f"{made_words(rng, 70)} {passage} {made_words(rng, 30)}"))
+        rows.append((2 * i + 1, f"{made_words(rng, 20)} {passage}" + f" {made_words(rng, 25)}" * (i % 2)))
+    spans = r.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {s.doc_id for s in spans} == {k for k, _ in rows}
+    assert {s.doc_id for s in spans if s.is_first} == set(range(0, len(rows), 2))
+    texts = dict(rows)
+    outside = [s for s in spans if texts[s.doc_id][s.start : s.stop].strip() not in kinds[s.doc_id // 2]]
+    assert not outside
+
+
+def test_chunks_have_a_greatest_length():
+    rng = random.Random(7)
+    for text in (made_words(rng, 3000), "one line said over and over\n" * 500, "a b " * 900, "x " * 700):
+        data, starts, stops = bounds(text)
+        assert max(len(data[a:b].tobytes().split()) for a, b in zip(starts[1:-1], stops[1:-1])) <= r.WINDOW
+    _, starts, _ = bounds("".join(rng.choice("etaoinshrdlu") for _ in range(9000)))  # a text without spaces
+    assert 20 < 9000 / len(starts) < 60
+
+
 def test_boilerplate_beside_a_repeated_passage(spark):
     rng = random.Random(5)
     header, article, phrase = made_words(rng, 80), made_words(rng, 90), made_words(rng, 15)

@@ -38,6 +38,8 @@ SLICE = 8 << 20
 DOCS_PER_RANGE = 500
 BANDS = 8
 BAND_BITS = 16
+GRAM, GRAM_BANDS, GRAM_ROWS = 8, 32, 3  # characters of a gram; bands of grams, and grams in a band
+SHORT, SHORT_GRAM = 320, 4  # texts up to so many characters have bands of shorter grams too
 
 
 def coin_waits(seed: int = SEED) -> np.ndarray:
@@ -286,6 +288,24 @@ def band_keys(printed: str, steps: Steps, samples: int = SAMPLES, bands: int = B
     return keys
 
 
+def gram_keys(points: np.ndarray) -> list[str]:
+    """Keys of bands that do not depend on the place in the text: each holds the grams with the least random numbers.
+
+    Edits spread over the text, or text put in front, keep the walks of a long text apart, but not its grams.
+    """
+    keys = []
+    for size in (GRAM, SHORT_GRAM) if len(points) <= SHORT else (GRAM,):
+        wide = min(size, len(points))
+        grams = np.zeros(len(points) - wide + 1, np.uint64)
+        for j in range(wide):
+            grams = grams * np.uint64(0x100000001B3) + points[j : len(points) - wide + 1 + j]
+        grams = np.unique(mixed(grams))
+        odd = mixed(np.arange(GRAM_BANDS * GRAM_ROWS)) | np.uint64(1)
+        least = np.array([(grams * o).min() for o in odd]).reshape(GRAM_BANDS, GRAM_ROWS)
+        keys += [f"g{size}:{band}:{row.tobytes().hex()}" for band, row in enumerate(least)]
+    return keys
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Edit distance of two texts, or ``most`` + 1 if it is more: rows of a band around the diagonal."""
     x, y = code_points(a), code_points(b)
@@ -318,8 +338,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     def work(texts: pa.Array) -> dict[str, object]:
         if not state:
             state.extend([coin_waits(), Steps()])
-        made = prints(pc.fill_null(texts, "").to_pylist(), *state)
-        return {"fingerprint": made, "bands": pa.array([band_keys(p, state[1]) for p in made], pa.list_(pa.string()))}
+        values = pc.fill_null(texts, "").to_pylist()
+        made = prints(values, *state)
+        bands = [band_keys(p, state[1]) + gram_keys(code_points(t)) for p, t in zip(made, values)]
+        return {"fingerprint": made, "bands": pa.array(bands, pa.list_(pa.string()))}
 
     return per_text(docs.select(key, text), work, "fingerprint string, bands array<string>", SLICE)
 
@@ -328,7 +350,8 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", most
     """(a, b, edits): pairs of different texts that share a band and lie within ``most_edits`` of the longer one.
 
     Texts are compared once each: a and b are the smallest keys that hold them, so copies are not
-    paired. Bands decide what is compared, the exact edit distance what is returned.
+    paired. Bands of sampled steps and of grams decide what is compared, the exact edit distance what is
+    returned. Of pairs within 5 % the bands find 0.9 or more, see README; with more edits they find fewer.
     """
     plain = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     once = materialize(plain.groupBy("t").agg(F.min("k").alias("k")), "texts")

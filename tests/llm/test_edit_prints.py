@@ -119,3 +119,37 @@ def test_similar_pairs(spark):
     found = {(r.a, r.b) for r in got}
     assert found <= {(i, 100 + i) for i in range(12)} and len(found) >= 11
     assert all(r.edits == distance(base[r.a], dict(rows)[r.b]) for r in got)
+
+
+def edited(rng, text, n, front):
+    """``text`` with ``n`` edits: characters in front, or changes, insertions and deletions all over."""
+    if front:
+        return "".join(rng.choice("etaoin shrdlu") for _ in range(n)) + text
+    made = list(text)
+    for _ in range(n):
+        at, what = rng.randrange(len(made)), rng.randrange(3)
+        made[at : at + (what != 1)] = [] if what == 2 else [rng.choice("etaoin shrdlu")]
+    return "".join(made)
+
+
+@pytest.mark.parametrize("front, share", [(False, 0.02), (False, 0.05), (True, 0.03)])
+def test_bands_of_long_texts_and_any_edits(front, share):
+    rng, steps = random.Random(4), e.Steps()
+    for n in (40, 600, 2000, 6000):
+        found = 0
+        for _ in range(40):
+            text = "".join(rng.choice("etaoin shrdlu") for _ in range(n))
+            a, b = (set(e.band_keys(p, steps)) | set(e.gram_keys(e.code_points(t)))
+                    for t in (text, edited(rng, text, int(share * n), front)) for p in e.prints([t], WAITS, steps))
+            found += bool(a & b)
+        assert found >= 36
+
+
+def test_similar_pairs_within_five_percent(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("etaoin shrdlu") for _ in range(600)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, edited(rng, t, 18, i % 2)) for i, t in enumerate(base)]
+    got = e.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.a, r.b) for r in got}
+    assert found <= {(i, 100 + i) for i in range(40)} and len(found) >= 36
+    assert all(0 < r.edits <= 18 for r in got)

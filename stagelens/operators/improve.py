@@ -141,8 +141,8 @@ def cross_validate(df: DataFrame, features: Sequence[str], y: str, key: Sequence
 
 def importance_weighted_index(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str],
                               fixed: float = TARGET_SHARE, trees: int = PROTOTYPE_TREES,
-                              depth: int = 12) -> DataFrame:
-    """Prototype index of paid events: a fixed share for the target, the rest by importance."""
+                              depth: int = DEPTH) -> DataFrame:
+    """Prototype index of paid events: a fixed share for the target, the rest by importance in trees of full depth."""
     cols = [target, *features]
     known = df.dropna(subset=cols)
     ends = known.agg(*[e for c in cols for e in (F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}"))]).first()

@@ -197,6 +197,21 @@ def test_genre_vote(spark, no_broadcast):
     assert {r["performance_id"]: (r["genre1"], r["genre2"]) for r in out.collect()} == want
 
 
+def test_prototype_index_grows_whole_trees(spark):
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame(rng.random((6000, 3)), columns=["a", "b", "y"]).assign(k=range(6000))
+    data["y"] += 0.1 * data["a"]
+    df = spark.createDataFrame(data).coalesce(1).cache()
+
+    def index(**depth):
+        out = I.importance_weighted_index(df, "y", ["a", "b"], ["k"], trees=3, **depth)
+        return np.array([r["PI"] for r in out.orderBy("k").collect()])
+
+    whole = index()
+    assert np.allclose(whole, index(depth=I.DEPTH)) and np.abs(whole - index(depth=12)).max() > 1e-4
+    df.unpersist()
+
+
 def test_minimal_improvement_by_brute_force(spark):
     rows = [("p", "Paid", 60.0, 48.0, 0.5, 0.45, 0.5), ("q", "Paid", 99.0, 30.0, 0.3, 0.3, 0.4), ("r", "Free", 55.0, 50.0, 0.5, 0.5, 0.5)]
     df = spark.createDataFrame(rows, "k string, segment string, baseline double, DPI_AB double, U_AB double, S_AB double, A_AB double")

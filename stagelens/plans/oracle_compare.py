@@ -315,6 +315,30 @@ _HASH = "cast('0x' || substr(md5(concat_ws(chr(31), segment, size, pair)), 1, 8)
 _KNOWN = f"""(SELECT *, {_HASH} AS h FROM {PAIRS} WHERE "U_AB" IS NOT NULL AND "S_AB" IS NOT NULL AND "A_AB" IS NOT NULL)"""
 _SPLIT = "count(*) FILTER (WHERE h % 100 < 80) AS train_rows, count(*) FILTER (WHERE h % 100 >= 80) AS test_rows"
 O["linreg"] = query(f"""SELECT segment, {_SPLIT}, true AS least_squares, true AS better_than_mean FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL GROUP BY segment""", PAIRS)
+# the normal equations, centred, by Cramer's rule; an axis that is constant in a segment has no part
+O["linreg_figures"] = query(f"""
+SELECT segment, round(bu, 4) AS "U_AB", round(bs, 4) AS "S_AB", round(ba, 4) AS "A_AB", round(any_value(b0), 4) AS intercept,
+       round(1 - sum(e * e) / (var_pop(y) * count(*)), 4) AS r2, round(avg(e * e), 4) AS mse
+FROM (
+  SELECT t.segment, bu, bs, ba, b0, y, y - (b0 + bu * u + bs * s + ba * a) AS e FROM (
+    SELECT *, my - bu * mu - bs * ms - ba * ma AS b0 FROM (
+      SELECT *,
+        CASE WHEN flat THEN (uy * ss - sy * us) / (uu * ss - us * us)
+             ELSE (uy * (ss * aa - sa * sa) - us * (sy * aa - sa * ay) + ua * (sy * sa - ss * ay)) / det END AS bu,
+        CASE WHEN flat THEN (sy * uu - uy * us) / (uu * ss - us * us)
+             ELSE (uu * (sy * aa - sa * ay) - uy * (us * aa - sa * ua) + ua * (us * ay - sy * ua)) / det END AS bs,
+        CASE WHEN flat THEN 0.0::double
+             ELSE (uu * (ss * ay - sy * sa) - us * (us * ay - sy * ua) + uy * (us * sa - ss * ua)) / det END AS ba
+      FROM (
+        SELECT *, uu * (ss * aa - sa * sa) - us * (us * aa - sa * ua) + ua * (us * sa - ss * ua) AS det FROM (
+          SELECT segment, avg(u) AS mu, avg(s) AS ms, avg(a) AS ma, avg(y) AS my, min(a) = max(a) AS flat,
+                 var_pop(u) AS uu, var_pop(s) AS ss, var_pop(a) AS aa, covar_pop(u, s) AS us, covar_pop(u, a) AS ua, covar_pop(s, a) AS sa,
+                 covar_pop(u, y) AS uy, covar_pop(s, y) AS sy, covar_pop(a, y) AS ay
+          FROM (SELECT segment, h, "U_AB" AS u, "S_AB" AS s, "A_AB" AS a, "DPI_AB" AS y FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL) x
+          WHERE h % 100 < 80 GROUP BY segment) m) d) b) c
+  JOIN (SELECT segment, h, "U_AB" AS u, "S_AB" AS s, "A_AB" AS a, "DPI_AB" AS y FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL) t
+  ON c.segment = t.segment AND t.h % 100 >= 80) z
+GROUP BY segment, bu, bs, ba""", PAIRS)
 O["rf_regression"] = query(f"""SELECT segment, {_SPLIT}, 1.0::double AS importances, true AS better_than_mean FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL GROUP BY segment""", PAIRS)
 O["rf_whatif"] = query(f"""
 SELECT segment, axis, true AS not_lower, count(*) FILTER (WHERE verdict = 'fail') AS fails

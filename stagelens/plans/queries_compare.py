@@ -565,6 +565,17 @@ def linreg(spark, sf):
     return _by_segment(spark, sf, fit)
 
 
+@register
+def linreg_figures(spark, sf):
+    """Linear regression of the pair score per segment: coefficients, R2 and MSE on the test rows."""
+    def fit(rows):
+        _, figures = I.regress(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY, "linear")
+        weights = [r(F.col("weights")[i], 4).alias(n) for i, n in enumerate([*PAIR_FEATURES, "intercept"])]
+        return figures.select(*weights, r("r2", 4).alias("r2"), r("mse", 4).alias("mse"))
+
+    return _by_segment(spark, sf, fit)
+
+
 @register
 def rf_regression(spark, sf):
     """Forest of the pair score per segment: rows, importances that add up to one, better than the mean."""

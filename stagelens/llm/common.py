@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,22 @@ ROWS_PER_BATCH = 1000
 SLICE_BYTES = 1 << 20
 
 
+# Settings of the C library's allocator, by their numbers: sizes from which freed memory goes back
+# at once, and how many arenas threads may open. Fixed values.
+_ALLOCATOR = {-1: 1 << 20, -3: 1 << 20, -8: 2}
+
+
+@cache
+def settle() -> None:
+    """Let this worker's allocator return large arrays when they are freed; once in a worker's life.
+
+    Left alone it raises that size with every large array it sees, and keeps what it frees later.
+    """
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        for setting, value in _ALLOCATOR.items():
+            ctypes.CDLL(None).mallopt(setting, value)
+
+
 def give_back() -> None:
     """Return freed memory to the system; Python and Arrow would keep it for the worker's next task."""
     pa.default_memory_pool().release_unused()
@@ -82,16 +99,19 @@ def text_slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES
 
 
 def per_text(
-    df: DataFrame, work: Callable[[pa.Array], dict[str, object]], fields: str, limit: int = SLICE_BYTES
+    df: DataFrame, work: Callable[[pa.Array], dict[str, object]], fields: str, limit: int = SLICE_BYTES,
+    forget: Callable[[], object] | None = None,
 ) -> DataFrame:
     """Apply ``work`` to slices of (key columns ..., text); the last column of ``df`` is the text.
 
     ``work`` gets the texts and returns the columns named in ``fields``; the others of ``df`` come before them.
+    ``forget`` is called at the end of each task, to drop what the worker kept for it.
     """
     keys = df.columns[:-1]
     schema = T.StructType([df.schema[c] for c in keys] + T.StructType.fromDDL(fields).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for part in text_slices(batch, len(keys), limit):
                 made = work(part.column(len(keys)))
@@ -99,6 +119,8 @@ def per_text(
                     [part.column(i) for i in range(len(keys))] + [pa.array(v) for v in made.values()],
                     names=[*keys, *made],
                 )
+        if forget:
+            forget()
         give_back()
 
     return df.mapInArrow(run, schema)

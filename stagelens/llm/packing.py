@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagelens.llm.common import IS_SPACE, give_back, text_slices, utf8
+from stagelens.llm.common import IS_SPACE, give_back, settle, text_slices, utf8
 from stagelens.session import materialize
 
 CAPACITY = 2048
@@ -37,8 +39,8 @@ FILLINGS = 8  # of the room beside one piece
 BRANCHES = 3
 EFFORT = 40
 RANK_ROWS = 200_000  # rows that are ranked together in one group, about
-SLICE = 4 << 20
-CACHED_PARTS = 700_000  # in a worker
+SLICE = 2 << 20
+CACHED_PARTS = 400_000  # in a worker, for one task
 LINE_PARTS = 500
 LINES = 16  # encoded at once
 
@@ -308,16 +310,16 @@ def _kinds(data: np.ndarray) -> np.ndarray:
     return kinds
 
 
-_WORDS: dict[str, Words] = {}  # a worker process keeps the words of one task for the next
+@cache
+def _words(tokenizer: str) -> Words:
+    """A worker reads a vocabulary once; the parts it has seen go at the end of each task."""
+    return Words(tokenizer)
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-           keep_ids: bool = False, thrifty: bool = False) -> DataFrame:
+           keep_ids: bool = False) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32 and, if asked for, the ids.
 
-    ``thrifty`` workers take half the text at once, know fewer parts, forget them after each
-    task and give memory back: more seconds, for workers that other stages have filled.
-
     A document is the ids of its whole text and the end id; only one longer than ``capacity`` is
     cut. A null or empty text is the end id alone.
     """
@@ -326,11 +328,11 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer, CACHED_PARTS // 6) if thrifty else _WORDS.get(tokenizer) or Words(tokenizer)
-        if not thrifty:
-            _WORDS[tokenizer] = words
+        settle()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
+        words = _words(tokenizer)
         for batch in batches:
-            for part in text_slices(batch, 1, SLICE // 2 if thrifty else SLICE):
+            for part in text_slices(batch, 1, SLICE):
                 rows, number, start, length, crc, ids = [], [], [], [], [], []
                 flat, begins = words.ids(*utf8(part.column(1)))
                 for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
@@ -350,9 +352,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 if keep_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-            if thrifty:
-                give_back()
-        del words
+        words.parts.clear()
         give_back()
 
     return docs.select(key, text).mapInArrow(run, schema)
@@ -401,7 +401,7 @@ def deal_out(ranked: DataFrame, plan: np.ndarray) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-         keep_ids: bool = False, thrifty: bool = False) -> DataFrame:
+         keep_ids: bool = False) -> DataFrame:
     """One row per piece of every row of ``docs``: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one token long. Rows with equal keys are documents of their own and
@@ -409,7 +409,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     ``capacity`` counts; the ranks that it is dealt out by are counted in groups of bounded size,
     so a length that a third of the pieces share is no single task.
     """
-    made = materialize(pieces(docs, tokenizer, key, text, capacity, keep_ids, thrifty), "pieces")
+    made = materialize(pieces(docs, tokenizer, key, text, capacity, keep_ids), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in made.groupBy("length").count().collect():  # a row per length, ``capacity`` at most
         counts[row["length"]] = row["count"]

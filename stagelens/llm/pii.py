@@ -17,14 +17,15 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from stagelens.llm.common import IS_SPACE, give_back, is_char, per_text, text_slices, utf8
+from stagelens.llm.common import IS_SPACE, give_back, is_char, per_text, settle, text_slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -55,6 +56,12 @@ def _only_digits(data: bytes) -> bytes:
     return bytes(b for b in data if 48 <= b <= 57)
 
 
+def _is_byte(digits: bytes) -> bool:
+    """Whether a run of ASCII digits, however long, is a number up to 255."""
+    number = digits.lstrip(b"0")
+    return digits.isdigit() and len(number) <= 3 and int(number or b"0") <= 255
+
+
 def _emails(data: bytes) -> Iterator[tuple[int, int]]:
     """Matches around each @; so a long run without one is not tried from each of its places."""
     done = 0
@@ -74,7 +81,7 @@ def base_spans(data: bytes) -> list[Span]:
     """Spans of the patterns in a text's bytes, as byte places, by kind and start."""
     out: list[Span] = [("email", a, b) for a, b in _emails(data)] if b"@" in data else []
     for m in _IP.finditer(data):
-        if all(len(p.lstrip(b"0")) <= 3 and int(p) <= 255 for p in m[0].split(b".")):
+        if all(_is_byte(p) for p in m[0].split(b".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(data):
         digits = _only_digits(m[0])
@@ -97,12 +104,20 @@ _CUES = {
 }
 
 
-@cache
+# Numbers and codes are nearly all different: a worker keeps the shapes of so many words of at most
+# that length, for one task.
+SHAPES, SHAPE_CHARS = 1 << 14, 40
+
+
 def _shape(word: str) -> tuple[str, str, int]:
+    return _kept_shape(word) if len(word) <= SHAPE_CHARS else _made_shape(word)
+
+
+def _made_shape(word: str) -> tuple[str, str, int]:
     """Shape with the lengths of its runs, shape without, number of digits; signs at the end are left out."""
     word = word.rstrip(".,;:!?\"'")
     exact, rough = [], []
-    for run in _RUN.findall(word)[:12]:
+    for run in islice((m[0] for m in _RUN.finditer(word)), 12):
         if run[0].isdigit():
             exact.append(f"d{min(len(run), 20)}")
             rough.append("d")
@@ -115,6 +130,9 @@ def _shape(word: str) -> tuple[str, str, int]:
     return "".join(exact), "".join(rough), sum(c.isdigit() for c in word)
 
 
+_kept_shape = lru_cache(maxsize=SHAPES)(_made_shape)
+
+
 def _cue(word: str) -> str:
     return _CUES.get(word.lower().strip(",;:"), "") or _CUES.get(word.lower(), "")
 
@@ -359,6 +377,8 @@ def added_spans(data: np.ndarray, offsets: np.ndarray, model: Field) -> list[tup
         for i in range(a, b):
             names = tuple(features(words, i))
             if names not in known:
+                if len(known) == SHAPES:
+                    known.clear()
                 known[names] = model.scores(list(names))
             scores.append(known[names])
         held.append((t, places[a:b], scores))
@@ -387,7 +407,7 @@ def _trimmed(raw: bytes, kind: str, a: int, b: int) -> Span | None:
         return None
     if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
         return None
-    if kind == "ip" and not (part.count(b".") == 3 and all(p.isdigit() and int(p) <= 255 for p in part.split(b"."))):
+    if kind == "ip" and not (part.count(b".") == 3 and all(_is_byte(p) for p in part.split(b"."))):
         return None
     if kind == "email" and not (b"@" in part or b"at" in part.lower()):
         return None
@@ -440,7 +460,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         }
 
     fields = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
-    return per_text(docs.select(key, text), work, fields)
+    return per_text(docs.select(key, text), work, fields, forget=_kept_shape.cache_clear)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -459,6 +479,7 @@ def mask_personal_data(docs: DataFrame, text: str = "text", n_chars: str = "n_ch
     at, model = names.index(text), field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for part in text_slices(batch, at):
                 found = [base + new for base, new in find_spans(part.column(at), model)]
@@ -473,6 +494,7 @@ def mask_personal_data(docs: DataFrame, text: str = "text", n_chars: str = "n_ch
                         size = [len(t) if s else w for t, s, w in zip(new, found, was)]
                         columns[k] = pa.array(size, part.schema.field(k).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+        _kept_shape.cache_clear()
         give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from stagelens.llm.common import IS_SPACE, give_back, is_char, per_text, text_slices, utf8, within
+from stagelens.llm.common import IS_SPACE, give_back, is_char, per_text, settle, text_slices, utf8, within
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -153,6 +153,7 @@ def keep_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for part in text_slices(batch, at):
                 yield part.filter(pa.array(_rules(part.column(at))["kept"]))

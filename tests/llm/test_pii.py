@@ -142,3 +142,29 @@ def test_masking(spark):
 def test_empty_table(spark):
     assert pii.personal_data(empty(spark)).count() == 0
     assert pii.mask_personal_data(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("text, base, added", [
+    ("ip 1.2.3." + "0" * 5000, [("ip", 3, 5009)], []),
+    ("host 1.2.3." + "9" * 5000 + " end", [], []),
+    ("host " + "7" * 5000 + ".2.3.4 " + "0" * 4400 + "1.2.3.4", [("ip", 5012, 9419)], []),
+])
+def test_long_runs_of_digits(text, base, added):
+    ((got, more),) = pii.find_spans(pa.array([text]), pii.field())
+    assert got == base and [s for s in more if s[0] == "ip"] == added
+
+
+def test_ten_megabytes_of_digits():
+    ((base, _),) = pii.find_spans(pa.array(["1234567890" * 1_000_000]), pii.field())
+    assert base == []
+
+
+def test_kept_shapes_stay_bounded():
+    model = pii.field()
+    for part in range(10):
+        texts = [" ".join(f"{part}x{i}-{k}" for k in range(1000)) for i in range(100)]
+        pii.find_spans(pa.array(texts), model)
+    assert pii._kept_shape.cache_info().currsize <= pii.SHAPES
+    before = pii._kept_shape.cache_info().currsize
+    pii._shape("9-" * 100)
+    assert pii._kept_shape.cache_info().currsize == before

@@ -133,6 +133,10 @@ def _made_shape(word: str) -> tuple[str, str, int]:
 _kept_shape = lru_cache(maxsize=SHAPES)(_made_shape)
 
 
+def forget_shapes() -> None:
+    _kept_shape.cache_clear()
+
+
 def _cue(word: str) -> str:
     return _CUES.get(word.lower().strip(",;:"), "") or _CUES.get(word.lower(), "")
 
@@ -460,7 +464,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         }
 
     fields = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
-    return per_text(docs.select(key, text), work, fields, forget=_kept_shape.cache_clear)
+    return per_text(docs.select(key, text), work, fields, forget=forget_shapes)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -494,7 +498,7 @@ def mask_personal_data(docs: DataFrame, text: str = "text", n_chars: str = "n_ch
                         size = [len(t) if s else w for t, s, w in zip(new, found, was)]
                         columns[k] = pa.array(size, part.schema.field(k).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
-        _kept_shape.cache_clear()
+        forget_shapes()
         give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -169,14 +169,15 @@ WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_arr
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
 sizes AS (SELECT lang, sum(len(w))::bigint AS n FROM words GROUP BY lang),
-grams AS (SELECT lang, k, w[i : i + k - 1] AS g FROM words, range(1, 4) AS ks(k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
-f AS (SELECT lang, array_to_string(g, ' ') AS phrase, any_value(g) AS g, any_value(k) AS k, count(*) AS a FROM grams GROUP BY lang, phrase),
+grams AS (SELECT lang, 1 AS k, unnest([[x] FOR x IN w]) AS g FROM words
+          UNION ALL SELECT lang, 2, unnest([[w[i], w[i + 1]] FOR i IN range(1, len(w))]) FROM words
+          UNION ALL SELECT lang, 3, unnest([[w[i], w[i + 1], w[i + 2]] FOR i IN range(1, len(w) - 1)]) FROM words),
+f AS (SELECT lang || chr(10) || array_to_string(g, ' ') AS id, any_value(lang) AS lang, any_value(array_to_string(g, ' ')) AS phrase, any_value(g) AS g, any_value(k) AS k, count(*) AS a FROM grams GROUP BY id),
 cand AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
-cuts AS (SELECT c.lang, c.phrase, c.g, c.k, c.a, s.j, l.a AS l, r.a AS r,
-         ((1000000::hugeint * c.a * c.a) // (l.a::hugeint * r.a))::bigint AS score
-         FROM cand c JOIN range(1, 3) AS s(j) ON s.j < c.k
-         JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.g[1 : s.j], ' ')
-         JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.g[s.j + 1 :], ' ')),
+parts AS (SELECT *, 1 AS j, lang || chr(10) || g[1] AS lp, lang || chr(10) || array_to_string(g[2:], ' ') AS rp FROM cand
+          UNION ALL SELECT *, 2, lang || chr(10) || array_to_string(g[1:2], ' '), lang || chr(10) || g[3] FROM cand WHERE k = 3),
+cuts AS (SELECT p.*, l.a AS l, r.a AS r, ((1000000::hugeint * p.a * p.a) // (l.a::hugeint * r.a))::bigint AS score
+         FROM parts p JOIN f l ON l.id = p.lp JOIN f r ON r.id = p.rp),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 longer AS (SELECT lang, array_to_string(g[1:2], ' ') AS phrase, a FROM cand WHERE k = 3
            UNION ALL SELECT lang, array_to_string(g[2:3], ' '), a FROM cand WHERE k = 3),

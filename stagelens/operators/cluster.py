@@ -1,34 +1,27 @@
-"""Clusters of events by their metrics and rule-based profiles of the clusters."""
+"""Clusters of events by their metrics and rule-based profiles of the clusters.
+
+All fits, for every number of clusters and every start, run side by side: a pass over the rows sums up,
+for each cluster of each fit, the rows that are nearest to its centre, and the driver moves the centres.
+What a pass returns is a row per task and cluster, whatever the number of rows; fits that have
+settled are left out of the passes that follow. First centres come from a bounded sample of the rows.
+"""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagelens.functions.conditions import first_rule
+from stagelens.operators.keys import bounded_sample
 from stagelens.session import materialize
 
-
-def standardized(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Known rows with a vector of z-scores (population deviation, constants give 0)."""
-    known = df.dropna(subset=list(features))
-    row = known.agg(*[e for f in features for e in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
-    z = {}
-    for f in features:
-        spread = row[f"s_{f}"] or 0.0
-        z[f"z_{f}"] = (F.col(f).cast("double") - row[f"m_{f}"]) / spread if spread > 0 else F.lit(0.0)
-    out = known.withColumns(z)
-    return VectorAssembler(inputCols=list(z), outputCol="features").transform(out).drop(*z)
-
-
-# Starts, and the rules of the profiles on the prototype index, the first that holds.
-STARTS = 10
+# Starts, passes, and the rules of the profiles on the prototype index, the first that holds.
+STARTS, PASSES = 10, 30
 PROFILE_RULES = (
     ("sold < 50", "failing"),
     ("PI > 0.4 AND sold > 10000", "large hit"),
@@ -36,41 +29,175 @@ PROFILE_RULES = (
     ("sessions > 20 AND rev_per_session < 1000000", "long running"),
     ("PI < 0.2 AND occupancy < 0.5", "weak small"),
 )
+START_ROWS = 2000  # of the sample for first centres, about
+BLOCK = 4096  # rows that are compared with all centres at once
 
 
-# Rows that a task of a fit works on: many short passes over few rows pay for each task.
-ROWS_PER_TASK = 50_000
-
-
-def _packed(vectors: DataFrame) -> DataFrame:
-    """Written once, in as many parts as the counted rows fill; every fit and pass reads it."""
-    table = materialize(vectors, "vectors")
-    return table.coalesce(max(1, math.ceil(table.count() / ROWS_PER_TASK)))
-
-
-def kmeans(vectors: DataFrame, k: int, seed: int = 42, starts: int = STARTS):
-    """The fit with the least inertia of several starts."""
-    fits = [KMeans(k=k, seed=seed + i, maxIter=30).fit(vectors) for i in range(starts)]
-    return min(fits, key=lambda fit: fit.summary.trainingCost)
-
-
-def elbow(vectors: DataFrame, ks: Sequence[int] = (2, 3, 4, 5, 6, 7)) -> DataFrame:
-    """Inertia and silhouette (squared distances) per number of clusters."""
-    evaluator = ClusteringEvaluator()
-    vectors = _packed(vectors.select("features"))
-    rows = []
-    for k in ks:
-        model = kmeans(vectors, k)
-        rows.append((k, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(vectors)))))
-    return vectors.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-
-
-def cluster_profile(vectors: DataFrame, k: int, features: Sequence[str],
-                    rules: Sequence[tuple[str, str]] = PROFILE_RULES, default: str = "other") -> DataFrame:
-    """Size and mean of each feature per cluster, with the label of the first rule that holds."""
-    vectors = _packed(vectors.select("features", *features))
-    clustered = kmeans(vectors, k).transform(vectors)
-    table = clustered.groupBy(F.col("prediction").alias("cluster")).agg(
-        F.count("*").alias("n"), *[F.avg(f).alias(f) for f in features]
-    )
+def standardized(df: DataFrame, features: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
+    """Known rows: the key, the features and their z-scores ``z_*`` (population deviation, constants give 0)."""
+    known = df.dropna(subset=list(features))
+    row = known.agg(*[e for f in features for e in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
+    z = {}
+    for f in features:
+        spread = row[f"s_{f}"] or 0.0
+        z[f"z_{f}"] = (F.col(f).cast("double") - row[f"m_{f}"]) / spread if spread > 0 else F.lit(0.0)
+    return known.select(*key, *features, *[c.alias(name) for name, c in z.items()])
+
+
+def _z(features: Sequence[str]) -> list[str]:
+    return [f"z_{f}" for f in features]
+
+
+# --- fits side by side --------------------------------------------------------------------------
+
+
+@dataclass
+class Fit:
+    """A number of clusters with its centres, and what the last pass said of them."""
+
+    k: int
+    start: int
+    centres: np.ndarray
+    inertia: float = np.inf
+    settled: bool = False
+
+
+def first_centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Centres far from each other, each drawn by its squared distance to those before it."""
+    rng = np.random.default_rng(seed)
+    chosen = [points[rng.integers(len(points))]]
+    while len(chosen) < k:
+        far = ((points[:, None] - np.array(chosen)[None]) ** 2).sum(2).min(1)
+        share = far / far.sum() if far.sum() > 0 else None
+        chosen.append(points[rng.choice(len(points), p=share)])
+    return np.array(chosen)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else None
+        for i in range(0, batch.num_rows, BLOCK):
+            yield rows[i : i + BLOCK]
+
+
+def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((rows[:, None, :] - centres[None]) ** 2).sum(2)
+
+
+def one_pass(vectors: DataFrame, fits: Sequence[Fit]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per fit: rows, sums, squared norms and squared distances of each cluster's rows.
+
+    A list of (sums (k, dimensions), counts (k), (norms, distances) (2, k)).
+    """
+    centres, width = [f.centres for f in fits], len(vectors.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = [np.zeros((len(c), width + 3)) for c in centres]
+        for rows in _blocks(batches):
+            norms = (rows**2).sum(1)
+            for out, c in zip(made, centres):
+                far = distances(rows, c)
+                near = far.argmin(1)
+                values = np.column_stack([np.ones(len(rows)), norms, far[np.arange(len(rows)), near], rows])
+                np.add.at(out, near, values)
+        names = ["fit", "cluster", *[f"v{i}" for i in range(width + 3)]]
+        flat = np.vstack(made)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]), pa.int32()),
+             pa.array(np.concatenate([np.arange(len(m)) for m in made]), pa.int32()),
+             *[pa.array(flat[:, i]) for i in range(width + 3)]], names=names)
+
+    schema = "fit int, cluster int, " + ", ".join(f"v{i} double" for i in range(width + 3))
+    sums = vectors.mapInArrow(run, schema).groupBy("fit", "cluster").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(width + 3)])
+    found = [np.zeros((len(c), width + 3)) for c in centres]
+    for row in sums.collect():  # a row per cluster of each fit
+        found[row["fit"]][row["cluster"]] = row[2:]
+    return [(m[:, 3:], m[:, 0], m[:, 1:3].T) for m in found]
+
+
+def kmeans(vectors: DataFrame, ks: Sequence[int], starts: int = STARTS, passes: int = PASSES, seed: int = 42,
+           first: dict[tuple[int, int], np.ndarray] | None = None) -> dict[int, Fit]:
+    """The fit with the least inertia for each number of clusters; ``first`` gives centres by (k, start).
+
+    A cluster without rows keeps its centre. A fit has settled when no centre moves.
+    """
+    if first is None:
+        # only values decide about the sample, so equal tables give equal centres
+        sample = bounded_sample(vectors, START_ROWS, vectors.columns).toArrow()
+        points = np.unique(np.column_stack([c.to_numpy() for c in sample.columns]), axis=0) if sample.num_rows else np.zeros((0, 1))
+        if not len(points):
+            return {}
+        first = {(k, s): first_centres(points, k, seed + s) for k in ks for s in range(starts)}
+    fits = [Fit(k, s, np.array(c, float)) for (k, s), c in first.items()]
+    for _ in range(passes):
+        moving = [f for f in fits if not f.settled]
+        if not moving:
+            break
+        for fit, (sums, counts, (_, far)) in zip(moving, one_pass(vectors, moving)):
+            new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], fit.centres)
+            fit.inertia, fit.settled = float(far.sum()), bool(np.allclose(new, fit.centres, rtol=0, atol=1e-12))
+            fit.centres = new
+    rest = [f for f in fits if not f.settled]
+    for fit, (_, _, (_, far)) in zip(rest, one_pass(vectors, rest) if rest else []):
+        fit.inertia = float(far.sum())
+    return {k: min((f for f in fits if f.k == k), key=lambda f: (f.inertia, f.start)) for k in ks}
+
+
+def silhouettes(vectors: DataFrame, fits: Sequence[Fit]) -> list[float]:
+    """Mean silhouette by squared distances of each fit; two passes, as a cluster's sums give its mean distance to a row."""
+    stats = one_pass(vectors, fits)
+    centres = [f.centres for f in fits]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(centres)), 0
+        for rows in _blocks(batches):
+            n += len(rows)
+            for i, (c, (sums, counts, (norms, _))) in enumerate(zip(centres, stats)):
+                near, at = distances(rows, c).argmin(1), np.arange(len(rows))
+                size = np.maximum(counts, 1)
+                mean = (rows**2).sum(1)[:, None] + (norms / size)[None] - 2 * rows @ (sums / size[:, None]).T
+                own = mean[at, near] * size[near] / np.maximum(size[near] - 1, 1)
+                mean[:, counts == 0] = np.inf
+                mean[at, near] = np.inf
+                other = mean.min(1)
+                alone = (counts[near] <= 1) | ~np.isfinite(other)
+                most = np.where(alone, 1.0, np.maximum(own, other))
+                total[i] += np.where(alone | (most <= 0), 0.0, (np.where(alone, 0, other) - own) / np.where(most > 0, most, 1)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total), pa.array([n] * len(total), pa.int64())],
+                                         names=["fit", "total", "n"])
+
+    rows = vectors.mapInArrow(run, "fit int, total double, n long").groupBy("fit").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
+    found = {r["fit"]: r["t"] / r["n"] for r in rows.collect()}
+    return [found[i] for i in range(len(fits))]
+
+
+def elbow(rows: DataFrame, features: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5, 6, 7)) -> DataFrame:
+    """Inertia and silhouette (squared distances) per number of clusters, of standardized rows."""
+    vectors = materialize(rows.select(*_z(features)), "vectors", rebalance=True)
+    best = kmeans(vectors, ks)
+    fits = list(best.values())
+    out = [(f.k, f.inertia, s) for f, s in zip(fits, silhouettes(vectors, fits))] if fits else []
+    return rows.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
+
+
+def cluster_profiles(rows: DataFrame, features: Sequence[str], ks: Sequence[int],
+                     rules: Sequence[tuple[str, str]] = PROFILE_RULES, default: str = "other") -> DataFrame:
+    """k, cluster, n, mean of each feature, and the label of the first rule that holds, of standardized rows."""
+    rows = materialize(rows.select(*features, *_z(features)), "vectors", rebalance=True)
+    fits = kmeans(rows.select(*_z(features)), ks)
+    centres, width = {k: f.centres for k, f in fits.items()}, len(features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            near = [distances(block[:, width:], c).argmin(1) for c in centres.values()]
+            n = len(block)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(list(centres), n), pa.int32()), pa.array(np.concatenate(near), pa.int32()),
+                 *[pa.array(np.tile(block[:, i], len(near))) for i in range(width)]], names=["k", "cluster", *features])
+
+    # sums of what a task sees leave it, not its rows
+    schema = "k int, cluster int, " + ", ".join(f"{f} double" for f in features)
+    cells = rows.select(*[F.col(f).cast("double") for f in features], *_z(features))
+    placed = cells.mapInArrow(run, schema) if fits else rows.sparkSession.createDataFrame([], schema)
+    table = placed.groupBy("k", "cluster").agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in features])
     return table.withColumn("profile", first_rule([(F.expr(test), name) for test, name in rules], default))

@@ -71,3 +71,12 @@ def hash_part(parts: int, *cols: Column | str) -> Column:
 
 def in_training(share: float, *cols: Column | str) -> Column:
     return hash_part(100, *cols) < round(share * 100)
+
+
+def bounded_sample(df: DataFrame, most: int, key: Sequence[str]) -> DataFrame:
+    """All rows if there are at most so many, else about so many of them, by a hash of the key."""
+    n = df.count()
+    if n <= most:
+        return df
+    grain = 1 << 31
+    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(grain)) < int(grain * most / n))

@@ -339,17 +339,37 @@ FROM (
   JOIN (SELECT segment, h, "U_AB" AS u, "S_AB" AS s, "A_AB" AS a, "DPI_AB" AS y FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL) t
   ON c.segment = t.segment AND t.h % 100 >= 80) z
 GROUP BY segment, bu, bs, ba""", PAIRS)
-O["rf_regression"] = query(f"""SELECT segment, {_SPLIT}, 1.0::double AS importances, true AS better_than_mean FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL GROUP BY segment""", PAIRS)
+O["rf_regression"] = query(f"""SELECT segment, {_SPLIT} FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL GROUP BY segment""", PAIRS)
 O["rf_whatif"] = query(f"""
-SELECT segment, axis, true AS not_lower, count(*) FILTER (WHERE verdict = 'fail') AS fails
+SELECT segment, axis, count(*) FILTER (WHERE verdict = 'fail') AS fails
 FROM {_KNOWN} k, (VALUES ('U_AB'), ('S_AB'), ('A_AB')) v(axis) GROUP BY segment, axis""", PAIRS)
 O["rf_cross_validation"] = query(f"""
-SELECT segment, cast(h % 5 AS int) AS fold, count(*) AS n, true AS valid FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL GROUP BY ALL""", PAIRS)
+SELECT segment, cast(h % 5 AS int) AS fold, count(*) AS n FROM {_KNOWN} k WHERE "DPI_AB" IS NOT NULL GROUP BY ALL""", PAIRS)
+# the best of all cuts of all axes
+O["rf_first_split"] = query(f"""
+SELECT segment, feature, cast(nl AS bigint) AS low_rows, cast(n - nl AS bigint) AS high_rows, round(sl / nl, 4) AS low_mean,
+       round((s - sl) / (n - nl), 4) AS high_mean, round(gain, 4) AS gain
+FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY round(gain, 9) DESC, i, v) AS nth
+      FROM (SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain
+            FROM (SELECT segment, i, feature, v, sum(c) OVER (PARTITION BY segment, i ORDER BY v) AS nl, sum(t) OVER (PARTITION BY segment, i ORDER BY v) AS sl,
+                         sum(c) OVER (PARTITION BY segment, i) AS n, sum(t) OVER (PARTITION BY segment, i) AS s
+                  FROM (SELECT segment, i, feature, v, count(*) AS c, sum(y) AS t FROM (
+                          {" UNION ALL ".join(f"""SELECT segment, {i} AS i, '{f}' AS feature, "{f}" AS v, "DPI_AB" AS y FROM {_KNOWN} k{i} WHERE "DPI_AB" IS NOT NULL"""
+                                              for i, f in enumerate(("U_AB", "S_AB", "A_AB")))}) x GROUP BY ALL) c) w
+            WHERE nl < n) g) z
+WHERE nth = 1""", PAIRS)
 _KNOWN_EVENT = "occupancy IS NOT NULL AND price IS NOT NULL AND rev_per_session IS NOT NULL AND sold IS NOT NULL AND sessions IS NOT NULL"
 O["dpi_prototype_paid"] = query(f"""
 SELECT kind, count(*) AS paid, count(*) FILTER (WHERE {_KNOWN_EVENT}) AS scored, 0::bigint AS outside
 FROM v_metrics WHERE NOT (coalesce(price, 0) = 0 AND coalesce(rev_per_session, 0) = 0) GROUP BY kind""", "v_metrics")
-O["kmeans_elbow"] = "SELECT k, true AS falls, true AS valid FROM (VALUES (2), (3), (4), (5), (6), (7)) v(k)"
+O["kmeans_elbow"] = query(f"""
+SELECT k, (SELECT count(*) FROM v_metrics WHERE {_KNOWN_EVENT}) AS events, true AS falls
+FROM (VALUES (2), (3), (4), (5), (6), (7)) v(k)""", "v_metrics")
+_Z = ("occupancy", "sold", "rev_per_session", "price", "sessions")
+O["event_zscores"] = query(f"""
+SELECT performance_id, {", ".join(f"round(CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0 END, 5) AS z_{c}" for c in _Z)}
+FROM v_metrics m, (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _Z)} FROM v_metrics WHERE {_KNOWN_EVENT}) b
+WHERE {_KNOWN_EVENT}""", "v_metrics")
 O["kmeans_profile"] = query(f"""
 SELECT k, k::bigint AS clusters, (SELECT count(*) FROM v_metrics WHERE {_KNOWN_EVENT}) AS events, k::bigint AS labelled
 FROM (VALUES (3), (4), (5), (6)) v(k)""", "v_metrics")

@@ -9,6 +9,7 @@ from stagelens.functions import numeric as N
 from stagelens.operators import checks as K
 from stagelens.operators import cluster as CL
 from stagelens.operators import compare as P
+from stagelens.operators import forest as FO
 from stagelens.operators import improve as I
 from stagelens.operators import inference as H
 from stagelens.operators import keys as U
@@ -552,7 +553,7 @@ def linreg(spark, sf):
     fit is better than the mean.
     """
     def fit(rows):
-        model, figures = I.regress(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY, "linear")
+        model, figures = I.regress(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY)
         known = I.vectors(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY).filter(U.in_training(0.8, *PAIR_KEY))
         error = F.col("label") - F.col("prediction")
         sums = model.transform(known).agg(*[
@@ -569,48 +570,64 @@ def linreg(spark, sf):
 def linreg_figures(spark, sf):
     """Linear regression of the pair score per segment: coefficients, R2 and MSE on the test rows."""
     def fit(rows):
-        _, figures = I.regress(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY, "linear")
+        _, figures = I.regress(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY)
         weights = [r(F.col("weights")[i], 4).alias(n) for i, n in enumerate([*PAIR_FEATURES, "intercept"])]
         return figures.select(*weights, r("r2", 4).alias("r2"), r("mse", 4).alias("mse"))
 
     return _by_segment(spark, sf, fit)
 
 
+def pair_forest(spark, sf, segment):
+    """The forest of a segment's pair scores, which all queries on it share."""
+    rows = pairs(spark, sf).filter(F.col("segment") == segment)
+    return stages.fitted(spark, sf, f"forest_{segment}", lambda: I.training_forest(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY))
+
+
+def _with_forest(spark, sf, use):
+    """Rows of both segments from ``use(forest, pair rows of the segment)``."""
+    out = None
+    for name in ("Paid", "Free"):
+        row = use(pair_forest(spark, sf, name), pairs(spark, sf).filter(F.col("segment") == name))
+        row = row if "segment" in row.columns else row.withColumn("segment", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register
 def rf_regression(spark, sf):
-    """Forest of the pair score per segment: rows, importances that add up to one, better than the mean."""
-    def fit(rows):
-        _, figures = I.regress(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY, "forest")
-        total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
-        return figures.select("train_rows", "test_rows", r(total).alias("importances"), (F.col("r2") > 0).alias("better_than_mean"))
-
-    return _by_segment(spark, sf, fit)
+    """Forest of the pair score per segment: the rows that it is fitted and tested on."""
+    return _with_forest(spark, sf, lambda forest, rows: I.forest_figures(forest, rows, "DPI_AB", PAIR_KEY).select("train_rows", "test_rows"))
 
 
 @register
 def rf_whatif(spark, sf):
-    """Rise of the forest's score of the failing pairs, axis by axis: a rise never lowers it much."""
-    def fit(rows):
-        model, _ = I.regress(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY, "forest")
-        fails = rows.filter(F.col("verdict") == P.FAIL)
-        out = I.predicted_what_if(model, fails.select(*PAIR_KEY, *PAIR_FEATURES), PAIR_FEATURES)
-        return out.select("axis", (F.col("uplift") > -1).alias("not_lower"), F.lit(fails.dropna(subset=PAIR_FEATURES).count()).alias("fails"))
+    """Rise of the forest's score of the failing pairs, axis by axis: the pairs that it is the mean of."""
+    def use(forest, rows):
+        fails = rows.filter(F.col("verdict") == P.FAIL).select(*PAIR_KEY, *PAIR_FEATURES)
+        return I.predicted_what_if(forest, fails).select("axis", F.col("n").alias("fails"))
 
-    return _by_segment(spark, sf, fit)
+    return _with_forest(spark, sf, use)
 
 
 @register
 def rf_cross_validation(spark, sf):
-    """Five folds per segment: a fold's rows and whether its R2 is a number no larger than one."""
+    """Five folds per segment: the rows of each."""
     def fit(rows):
-        known = I.vectors(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY)
-        sizes = known.groupBy(U.hash_part(5, *PAIR_KEY).cast("int").alias("fold")).agg(F.count("*").alias("n"))
-        made = I.cross_validate(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY)
-        return made.join(sizes, "fold").select("fold", "n", (F.col("r2") <= 1).alias("valid"))
+        return I.cross_validate(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY).select("fold", "n")
 
     return _by_segment(spark, sf, fit)
 
 
+@register
+def rf_first_split(spark, sf):
+    """First split of a tree on all pairs of a segment: its axis, the rows on either side, what it takes off the squared errors."""
+    def fit(rows):
+        known = rows.dropna(subset=[*PAIR_FEATURES, "DPI_AB"]).select(*PAIR_KEY, *PAIR_FEATURES, "DPI_AB")
+        return FO.first_split(known, PAIR_FEATURES, "DPI_AB", PAIR_KEY)
+
+    return _by_segment(spark, sf, fit).select("segment", "feature", "low_rows", "high_rows", *[r(c, 4).alias(c) for c in ("low_mean", "high_mean", "gain")])
+
+
 PROTOTYPE = ["rev_per_session", "price", "sold", "sessions"]
 
 
@@ -641,27 +658,38 @@ CLUSTER = ["PI", "occupancy", "sold", "rev_per_session", "price", "sessions"]
 
 def _vectors(spark, sf):
     rows = stages.metrics(spark, sf).join(prototype_index(spark, sf), "performance_id")
-    return CL.standardized(rows, CLUSTER)
+    return CL.standardized(rows, CLUSTER, ["performance_id"])
+
+
+def elbow(spark, sf):
+    return stages.stage(spark, sf, "elbow", lambda: CL.elbow(_vectors(spark, sf), CLUSTER))
+
+
+def profiles(spark, sf):
+    return stages.stage(spark, sf, "profiles", lambda: CL.cluster_profiles(_vectors(spark, sf), CLUSTER, (3, 4, 5, 6)))
+
+
+@register
+def event_zscores(spark, sf):
+    """Standardized figures of the events that clusters are made of (the index, which is fitted, left out)."""
+    names = [c for c in CLUSTER if c != "PI"]
+    z = CL.standardized(stages.metrics(spark, sf).dropna(subset=PROTOTYPE), names, ["performance_id"])
+    return z.select("performance_id", *[r(f"z_{c}", 5).alias(f"z_{c}") for c in names])
 
 
 @register
 def kmeans_elbow(spark, sf):
-    """Inertia falls with the number of clusters, silhouettes lie between -1 and 1."""
-    e = CL.elbow(_vectors(spark, sf))
-    return SU.step_changes(e, "k", "inertia").select(
-        "k", (F.coalesce("change", F.lit(-1.0)) < 0).alias("falls"), F.col("silhouette").between(-1, 1).alias("valid"))
+    """For two to seven clusters: events that they hold, and whether inertia falls with their number."""
+    n = _vectors(spark, sf).count()
+    return SU.step_changes(elbow(spark, sf), "k", "inertia").select(
+        "k", F.lit(n).alias("events"), (F.coalesce("change", F.lit(-1.0)) < 0).alias("falls"))
 
 
 @register
 def kmeans_profile(spark, sf):
     """Profiles for three to six clusters: the clusters hold all known events, every one has a label."""
-    v = _vectors(spark, sf)
-    out = None
-    for k in (3, 4, 5, 6):
-        table = CL.cluster_profile(v, k, CLUSTER)
-        row = table.agg(F.lit(k).alias("k"), F.count("*").alias("clusters"), F.sum("n").alias("events"), F.count("profile").alias("labelled"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return profiles(spark, sf).groupBy("k").agg(
+        F.count("*").alias("clusters"), F.sum("n").alias("events"), F.count("profile").alias("labelled"))
 
 
 @register

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from stagelens.functions import conditions as C
 from stagelens.functions import text as X
-from stagelens.operators import cluster as CL
 from stagelens.operators import compare as P
 from stagelens.operators import graph as G
 from stagelens.operators import improve as I
@@ -24,30 +23,41 @@ def register(fn):
 
 @register
 def rf_regression_figures(spark, sf):
-    """Forest of the pair score per segment: importance of each feature, R2 and MSE on the test rows."""
-    def fit(rows):
-        _, figures = I.regress(rows, QC.PAIR_FEATURES, "DPI_AB", QC.PAIR_KEY, "forest")
+    """Forest of the pair score per segment: importance of each feature, R2 and MSE on the test rows, R2 on rows unseen by a tree."""
+    def use(forest, rows):
+        figures = I.forest_figures(forest, rows, "DPI_AB", QC.PAIR_KEY)
         weights = [F.col("weights")[i].alias(f) for i, f in enumerate(QC.PAIR_FEATURES)]
-        return figures.select("train_rows", "test_rows", *weights, "r2", "mse")
+        return figures.select("train_rows", "test_rows", *weights, "r2", "mse", "unseen_r2")
 
-    return QC._by_segment(spark, sf, fit)
+    return QC._with_forest(spark, sf, use)
 
 
 @register
 def rf_whatif_figures(spark, sf):
     """Mean rise of the forest's score of the failing pairs per axis."""
-    def fit(rows):
-        model, _ = I.regress(rows, QC.PAIR_FEATURES, "DPI_AB", QC.PAIR_KEY, "forest")
+    def use(forest, rows):
         fails = rows.filter(F.col("verdict") == P.FAIL)
-        return I.predicted_what_if(model, fails.select(*QC.PAIR_KEY, *QC.PAIR_FEATURES), QC.PAIR_FEATURES)
+        return I.predicted_what_if(forest, fails.select(*QC.PAIR_KEY, *QC.PAIR_FEATURES)).select("axis", "uplift")
 
-    return QC._by_segment(spark, sf, fit)
+    return QC._with_forest(spark, sf, use)
+
+
+@register
+def min_improvement_model(spark, sf):
+    """Cheapest rise of each failing pair with which the forest of its segment predicts the baseline."""
+    def use(forest, rows):
+        return I.minimal_improvement_fitted(rows.filter(F.col("verdict") == P.FAIL), forest, ["size", "pair"])
+
+    return QC._with_forest(spark, sf, use).select("segment", "size", "pair", "converted", "dU", "dS", "dA", "gap", "predicted", "margin")
 
 
 @register
 def rf_cross_validation_figures(spark, sf):
     """R2 of each of five folds per segment."""
-    return QC._by_segment(spark, sf, lambda rows: I.cross_validate(rows, QC.PAIR_FEATURES, "DPI_AB", QC.PAIR_KEY))
+    def fit(rows):
+        return I.cross_validate(rows, QC.PAIR_FEATURES, "DPI_AB", QC.PAIR_KEY).select("fold", "r2")
+
+    return QC._by_segment(spark, sf, fit)
 
 
 @register
@@ -60,18 +70,13 @@ def dpi_prototype_paid_events(spark, sf):
 @register
 def kmeans_elbow_figures(spark, sf):
     """Inertia and silhouette for two to seven clusters."""
-    return CL.elbow(QC._vectors(spark, sf))
+    return QC.elbow(spark, sf)
 
 
 @register
 def kmeans_profile_figures(spark, sf):
     """Size, means and label of each cluster, for three to six clusters."""
-    v = QC._vectors(spark, sf)
-    out = None
-    for k in (3, 4, 5, 6):
-        row = CL.cluster_profile(v, k, QC.CLUSTER).withColumn("k", F.lit(k))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return QC.profiles(spark, sf)
 
 
 @register

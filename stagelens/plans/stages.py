@@ -19,6 +19,7 @@ from stagelens.plans import fixtures as fx
 from stagelens.session import step, tune, write_scratch
 
 _BUILT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_FITTED: dict[tuple[str, str, str], object] = {}
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -32,9 +33,18 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     return spark.read.schema(schema).parquet(path)
 
 
+def fitted(spark: SparkSession, sf_dir: str, name: str, fit: Callable[[], object]) -> object:
+    """A model that several queries use, fitted once per session and data folder."""
+    slot = (spark.sparkContext.applicationId, sf_dir, name)
+    if slot not in _FITTED:
+        _FITTED[slot] = fit()
+    return _FITTED[slot]
+
+
 def clear() -> None:
-    """Forget all stages (they are built again on next use)."""
+    """Forget all stages and models (they are built again on next use)."""
     _BUILT.clear()
+    _FITTED.clear()
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,6 +299,7 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "lang", text: st
         F.col(key).alias("key"), F.col(group).alias("lang"), leaf_of(columns).alias("leaf"),
         F.when(tampered, leaf_of(changed)).alias("other"),
     )
+    leaves = materialize(leaves, "digests")  # sorting by ranges would read the texts twice
     rows, subroots, above = tree(leaves, "lang", ["key"], levels)
     key_type = docs.schema[key].dataType.simpleString()
     nodes = rows.select(F.col("lang").cast("string").alias("grp"), "at", "n", F.col("leaf").alias("digest"), "key",

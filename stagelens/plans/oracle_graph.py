@@ -322,27 +322,66 @@ SELECT genre, (sum(count(*)) OVER () - count(*)) / (count(*) + 1e-6) AS pos_weig
 _GENRE_WEIGHT = "* max((SELECT g.pos_weight FROM v_pos_weight g WHERE g.genre = b.genre))"
 
 
-def _ablation(step: str, protocol: str, edge: str, w: str, genre_weight: str) -> str:
-    voting = f"(SELECT * FROM {edge} WHERE performance_id NOT IN (SELECT performance_id FROM v_split WHERE NOT train))" if protocol == "cut" else ""
-    said = f"SELECT t.genre, v.genre1, v.genre2 FROM v_split t JOIN ({_vote(edge, voting, w, genre_weight)}) v ON t.performance_id = v.performance_id"
-    return f"""
-SELECT '{step}' AS step, '{protocol}' AS protocol, (SELECT count(DISTINCT node) FROM {edge}) AS nodes, (SELECT count(*) FROM {edge}) AS edges,
-       avg((genre1 = genre)::int) AS top1_acc, avg((genre1 = genre OR coalesce(genre2 = genre, false))::int) AS top2_acc,
-       (SELECT avg(2.0 * tp / (nt + np)) FROM (
-          SELECT c.genre, (SELECT count(*) FROM ({said}) y WHERE y.genre = c.genre AND y.genre1 = c.genre)::double AS tp,
-                 (SELECT count(*) FROM ({said}) y WHERE y.genre = c.genre) AS nt, (SELECT count(*) FROM ({said}) y WHERE y.genre1 = c.genre) AS np
-          FROM (SELECT genre FROM ({said}) y UNION SELECT genre1 FROM ({said}) y) c) f) AS macro_f1
-FROM ({said}) z"""
-
-
-O["ablation"] = query("""
-SELECT step, protocol, nodes, edges, round(top1_acc, 6) AS top1_acc, round(top2_acc, 6) AS top2_acc, round(macro_f1, 6) AS macro_f1,
-       round(top1_acc - lag(top1_acc) OVER (PARTITION BY protocol ORDER BY step), 6) AS change
-FROM (""" + " UNION ALL ".join(
-    _ablation(step, protocol, edge, w, gw)
-    for step, edge, w, gw in (("0 roles apart", "e0", "tf", ""), ("1 + one person", "e1", "tf", ""), ("2 + orgs", "v_weight", "tf", ""),
-                              ("3 + edge weights", "v_weight", "weight", ""), ("4 + genre weights", "v_weight", "weight", _GENRE_WEIGHT))
-    for protocol in ("kept", "cut")) + ") x", "e0", "e1", "v_weight", "v_split", "v_pos_weight")
+_SEEDS = "(VALUES (42), (7)) seeds(seed)"
+_BOTH = "(VALUES ('kept'), ('cut')) protocols(protocol)"
+part("v_splits", """
+SELECT 42 AS seed, performance_id, genre, train FROM v_split
+UNION ALL SELECT 7, performance_id, genre, cast('0x' || substr(md5(cast(performance_id AS varchar) || chr(31) || '7'), 1, 8) AS bigint) % 100 < 80 FROM v_split""", "v_split")
+part("a_edges", """
+SELECT 0 AS config, performance_id, node, tf::double AS w FROM e0 UNION ALL SELECT 1, performance_id, node, tf::double FROM e1
+UNION ALL SELECT 2, performance_id, node, tf::double FROM v_weight UNION ALL SELECT 3, performance_id, node, weight FROM v_weight
+UNION ALL SELECT 4, performance_id, node, weight FROM v_weight""", "e0", "e1", "v_weight")
+part("a_pos", """
+SELECT seed, genre, (sum(count(*)) OVER (PARTITION BY seed) - count(*)) / (count(*) + 1e-6) AS pw FROM v_splits WHERE train GROUP BY seed, genre""", "v_splits")
+part("a_hist", """
+SELECT config, h.seed, node, h.genre, votes * CASE WHEN config = 4 THEN pw ELSE 1 END AS votes
+FROM (SELECT e.config, s.seed, e.node, s.genre, sum(e.w) AS votes FROM a_edges e JOIN v_splits s ON e.performance_id = s.performance_id AND s.train GROUP BY ALL) h
+JOIN a_pos p ON p.seed = h.seed AND p.genre = h.genre""", "a_edges", "v_splits", "a_pos")
+part("a_asked", f"""
+SELECT e.*, coalesce(NOT t.train, false) AS held FROM (SELECT * FROM a_edges, {_SEEDS}) e
+LEFT JOIN v_splits t ON t.seed = e.seed AND t.performance_id = e.performance_id WHERE t.train IS DISTINCT FROM true""", "a_edges", "v_splits")
+part("a_votes", """
+SELECT a.config, a.seed, a.performance_id, h.genre, a.held, round(sum(a.w * h.votes), 6) AS votes
+FROM a_asked a JOIN a_hist h ON a.config = h.config AND a.seed = h.seed AND a.node = h.node GROUP BY ALL""", "a_asked", "a_hist")
+part("a_values", f"""
+SELECT protocol, seed, performance_id, genre, 1.0::double AS value FROM v_splits, {_BOTH} WHERE train
+UNION ALL SELECT protocol, seed, performance_id, genre, value
+FROM (SELECT *, votes / nullif(sum(votes) OVER (PARTITION BY seed, performance_id), 0) AS value FROM a_votes WHERE config = 4) x, {_BOTH} WHERE protocol = 'kept' OR NOT held""",
+     "v_splits", "a_votes")
+part("a_second", """
+SELECT h.protocol, h.seed, h.node, h.genre, h.votes * pw AS votes
+FROM (SELECT v.protocol, v.seed, e.node, v.genre, sum(e.w * v.value) AS votes FROM a_edges e JOIN a_values v ON e.config = 4 AND e.performance_id = v.performance_id GROUP BY ALL) h
+JOIN a_pos p ON p.seed = h.seed AND p.genre = h.genre""", "a_edges", "a_values", "a_pos")
+part("a_cases", f"""
+SELECT config, protocol, seed, performance_id, genre, votes FROM a_votes, {_BOTH} WHERE held
+UNION ALL SELECT 5, h.protocol, a.seed, a.performance_id, h.genre, round(sum(a.w * h.votes), 6)
+FROM a_asked a JOIN a_second h ON a.config = 4 AND a.held AND a.seed = h.seed AND a.node = h.node GROUP BY ALL""", "a_votes", "a_asked", "a_second")
+part("a_said", f"""
+SELECT t.config, t.protocol, t.seed, t.genre, coalesce(g1, major) AS genre1, g2 AS genre2
+FROM (SELECT config, protocol, s.* FROM v_splits s, range(0, 6) c(config), {_BOTH} WHERE NOT train) t
+JOIN (SELECT seed, arg_min(genre, (-n, genre)) AS major FROM (SELECT seed, genre, count(*) AS n FROM v_splits WHERE train GROUP BY ALL) m GROUP BY seed) f ON f.seed = t.seed
+LEFT JOIN (SELECT config, protocol, seed, performance_id, max(genre) FILTER (rk = 1) AS g1, max(genre) FILTER (rk = 2) AS g2
+           FROM (SELECT *, row_number() OVER (PARTITION BY config, protocol, seed, performance_id ORDER BY votes DESC, genre) AS rk FROM a_cases) r GROUP BY ALL) v
+ON v.config = t.config AND v.protocol = t.protocol AND v.seed = t.seed AND v.performance_id = t.performance_id""", "v_splits", "a_cases")
+part("a_figures", """
+SELECT a.*, macro_f1 FROM (
+  SELECT config, protocol, seed, avg((genre1 = genre)::int) AS top1_acc, avg((genre1 = genre OR coalesce(genre2 = genre, false))::int) AS top2_acc FROM a_said GROUP BY ALL) a
+JOIN (SELECT config, protocol, seed, avg(2.0::double * tp / n) AS macro_f1 FROM (
+        SELECT config, protocol, seed, c, sum(tp) AS tp, sum(n) AS n FROM (
+          SELECT config, protocol, seed, genre AS c, (genre = genre1)::int AS tp, 1 AS n FROM a_said
+          UNION ALL SELECT config, protocol, seed, genre1, 0, 1 FROM a_said) x GROUP BY ALL) y GROUP BY ALL) f
+ON f.config = a.config AND f.protocol = a.protocol AND f.seed = a.seed""", "a_said")
+part("a_means", "SELECT config, protocol, count(*) AS runs, " + ", ".join(
+    f"avg({n}) AS {n}, min({n}) AS {n}_lo, max({n}) AS {n}_hi" for n in ("top1_acc", "top2_acc", "macro_f1")) + " FROM a_figures GROUP BY ALL", "a_figures")
+_STEP = "['0 roles apart', '1 + one person', '2 + orgs', '3 + edge weights', '4 + genre weights', '5 + second round'][m.config + 1] AS step"
+O["ablation"] = query(f"""
+SELECT {_STEP}, protocol, nodes, edges, runs, {", ".join(f"round({n}{end}, 6) AS {n}{end}" for n in ("top1_acc", "top2_acc", "macro_f1") for end in ("", "_lo", "_hi"))},
+       round(top1_acc - lag(top1_acc) OVER (PARTITION BY protocol ORDER BY m.config), 6) AS change
+FROM a_means m JOIN (SELECT config, count(DISTINCT node) AS nodes, count(*) AS edges FROM a_edges GROUP BY config) s ON s.config = least(m.config, 4)""", "a_means", "a_edges")
+O["ablation_pivot"] = query(f"""
+SELECT {_STEP}, round(kept, 6) AS kept, round(cut, 6) AS cut, round(kept - cut, 6) AS difference,
+       round(kept - lag(kept) OVER (ORDER BY m.config), 6) AS kept_change, round(cut - lag(cut) OVER (ORDER BY m.config), 6) AS cut_change
+FROM (SELECT config, max(top1_acc) FILTER (protocol = 'kept') AS kept, max(top1_acc) FILTER (protocol = 'cut') AS cut FROM a_means GROUP BY config) m""", "a_means")
 
 O["model_facilities"] = query("SELECT facility, min(region) AS region FROM v_performance p WHERE performance_id IN (SELECT performance_id FROM v_ticket) GROUP BY facility", "v_performance", "v_ticket")
 O["model_performances"] = query("""

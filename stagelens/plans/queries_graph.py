@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stagelens.functions import conditions as C
 from stagelens.functions import text as X
+from stagelens.operators import ablation as AB
 from stagelens.operators import compare as P
 from stagelens.operators import consensus as CO
 from stagelens.operators import graph as G
@@ -621,35 +622,63 @@ def confident_means(spark, sf):
     return out.select("segment", "class", "n", r("mean", 5).alias("mean"))
 
 
+# Seeds of the splits. Fixed values.
+SEEDS = (42, 7)
+STEPS = ("0 roles apart", "1 + one person", "2 + orgs", "3 + edge weights", "4 + genre weights", "5 + second round")
+
+
+def splits(spark, sf):
+    """The single events with their genre once per seed, split by hash; the first split is that of all other queries."""
+    first = split(spark, sf).withColumn("seed", F.lit(SEEDS[0]))
+    more = [split(spark, sf).withColumns({"seed": F.lit(s), "train": U.in_training(0.8, "performance_id", F.lit(s))}) for s in SEEDS[1:]]
+    for other in more:
+        first = first.unionByName(other)
+    return first
+
+
+def ablation_edges(spark, sf):
+    """(config, event, node, w) of the first five configurations; the sixth has the edges of the fifth."""
+    def build():
+        occ, weighed = stages.participation(spark, sf), weighted_edges(spark, sf)
+        sets = [
+            (G.participant_edges(occ, merge_roles=False, with_orgs=False), "tf"),
+            (G.participant_edges(occ, merge_roles=True, with_orgs=False), "tf"),
+            (weighed, "tf"), (weighed, "weight"), (weighed, "weight"),
+        ]
+        out = None
+        for number, (edges, weight) in enumerate(sets):
+            rows = edges.select(F.lit(number).alias("config"), "performance_id", "node", F.col(weight).cast("double").alias("w"))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    return stages.stage(spark, sf, "ablation_edges", build)
+
+
+def ablation_figures(spark, sf):
+    def build():
+        said = AB.votes_by_case(ablation_edges(spark, sf), splits(spark, sf), weighed=(4,), second=4)
+        return AB.over_seeds(AB.case_accuracy(said))
+
+    return stages.stage(spark, sf, "ablation_figures", build)
+
+
 @register
 def ablation(spark, sf):
-    """Accuracy of the vote as nodes, weights of edges and of genres are added, edges kept or cut, with step changes."""
-    s = split(spark, sf)
-    truth, train = s.filter("NOT train").select("performance_id", "genre"), s.filter("train")
-    occ = stages.participation(spark, sf)
-    weighed = weighted_edges(spark, sf)
-    weights = G.class_weights(train)
-    configs = [
-        ("0 roles apart", G.participant_edges(occ, merge_roles=False, with_orgs=False), "tf", None),
-        ("1 + one person", G.participant_edges(occ, merge_roles=True, with_orgs=False), "tf", None),
-        ("2 + orgs", weighed, "tf", None),
-        ("3 + edge weights", weighed, "weight", None),
-        ("4 + genre weights", weighed, "weight", weights),
-    ]
-    rows = None
-    for step, edges, weight, genres in configs:
-        size = edges.agg(F.count_distinct("node").alias("nodes"), F.count("*").alias("edges"))
-        for protocol in ("kept", "cut"):
-            # cut: edges of held-out events are unknown while votes are counted, known when they ask
-            used = edges if protocol == "kept" else G.cut_edges(edges, truth)
-            votes = G.genre_vote(used, train, truth, asking=edges, weight=weight, genre_weights=genres)
-            said = votes.select("performance_id", F.col("genre1").alias("genre"), F.lit(1.0).alias("p"))
-            acc = G.accuracy_by(truth, votes, []).crossJoin(size).crossJoin(  # one row each
-                G.multilabel_metrics(truth, said).select("macro_f1"))
-            acc = acc.select(F.lit(step).alias("step"), F.lit(protocol).alias("protocol"), "nodes", "edges", "top1_acc", "top2_acc", "macro_f1")
-            rows = acc if rows is None else rows.unionByName(acc)
-    out = SU.step_changes(materialize(rows, "ablation"), "step", "top1_acc", ["protocol"])
-    return out.select("step", "protocol", "nodes", "edges", *[r(c).alias(c) for c in ("top1_acc", "top2_acc", "macro_f1", "change")])
+    """Accuracy as nodes, weights of edges and of genres and a second round are added, edges kept or cut: mean and range over seeds, step changes."""
+    sizes = ablation_edges(spark, sf).groupBy("config").agg(F.count_distinct("node").alias("nodes"), F.count("*").alias("edges"))
+    sizes = sizes.union(sizes.filter("config = 4").select(F.lit(5), "nodes", "edges"))
+    figures = SU.step_changes(ablation_figures(spark, sf), "config", "top1_acc", ["protocol"]).join(sizes, "config")
+    step = F.element_at(F.array(*[F.lit(x) for x in STEPS]), F.col("config") + 1).alias("step")
+    names = [f"{n}{end}" for n in ("top1_acc", "top2_acc", "macro_f1") for end in ("", "_lo", "_hi")]
+    return figures.select(step, "protocol", "nodes", "edges", "runs", *[r(c).alias(c) for c in (*names, "change")])
+
+
+@register
+def ablation_pivot(spark, sf):
+    """Accuracy of each step with edges kept and cut, their difference, and the change to the step before."""
+    wide = AB.pivoted(ablation_figures(spark, sf))
+    step = F.element_at(F.array(*[F.lit(x) for x in STEPS]), F.col("config") + 1).alias("step")
+    return wide.select(step, *[r(c).alias(c) for c in ("kept", "cut", "difference", "kept_change", "cut_change")])
 
 
 @register

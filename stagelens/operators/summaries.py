@@ -118,13 +118,40 @@ def five_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return q.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def mean_interval(df: DataFrame, by: Sequence[str], value: str, z: float = 1.96) -> DataFrame:
-    """Mean with a normal interval (stands in for resampled error bars)."""
-    half = F.lit(z) * F.stddev_samp(value) / F.sqrt(F.count(value))
-    mean = F.avg(value)
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), mean.alias("mean"), (mean - half).alias("low"), (mean + half).alias("high")
-    )
+# Replicates, and where the uniform 16-bit number of a row passes to the next count of a
+# Poisson distribution with mean 1.
+REPLICATES, POISSON = 400, (24109, 48219, 60273, 64291, 65296, 65497, 65530, 65535)
+PER_HASH = 8  # 16-bit numbers in a digest
+
+
+def drawn_counts(key: Sequence[str], block: Column) -> list[Column]:
+    """How often a row is drawn in each of the replicates of a block, from the digest of its key and the block."""
+    digest = F.md5(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in key], block.cast("string")))
+    out = []
+    for i in range(PER_HASH):
+        u = F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int")
+        out.append(sum((F.when(u >= limit, 1).otherwise(0) for limit in POISSON), F.lit(0)))
+    return out
+
+
+def mean_interval(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], level: float = 0.95,
+                  replicates: int = REPLICATES) -> DataFrame:
+    """Mean with a bootstrap interval: the middle ``level`` of the means of drawn rows.
+
+    Every row is drawn a Poisson number of times in each replicate, by the hash of its key, so all replicates
+    are one aggregate that combines before the exchange, and equal tables give equal intervals. Unknown
+    values are left out; a replicate that draws no row of a group has no mean of it.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(*by, *[k for k in key if k not in by], F.col(value).cast("double").alias("_v"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(replicates // PER_HASH - 1))).alias("_block")
+    counts = F.array(*drawn_counts(key, F.col("_block")))
+    drawn = known.select("*", blocks).select(*by, "_block", "_v", counts.alias("_c"))
+    sums = drawn.groupBy(*by, "_block").agg(*[
+        e for i in range(PER_HASH) for e in (F.sum(F.col("_c")[i]).alias(f"n{i}"), F.sum(F.col("_c")[i] * F.col("_v")).alias(f"s{i}"))])
+    means = sums.select(*by, F.explode(F.array(*[F.try_divide(F.col(f"s{i}"), F.col(f"n{i}")) for i in range(PER_HASH)])).alias("_m"))
+    ends = means.groupBy(*by).agg(*[F.percentile("_m", F.lit(p)).alias(n) for n, p in (("low", (1 - level) / 2), ("high", (1 + level) / 2))])
+    plain = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    return join_null_safe(plain, ends, list(by)) if by else plain.join(ends)
 
 
 def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -189,9 +189,17 @@ FROM (SELECT segment, lo, (hi - lo) / 30 AS w, cast(least(floor((v - lo) / ((hi
 O["boxplot_table"] = query(f"""
 SELECT kind, segment, round(min(dpi), 5) AS lowest, round(quantile_cont(dpi, 0.25), 5) AS q1, round(quantile_cont(dpi, 0.5), 5) AS median,
        round(quantile_cont(dpi, 0.75), 5) AS q3, round(max(dpi), 5) AS highest FROM {E} GROUP BY kind, segment""", E)
+# counts of a Poisson distribution with mean 1 from the hash of the event and a block of eight replicates
+_DRAWN = " + ".join(f"(u >= {limit})::int" for limit in (24109, 48219, 60273, 64291, 65296, 65497, 65530, 65535))
 O["mean_interval"] = query(f"""
-SELECT genre, segment, count(adj) AS n, round(avg(adj), 5) AS mean, round(avg(adj) - 1.96 * stddev_samp(adj) / sqrt(count(adj)), 5) AS low,
-       round(avg(adj) + 1.96 * stddev_samp(adj) / sqrt(count(adj)), 5) AS high FROM {E} GROUP BY genre, segment""", E)
+SELECT p.genre, p.segment, n, round(mean, 5) AS mean, round(low, 5) AS low, round(high, 5) AS high
+FROM (SELECT genre, segment, count(adj) AS n, avg(adj) AS mean FROM {E} WHERE adj IS NOT NULL GROUP BY genre, segment) p
+JOIN (SELECT genre, segment, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (
+        SELECT genre, segment, block, i, sum(c * adj) / nullif(sum(c), 0) AS m FROM (
+          SELECT genre, segment, adj, block, i, {_DRAWN} AS c FROM (
+            SELECT genre, segment, adj, block, i, cast('0x' || substr(md5(cast(performance_id AS varchar) || chr(31) || block), 4 * i + 1, 4) AS bigint) AS u
+            FROM {E}, range(0, 50) b(block), range(0, 8) r(i) WHERE adj IS NOT NULL) u) c GROUP BY ALL) m GROUP BY genre, segment) e
+ON p.genre IS NOT DISTINCT FROM e.genre AND p.segment = e.segment""", E)
 O["describe_columns"] = query(" UNION ALL ".join(
     f"""SELECT '{n}' AS "column", round(avg({c}), 6) AS mean, round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM {E} WHERE kind = 'composite'""" for n, c in _M.items()), E)
 

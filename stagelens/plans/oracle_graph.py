@@ -121,6 +121,33 @@ O["model_tables"] = query(" UNION ALL ".join([
     _size("performance_org", 3, "SELECT DISTINCT performance_id, org, role FROM v_orgs"),
     _size("ticket_event", 10, "SELECT ticket_no FROM v_ticket"),
 ]), "v_events", "v_prediction", "resolved_links", "v_orgs")
+# rows of each rule; the tables break none
+_RULES = [
+    ("facility", "key (facility)"), ("hall", "key (facility, seats)"), ("genre", "key (genre_id)"), ("genre", "key (genre)"),
+    ("subgenre", "key (subgenre_id)"), ("subgenre", "key (genre_id, subgenre)"), ("performance", "key (performance_id)"),
+    ("show_session", "key (session_id)"), ("show_session", "key (performance_id, show_at)"), ("person", "key (person_id)"),
+    ("person", "key (name, genre)"), ("organization", "key (org_id)"), ("organization", "key (org)"),
+    ("performance_person", "key (performance_id, person_id, role)"), ("performance_org", "key (performance_id, org_id, role)"),
+    ("ticket_event", "key (ticket_no, event_type)"), ("hall", "(facility) in facility (facility)"), ("subgenre", "(genre_id) in genre (genre_id)"),
+    ("performance", "(genre_id) in genre (genre_id)"), ("performance", "(subgenre_id) in subgenre (subgenre_id)"),
+    ("performance_genre", "(genre_id) in genre (genre_id)"), ("performance_genre", "(performance_id) in performance (performance_id)"),
+    ("person", "(genre) in genre (genre)"), ("performance_person", "(person_id) in person (person_id)"),
+    ("performance_org", "(org_id) in organization (org_id)"), ("ticket_event", "(session_id) in show_session (session_id)"),
+    ("ticket_event", "(channel) in booking_channel (channel)"),
+]
+O["model_integrity"] = f"""SELECT r."table", r.rule, m."rows", 0::bigint AS broken FROM ({O["model_tables"]}) m
+JOIN (VALUES {", ".join(f"('{t}', '{r}')" for t, r in _RULES)}) r("table", rule) ON m."table" = r."table\""""
+_IN_GENRE = "(genre_id) in genre (genre_id)"
+_GONE = "(SELECT min(mid) FROM v_events)"
+O["model_integrity_damaged"] = query(f"""
+SELECT 'subgenre' AS "table", '{_IN_GENRE}' AS rule, count(*) AS broken FROM (SELECT DISTINCT mid, fine FROM v_events WHERE mid = {_GONE}) x
+UNION ALL SELECT 'performance', '{_IN_GENRE}', count(*) FROM v_events WHERE mid = {_GONE}
+UNION ALL SELECT 'performance_genre', '{_IN_GENRE}', (SELECT count(*) FROM v_events WHERE mid = {_GONE})
+  + (SELECT count(*) FILTER (genre1 = {_GONE}) + count(*) FILTER (genre2 = {_GONE}) FROM v_prediction WHERE run_id = 1)
+UNION ALL SELECT 'person', '(genre) in genre (genre)', count(*) FROM (SELECT DISTINCT name, mid FROM resolved_links WHERE mid = {_GONE}) x
+UNION ALL SELECT 'ticket_event', '(session_id) in show_session (session_id)', count(*)
+FROM v_ticket t JOIN (SELECT performance_id, min(show_at) AS show_at FROM v_ticket GROUP BY performance_id) f
+ON t.performance_id = f.performance_id AND t.show_at = f.show_at""", "v_events", "v_prediction", "resolved_links", "v_ticket")
 O["performance_genres"] = query("""
 SELECT v.performance_id, v.genre1 AS "first", v.p1 AS p_first, v.genre2 AS "second", v.p2 AS p_second, p.title
 FROM v_prediction v JOIN v_performance p ON v.performance_id = p.performance_id
@@ -393,8 +420,8 @@ SELECT org, role, count(*) AS links FROM (
   FROM (SELECT performance_id, unnest(string_split(org_txt, ',')) AS x FROM v_cells) c) b WHERE org <> '' GROUP BY org, role""", "v_cells")
 O["model_sessions"] = query("""
 SELECT performance_id, count(*) AS tickets, count(DISTINCT show_at) AS sessions, round(cast(sum(amount) AS double), 2) AS amount FROM v_ticket GROUP BY performance_id""", "v_ticket")
-_BREAK = "replace(replace(replace(text, chr(13) || chr(10), '\\n'), chr(10), '\\n'), chr(13), '\\n')"
-O["csv_roundtrip"] = f"SELECT doc_id, source, md5({_BREAK}) AS digest FROM documents"
+O["csv_roundtrip"] = r"""SELECT doc_id, source, md5(text || chr(13) || chr(10) || '\n \\n\' || chr(10) || ' ' || chr(13) || ' \r\\' || doc_id) AS digest FROM documents"""
+O["encoding_by_data"] = "SELECT c_custkey::bigint AS custkey, '관객 ' || c_name AS name, false AS damaged FROM customer"
 O["encoding_fallback"] = "SELECT c_custkey::bigint AS custkey, '관객 ' || c_name AS name, false AS damaged FROM customer"
 O["json_sink"] = query("SELECT region, count(*) AS n, cast(sum(sold) AS bigint) AS sold FROM v_metrics GROUP BY region", "v_metrics")
 O["table_sink"] = query("SELECT region, count(*) AS n, cast(sum(sessions) AS bigint) AS sessions FROM v_metrics WHERE kind = 'composite' GROUP BY region", "v_metrics")

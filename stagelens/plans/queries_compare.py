@@ -324,7 +324,7 @@ def boxplot_table(spark, sf):
 
 @register
 def mean_interval(spark, sf):
-    out = SU.mean_interval(scored_events(spark, sf), ["genre", "segment"], "DPI_region_adj")
+    out = SU.mean_interval(scored_events(spark, sf), ["genre", "segment"], "DPI_region_adj", ["performance_id"])
     return out.select("genre", "segment", "n", *[r(c, 5).alias(c) for c in ("mean", "low", "high")])
 
 

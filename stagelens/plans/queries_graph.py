@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stagelens.functions import conditions as C
 from stagelens.functions import text as X
+from stagelens.operators import checks as K
 from stagelens.operators import ablation as AB
 from stagelens.operators import compare as P
 from stagelens.operators import consensus as CO
@@ -182,6 +183,35 @@ def model_tables(spark, sf):
     return MO.table_sizes(model_of(spark, sf))
 
 
+def stored_model(spark, sf):
+    """The tables of the model as they are stored, each written once."""
+    made = stages.fitted(spark, sf, "model", lambda: model_of(spark, sf))
+    return {name: stages.stage(spark, sf, f"model_{name}", lambda name=name: made[name]) for name in MODEL}
+
+
+# Tables that rules are checked on.
+MODEL = ("facility", "hall", "booking_channel", "genre", "subgenre", "performance", "performance_genre", "show_session",
+         "person", "performance_person", "organization", "performance_org", "ticket_event")
+
+
+@register
+def model_integrity(spark, sf):
+    """Keys and references of the stored model: the rows of each rule and how many break it."""
+    return K.integrity(stored_model(spark, sf), MO.RULES)
+
+
+@register
+def model_integrity_damaged(spark, sf):
+    """The same after the genre that sorts first, and the tickets' first session each, have been taken out: rows that lost what they refer to."""
+    tables = stored_model(spark, sf)
+    first = tables["genre"].agg(F.min("genre")).first()[0]
+    tables["genre"] = tables["genre"].filter(F.col("genre") != F.lit(first))
+    gone = tables["show_session"].groupBy("performance_id").agg(F.min("show_at").alias("show_at"))
+    tables["show_session"] = tables["show_session"].join(gone, ["performance_id", "show_at"], "left_anti")
+    out = K.integrity(tables, [rule for rule in MO.RULES if isinstance(rule, K.Reference)])
+    return out.filter(F.col("broken") > 0).select("table", "rule", "broken")
+
+
 @register
 def model_facilities(spark, sf):
     """Contents of the facility table with what its key determines."""
@@ -287,11 +317,12 @@ def ranked_sink(spark, sf):
 
 @register
 def csv_roundtrip(spark, sf):
-    """Texts with quotes, commas and line breaks written as CSV and read back: the same but for the breaks."""
-    d = fx.table(spark, sf, "documents").select("doc_id", "text", "source")
+    """Texts with quotes, commas, line breaks of all kinds and backslashes written as CSV and read back as they were."""
+    breaks = F.concat("text", F.lit("\r\n\\n \\\\n\\"), F.lit("\n \r \\r\\\\"), F.col("doc_id").cast("string"))
+    d = fx.table(spark, sf, "documents").select("doc_id", breaks.alias("text"), "source")
     path = scratch_path(spark, "csv-roundtrip")
     FI.write_csv(d, path)
-    back = FI.read_csv(spark, path, "doc_id long, text string, source string")
+    back = FI.read_csv(spark, path, "doc_id long, text string, source string", escapes=True)
     return back.select("doc_id", "source", F.md5("text").alias("digest"))
 
 
@@ -300,12 +331,22 @@ def encoding_fallback(spark, sf):
     """A list in another encoding: wanted columns, in the first encoding whose header has them."""
     c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("번호"), F.concat(F.lit("관객 "), "c_name").alias("이름"), "c_nationkey")
     path = scratch_path(spark, "csv-ms949")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     c.write.option("header", True).option("encoding", "MS949").csv(path)
     back = FI.read_columns(spark, path, ["이름", "번호"], damaged="damaged")
     return back.select(F.col("번호").cast("long").alias("custkey"), F.col("이름").alias("name"), "damaged")
 
 
+@register
+def encoding_by_data(spark, sf):
+    """Files with the same plain header, one in each encoding: every file is decoded by what all of its rows are valid in."""
+    c = fx.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("관객 "), "c_name").alias("name"), F.col("c_nationkey").cast("int").alias("n"))
+    base = scratch_path(spark, "csv-mixed")
+    for encoding, part in (("UTF-8", c.filter("n % 2 = 0")), ("MS949", c.filter("n % 2 = 1"))):
+        part.select("c_custkey", "name").write.option("header", True).option("encoding", encoding).csv(f"{base}/{encoding}")
+    back = FI.read_columns(spark, [f"{base}/UTF-8", f"{base}/MS949"], ["c_custkey", "name"], damaged="damaged")
+    return back.select(F.col("c_custkey").cast("long").alias("custkey"), "name", "damaged")
+
+
 @register
 def json_sink(spark, sf):
     """Metrics per region written as JSON lines and read back."""

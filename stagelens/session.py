@@ -11,12 +11,15 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan here relies on: re-planning from real sizes, and
-# splitting of skewed join partitions even where that costs one more exchange.
+# splitting of skewed join partitions even where that costs one more exchange; the charsets of the Java
+# runtime for files that are not in UTF-8, with what they cannot decode replaced.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.legacy.javaCharsets": "true",
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 # Where a local session without spark.checkpoint.dir keeps its tables; STAGELENS_SCRATCH names another folder.

@@ -14,7 +14,6 @@ pieces by their rank within their length, which is an ordinary distributed job.
 from __future__ import annotations
 
 import bisect
-import itertools
 import os
 import re
 import zlib
@@ -35,9 +34,8 @@ CAPACITY = 2048
 END_ID = 0
 # Effort of the search for a better packing than the incumbent; the result is complete at any effort.
 SEARCH_NODES = 20_000
-FILLINGS = 8  # of the room beside one piece
-BRANCHES = 3
-EFFORT = 40
+AHEAD = 16  # fillings looked up before the best of them is tried; the others follow
+EFFORT = 50  # choices of the enumeration for each node
 RANK_ROWS = 200_000  # rows that are ranked together in one group, about
 SLICE = 2 << 20
 CACHED_PARTS = 400_000  # in a worker, for one task
@@ -71,48 +69,47 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return max(best, int(above[capacity // 2 + 1]) if len(counts) > capacity // 2 + 1 else 0)
 
 
-def fillings(counts: np.ndarray, room: int, waste: int, limit: int) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of ``room`` from the lengths left, that waste at most ``waste``, least waste first.
+Items = tuple[tuple[int, int], ...]
 
-    A filling is dominated if a longer piece fits in place of one of its pieces or if one more
-    piece fits beside them: the other one leaves easier pieces for the sequences to come.
+
+def fillings(counts: np.ndarray, room: int, waste: int, steps: list[int]) -> Iterator[tuple[int, Items]]:
+    """All undominated fillings of ``room`` from the pieces left that waste at most ``waste``, as (waste, items), one by one.
+
+    How many pieces of a length go in is chosen at once, the most of the longest first. A filling is
+    dominated if a longer piece fits in place of one of its pieces or if one more piece fits beside them:
+    the other one leaves easier pieces for the sequences to come. ``steps[0]`` counts the choices made.
     """
-    left = np.flatnonzero(counts[: room + 1]).tolist()
-    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    chosen: list[int] = []
-    tried = 0
-
-    def extend(top: int, room: int) -> None:
-        """Add pieces no longer than ``left[top - 1]``, the longest ones first."""
-        nonlocal tried
-        tried += 1
-        top = bisect.bisect_right(left, room, 0, top)
-        branches = 0
-        while top and branches < BRANCHES and len(found) < limit and tried < EFFORT * limit:
-            length = left[top - 1]
-            if not chosen or chosen[-1] != length or chosen.count(length) < counts[length]:
-                branches += 1
-                chosen.append(length)
-                extend(top, room - length)
+    left = np.flatnonzero(counts[: room + 1]).tolist()[::-1]
+    many = [int(counts[length]) for length in left]
+    shorter = [-length for length in left]  # ascending, to search in
+    total = np.cumsum([length * n for length, n in zip(left[::-1], many[::-1])])[::-1].tolist() if left else []
+    chosen: list[tuple[int, int]] = []
+
+    def dominated(rest: int) -> bool:
+        used = dict(chosen)
+        for length in (0, *used):
+            first = bisect.bisect_left(shorter, -(length + rest))
+            if any(many[i] > used.get(left[i], 0) for i in range(first, bisect.bisect_left(shorter, -length))):
+                return True
+        return False
+
+    def extend(first: int, room: int) -> Iterator[tuple[int, Items]]:
+        steps[0] += 1
+        i = max(first, bisect.bisect_left(shorter, -room))
+        while i < len(left):
+            if room - total[i] > waste:  # all that is left does not fill it
+                return
+            length = left[i]
+            for n in range(min(many[i], room // length), 0, -1):
+                chosen.append((length, n))
+                yield from extend(i + 1, room - n * length)
                 chosen.pop()
-                if found and found[-1][0] == 0:
-                    return
-            top -= 1
-        if not branches and room <= waste:
-            found.append((room, tuple((a, len(list(g))) for a, g in itertools.groupby(chosen))))
-
-    extend(len(left), room)
-    kept = []
-    for rest, items in sorted(found, key=lambda x: (x[0], [-a for a, _ in x[1]])):
-        used = dict(items)
-        dominated = any(
-            counts[better] > used.get(better, 0)
-            for length, _ in items
-            for better in left[bisect.bisect_right(left, length) : bisect.bisect_right(left, length + rest)]
-        )
-        if not dominated:
-            kept.append(items)
-    return kept
+            i += 1
+            steps[0] += 1
+        if room <= waste and not dominated(room):
+            yield room, tuple(chosen)
+
+    return extend(0, room)
 
 
 def _apply(counts: np.ndarray, items: tuple[tuple[int, int], ...], sign: int) -> None:
@@ -140,58 +137,73 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return out
 
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[Pattern]:
-    """Patterns that use every piece of ``counts`` (pieces per length, index 0 unused) exactly once."""
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = SEARCH_NODES, effort: int = EFFORT) -> list[Pattern]:
+    """Patterns that use every piece of ``counts`` (pieces per length, index 0 unused) exactly once.
+
+    At every node the longest piece left is put with the fillings beside it, ``AHEAD`` of which are looked up
+    and tried by their waste before the next ones are. A filling is used as often as the pieces and the
+    waste allow, then half as often, and so on down to once; as it may be chosen again below, every number
+    is reached. So all there is can be tried; only the budget of ``nodes``, and of ``effort`` choices
+    for each of them, ends the search before the lower bound or the last possibility does.
+    """
     counts = np.asarray(counts, np.int64).copy()
     total = int((np.arange(len(counts)) * counts).sum())
     best = best_fit_decreasing(counts, capacity)
     n_best, bound = sum(p.copies for p in best), lower_bound(counts, capacity)
-    stack: list[tuple[Pattern, int, list]] = []  # chosen pattern, waste before it, fillings not tried yet
-    waste = visited = 0
+    steps, visited, waste = [0], 0, 0
+    # of every node above: pattern, waste before it, what is left to try
+    stack: list[tuple[Pattern, int, Iterator[tuple[Items, int]]]] = []
 
-    def choices() -> tuple[int, list]:
+    def slack() -> int:
+        """What a packing with one sequence less may still waste."""
+        return (n_best - 1) * capacity - total - waste
+
+    def options() -> Iterator[tuple[Items, int]]:
+        """(filling, copies) of the node."""
         longest = int(np.flatnonzero(counts)[-1])
-        # a packing with one sequence less may waste so much in all
-        slack = (n_best - 1) * capacity - total - waste
-        counts[longest] -= 1
-        options = fillings(counts, capacity - longest, min(slack, capacity), FILLINGS)
-        counts[longest] += 1
-        merged = []
-        for items in options:
-            use = dict(items)
-            use[longest] = use.get(longest, 0) + 1
-            merged.append(tuple(sorted(use.items(), reverse=True)))
-        return slack, merged
-
-    options: list | None = None
-    while n_best > bound and visited < nodes:
+        left = counts.copy()
+        left[longest] -= 1
+        source = fillings(left, capacity - longest, min(slack(), capacity), steps)
+        while True:
+            ahead: list[tuple[int, Items]] = []
+            until = steps[0] + effort
+            for lost, items in source:
+                use = dict(items)
+                use[longest] = use.get(longest, 0) + 1
+                ahead.append((lost, tuple(sorted(use.items(), reverse=True))))
+                if not lost or len(ahead) == AHEAD or steps[0] > until:
+                    break
+            if not ahead:
+                return
+            for lost, items in sorted(ahead, key=lambda x: x[0]):
+                copies = min(int(left[a] + (a == longest)) // m for a, m in items)
+                if lost:
+                    copies = min(copies, slack() // lost)
+                while copies > 0:
+                    yield items, copies
+                    copies //= 2
+
+    here = options() if counts.any() else iter(())
+    while n_best > bound and visited < nodes and steps[0] < nodes * effort:
         visited += 1
-        if not counts.any():
-            n = sum(p.copies for p, _, _ in stack)
-            if n < n_best:
-                best, n_best = [p for p, _, _ in stack], n
-            options = []
-        elif options is None:
-            slack, options = choices()
-        if options:
-            items, rest = options[0], options[1:]
-            copies = min(int(counts[a]) // m for a, m in items)
-            lost = capacity - sum(a * m for a, m in items)
-            slack = (n_best - 1) * capacity - total - waste
-            if lost:
-                copies = min(copies, slack // lost)
-            if copies > 0:
-                stack.append((Pattern(items, copies), waste, rest))
-                _apply(counts, tuple((a, m * copies) for a, m in items), -1)
-                waste += lost * copies
-                options = None
-            else:
-                options = rest
-        elif stack:
-            pattern, waste, options = stack.pop()
+        choice = next(here, None) if slack() >= 0 else None
+        if choice is None:
+            if not stack:
+                break
+            pattern, waste, here = stack.pop()
             _apply(counts, tuple((a, m * pattern.copies) for a, m in pattern.items), 1)
-        else:
-            break
+            continue
+        items, copies = choice
+        stack.append((Pattern(items, copies), waste, here))
+        _apply(counts, tuple((a, m * copies) for a, m in items), -1)
+        waste += (capacity - sum(a * m for a, m in items)) * copies
+        if counts.any():
+            here = options()
+            continue
+        n = sum(p.copies for p, _, _ in stack)
+        if n < n_best:
+            best, n_best = [p for p, _, _ in stack], n
+        here = iter(())
     return best
 
 

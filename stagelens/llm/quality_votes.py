@@ -150,12 +150,13 @@ def learn(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS,
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
         per_label: int = PER_LABEL) -> Votes:
     """Learn from about ``per_label`` documents of each label, whole texts; the driver gets their sparse terms only."""
-    known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"))
+    known = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).filter("_label IS NOT NULL")
+    known = known.groupBy("_key").agg(F.min("_label").alias("_label"))
     share = known.groupBy(F.col("_label").alias("_l")).agg((F.lit(per_label) / F.count("*")).alias("_share"))
     chance = F.pmod(F.xxhash64(F.lit("learn"), "_key"), F.lit(1 << 20)) / float(1 << 20)
     sample = known.join(share, F.col("_label") == F.col("_l")).filter(chance < F.col("_share")).select("_key", "_label")
-    rows = docs.join(F.broadcast(sample), F.col(key) == F.col("_key"))
-    rows = rows.select(F.col("_key").cast("string"), F.col("_label").cast("double"), text)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
+    rows = rows.select(F.col("_key").cast("string"), F.col("_label").cast("double"), "_text")
     schema = T.StructType.fromDDL("key string, label double, place array<int>, n array<float>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,14 +203,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """``docs`` without the repeated spans that are not the first of their kind; other columns stay."""
     spans = repeated_spans(docs, key, text, min_words).filter("not is_first")
     cuts = spans.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
-    joined = docs.join(cuts, F.col(key) == F.col("_key"), "left")
+    whole = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    joined = whole.join(cuts, "_key", "left")
     kept = F.aggregate(
         "_cuts",
         F.struct(F.lit("").alias("made"), F.lit(0).cast("long").alias("at")),
         lambda a, c: F.struct(
-            F.concat(a["made"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (c["start"] - a["at"]).cast("int"))).alias("made"),
+            F.concat(a["made"], F.substring(F.col("_text"), (a["at"] + 1).cast("int"), (c["start"] - a["at"]).cast("int"))).alias("made"),
             F.greatest(a["at"], c["stop"]).alias("at"),
         ),
-        lambda a: F.concat(a["made"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(F.col(text)))),
+        lambda a: F.concat(a["made"], F.substring(F.col("_text"), (a["at"] + 1).cast("int"), F.length(F.col("_text")))),
     )
-    return joined.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    made = F.when(F.col("_cuts").isNull(), F.col("_text")).otherwise(kept)
+    return joined.select(F.col("_row").withField(f"`{text}`", made).alias("_row")).select("_row.*")

@@ -193,8 +193,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     their text. Rows that share a key but not the text are documents of their own.
     """
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    named = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.pmod(digest, F.lit(1 << 61)) + (1 << 62)))
-    groups = near_duplicates(named, "_id", text)
+    number = F.coalesce(F.col(key).cast("long"), F.pmod(digest, F.lit(1 << 61)) + (1 << 62))
+    named = docs.select(number.alias("_id"), digest.alias("_digest"), F.col(text).alias("_text"), F.struct("*").alias("_row"))
+    groups = near_duplicates(named, "_id", "_text")
     kept = groups.filter("_id = component_id").select("_id").distinct()
-    one = named.join(kept, "_id", "left_semi").withColumn("_digest", digest)
-    return one.dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
+    one = named.select("_id", "_digest", "_row").join(kept, "_id", "left_semi")
+    return one.dropDuplicates(["_id", "_digest"]).select("_row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagelens.session import scratch_dir
+from stagelens.session import temporary_path
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -280,9 +280,7 @@ def page_of(urn: str):
 def archived_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write the pages to archives in the shared folder and read them back: one row per record."""
     spark = pages.sparkSession
-    path = f"{scratch_dir(spark)}/stagelens/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
-    if "://" not in path and not path.startswith("file:"):
-        path = f"file://{path}"
+    path = temporary_path(spark, "warc")
     archive_pages(pages, path, key, url, html)
     records = read_archives(spark, path)
     return records.select(

@@ -80,6 +80,28 @@ def test_branch_and_bound_beats_best_fit():
     assert sum(x.copies for x in p.bin_completion(counts, 10)) == p.lower_bound(counts, 10) <= best
 
 
+@pytest.mark.parametrize("pieces, least", [({5: 200_000, 7: 100_000}, 831), ({6: 100_000, 11: 50_000}, 562), ({2048: 3, 1: 10}, 4)])
+def test_short_pieces_by_the_hundred(pieces, least):
+    counts = np.zeros(2049, int)
+    for length, n in pieces.items():
+        counts[length] = n
+    made = p.bin_completion(counts)
+    used = np.zeros(2049, int)
+    for pattern in made:
+        assert sum(a * m for a, m in pattern.items) <= 2048
+        for a, m in pattern.items:
+            used[a] += m * pattern.copies
+    assert (used == counts).all() and sum(x.copies for x in made) == least == p.lower_bound(counts, 2048)
+
+
+def test_all_undominated_fillings():
+    counts = np.bincount([2, 2, 3, 5, 5, 7], minlength=11)
+    got = {items for _, items in p.fillings(counts, 10, 10, [0])}
+    # 7 2 wastes one and takes 3 in place of 2; in 5 3 2 no single piece gives way to a longer one
+    assert got == {((7, 1), (3, 1)), ((5, 2),), ((5, 1), (3, 1), (2, 1))}
+    assert all(rest == 10 - sum(a * m for a, m in items) for rest, items in p.fillings(counts, 10, 10, [0]))
+
+
 def check(docs, public):
     expected = []
     rows = docs.collect()

@@ -64,6 +64,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/stagelens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A whole path, with its file system, for files that are not written by Spark; it goes with the ``step`` around it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, name))
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if whole.startswith("file:/"):  # other readers of such addresses want the empty host
+        whole = "file:///" + whole.removeprefix("file:").lstrip("/")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(whole)
+    return whole
+
+
 def write_scratch(df: DataFrame, name: str, rebalance: bool = False, keep: bool = False) -> str:
     """Write below the scratch folder; ``rebalance`` evens out the files of a big table.
 

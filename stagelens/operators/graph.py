@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stagelens.functions.text import typed_key
+from stagelens.operators import logit
 from stagelens.operators.keys import dense_ids
 from stagelens.operators.skew import skew_join
 from stagelens.session import materialize
@@ -269,16 +267,23 @@ def top2(values: DataFrame, by: str, genre: str = "genre", value: str = "p") ->
     )
 
 
+def head_rows(values: DataFrame, nodes: DataFrame, genres: Sequence[str], node: str = "node", genre: str = "genre") -> DataFrame:
+    """``nodes`` with a column per genre (x0, x1, ...): the node's share of its propagated scores, 0 where it has none."""
+    whole = F.sum("value")
+    wide = values.groupBy(node).agg(*[
+        F.coalesce(F.try_divide(F.sum(F.when(F.col(genre) == g, F.col("value"))), whole), F.lit(0.0)).alias(f"x{i}") for i, g in enumerate(genres)])
+    return nodes.join(wide, node, "left").fillna(0.0, [f"x{i}" for i in range(len(genres))])
+
+
 def logistic_head(values: DataFrame, train: DataFrame, targets: DataFrame, genres: Sequence[str], node: str = "node", genre: str = "genre") -> DataFrame:
-    """Class probabilities from propagated scores by a weighted logistic regression."""
-    wide = values.groupBy(node).agg(*[F.coalesce(F.max(F.when(F.col(genre) == g, F.col("value"))), F.lit(0.0)).alias(f"x{i}") for i, g in enumerate(genres)])
-    wide = VectorAssembler(inputCols=[f"x{i}" for i in range(len(genres))], outputCol="features").transform(wide).select(node, "features")
-    zero = array_to_vector(F.array(*[F.lit(0.0)] * len(genres)))
-    index = StringIndexer(inputCol=genre, outputCol="label", stringOrderType="alphabetAsc").fit(train)
-    rows = index.transform(train).join(wide, node, "left").withColumn("features", F.coalesce("features", zero))
-    weights = class_weights(train, genre).select(genre, F.col("inverse_share").alias("weight"))
-    rows = rows.join(weights, genre)
-    model = LogisticRegression(weightCol="weight", maxIter=30, regParam=1e-4).fit(materialize(rows.select("label", "features", "weight"), "head"))
-    asked = targets.join(wide, node, "left").withColumn("features", F.coalesce("features", zero))
-    pairs = F.arrays_zip(F.lit(list(index.labels)).alias("genre"), vector_to_array("probability").alias("p"))
-    return model.transform(asked).select(node, F.inline(pairs).alias(genre, "p"))
+    """Class probabilities (node, genre, p) from propagated scores, each class against the rest.
+
+    A class counts by the inverse share of its positives, as in ``class_weights``.
+    """
+    names = [f"x{i}" for i in range(len(genres))]
+    number = F.array_position(F.array(*[F.lit(g) for g in genres]), F.col(genre)) - 1
+    rows = materialize(head_rows(values, train, genres, node, genre).select(number.cast("int").alias("label"), *names), "head")
+    found = {r[genre]: r["pos_weight"] for r in class_weights(train, genre).collect()}  # a row per class
+    coef = logit.fit(rows, names, "label", [found[g] for g in genres])
+    shares = F.array(*[F.struct(F.lit(g).alias("genre"), p.alias("p")) for g, p in zip(genres, logit.probabilities(coef, names))])
+    return head_rows(values, targets, genres, node, genre).select(node, F.inline(shares).alias(genre, "p"))

@@ -31,6 +31,23 @@ def drop_all_null(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     return df.dropna(how="all", subset=list(subset))
 
 
+def combine_first(a: DataFrame, b: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``a`` with its missing values filled from ``b``, and the rows and columns that only ``b`` has.
+
+    ``on`` is a key of both; a value that neither has stays null.
+    """
+    there = b.select(*[F.col(c).alias(f"_b_{c}") for c in [*on, *values] if c in b.columns])
+    test = F.lit(True)
+    for c in on:
+        test = test & a[c].eqNullSafe(there[f"_b_{c}"])
+
+    def first(c: str) -> Column:
+        own, other = c in a.columns, f"_b_{c}" in there.columns
+        return F.coalesce(*[F.col(x) for x, has in ((c, own), (f"_b_{c}", other)) if has]).alias(c)
+
+    return a.join(there, test, "full").select(*[first(c) for c in [*on, *values]])
+
+
 def join_on_unique(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     """Left join on a key that occurs once on either side; elsewhere nothing is attached. NULL meets NULL."""
     once = keep_unique(left, by).select(*by, F.lit(True).alias("_once"))

@@ -366,6 +366,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY round(gain, 9)
                                               for i, f in enumerate(("U_AB", "S_AB", "A_AB")))}) x GROUP BY ALL) c) w
             WHERE nl < n) g) z
 WHERE nth = 1""", PAIRS)
+O["combined_figures"] = query("""
+SELECT performance_id, coalesce(a.sold, b.sold) AS sold, round(a.occupancy, 6) AS occupancy, b.sessions
+FROM (SELECT performance_id, CASE WHEN sold > 20 THEN sold END AS sold, occupancy FROM v_metrics WHERE performance_id % 3 <> 0) a
+FULL JOIN (SELECT performance_id, sold + 1 AS sold, sessions FROM v_metrics WHERE performance_id % 2 = 0) b USING (performance_id)""", "v_metrics")
+O["picked_columns"] = """
+SELECT c_custkey AS key, '' AS note, replace(c_name, '#', ' + ') AS joined, len(string_split(c_name, '#'))::int AS parts FROM customer"""
 _KNOWN_EVENT = "occupancy IS NOT NULL AND price IS NOT NULL AND rev_per_session IS NOT NULL AND sold IS NOT NULL AND sessions IS NOT NULL"
 O["dpi_prototype_paid"] = query(f"""
 SELECT kind, count(*) AS paid, count(*) FILTER (WHERE {_KNOWN_EVENT}) AS scored, 0::bigint AS outside

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stagelens.functions import conditions as C
 from stagelens.functions import numeric as N
+from stagelens.functions import text as X
 from stagelens.operators import checks as K
 from stagelens.operators import cluster as CL
 from stagelens.operators import compare as P
@@ -531,6 +532,26 @@ def formula_fit(spark, sf):
     return out.select("kind", "segment", "n", *[r(c).alias(c) for c in ("corr", "r2", "ratio_min", "ratio_max")])
 
 
+@register
+def combined_figures(spark, sf):
+    """Figures of two lists that know different events and columns, the first one's where both have one."""
+    m = stages.metrics(spark, sf)
+    a = m.filter("performance_id % 3 <> 0").select(
+        "performance_id", F.when(F.col("sold") > 20, F.col("sold")).alias("sold"), F.col("occupancy"))
+    b = m.filter("performance_id % 2 = 0").select("performance_id", (F.col("sold") + 1).alias("sold"), F.col("sessions"))
+    out = U.combine_first(a, b, ["performance_id"], ["sold", "occupancy", "sessions"])
+    return out.select("performance_id", "sold", r("occupancy").alias("occupancy"), "sessions")
+
+
+@register
+def picked_columns(spark, sf):
+    """Wanted columns of a list whose header has blanks, checked for values; one that it has not is added empty; the words of a name counted and joined."""
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias(" key "), F.col("c_name").alias("name "))
+    picked = C.assert_columns(C.pick_existing(c, ["key", "name", "note"], add_missing=True), ["key", "name"])
+    parts = F.split("name", "#")
+    return picked.select("key", "note", X.joined(parts).alias("joined"), X.list_length(F.concat_ws(",", parts)).alias("parts"))
+
+
 PAIR_FEATURES = ["U_AB", "S_AB", "A_AB"]
 PAIR_KEY = ["segment", "size", "pair"]
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stagelens.functions import conditions as C
-from stagelens.functions import text as X
 from stagelens.operators import compare as P
 from stagelens.operators import graph as G
 from stagelens.operators import improve as I
@@ -82,8 +81,5 @@ def kmeans_profile_figures(spark, sf):
 @register
 def sgc_logreg_figures(spark, sf):
     """Logistic head on the propagated scores: its metrics on held-out events."""
-    key = X.typed_key("performance", "performance_id").alias("node")
-    s = QG.split(spark, sf)
-    train, test = s.filter("train").select(key, "genre"), s.filter("NOT train").select(key, "genre")
-    genres = sorted(row["genre"] for row in train.select("genre").distinct().collect())
-    return G.multilabel_metrics(test, G.logistic_head(QG._propagated(spark, sf), train, test.select("node"), genres), "node")
+    test, probs = QG.head_probabilities(spark, sf)
+    return G.multilabel_metrics(test, probs, "node")

@@ -11,6 +11,7 @@ from stagelens.operators import ablation as AB
 from stagelens.operators import compare as P
 from stagelens.operators import consensus as CO
 from stagelens.operators import graph as G
+from stagelens.operators import logit as LO
 from stagelens.operators import inference as H
 from stagelens.operators import keys as U
 from stagelens.operators import people as PE
@@ -533,19 +534,35 @@ def holdout_metrics(spark, sf):
     return out.select("n", "classes", *[r(c).alias(c) for c in ("top1_acc", "top2_acc", "subset_acc", "micro_f1", "macro_f1", "weighted_f1", "hamming_acc")])
 
 
-@register
-def sgc_logreg(spark, sf):
-    """Logistic head on the propagated scores, evaluated on held-out events: rows, classes, figures in their range."""
+def head_probabilities(spark, sf):
+    """(held-out events with their genre, the logistic head's probabilities of them)."""
     key = X.typed_key("performance", "performance_id").alias("node")
     s = split(spark, sf)
     train, test = s.filter("train").select(key, "genre"), s.filter("NOT train").select(key, "genre")
-    # a class per genre of the training labels
-    genres = sorted(row["genre"] for row in train.select("genre").distinct().collect())
-    probs = G.logistic_head(_propagated(spark, sf), train, test.select("node"), genres)
-    whole = probs.groupBy("node").agg(F.sum("p").alias("p")).agg(F.max(F.abs(F.col("p") - 1)).alias("off"))
-    out = G.multilabel_metrics(test, probs, "node").crossJoin(whole)  # one row each
-    return out.select("n", "classes", (F.col("top1_acc") <= F.col("top2_acc")).alias("top2_not_below"),
-                      F.col("top1_acc").between(0, 1).alias("valid"), (F.col("off") < 1e-6).alias("sums_to_one"))
+
+    def build():
+        # a class per genre of the training labels
+        genres = sorted(row["genre"] for row in train.select("genre").distinct().collect())
+        return G.logistic_head(_propagated(spark, sf), train, test.select("node"), genres)
+
+    return test, stages.stage(spark, sf, "head_probabilities", build)
+
+
+@register
+def sgc_logreg(spark, sf):
+    """Logistic head on the propagated scores: the held-out events that it is evaluated on and their classes."""
+    test, probs = head_probabilities(spark, sf)
+    return G.multilabel_metrics(test, probs, "node").select("n", "classes")
+
+
+@register
+def logit_kind(spark, sf):
+    """Newton steps for a mixed event against its occupancy, either class against the other: slope and intercept."""
+    m = stages.metrics(spark, sf).filter("occupancy IS NOT NULL").select(
+        (F.col("kind") == "composite").cast("int").alias("label"), F.col("occupancy").cast("double").alias("x"))
+    coef = LO.fit(m, ["x"], "label", [1.0, 2.0])
+    rows = [(i, round(float(a), 5), round(float(b), 5)) for i, (a, b) in enumerate(coef)]
+    return spark.createDataFrame(rows, "label int, slope double, intercept double")
 
 
 def _mix_probs(spark, sf):

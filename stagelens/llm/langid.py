@@ -7,8 +7,11 @@ C: the escape counts as often as there are different followers). Below the empty
 alike. The statistics are frozen after training, so the code length of a text in each language is
 exact: a sum of looked-up costs. The shortest code wins.
 
-All languages share one table: a row per context that any of them knows, with the final cost of each
-byte in each language, escapes included. A text is then scored in one pass over its bytes.
+A language's tree is two sorted arrays: the runs of bytes it has seen, with the cost of their last byte in
+the context of the others, and the contexts, with the cost of their escape. So a language takes the
+room of what it has seen, and neither contexts nor languages are left out. Texts are scored a slice at a
+time: every different run of bytes in the slice is looked up once per language, from the longest context
+to the shortest, and a text's code length is the sum over its runs.
 """
 
 from __future__ import annotations
@@ -29,9 +32,6 @@ from stagelens.llm.common import per_text, text_slices, utf8, within
 ORDER = 3
 # Training documents of a language, about: a sample by a hash of the key. Whole texts are counted.
 TRAIN_DOCS = 2000
-MAX_LANGS = 1000
-# Contexts kept at most, the most frequent ones; a text in other contexts is scored in shorter ones.
-MAX_CONTEXTS = 40_000
 UNKNOWN = "und"
 
 
@@ -41,15 +41,15 @@ def fold(key: str, folds: int) -> Column:
 
 
 def training_sample(docs: DataFrame, key: str, lang: str, per_lang: int = TRAIN_DOCS) -> DataFrame:
-    """About ``per_lang`` documents of each language, by a hash of the key; texts are not exchanged.
+    """About ``per_lang`` documents of each language, by a hash of the key.
 
-    The model knows the ``MAX_LANGS`` most frequent languages, so the table of shares has a bound.
+    The table of shares has a row per language; while it is small the planner broadcasts it, and texts are
+    not exchanged.
     """
     known = docs.filter(F.col(lang).isNotNull())
     share = known.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
-    share = share.orderBy(F.desc("_n"), "_lang").limit(MAX_LANGS)
     chance = F.pmod(F.xxhash64(F.lit("train"), key), F.lit(1 << 20)) / float(1 << 20)
-    joined = known.join(F.broadcast(share), F.col(lang) == F.col("_lang"))
+    joined = known.join(share, F.col(lang) == F.col("_lang"))
     return joined.filter(chance * F.col("_n") < per_lang).drop("_n", "_lang")
 
 
@@ -88,102 +88,79 @@ def _grams(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-class ContextTable:
-    """Costs in bits: a row per context, a column per kind of byte, a value per language.
+def _lengths(gram: np.ndarray) -> np.ndarray:
+    """Bytes of runs under a leading 1."""
+    out = np.zeros(len(gram), np.int64)
+    for size in range(1, 8):
+        out[gram >= 1 << 8 * size] = size
+    return out
 
-    Row 0 is the empty context, which escapes to all 256 bytes alike. ``lookups`` give the row of
-    the longest known context for the last bytes of a text.
-    """
 
-    def __init__(self, counts: pd.DataFrame, order: int = ORDER, most: int = MAX_CONTEXTS):
-        self.langs = sorted(counts["lang"].unique())
-        self.order = order
-        n_langs = len(self.langs)
-        gram = counts["gram"].to_numpy(np.int64)
-        lang = np.searchsorted(np.array(self.langs, object), counts["lang"].to_numpy(object))
-        n = counts["n"].to_numpy(np.float64)
-        used = np.unique(gram & 0xFF)
-        self.kind = np.full(256, len(used), np.int16)  # bytes never seen share the last column
-        self.kind[used] = np.arange(len(used))
-        self.width = len(used) + 1
-        self.row: dict[int, int] = {1: 0}
-        size = np.int64(np.floor(np.log2(gram) / 8))
-        contexts = {1: np.array([1])}
-        room = most
-        for length in range(1, order + 1):
-            ctx = gram[size == length + 1] >> 8
-            total = pd.Series(n[size == length + 1]).groupby(ctx).sum()
-            kept = total.sort_index().sort_values(ascending=False, kind="stable").index[:room]
-            contexts[length + 1] = np.sort(kept.to_numpy(np.int64))
-            room -= len(kept)
-            for c in contexts[length + 1]:
-                self.row[int(c)] = len(self.row)
-        self.cost = np.empty((len(self.row), self.width, n_langs), np.float32)
-        for length in range(0, order + 1):
-            known = contexts[length + 1]
-            if not len(known):
-                continue
-            first = self.row[int(known[0])]
-            here = size == length + 1
-            ctx, symbol, who, many = gram[here] >> 8, self.kind[gram[here] & 0xFF], lang[here], n[here]
-            at = np.searchsorted(known, ctx)
-            at[at == len(known)] = 0
-            ok = known[at] == ctx
-            table = np.zeros((len(known), self.width, n_langs))
-            table[at[ok], symbol[ok], who[ok]] = many[ok]
-            total, kinds = table.sum(1), (table > 0).sum(1)
-            if length:
-                shorter = np.array([self.row[self._suffix(int(c))] for c in known])
-                below = self.cost[shorter]
-            else:
-                below = np.full((1, self.width, n_langs), 8.0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-                seen = -np.log2(table / (total + kinds)[:, None, :])
-            self.cost[first : first + len(known)] = np.where(table > 0, seen, below + escape[:, None, :])
-        self.lookups = self._lookups()
-
-    def _suffix(self, context: int) -> int:
-        """The longest known context that the context ends with, itself left out."""
-        length = (context.bit_length() - 1) // 8
-        for shorter in range(length - 1, -1, -1):
-            mark = 1 << 8 * shorter
-            found = mark | context & (mark - 1)
-            if found in self.row:
-                return found
-        return 1
-
-    def _lookups(self) -> list[np.ndarray]:
-        """For the last 1, 2, 3 bytes: the row of the longest known context."""
-        out = [np.zeros(1, np.int32)]
-        for length in range(1, self.order + 1):
-            table = np.tile(out[-1], 256)  # the context's first byte is the highest
-            for context, row in self.row.items():
-                if (context.bit_length() - 1) // 8 == length:
-                    table[context & ((1 << 8 * length) - 1)] = row
-            out.append(table)
+def _shortened(gram: np.ndarray) -> np.ndarray:
+    """Runs without their first byte."""
+    mark = np.int64(1) << 8 * (_lengths(gram) - 1)
+    return mark | gram & (mark - 1)
+
+
+class Tree:
+    """Costs in bits of one language: of each run's last byte after the others, and of each context's escape."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, n = gram[order], n[order].astype(np.float64)
+        context = self.gram >> 8
+        self.context, first, kinds = np.unique(context, return_index=True, return_counts=True)
+        total = np.add.reduceat(n, first) if len(n) else n
+        self.escape = (-np.log2(kinds / (total + kinds))).astype(np.float32)
+        self.seen = (-np.log2(n / np.repeat(total + kinds, kinds))).astype(np.float32)
+
+    def costs(self, runs: np.ndarray) -> np.ndarray:
+        """Cost of the last byte of each run, escapes from longer contexts included."""
+        out = np.zeros(len(runs))
+        left, now = np.arange(len(runs)), runs
+        while len(left):
+            at = np.minimum(np.searchsorted(self.gram, now), len(self.gram) - 1)
+            hit = self.gram[at] == now
+            out[left[hit]] += self.seen[at[hit]]
+            left, now = left[~hit], now[~hit]
+            context = now >> 8
+            at = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
+            known = self.context[at] == context
+            out[left[known]] += self.escape[at[known]]
+            last = context == 1  # the empty context: all bytes are alike
+            out[left[last]] += 8
+            left, now = left[~last], _shortened(now[~last])
         return out
 
+
+class Trees:
+    """The trees of all languages."""
+
+    def __init__(self, counts: pd.DataFrame, order: int = ORDER):
+        self.order, self.trees = order, {}
+        ordered = counts.sort_values("lang", kind="stable")
+        langs, gram, n = (ordered[c].to_numpy() for c in ("lang", "gram", "n"))
+        self.langs, first = np.unique(langs.astype(str), return_index=True)
+        self.langs = self.langs.tolist()
+        self.trees = [Tree(gram[a:b].astype(np.int64), n[a:b]) for a, b in zip(first, [*first[1:], len(gram)])]
+
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of every text in every language."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         if not len(data):
             return out
-        lookups, rows = self.lookups, np.zeros(len(data), np.int64)
-        full = _grams(data, self.order)
-        if len(full) > 1:
-            rows[self.order :] = lookups[self.order][full[:-1]]
+        runs = np.zeros(len(data), np.int64)
+        runs[self.order :] = _grams(data, self.order + 1) | 1 << 8 * (self.order + 1)
         begins, sizes = offsets[:-1], np.diff(offsets)
         for place in range(min(self.order, int(sizes.max()))):  # the first bytes of a text have shorter contexts
             at = begins[sizes > place] + place
-            context = np.zeros(len(at), np.int64)
-            for k in range(place):
-                context = context << 8 | data[at - place + k]
-            rows[at] = lookups[place][context]
-        cost = self.cost.reshape(-1, len(self.langs))
-        index = rows * self.width + self.kind[data]
-        for k in range(len(self.langs)):
-            out[:, k] = _sums(cost[index, k], offsets)
+            run = np.ones(len(at), np.int64)
+            for k in range(place + 1):
+                run = run << 8 | data[at - place + k]
+            runs[at] = run
+        distinct, which = np.unique(runs, return_inverse=True)
+        for k, tree in enumerate(self.trees):
+            out[:, k] = _sums(tree.costs(distinct)[which], offsets)
         return out
 
 
@@ -201,21 +178,20 @@ def has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.nda
 
 
 _ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
-_TABLES: dict[str, ContextTable] = {}  # the table of the model a worker process last used
+_TABLES: dict[str, Trees | None] = {}  # the trees of the model a worker process last used
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = TRAIN_DOCS,
         order: int = ORDER) -> pd.DataFrame:
     """The frozen statistics (lang, gram, n) from a bounded sample of labelled rows.
 
-    Their number follows from the sample, not from the corpus.
+    Their number follows from the sample, ``per_lang`` documents of each language, not from the corpus.
     """
     sample = training_sample(docs.select(key, text, lang), key, lang, per_lang)
     return context_counts(sample, lang, text, order).toPandas()
 
 
-def predict(docs: DataFrame, counts: pd.DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER,
-            contexts: int = MAX_CONTEXTS) -> DataFrame:
+def predict(docs: DataFrame, counts: pd.DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """One row per document: key, lang_pred, score, bits (its code length in the language predicted).
 
     ``score`` is the share of the predicted language if every language is given the probability
@@ -228,7 +204,7 @@ def predict(docs: DataFrame, counts: pd.DataFrame, key: str = "doc_id", text: st
     def work(texts: pa.Array) -> dict[str, object]:
         if name not in _TABLES:
             _TABLES.clear()
-            _TABLES[name] = ContextTable(statistics.value, order, contexts) if len(statistics.value) else None
+            _TABLES[name] = Trees(statistics.value, order) if len(statistics.value) else None
         model = _TABLES[name]
         data, offsets = utf8(texts)
         if model is None:

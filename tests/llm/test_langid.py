@@ -42,7 +42,7 @@ def test_counts_and_code_lengths(spark, learned):
             for k in range(min(g.ORDER, i) + 1):
                 counts[r.lang][data[i - k : i]][data[i]] += 1
     assert sum(n for c in counts.values() for f in c.values() for n in f.values()) == learned.n.sum()
-    model = g.ContextTable(learned, most=10**7)
+    model = g.Trees(learned)
     texts = ["", "a", "xyzzy 中文 {}[]", "The of and", *[r.text[:400] for r in docs.limit(12).collect()]]
     bits = model.bits(*g.utf8(pa.array(texts)))
     for text, row in zip(texts, bits):
@@ -50,10 +50,38 @@ def test_counts_and_code_lengths(spark, learned):
             assert value == pytest.approx(plain_bits(counts, lang, text.encode()), rel=1e-5, abs=1e-6)
 
 
-def test_fewer_contexts_back_off(learned):
-    model = g.ContextTable(learned, most=50)
-    assert len(model.cost) == 51
-    assert (model.bits(*g.utf8(pa.array(["the house"]))) > 0).all()
+def made_languages(spark, n):
+    """Three scripts; a language's words have three letters of its own; the last languages have one short text each."""
+    scripts = ["abcdefghijklmnop", "бвгджзклмнпрстфх", "αβγδεζηθικλμνξοπ"]
+    rows = []
+    for i in range(n):
+        letters = scripts[i % 3]
+        own = [letters[(i * 5 + k * (1 + i % 11) + j) % 16] + letters[(i // 3 + 7 * k) % 16] + letters[(i // 48 + k * k) % 16]
+               for k in range(6) for j in range(2)]
+        for d in range(6 if i < n // 2 else 2):
+            rows.append((i * 10 + d, " ".join(own[(d * 5 + k * 3) % 12] for k in range(30 if i < n // 2 else 8)), f"l{i:04d}"))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_every_language_can_be_predicted(spark):
+    """1,200 languages, the small ones with two short texts: none is left out of the model."""
+    docs = made_languages(spark, 1200)
+    counts = g.fit(docs)
+    assert counts.lang.nunique() == 1200
+    asked = docs.filter("doc_id % 10 = 0 AND doc_id % 7 = 0")
+    made = g.predict(asked, counts).join(docs, "doc_id").select("lang", "lang_pred").collect()
+    assert len(made) > 150 and sum(r.lang == r.lang_pred for r in made) >= 0.9 * len(made)
+    late = [r for r in made if r.lang >= "l0600"]
+    assert sum(r.lang == r.lang_pred for r in late) >= 0.9 * len(late)
+
+
+def test_a_language_keeps_its_contexts_beside_a_big_one(spark):
+    docs = spark.createDataFrame([(i, "lorem ipsum dolor " * 50 + str(i * 7919), "big") for i in range(50)] + [(99, "zq zq", "tiny")],
+                                 "doc_id long, text string, lang string")
+    counts = g.fit(docs)
+    tiny = dict(zip(*[counts[counts.lang == "tiny"][c] for c in ("gram", "n")]))
+    runs = [b"zq zq"[i : i + size] for size in range(1, 5) for i in range(6 - size)]
+    assert {int.from_bytes(b"\x01" + run) for run in runs} == set(tiny)
 
 
 def test_held_out_accuracy(spark):

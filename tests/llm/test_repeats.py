@@ -140,3 +140,41 @@ def test_awkward_rows(spark):
 def test_empty_table(spark):
     assert r.repeated_spans(empty(spark)).count() == 0
     assert r.remove_repeats(empty(spark)).count() == 0
+
+
+def shingles(text, n):
+    words = text.split()
+    return {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def test_spans_against_a_plain_scan(spark):
+    """Every span has a true copy elsewhere and names the first of them; what is shared at length has a span; the rest has none."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    texts = {x.doc_id: x.text for x in rows if x.text}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = r.repeated_spans(docs).collect()
+    assert spans
+    where = {}
+    for n in (r.MIN_WORDS - 2 * r.WINDOW, r.MIN_WORDS, r.MIN_WORDS + 2 * r.WINDOW):
+        for key, text in texts.items():
+            for s in shingles(text, n):
+                where.setdefault(s, set()).add(key)
+    for s in spans:
+        part = texts[s.doc_id][s.start : s.stop]
+        if s.is_first:
+            assert s.first_id == s.doc_id
+            few = shingles(part, r.MIN_WORDS - 2 * r.WINDOW)
+            assert any(len(where[x]) > 1 for x in few)
+        else:
+            holders = [key for key, text in texts.items() if part.strip() in text]
+            assert s.first_id in holders and s.first_id < s.doc_id
+            # a few words alone may stand in earlier documents that go on otherwise
+            assert s.n_words < r.MIN_WORDS or s.first_id == min(holders)
+    found = {}
+    for s in spans:
+        found.setdefault(s.doc_id, []).append((s.start, s.stop))
+    for key, text in texts.items():
+        if not any(len(where[x]) > 1 for x in shingles(text, r.MIN_WORDS - 2 * r.WINDOW)):
+            assert key not in found
+        if any(len(where[x]) > 1 for x in shingles(text, r.MIN_WORDS + 2 * r.WINDOW)):
+            assert key in found

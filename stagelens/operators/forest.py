@@ -185,7 +185,7 @@ def fit_forest(df: DataFrame, features: Sequence[str], y: str, key: Sequence[str
     numbers = spark.range(0, trees, 1, min(trees, max(spark.sparkContext.defaultParallelism, trees // 8)))
     schema = "tree long, share array<double>, unseen binary, out binary, a binary, b binary, c binary, d binary, e binary"
     share, total, times, kept = np.zeros(len(names)), np.zeros(n), np.zeros(n), []
-    for row in numbers.mapInArrow(run, schema).orderBy("tree").toLocalIterator():  # a tree at a time
+    for row in sorted(numbers.mapInArrow(run, schema).collect(), key=lambda r: r["tree"]):  # a row per tree
         share += row["share"]
         if keep:
             total += np.frombuffer(row["unseen"])

@@ -15,7 +15,11 @@ SELECT s.*, p.genre1, p.genre2, p.p1, p.p2, l.mid AS genre, l.broad
 FROM scored_{_v} s
 LEFT JOIN (SELECT * FROM v_prediction WHERE run_id = 1) p ON s.performance_id = p.performance_id
 LEFT JOIN v_label l ON s.performance_id = l.performance_id""", f"scored_{_v}", "v_prediction", "v_label")
-part("events_stored", "SELECT * REPLACE (round(dpi, 1) AS dpi, round(u, 1) AS u, round(s, 1) AS s, round(a, 1) AS a) FROM events_as_run", "events_as_run")
+part("events_stored", """
+SELECT s.* REPLACE (round(dpi, 1) AS dpi, round(u, 1) AS u, round(s, 1) AS s, round(a, 1) AS a), p.genre1, p.genre2, p.p1, p.p2, l.mid AS genre, l.broad
+FROM scored_as_reported_guard s
+LEFT JOIN (SELECT * FROM v_prediction WHERE run_id = 1) p ON s.performance_id = p.performance_id
+LEFT JOIN v_label l ON s.performance_id = l.performance_id""", "scored_as_reported_guard", "v_prediction", "v_label")
 for _v in ("as_run", "as_reported", "stored"):
     part(f"pairs_{_v}", f"""
 SELECT *, CASE WHEN "DPI_A" IS NULL OR "DPI_B" IS NULL THEN 'undecidable'

@@ -22,6 +22,8 @@ from stagelens.operators.score import WEIGHTS_FREE, WEIGHTS_PAID
 from stagelens.plans import fixtures as fx
 from stagelens.plans import stages
 from stagelens.plans.queries_score import r
+from stagelens.session import scratch_path
+from stagelens.sources import files as FI
 
 QUERIES_COMPARE = {}
 
@@ -45,6 +47,19 @@ def scored_events(spark, sf, variant: str = "as_run"):
     return stages.stage(spark, sf, f"events_{variant}", build)
 
 
+def stored_events(spark, sf):
+    """The reported events with the scores of a ranked list that was stored with one digit, from an earlier run with the guardrail."""
+    def build():
+        path = scratch_path(spark, "stored-scores")
+        run = stages.scored(spark, sf, "as_reported", guard=True)
+        FI.write_ranked(run.select("segment", "performance_id", *[F.round(c, 1).alias(c) for c in METRICS]), path, "segment",
+                        ["DPI_plus"], ["performance_id"])
+        back = FI.read_ranked(spark, path).select(F.col("performance_id").cast("long"), *[F.col(c).cast("double") for c in METRICS])
+        return scored_events(spark, sf, "as_reported").drop(*METRICS).join(back, "performance_id")
+
+    return stages.stage(spark, sf, "events_stored", build)
+
+
 def composite(spark, sf):
     return scored_events(spark, sf).filter("kind = 'composite'")
 
@@ -454,9 +469,7 @@ def variant_sweep(spark, sf):
     """Both computed variants and the stored scores judged the same way: success, means and their difference."""
     out = None
     for variant in ("as_run", "as_reported", "stored"):
-        e = scored_events(spark, sf, "as_run" if variant == "stored" else variant)
-        if variant == "stored":  # a list keeps its scores with one digit
-            e = e.withColumns({c: F.round(c, 1) for c in METRICS})
+        e = stored_events(spark, sf) if variant == "stored" else scored_events(spark, sf, variant)
         comp, alone = e.filter("kind = 'composite'"), e.filter("kind = 'single'")
         t = P.success_rate(P.pair_table(comp, alone))
         means = e.groupBy("segment").agg(*[

@@ -99,7 +99,7 @@ def one_pass(vectors: DataFrame, fits: Sequence[Fit]) -> list[tuple[np.ndarray,
                 far = distances(rows, c)
                 near = far.argmin(1)
                 values = np.column_stack([np.ones(len(rows)), norms, far[np.arange(len(rows)), near], rows])
-                np.add.at(out, near, values)
+                out += (near == np.arange(len(c))[:, None]).astype(float) @ values
         names = ["fit", "cluster", *[f"v{i}" for i in range(width + 3)]]
         flat = np.vstack(made)
         yield pa.RecordBatch.from_arrays(

@@ -643,13 +643,17 @@ def rf_whatif(spark, sf):
     return _with_forest(spark, sf, use)
 
 
+def cross_validation(spark, sf):
+    def build():
+        return _by_segment(spark, sf, lambda rows: I.cross_validate(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY))
+
+    return stages.stage(spark, sf, "cross_validation", build)
+
+
 @register
 def rf_cross_validation(spark, sf):
     """Five folds per segment: the rows of each."""
-    def fit(rows):
-        return I.cross_validate(rows, PAIR_FEATURES, "DPI_AB", PAIR_KEY).select("fold", "n")
-
-    return _by_segment(spark, sf, fit)
+    return cross_validation(spark, sf).select("segment", "fold", "n")
 
 
 @register

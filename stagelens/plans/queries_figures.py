@@ -53,10 +53,7 @@ def min_improvement_model(spark, sf):
 @register
 def rf_cross_validation_figures(spark, sf):
     """R2 of each of five folds per segment."""
-    def fit(rows):
-        return I.cross_validate(rows, QC.PAIR_FEATURES, "DPI_AB", QC.PAIR_KEY).select("fold", "r2")
-
-    return QC._by_segment(spark, sf, fit)
+    return QC.cross_validation(spark, sf).select("segment", "fold", "r2")
 
 
 @register

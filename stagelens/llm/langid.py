@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagelens.llm.common import per_text, text_slices, utf8, within
+from stagelens.session import materialize
 
 ORDER = 3
 # Training documents of a language, about: a sample by a hash of the key. Whole texts are counted.
@@ -43,11 +44,11 @@ def fold(key: str, folds: int) -> Column:
 def training_sample(docs: DataFrame, key: str, lang: str, per_lang: int = TRAIN_DOCS) -> DataFrame:
     """About ``per_lang`` documents of each language, by a hash of the key.
 
-    The table of shares has a row per language; while it is small the planner broadcasts it, and texts are
-    not exchanged.
+    The table of shares has a row per language. It is written, so the planner knows its size: while it is
+    small it is broadcast, and texts are not exchanged.
     """
     known = docs.filter(F.col(lang).isNotNull())
-    share = known.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
+    share = materialize(known.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")), "shares")
     chance = F.pmod(F.xxhash64(F.lit("train"), key), F.lit(1 << 20)) / float(1 << 20)
     joined = known.join(share, F.col(lang) == F.col("_lang"))
     return joined.filter(chance * F.col("_n") < per_lang).drop("_n", "_lang")

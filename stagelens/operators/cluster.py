@@ -93,12 +93,15 @@ def one_pass(vectors: DataFrame, fits: Sequence[Fit]) -> list[tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [np.zeros((len(c), width + 3)) for c in centres]
+        every, ends = np.vstack(centres), np.cumsum([len(c) for c in centres])
         for rows in _blocks(batches):
-            norms = (rows**2).sum(1)
-            for out, c in zip(made, centres):
-                far = distances(rows, c)
-                near = far.argmin(1)
-                values = np.column_stack([np.ones(len(rows)), norms, far[np.arange(len(rows)), near], rows])
+            norms, at = (rows**2).sum(1), np.arange(len(rows))
+            # squared distances to the centres of all fits by one product
+            far = np.maximum(norms[:, None] + (every**2).sum(1) - 2 * rows @ every.T, 0)
+            for out, c, end in zip(made, centres, ends):
+                mine = far[:, end - len(c) : end]
+                near = mine.argmin(1)
+                values = np.column_stack([np.ones(len(rows)), norms, mine[at, near], rows])
                 out += (near == np.arange(len(c))[:, None]).astype(float) @ values
         names = ["fit", "cluster", *[f"v{i}" for i in range(width + 3)]]
         flat = np.vstack(made)

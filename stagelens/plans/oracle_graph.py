@@ -436,7 +436,9 @@ SELECT CASE kind WHEN 'composite' THEN 'C' ELSE 'S' END AS code, count(*) AS n,
 FROM (SELECT kind, CASE WHEN sold <> 0 THEN revenue / sold END AS a, CASE WHEN seats > 500 THEN occupancy END AS b FROM v_metrics) x
 WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY 1""", "v_metrics")
 # classes: genres of the held-out events and those that get more than half of an event's probability, which SQL cannot say; all that occur are held out
-O["sgc_logreg"] = query("SELECT count(*) AS n, count(DISTINCT genre) AS classes FROM v_split WHERE NOT train", "v_split")
+O["sgc_logreg"] = query("""
+SELECT count(*) AS n, count(DISTINCT genre) AS classes, true AS top2_not_below, true AS valid, true AS sums_to_one
+FROM v_split WHERE NOT train""", "v_split")
 
 
 def _newton(step: int) -> str:

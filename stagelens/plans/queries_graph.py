@@ -549,9 +549,12 @@ def head_probabilities(spark, sf):
 
 @register
 def sgc_logreg(spark, sf):
-    """Logistic head on the propagated scores: the held-out events that it is evaluated on and their classes."""
+    """Logistic head on the propagated scores, evaluated on held-out events: rows, classes, figures in their range."""
     test, probs = head_probabilities(spark, sf)
-    return G.multilabel_metrics(test, probs).select("n", "classes")
+    whole = probs.groupBy("performance_id").agg(F.sum("p").alias("p")).agg(F.max(F.abs(F.col("p") - 1)).alias("off"))
+    out = G.multilabel_metrics(test, probs).crossJoin(whole)  # one row each
+    return out.select("n", "classes", (F.col("top1_acc") <= F.col("top2_acc")).alias("top2_not_below"),
+                      F.col("top1_acc").between(0, 1).alias("valid"), (F.col("off") < 1e-6).alias("sums_to_one"))
 
 
 @register

@@ -160,8 +160,8 @@ def grid_search(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequ
 def grid_top_overlap(df: DataFrame, y: str, by: str, within: Sequence[str], key: Sequence[str], k: int = 10) -> DataFrame:
     """Per (K, CAP): share of the k best rows that stay among the k best after the shift.
 
-    Only the k best rows of a group ever leave a task: the limit on row_number is
-    applied before the exchange too.
+    Only the k best rows of a ``by`` group, and those that tie with them, are shifted; the limit on
+    row_number is applied before the exchange too.
     """
     within = list(within)
     cfg = F.array(*[F.struct(F.lit(i).alias("cfg"), F.lit(float(kk)).alias("K"), F.lit(c).alias("CAP"))
@@ -171,7 +171,12 @@ def grid_top_overlap(df: DataFrame, y: str, by: str, within: Sequence[str], key:
     shifts = F.array_sort(F.collect_list(F.struct("cfg", delta.alias("delta"))))
     # one entry per setting and group
     shifts = materialize(deltas.groupBy(*within, by).agg(shifts.alias("shifts")), "shifts")
-    rows = join_null_safe(df.filter(F.col(y).isNotNull()).select(*within, by, *key, y), shifts, [*within, by])
+    known = df.filter(F.col(y).isNotNull()).select(*within, by, *key, y)
+    # rows of one group are shifted alike: what is among the best of all is among the best of its group, but for rounding
+    place = F.row_number().over(W.partitionBy(*within, by).orderBy(F.col(y).desc()))
+    least = known.withColumn("_p", place).filter(F.col("_p") <= k).groupBy(*within, by).agg(F.min(y).alias("least"))
+    near = join_null_safe(known, materialize(least, "least"), [*within, by]).filter(F.col(y) >= F.col("least") - 1e-8)
+    rows = materialize(join_null_safe(near.drop("least"), shifts, [*within, by]), "best")
     long = rows.select(*within, *key, F.col(y).alias("_y"), F.inline("shifts"))
     long = long.withColumn("_a", F.round(F.col("_y") - F.col("delta"), 9)).withColumn("_y", F.round("_y", 9))
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stagelens.operators import adjust as A
 from stagelens.operators import ranks as R
 from stagelens.operators import score as S
 from stagelens.session import clustered, materialize, write_clustered
@@ -45,3 +46,27 @@ def test_repeated_and_unknown_keys(spark):
     df = materialize(spark.createDataFrame(rows, "id long, v double"))
     out = R.percent_ranks(df, ["id"], {"a": R.Rank(F.col("v"))}).collect()
     assert sorted((r["id"] or 0, r["a"] or 0) for r in out) == [(0, 0), (1, 0.75), (1, 0.75), (2, 0.5), (3, 0)]
+
+
+def test_overlap_of_the_best_shifts_few_rows(spark, monkeypatch):
+    rows = spark.range(3000).select(
+        "id", F.lit("s").alias("seg"), F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("region"),
+        (F.pmod(F.hash("id"), F.lit(1000)) / 50 + F.col("id") % 3 * 4).alias("y"))
+    rows = materialize(rows)
+    written = {}
+
+    def recorded(df, name="table", **more):
+        written[name] = materialize(df, name, **more)
+        return written[name]
+
+    monkeypatch.setattr(A, "materialize", recorded)
+    got = {r["cfg"]: r["top_overlap"] for r in A.grid_top_overlap(rows, "y", "region", ["seg"], ["id"]).collect()}
+    assert written["best"].count() < 300
+    pdf = rows.toPandas()
+    mean = pdf.groupby("region")["y"].transform("mean")
+    n = pdf.groupby("region")["y"].transform("size")
+    top = set(pdf.assign(y=pdf["y"].round(9)).sort_values(["y", "id"], ascending=[False, True])["id"][:10])
+    for i, (k, cap) in enumerate(A.GRID):
+        shifted = (pdf["y"] - (n / (n + k) * (mean - pdf["y"].mean())).clip(-cap, cap)).round(9)
+        best = set(pdf.assign(a=shifted).sort_values(["a", "id"], ascending=[False, True])["id"][:10])
+        assert got.get(i, 0.0) == pytest.approx(len(top & best) / 10)

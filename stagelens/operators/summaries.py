@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from stagelens.operators.ranks import join_null_safe, quantiles
 from stagelens.session import materialize
@@ -124,14 +127,38 @@ REPLICATES, POISSON = 400, (24109, 48219, 60273, 64291, 65296, 65497, 65530, 655
 PER_HASH = 8  # 16-bit numbers in a digest
 
 
-def drawn_counts(key: Sequence[str], block: Column) -> list[Column]:
-    """How often a row is drawn in each of the replicates of a block, from the digest of its key and the block."""
-    digest = F.md5(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in key], block.cast("string")))
-    out = []
-    for i in range(PER_HASH):
-        u = F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int")
-        out.append(sum((F.when(u >= limit, 1).otherwise(0) for limit in POISSON), F.lit(0)))
-    return out
+def drawn_numbers(key: Sequence[str], blocks: int) -> Column:
+    """The 16-bit numbers of a row in all replicates, bytes of the digests of its key and each block."""
+    own = [F.col(k).cast("string") for k in key]
+    return F.concat(*[F.unhex(F.md5(F.concat_ws("\x1f", *own, F.lit(str(i))))) for i in range(blocks)])
+
+
+def _drawn_sums(by: Sequence[str], blocks: int):
+    """Per batch, group and block: how many rows each replicate draws and the sum of their values."""
+    counts = np.searchsorted(POISSON, np.arange(1 << 16), side="right").astype(np.uint8)
+    names = [f"{c}{i}" for c in "ns" for i in range(PER_HASH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            codes = [batch.column(b).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for b in by]
+            _, first, group = np.unique(np.column_stack([*codes, np.zeros(n, np.int64)]), axis=0, return_index=True, return_inverse=True)
+            group = group.reshape(-1)
+            order = np.argsort(group, kind="stable")
+            starts = np.searchsorted(group[order], np.arange(len(first)))
+            numbers = np.frombuffer(b"".join(batch.column("_d").to_pylist()), ">u2").reshape(n, -1)[order]
+            drawn = counts[numbers].astype(float)
+            value = batch.column("_v").to_numpy(zero_copy_only=False)[order]
+            parts = [np.add.reduceat(x, starts, axis=0).reshape(-1, PER_HASH) for x in (drawn, drawn * value[:, None])]
+            at = pa.array(np.repeat(first, blocks))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(b).take(at) for b in by], pa.array(np.tile(np.arange(blocks), len(first)), pa.int32()),
+                 *[pa.array(parts[0][:, i].astype(np.int64)) for i in range(PER_HASH)], *[pa.array(parts[1][:, i]) for i in range(PER_HASH)]],
+                names=[*by, "_block", *names])
+
+    return run
 
 
 def mean_interval(df: DataFrame, by: Sequence[str], value: str, key: Sequence[str], level: float = 0.95,
@@ -140,14 +167,15 @@ def mean_interval(df: DataFrame, by: Sequence[str], value: str, key: Sequence[st
 
     Every row is drawn a Poisson number of times in each replicate, by the hash of its key, so all replicates
     are one aggregate that combines before the exchange, and equal tables give equal intervals. Unknown
-    values are left out; a replicate that draws no row of a group has no mean of it.
+    values are left out; a replicate that draws no row of a group has no mean of it. A task sums up the
+    replicates of a batch at once, and what leaves it is a row per batch, group and block.
     """
     known = df.filter(F.col(value).isNotNull()).select(*by, *[k for k in key if k not in by], F.col(value).cast("double").alias("_v"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(replicates // PER_HASH - 1))).alias("_block")
-    counts = F.array(*drawn_counts(key, F.col("_block")))
-    drawn = known.select("*", blocks).select(*by, "_block", "_v", counts.alias("_c"))
-    sums = drawn.groupBy(*by, "_block").agg(*[
-        e for i in range(PER_HASH) for e in (F.sum(F.col("_c")[i]).alias(f"n{i}"), F.sum(F.col("_c")[i] * F.col("_v")).alias(f"s{i}"))])
+    blocks = replicates // PER_HASH
+    fields = [known.schema[b] for b in by] + [StructField("_block", IntegerType())]
+    fields += [StructField(f"{c}{i}", t) for c, t in (("n", LongType()), ("s", DoubleType())) for i in range(PER_HASH)]
+    drawn = known.select(*by, "_v", drawn_numbers(key, blocks).alias("_d")).mapInArrow(_drawn_sums(by, blocks), StructType(fields))
+    sums = drawn.groupBy(*by, "_block").agg(*[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "ns" for i in range(PER_HASH)])
     means = sums.select(*by, F.explode(F.array(*[F.try_divide(F.col(f"s{i}"), F.col(f"n{i}")) for i in range(PER_HASH)])).alias("_m"))
     ends = means.groupBy(*by).agg(*[F.percentile("_m", F.lit(p)).alias(n) for n, p in (("low", (1 - level) / 2), ("high", (1 + level) / 2))])
     plain = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))

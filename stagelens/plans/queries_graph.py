@@ -150,7 +150,8 @@ def most_genres(spark, sf):
 @register
 def name_collisions(spark, sf):
     """Supplier names used as persons and as organisations."""
-    orgs = PE.split_orgs(stages.cells(spark, sf), "org_txt", ["performance_id"])
+    # whose organisations they are does not matter: different cells are split once
+    orgs = PE.split_orgs(stages.cells(spark, sf), "org_txt", [])
     return PE.name_collisions(people(spark, sf), orgs).agg(F.count("*").alias("names"))
 
 

@@ -21,6 +21,7 @@ from stagelens.operators.skew import skew_join
 from stagelens.session import materialize
 
 PERSON_ROLES = ("cast", "crew")
+ROLES = (*PERSON_ROLES, "org")
 
 
 def edge_view(people: DataFrame, orgs: DataFrame, labels: DataFrame, event: str = "performance_id") -> DataFrame:
@@ -33,6 +34,12 @@ def edge_view(people: DataFrame, orgs: DataFrame, labels: DataFrame, event: str
     )
 
 
+def participations(namings: DataFrame, event: str = "performance_id") -> DataFrame:
+    """(event, role, name, times) of ``namings``, a row per event and name with the times of each role."""
+    roles = F.array(*[F.struct(F.lit(role).alias("role"), F.col("name"), F.col(role).alias("times")) for role in ROLES])
+    return namings.select(event, F.inline(roles)).filter("times > 0")
+
+
 def participant_edges(occurrences: DataFrame, event: str = "performance_id", merge_roles: bool = True,
                       with_orgs: bool = True, org_wins: bool = False) -> DataFrame:
     """(event, node, term, tf): how often a participant is named by an event.
@@ -75,6 +82,26 @@ def tfidf(edges: DataFrame, event: str = "performance_id", lower_terms: bool = F
     return weighed.select(event, "node", "term", "tf", weight.alias("weight"))
 
 
+def weighted_edges(namings: DataFrame, event: str = "performance_id") -> DataFrame:
+    """``tfidf`` of ``participant_edges``, of ``namings``: a row per event and name with the times of each role.
+
+    A term has one row per event there, so terms are counted, and their weights made, without grouping them again.
+    """
+    persons = sum((F.col(role) for role in PERSON_ROLES[1:]), F.col(PERSON_ROLES[0]))
+    terms = namings.select(event, F.col("name").alias("term"), persons.alias("person"), "org")
+    n = terms.agg(F.count_distinct(event)).scalar()
+    df = materialize(terms.groupBy("term").agg(F.count("*").alias("df")), "terms_df")
+    idf = df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1).drop("df")
+    raw = (F.col("person") + F.col("org")) * F.col("idf")
+    # a row per term: broadcast unless the terms are very many
+    weighed = terms.filter(F.col(event).isNotNull()).join(idf, "term").withColumn("_raw", raw)
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(event)))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("tf")) for kind in ("person", "org")])
+    edges = weighed.withColumn("_norm", norm).select(event, "term", "_raw", "_norm", F.inline(kinds)).filter("tf > 0")
+    return edges.select(event, F.concat("kind", F.lit(":"), "term").alias("node"), "term", "tf",
+                        (F.col("tf") * F.col("_raw") / F.col("_norm")).alias("weight"))
+
+
 def undirected(edges: DataFrame, src: str, dst: str, weight: str, loops: bool = True, home: str | None = None) -> DataFrame:
     """Both directions with duplicate edges summed, and a loop of weight 1 at every node.
 

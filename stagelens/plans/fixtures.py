@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stagelens.operators.graph import ROLES
 from stagelens.session import clustered, tune
 
 MONEY = "decimal(18,2)"
@@ -104,10 +105,10 @@ def prediction(mix: DataFrame) -> DataFrame:
     )
 
 
-def participation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences of names in the cells of a performance: (performance, role, name, times).
+def namings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of names in the cells of a performance: (performance, name) and the times of each role.
 
-    Named tickets are exchanged once, by performance.
+    Named tickets are exchanged and grouped once, by performance.
     """
     t = ticket(spark, sf_dir).select("performance_id", "l_partkey", "l_suppkey")
     part = table(spark, sf_dir, "part").select(
@@ -122,7 +123,8 @@ def participation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     columns = ["performance_id", "role", "name"]
     named = t.join(part, "l_partkey").select(*columns).unionByName(t.join(supp, "l_suppkey").select(*columns))
-    return clustered(named, ["performance_id"]).groupBy(*columns).agg(F.count("*").alias("times"))
+    return clustered(named, ["performance_id"]).groupBy("performance_id", "name").agg(
+        *[F.count_if(F.col("role") == role).alias(role) for role in ROLES])
 
 
 # Parts that a performance prints beside an organisation, by line.

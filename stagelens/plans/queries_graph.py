@@ -389,7 +389,8 @@ def known_anywhere(spark, sf):
 # ------------------------------------------------------------------ graph
 
 def weighted_edges(spark, sf):
-    return stages.clustered(spark, sf, "edges", lambda: G.tfidf(G.participant_edges(stages.participation(spark, sf))))
+    # a node names its term
+    return stages.clustered(spark, sf, "edges", lambda: G.weighted_edges(stages.namings(spark, sf)).drop("term"))
 
 
 def graph(spark, sf):

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from stagelens.operators import metrics as M
 from stagelens.operators.adjust import adjust_by_grid, grid_search
+from stagelens.operators.graph import participations
 from stagelens.operators.score import score
 from stagelens.plans import fixtures as fx
 from stagelens.session import clustered as dealt
@@ -108,8 +109,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.label(genre_mix(spark, sf_dir))
 
 
+def namings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(spark, sf_dir, "namings", lambda: fx.namings(spark, sf_dir))
+
+
 def participation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustered(spark, sf_dir, "participation", lambda: fx.participation(spark, sf_dir))
+    return participations(namings(spark, sf_dir))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

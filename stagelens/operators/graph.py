@@ -110,7 +110,9 @@ def undirected(edges: DataFrame, src: str, dst: str, weight: str, loops: bool =
     """
     if home is not None:
         there = edges.groupBy(home, F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.sum(weight).alias("weight"))
-        out = there.select("src", "dst", "weight").unionByName(there.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+        # duplicates are summed once for both directions
+        ways = [F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.col("weight")) for a, b in (("src", "dst"), ("dst", "src"))]
+        out = there.select(F.inline(F.array(*ways)))
         if not loops:
             return out
         nodes = edges.select(home, F.col(src).alias("src")).distinct().select("src").union(edges.select(dst).distinct())

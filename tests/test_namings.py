@@ -34,3 +34,10 @@ def test_weighted_edges_group_no_edges(spark):
     lines = plan(G.weighted_edges(said))
     top = lines[:next(i for i, line in enumerate(lines) if "Subquery" in line)]
     assert not [line for line in top if "Aggregate" in line or "Exchange hashpartitioning" in line]
+
+
+def test_both_directions_come_from_one_sum(spark):
+    edges = spark.createDataFrame([(1, "p:1", "x", 1.0), (1, "p:1", "x", 2.0), (2, "p:2", "x", 4.0)], "performance_id long, p string, node string, weight double")
+    both = G.undirected(laid_out(spark, edges, "links"), "p", "node", "weight", loops=False, home="performance_id")
+    assert len([line for line in plan(both) if "FileScan" in line]) == 1
+    assert sorted(map(tuple, both.collect())) == [("p:1", "x", 3.0), ("p:2", "x", 4.0), ("x", "p:1", 3.0), ("x", "p:2", 4.0)]

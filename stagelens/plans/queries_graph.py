@@ -22,7 +22,7 @@ from stagelens.plans import model as MO
 from stagelens.plans import stages
 from stagelens.plans.queries_compare import composite, scored_events, single
 from stagelens.plans.queries_score import r
-from stagelens.session import clustered, scratch_path
+from stagelens.session import clustered, materialize, scratch_path
 from stagelens.sources import files as FI
 
 QUERIES_GRAPH = {}
@@ -643,7 +643,8 @@ def accuracy_by_participants(spark, sf):
     s = split(spark, sf)
     truth = s.filter("NOT train").select("performance_id", "genre")
     crew = stages.participation(spark, sf).filter("role = 'crew'").select("performance_id", "name")
-    seen = crew.join(s.filter("train").select("performance_id"), "performance_id", "left_semi").select("name").distinct()
+    # written, so that the planner knows the size of a row per name
+    seen = materialize(crew.join(s.filter("train").select("performance_id"), "performance_id", "left_semi").select("name").distinct(), "seen")
     having = crew.join(seen, "name", "left_semi").select("performance_id").distinct().withColumn("has", F.lit(True))
     marked = truth.join(having, "performance_id", "left").withColumn("participants", F.coalesce("has", F.lit(False))).drop("has")
     out = G.accuracy_by(marked, _votes(spark, sf), ["participants"])

@@ -41,3 +41,23 @@ def test_both_directions_come_from_one_sum(spark):
     both = G.undirected(laid_out(spark, edges, "links"), "p", "node", "weight", loops=False, home="performance_id")
     assert len([line for line in plan(both) if "FileScan" in line]) == 1
     assert sorted(map(tuple, both.collect())) == [("p:1", "x", 3.0), ("p:2", "x", 4.0), ("x", "p:1", 3.0), ("x", "p:2", 4.0)]
+
+
+def test_crew_meets_known_names_where_it_lies(spark, tmp_path, monkeypatch):
+    from stagelens.plans import queries_graph as Q
+    from stagelens.plans import stages
+
+    rows = [(e, f"n{e % 7}", 0, 1, 0) for e in range(60)] + [(99, "new", 0, 1, 0)]
+    said = laid_out(spark, spark.createDataFrame(rows, "performance_id long, name string, cast long, crew long, org long"), "said")
+    cases = laid_out(spark, spark.createDataFrame([(e, "xy"[e % 2], e < 40) for e in [*range(60), 99]], "performance_id long, genre string, train boolean"), "cases")
+    monkeypatch.setattr(stages, "namings", lambda *_: said)
+    monkeypatch.setattr(Q, "weighted_edges", lambda *_: G.weighted_edges(said))
+    monkeypatch.setattr(Q, "split", lambda *_: cases)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3000")  # a row per name is below it, rows of events are not
+        out = Q.accuracy_by_participants(spark, str(tmp_path))
+        assert not [line for line in plan(out) if "Exchange hashpartitioning(name#" in line]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert {r.participants: r.n for r in out.collect()} == {True: 20, False: 1}

@@ -18,7 +18,7 @@ from stagelens.functions.text import typed_key
 from stagelens.operators import logit
 from stagelens.operators.keys import dense_ids
 from stagelens.operators.skew import skew_join
-from stagelens.session import materialize
+from stagelens.session import clustered, materialize
 
 PERSON_ROLES = ("cast", "crew")
 ROLES = (*PERSON_ROLES, "org")
@@ -250,11 +250,14 @@ def hop_by_event(links: DataFrame, degree: DataFrame, values: DataFrame, event:
     from_names = materialize(values.filter(~is_event).join(names, "node").select("node", genre, x), "sent")
     moved = (F.col("weight") * F.col("x")).alias("x")
     to_names = links.join(from_events, event).select("node", genre, moved).unionByName(from_names)
-    to_events = links.join(from_names, "node").select(event, genre, moved).unionByName(from_events)
     value = (F.col("x") / F.col("root")).alias("value")
-    at_events = to_events.groupBy(event, genre).agg(F.sum("x").alias("x")).join(events, event)
+    # summed and scaled where the edges lie, then laid by event once, as the table that is written from it
+    told = links.join(from_names, "node").select(event, genre, moved).groupBy(event, genre).agg(F.sum("x").alias("x"))
+    parts = told.join(events, event).select(event, genre, value).unionByName(from_events.join(events, event).select(event, genre, value))
+    at_events = clustered(parts, [event]).groupBy(event, genre).agg(F.sum("value").alias("value")).select(
+        event, F.lit(None).cast("string").alias("node"), genre, "value")
     at_names = to_names.groupBy("node", genre).agg(F.sum("x").alias("x")).join(names, "node")
-    return at_events.select(event, F.lit(None).cast("string").alias("node"), genre, value).unionByName(
+    return at_events.unionByName(
         at_names.select(F.lit(None).cast(links.schema[event].dataType).alias(event), "node", genre, value))
 
 

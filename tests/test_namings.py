@@ -61,3 +61,33 @@ def test_crew_meets_known_names_where_it_lies(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert {r.participants: r.n for r in out.collect()} == {True: 20, False: 1}
+
+
+def test_a_step_moves_rows_of_events_once(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    events = spark.range(4000).select(F.col("id").alias("performance_id"))
+    edges = events.select("performance_id", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.col("performance_id") % 5) for k in "abc"])).alias("node"),
+                          (F.rand(1) + 0.1).alias("weight"))
+    links = laid_out(spark, edges, "links")
+    degree = laid_out(spark, G.degrees_by_event(links), "degree")
+    # genres may be null, events may have no score
+    genre = F.when(F.col("performance_id") % 3 > 0, F.concat(F.lit("g"), F.col("performance_id") % 4))
+    first = laid_out(spark, events.filter("performance_id % 2 = 0").select("performance_id", F.lit(None).cast("string").alias("node"), genre.alias("genre"), F.lit(1.0).alias("value")), "first")
+    told = links.join(first.select("performance_id", "genre"), "performance_id").count()
+    assert told == 6000
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "6000")  # names come to the edges, events do not
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        after = G.hop_by_event(links, degree, first)
+        assert len([line for line in plan(after) if "Exchange hashpartitioning(performance_id" in line]) == 1
+        second = laid_out(spark, after, "second")
+        after = G.hop_by_event(links, degree, second)
+        assert len([line for line in plan(after) if "Exchange hashpartitioning(performance_id" in line]) == 1
+        got = {(r.node or f"performance:{r.performance_id}", r.genre): r.value for r in after.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "true")
+    key = F.concat(F.lit("performance:"), F.col("performance_id").cast("string"))
+    graph = G.undirected(links.withColumn("p", key), "p", "node", "weight")
+    plain = G.propagate(graph, first.select(key.alias("node"), "genre"), 2)
+    assert got == pytest.approx({(r.node, r.genre): r.value for r in plain.collect()})
